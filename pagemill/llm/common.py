@@ -104,7 +104,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: in
         for k in range(first):
             has = size > k
             total[has] += BYTE_CODE[LOWER[buf[starts[has] + k]]] * power[k]
-        return mixed(total + np.uint64(first) * RADIX)
+        return mixed(total + powers(first + 1)[first])
     begin = np.repeat(starts, np.diff(np.append(starts, len(buf))))
     place = np.arange(starts[0], len(buf)) - begin
     value = BYTE_CODE[LOWER[buf[starts[0] :]]] * powers(int(size.max()) if len(size) else 1)[np.minimum(place, int(size.max()) - 1)]
@@ -132,6 +132,46 @@ def arrow_rows(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def slices(batch, column: str, limit: int = 1 << 20):
+    """The batch in slices of whole rows with about limit bytes of text each; a longer text makes a slice of its own."""
+    at, (_, offsets) = 0, buffer_of(batch.column(column))
+    while at < batch.num_rows:
+        to = min(at + 2**16, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def labelled_sample(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """(doc_id, label) of at most max_rows rows that may be learned from, those of the smallest id hash."""
+    rows = labels.where((crc_mod("doc_id") != 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+
+
+#: Frequent short words by language (fixed values).
+STOP_WORDS = {
+    "en": "the of and to in is that it for was with as this are on be at by not you",
+    "de": "der die und das ist nicht ein eine zu mit von den des sich auf im dem auch es für",
+    "fr": "le la les et des un une est dans que qui pour pas sur du au avec ce il ne",
+    "es": "el los las y una que por con para del se su al lo como más pero no es en",
+}
+
+
+def stop_hashes() -> dict[str, np.ndarray]:
+    out = {}
+    for lang, words in STOP_WORDS.items():
+        buf = np.frombuffer(words.encode(), np.uint8)
+        starts, ends, _ = word_bounds(buf, np.array([0, len(buf)]))
+        out[lang] = np.sort(word_hashes(buf, starts, ends))
+    return out
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 # ---------------------------------------------------------------- components
 
 
