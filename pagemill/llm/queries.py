@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, quality, secrets, simhash, toxicity, urls
+from pagemill.llm import chat, lm, quality, secrets, simhash, toxicity, urls
 from pagemill.llm.common import crc_mod
 
 
@@ -50,6 +50,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
