@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, lm, quality, secrets, simhash, toxicity, urls
+from pagemill.llm import ann, chat, lm, quality, secrets, simhash, toxicity, urls
 from pagemill.llm.common import crc_mod
 
 
@@ -36,6 +36,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +72,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_ann_search": op2_ann_search,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_chat_formatting": op7_chat_formatting,
