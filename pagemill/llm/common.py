@@ -60,11 +60,11 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte start and end of each word, and for each row the index of its first word (n+1 entries)."""
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte start and end of each word, and for each row the index of its first word (n+1 entries); separator: by byte."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SEPARATOR[buf]
+    word = ~separator[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[:-1][offsets[:-1] < len(buf)]
