@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, chat, decontaminate, lm, quality, secrets, simhash, toxicity, urls
+from pagemill.llm import ann, chat, decontaminate, lm, pieces, quality, secrets, simhash, toxicity, urls
 from pagemill.llm.common import crc_mod
 
 
@@ -40,6 +40,10 @@ def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", "round_trip")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ann_search": op2_ann_search,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
