@@ -1,4 +1,6 @@
 """All driver queries over the document-analytics operators, with their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pagemill.plans import base, text_queries  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
