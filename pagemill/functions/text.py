@@ -16,6 +16,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, f) -> Column:
+    """f(value) with value evaluated once: an expression used within a lambda would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trimmed(x) -> Column:
     """Without white space of any ASCII kind at either end."""
     return F.regexp_replace(col(x), WHITE, "")
@@ -144,16 +149,18 @@ def match_normal(x) -> Column:
 
 def bigrams(x) -> Column:
     t = F.regexp_replace(col(x), r"\s", "")
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2))))
+    return let(t, lambda t: F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))))
 
 
 def dice(a, b) -> Column:
     """Bigram multiset similarity of two strings."""
-    x, y = bigrams(a), bigrams(b)
-    count = lambda arr, g: F.size(F.filter(arr, lambda e: e == g))
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
+
+    def numbered(x):  # the k-th occurrence of a bigram gets the number k, so that sets can be intersected
+        return let(F.array_sort(bigrams(x)), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g)).cast("string"))))
+
     p, q = F.regexp_replace(col(a), r"\s", ""), F.regexp_replace(col(b), r"\s", "")
-    return F.when(p == q, 1.0).when((F.length(p) < 2) | (F.length(q) < 2), 0.0).otherwise(2.0 * common / (F.size(x) + F.size(y)))
+    common = F.size(F.array_intersect(numbered(a), numbered(b)))
+    return F.when(p == q, 1.0).when((F.length(p) < 2) | (F.length(q) < 2), 0.0).otherwise(2.0 * common / (F.length(p) + F.length(q) - 2))
 
 
 def slug(x) -> Column:

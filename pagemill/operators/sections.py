@@ -22,23 +22,26 @@ PLACEMENT = {"academic": "document-end", "book": "section-end", "report": "secti
 def parse(text, max_depth: int = 6) -> Column:
     """array<struct<n,level,title,content>> of a page: text before the first heading is a section of level 0; an
     empty last section is dropped."""
-    ls = T.lines(text)
-    is_heading = lambda i: F.get(ls, i).rlike(HEADING)
-    begins = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | is_heading(i))
-
-    def section(i, k):
-        here, end = F.get(ls, i), F.coalesce(F.get(begins, k + 1), F.size(ls))
-        head = is_heading(i)
-        skip = head.cast("int")
-        return F.struct(
-            (k + 1).cast("int").alias("n"),
-            F.when(head, F.least(F.length(F.regexp_extract(here, HEADING, 1)), F.lit(max_depth))).otherwise(0).alias("level"),
-            F.when(head, T.trimmed(F.regexp_extract(here, HEADING, 2))).otherwise("").alias("title"),
-            T.trimmed(F.array_join(F.slice(ls, i + 1 + skip, end - i - skip), "\n")).alias("content"),
-        )
 
-    found = F.transform(begins, section)
-    return F.filter(found, lambda s, k: (k < F.size(found) - 1) | (s["content"] != "") | (s["title"] != ""))
+    def of_lines(ls):
+        is_heading = lambda i: F.get(ls, i).rlike(HEADING)
+        begins = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | is_heading(i))
+
+        def section(begins, i, k):
+            here, end = F.get(ls, i), F.coalesce(F.get(begins, k + 1), F.size(ls))
+            head = is_heading(i)
+            skip = head.cast("int")
+            return F.struct(
+                (k + 1).cast("int").alias("n"),
+                F.when(head, F.least(F.length(F.regexp_extract(here, HEADING, 1)), F.lit(max_depth))).otherwise(0).alias("level"),
+                F.when(head, T.trimmed(F.regexp_extract(here, HEADING, 2))).otherwise("").alias("title"),
+                T.trimmed(F.array_join(F.slice(ls, i + 1 + skip, end - i - skip), "\n")).alias("content"),
+            )
+
+        found = T.let(begins, lambda b: F.transform(b, lambda i, k: section(b, i, k)))
+        return T.let(found, lambda f: F.filter(f, lambda s, k: (k < F.size(f) - 1) | (s["content"] != "") | (s["title"] != "")))
+
+    return T.let(T.lines(text), of_lines)
 
 
 def footnotes(text, style: str = "numbered") -> Column:
@@ -48,8 +51,7 @@ def footnotes(text, style: str = "numbered") -> Column:
         return F.array().cast(kind)
     p = F.lit(NOTES[style])
     all_ = F.zip_with(F.regexp_extract_all(col(text), p, F.lit(1)), F.regexp_extract_all(col(text), p, F.lit(2)), lambda i, c: F.struct(i.alias("id"), T.trimmed(c).alias("content")))
-    ids = F.transform(all_, lambda x: x["id"])
-    return F.filter(all_, lambda x, k: F.array_position(ids, x["id"]) == k + 1)
+    return T.let(all_, lambda a: F.filter(a, lambda x, k: F.array_position(F.transform(a, lambda y: y["id"]), x["id"]) == k + 1))
 
 
 def without_footnotes(text, style: str = "numbered") -> Column:
@@ -110,9 +112,15 @@ def merged(sections) -> Column:
         ),
     )
     placed = F.zip_with(sections, walked, lambda s, w: F.struct(w["root"].alias("root"), w["path"].alias("path"), s["content"].alias("content"), s["id"].alias("id"), s["level"].alias("level"), s["title"].alias("title")))
-    roots = F.filter(placed, lambda s: s["root"] == s["id"])
-    chain = lambda r: F.array_sort(F.transform(F.filter(placed, lambda s: s["root"] == r["id"]), lambda s: F.struct(s["path"].alias("path"), s["content"].alias("content"))))
-    return F.transform(roots, lambda r: F.struct(r["id"].alias("id"), r["level"].alias("level"), r["title"].alias("title"), F.array_join(F.transform(chain(r), lambda x: x["content"]), "\n\n").alias("content"), F.size(chain(r)).alias("parts")))
+
+    def joined(placed):
+        chain = lambda r: F.array_sort(F.transform(F.filter(placed, lambda s: s["root"] == r["id"]), lambda s: F.struct(s["path"].alias("path"), s["content"].alias("content"))))
+        return F.transform(
+            F.filter(placed, lambda s: s["root"] == s["id"]),
+            lambda r: T.let(chain(r), lambda c: F.struct(r["id"].alias("id"), r["level"].alias("level"), r["title"].alias("title"), F.array_join(F.transform(c, lambda x: x["content"]), "\n\n").alias("content"), F.size(c).alias("parts"))),
+        )
+
+    return T.let(placed, joined)
 
 
 def rendered(level, title, content) -> Column:
@@ -125,8 +133,7 @@ def rendered(level, title, content) -> Column:
 
 def assembled(sections, toc=None) -> Column:
     """Rendered sections, repaired and cleaned, as one Markdown text."""
-    levels = repaired_levels(F.transform(sections, lambda s: s["level"]))
-    parts = F.zip_with(sections, levels, lambda s, level: rendered(level, s["title"], s["content"]))
+    parts = T.let(sections, lambda ss: F.zip_with(ss, repaired_levels(F.transform(ss, lambda s: s["level"])), lambda s, level: rendered(level, s["title"], s["content"])))
     body = F.array_join(F.transform(F.filter(parts, lambda p: T.trimmed(p) != ""), lambda p: F.concat(p, F.lit("\n"))), "\n")
     return T.cleaned_markdown(F.concat(F.coalesce(F.concat(toc, F.lit("\n")), F.lit("")), body) if toc is not None else body)
 
