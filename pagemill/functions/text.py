@@ -18,7 +18,7 @@ def col(x) -> Column:
 
 def let(value, f) -> Column:
     """f(value) with value evaluated once: an expression used within a lambda would be evaluated for each element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
 
 
 def trimmed(x) -> Column:

@@ -22,8 +22,8 @@ def _whole(x) -> Column:
     return F.floor(x + F.lit(0.5)).cast("long")
 
 
-def factors(paged: DataFrame, k: int = 3) -> DataFrame:
-    """From (doc_id, n, pages): one row of factors for each document, from a sample of k pages."""
+def factors(paged: DataFrame, k: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """From (doc_id, n, pages): one row of factors for each document, from a sample of k pages; keep: columns to keep."""
     s = paged.withColumn("sample", F.transform(sampling.first_middle_last("n", k), lambda p: F.get("pages", (p - 1).cast("int"))))
     each = F.transform(
         "sample",
@@ -44,6 +44,7 @@ def factors(paged: DataFrame, k: int = 3) -> DataFrame:
     size = F.size("each")
     out = s.select(
         "doc_id",
+        *keep,
         F.col("n").alias("page_count"),
         F.round(total("chars") / size, 6).alias("avg_chars"),
         some("code").alias("has_code"),
