@@ -37,6 +37,8 @@ class Shape:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
     epochs: int = 6
+    steps: int = 300  #: at least, whatever the epochs
+    least_docs: int = 3  #: training texts that a bucket must occur in to have an embedding
     batch: int = 32
     rate: float = 0.01
     least: int = 8  #: positives that a language needs for a threshold of its own
@@ -123,13 +125,19 @@ def fit(docs: list[tuple[np.ndarray, int, int]], shape: Shape = Shape(), seed: i
     order = rng.permutation(len(docs))
     held, train = order[: len(docs) // 5], order[len(docs) // 5 :]
     weight = np.where(labels > 0, min(4.0, (len(docs) - positive) / positive), 1.0).astype(np.float32)
+    often = np.zeros(shape.buckets, np.int64)
+    for i in train:
+        often[np.unique(docs[i][0])] += 1
+    rare = often < shape.least_docs  # these would only let it learn texts by heart
+    net.e[rare] = 0
     parts = [net.v, net.c, *net.w, *net.b]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
     seen = np.zeros(shape.buckets, np.float32)
     step = 0
-    for epoch in range(shape.epochs):
+    epochs = max(shape.epochs, -(-shape.steps * shape.batch // len(train)))
+    for epoch in range(epochs):
         rng.shuffle(train)
-        rate = shape.rate * (1 - epoch / (shape.epochs + 1))
+        rate = shape.rate * (1 - epoch / (epochs + 1))
         for at in range(0, len(train), shape.batch):
             own = train[at : at + shape.batch]
             ids = np.concatenate([docs[i][0] for i in own])
@@ -161,8 +169,10 @@ def fit(docs: list[tuple[np.ndarray, int, int]], shape: Shape = Shape(), seed: i
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             if eg:  # sparse rows, each with its own step size
                 rows, inverse = np.unique(np.concatenate([r for r, _ in eg]), return_inverse=True)
+                kept = ~rare[rows]
                 g = np.zeros((len(rows), dim), np.float32)
                 np.add.at(g, inverse, np.concatenate([x for _, x in eg]))
+                rows, g = rows[kept], g[kept]
                 seen[rows] += (g * g).mean(1)
                 net.e[rows] -= 5 * rate * g / (np.sqrt(seen[rows])[:, None] + 1e-6)
     if len(held):

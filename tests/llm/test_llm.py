@@ -1,0 +1,465 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, and in odd cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pagemill.llm import ann, chat, common, decontaminate, lm, pieces, quality, queries, secrets, simhash, toxicity, urls
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "the the the the the"), (5, "the the the the the"), (6, "é𝄞 " * 50), (7, "w" * 50_000), (8, "Password: hunter2hunter2 x"), (None, "no id")]
+
+
+def read(spark, sf_dir, t):
+    return spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return {r[0]: r[1] or "" for r in read(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "x", 9.0, 1) for i, t in ODD], "doc_id long, text string, spans string, score double, fp int")
+
+
+def auc(s, y):
+    order = np.argsort(s)
+    rank = np.empty(len(s))
+    rank[order] = np.arange(1, len(s) + 1)
+    p = y.sum()
+    return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p))
+
+
+def held_out(got, labels):
+    rows = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    return auc(np.array([a for a, _ in rows]), np.array([b for _, b in rows]))
+
+
+# ------------------------------------------------------------ 1 and 5: classifiers
+
+
+def test_quality(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op1_quality(spark, d).collect()
+    labels = {r[0]: r[1] for r in read(spark, d, "labels").select("doc_id", "quality").collect()}
+    assert len(got) == read(spark, d, "documents").count()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert held_out(got, labels) > 0.95
+
+
+def test_toxicity(spark):
+    d = "/root/testdata/sf0.1"  # the smaller tables have too few toxic texts to learn from
+    got = queries.op5_toxicity(spark, d).collect()
+    labels = {r[0]: r[1] for r in read(spark, d, "labels").select("doc_id", "toxic").collect()}
+    assert len(got) == read(spark, d, "documents").count()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert held_out(got, labels) > 0.9
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifier_odd(spark, odd, module):
+    labels = spark.createDataFrame([(1, 0, 1), (4, 1, 0), (6, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for own in (labels, labels.where("false")):
+        got = module.score(odd, module.train(odd, own)).collect()
+        assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got) and got[0].spans == "x"
+        assert module.score(odd.where("false"), module.train(odd, own)).count() == 0
+
+
+def test_additive_tables():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)  # only the pair tells
+    model = quality.fit(x, y, rounds=20, n_pairs=1)
+    assert auc(model.score(x), y) > 0.95
+
+
+def test_pooling_by_brute_force():
+    net = toxicity.Net(toxicity.Shape(buckets=64, dim=3, filters=2))
+    texts = ["a b c d", "", "x", "a a b"]
+    ids, first, _ = toxicity.encode(pa.array(texts), 64)
+    got, _ = net.pooled(ids, first)
+    for k in range(len(texts)):
+        e = net.e[ids[first[k] : first[k + 1]]].sum(1)
+        want = []
+        for width, w, b in zip(net.shape.widths, net.w, net.b, strict=True):
+            padded = np.concatenate([e, np.zeros((width - 1, 3))])
+            at = [np.maximum(padded[i : i + width].ravel() @ w + b, 0) for i in range(len(e))]
+            want += list(np.max(at, axis=0)) if at else [0, 0]
+        assert np.allclose(got[k], want, atol=1e-5)
+
+
+# ------------------------------------------------------------ 2: neighbours
+
+
+def test_ann(spark, sf_dir):
+    got: dict = {}
+    for r in queries.op2_ann_search(spark, sf_dir).collect():
+        got.setdefault(r.query_id, []).append(r)
+    rows = [(r[0], np.array(r[1], float)) for r in read(spark, sf_dir, "embeddings").select("vec_id", "embedding").collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    norm = np.sqrt((x * x).sum(1))
+    hits = total = 0
+    for i, v in rows:
+        if i % 50 == 0:
+            s = (v * x).sum(1) / (np.sqrt((v * v).sum()) * norm)
+            keep = ids != i
+            best = ids[keep][np.lexsort((ids[keep], -s[keep]))[:5]]
+            mine = sorted(got[i], key=lambda r: r.rank)
+            assert [r.rank for r in mine] == [1, 2, 3, 4, 5] and all(abs(r.score - s[ids == r.vec_id][0]) < 1e-12 for r in mine)
+            hits, total = hits + len({r.vec_id for r in mine} & set(best.tolist())), total + 5
+    assert hits / total >= 0.9
+
+
+def test_ann_odd(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "vec_id long, embedding array<double>, list string")
+    got = ann.search(df).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 9), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 9)]
+    assert ann.search(df.where("false")).count() == 0
+    copies = spark.createDataFrame([(i, [1.0, 1.0, 0.5]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = ann.search(copies).where("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
+
+
+# ------------------------------------------------------------ 3: pieces
+
+
+def test_pieces_against_library():
+    import sentencepiece
+
+    v = pieces.Vocabulary.read()
+    known = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(3)
+    texts = ["", " ", "  ", "a  b ", "\n x", "\u2581a", "aaaaaaaaaa" * 5, "x" + " " * 40, "日本語 🙂🙂", "\x00a", "ß" * 100, "a" * 3000]
+    texts += ["".join(rng.choice("etaoin shrdlu  .,\n🙂é<>0x") for _ in range(rng.randrange(200))) for _ in range(300)]
+    got = [x.tolist() for x in pieces.encode(v, texts, piece_bytes=500)]
+    assert got == known.encode(texts)
+    assert [pieces.decode(v, x) for x in got] == [t.replace("\u2581", " ") for t in texts]
+
+
+def test_suffix_ranges():
+    text = np.frombuffer("banana|bandana".encode("utf-32-le"), np.uint32)
+    order = pieces.suffixes(text, 4)
+    words = ["an", "ban", "ana", "zz", "a", "nd"]
+    codes = np.zeros((len(words), 4), np.uint32)
+    for k, w in enumerate(words):
+        codes[k, : len(w)] = [ord(c) for c in w]
+    lo, hi = pieces.ranges(text, order, codes, np.array([len(w) for w in words]))
+    for w, a, b in zip(words, lo, hi, strict=True):
+        assert sorted(order[a:b].tolist()) == [m.start() for m in re.finditer(f"(?={w})", "banana|bandana")]
+
+
+def test_pieces_odd(spark, odd):
+    got = pieces.tokenized(odd).collect()
+    assert len(got) == len(ODD) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got) and got[1].token_ids == []
+    assert pieces.tokenized(odd.where("false")).count() == 0
+
+
+# ------------------------------------------------------------ 4: decontamination
+
+
+def words_of(t):
+    return re.sub(r"[^A-Za-z0-9\x80-\U0010ffff]+", " ", t).translate(LOW).split()
+
+
+def test_decontamination(spark, sf_dir, docs):
+    got = {(r.doc_id, r.item_id): r.distance for r in queries.op4_decontaminate(spark, sf_dir).collect()}
+    bench = {r[0]: words_of(r[1]) for r in read(spark, sf_dir, "benchmark").select("item_id", "text").collect()}
+    exact = set()
+    for d, t in docs.items():
+        body = " " + " ".join(words_of(t)) + " "
+        exact |= {(d, i) for i, w in bench.items() if " " + " ".join(w) + " " in body}
+    assert exact and exact <= set(got) and all(got[x] == 0 for x in exact)
+    assert all(v <= 0.2 * len(bench[i]) for (_, i), v in got.items())
+
+
+def test_edit_distance():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64) for _ in range(2))
+        best = math.inf
+        for i in range(len(b) + 1):
+            for j in range(i, len(b) + 1):
+                row = list(range(j - i + 1))
+                for x in a:
+                    new = [row[0] + 1]
+                    for k, y in enumerate(b[i:j], 1):
+                        new.append(min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (x != y)))
+                    row = new
+                best = min(best, row[-1])
+        assert decontaminate.edit_distance(a, b)[0] == best
+
+
+def test_edited_passages():
+    rng = np.random.default_rng(2)
+    items = [rng.integers(1, 500, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in rng.integers(15, 60, 60)]
+    reps = decontaminate.repetitions(items)
+    found = 0
+    for i, w in enumerate(items):
+        keep = rng.random(len(w)) > 0.04
+        doc = np.concatenate([rng.choice(items[0], int(rng.integers(0, 40))), w[keep], rng.choice(items[1], 20)])
+        found += any(k == i for _, k, _ in decontaminate.candidates(doc, np.array([0, len(doc)]), reps))
+    assert found >= 55
+
+
+def test_decontamination_odd(spark, odd):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "the the the"), (4, "é𝄞 " * 20), (4, "é𝄞 " * 20), (5, "..")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(odd, bench).collect()}
+    assert got == {(5, 3), (6, 4)}
+    assert decontaminate.matches(odd, bench, block_items=1).count() == 2
+    assert decontaminate.matches(odd.where("false"), bench).count() == 0
+    assert decontaminate.matches(odd, bench.where("false")).count() == 0
+    assert decontaminate.decontaminated(odd, bench).count() == len(ODD) - 3
+
+
+# ------------------------------------------------------------ 6 and 7: native ones
+
+
+def test_urls(spark, sf_dir):
+    got = queries.op6_url_filter(spark, sf_dir).collect()
+    url = dict(read(spark, sf_dir, "pages").select("page_id", "url").collect())
+    for r in got:
+        rest = url[r.page_id].partition("://")[2]
+        host = re.split(r"[/?#]", rest)[0].translate(LOW)
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        fits = [x for x in queries.URL_RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        rule = max(fits, key=lambda x: len(x.text)) if fits else None
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule.text)
+        assert r.verdict == (rule.verdict if rule else "block" if r.block_score >= 0.5 else "allow")
+
+
+def test_urls_odd(spark):
+    rows = [(1, None), (2, ""), (3, "nothing"), (4, "HTTP://A.Example.COM/En/x?y#z"), (5, "x://net"), (6, "http://b.net/es/"), (6, "http://b.net/es/"), (7, "http://xnet/es/"), (8, "a://b.com\n/c")]
+    df = spark.createDataFrame([(*r, "h", "s") for r in rows], "page_id long, url string, host string, suffix string")
+    got = {r.page_id: (r.host, r.path, r.rule) for r in urls.judge(df, queries.URL_RULES).collect()}
+    assert got[1] == got[2] == got[3] == ("", "", None) and got[4] == ("a.example.com", "/En/x", "com/") and got[5] == ("net", "", None) and got[6] == ("b.net", "/es/", "net/es/") and got[7][2] is None
+    assert urls.judge(df.where("false"), queries.URL_RULES).count() == 0
+    labelled = spark.createDataFrame([(f"http://s{i}.org/{'9' * (i % 2 * 9)}", i % 2) for i in range(60)], "url string, label int")
+    judged = urls.judge(labelled, [], labelled).collect()
+    assert all((r.verdict == "block") == (r.label == 1) for r in judged)
+
+
+def turns_of(spark, sf_dir):
+    conv: dict = {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
+    for r in read(spark, sf_dir, "conversations").orderBy("conv_id", "turn").collect():
+        conv.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    return conv
+
+
+def test_chat(spark, sf_dir):
+    conv = turns_of(spark, sf_dir)
+    got = {r.conv_id: r for r in queries.op7_chat_formatting(spark, sf_dir).collect()}
+    assert set(got) == set(conv)
+    for c, ts in conv.items():
+        loss = "".join(t for r, t in ts if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(ts), sha("".join(f"{r}\n{t}\n" for r, t in ts)), len(loss), sha(loss))
+
+
+def test_chat_odd(spark):
+    texts = [None, "", "</s>", "<s>[INST]", "[/INST]", "<sep>", "\\", "\\\\<sep", ">", "<", "a\nb 🙂", "<\\/s>", "[I"]
+    rows = [(k % 3, k // 3, ("user", "user", "assistant", None)[k % 4], t, "x") for k, t in enumerate(texts * 4)] + [(9, None, "a[/INST]b", "x", "x")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r.conv_id: r for r in chat.format_conversations(df).withColumn("turns", chat.parse(F.col("formatted"))).collect()}
+    for c in (0, 1, 2, 9):
+        own = sorted([(t if t is not None else -1, r or "", x or "") for i, t, r, x, _ in rows if i == c])
+        assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in own]
+        assert [got[c].formatted[s.start : s.end] for s in got[c].loss_spans] == [re.sub(r"([<\[])(/?(?:s>|sep>|INST\]))", r"\1\\\2", x.replace("\\", "\\\\")) for _, r, x in own if r == "assistant"]
+    assert got[9].formatted.count("[INST]") == 1  # two turns of one role: one block
+    assert chat.format_conversations(df.where("false")).count() == 0
+
+
+# ------------------------------------------------------------ 8: language model
+
+
+def test_lm(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in queries.op8_lm_score(spark, sf_dir).collect()}
+    words = {i: WORD.findall(t.translate(LOW)) for i, t in docs.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in words}
+    c: Counter = Counter()
+    for i, w in words.items():
+        if not held[i]:
+            c.update([*w, None])
+    n, v = sum(c.values()), len(c)
+    for i, w in words.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in [*w, None]))
+        assert r.score < 0
+    assert sum(got[i].score for i in words if held[i]) > sum(got[i].base_score for i in words if held[i])
+
+
+def test_automaton_sums_to_one():
+    rng = np.random.default_rng(4)
+    words = 5
+    counts = rng.integers(1, 40, words + 1).astype(float)
+    n, v, discount = counts.sum() + 30, words + 1 + 20, 0.6  # 20 rarer types hold 30 tokens
+    pairs = np.zeros((words + 1, words + 2))
+    for s in range(words + 1):
+        pairs[s, :-1] = rng.integers(0, 6, words + 1)
+        pairs[s, -1] = pairs[s, :-1].sum() + 7
+    unigram = (counts - discount) / n
+    rest = 1 - unigram.sum()
+    arcs, fail = lm.automaton(pairs, unigram, discount)
+    for s in range(words + 1):
+        total = sum(10 ** arcs[s, w] if not np.isnan(arcs[s, w]) else 10 ** fail[s] * unigram[w] for w in range(words + 1)) + 10 ** fail[s] * rest
+        assert total == pytest.approx(1)
+
+
+def test_lm_odd(spark, odd):
+    got = lm.score(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1} and [r.held_out for r in got if r.doc_id is None] == [None]
+    assert lm.score(odd.where("false")).count() == 0
+    alone = lm.score(odd.where("doc_id IS NULL")).first()  # nothing to learn from
+    assert (alone.train_tokens, alone.n_known, alone.score) == (0, 0, 0.0)
+
+
+# ------------------------------------------------------------ 9: near duplicates
+
+
+def fingerprint(t, k=4):
+    w = WORD.findall(t.translate(LOW))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, radius=4):
+    ids = sorted(fps)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(spark, sf_dir, docs):
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, sf_dir).collect()}
+    fps = {i: fingerprint(t) for i, t in docs.items()}
+    want = components(fps)
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+@pytest.mark.parametrize("crowd", [0, 2, 64])
+def test_links(spark, crowd):
+    rng = random.Random(crowd)
+    fps = {}
+    for k in range(60):
+        base = rng.getrandbits(64) if k % 10 == 0 else fps[k - 1]
+        for b in rng.sample(range(64), rng.randrange(7) if k % 10 else 0):
+            base ^= 1 << b
+        fps[k] = base
+    fps |= {60: 0, 61: 2**64 - 1, 62: 0b111}
+    first = {}
+    for i in sorted(fps):
+        first.setdefault(fps[i], i)
+    df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)), i) for v, i in first.items()], "fp long, rep long")
+    parts = {r.node: r.component for r in common.connected_components(simhash.links(df, 4, crowd)).collect()}
+    want = components({i: v for v, i in first.items()})
+    assert {i: parts.get(i, i) for i in want} == want
+
+
+def test_components_of_a_path(spark):
+    n = 200
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    df = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001), (5000, 5000)], "a long, b long")
+    got = {r.node: r.component for r in common.connected_components(df).collect()}
+    assert all(got[i] == 0 for i in range(n)) and got[1001] == 1000 and 5000 not in got
+    assert common.connected_components(df.where("false")).count() == 0
+
+
+def test_simhash_odd(spark, odd):
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(odd).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5), (6, 6), (7, 7), (8, 8), (None, None)], key=str)
+    assert simhash.near_duplicates(odd.where("false")).count() == 0
+
+
+# ------------------------------------------------------------ 10: secrets
+
+
+ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_spans(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[1]) >= 12]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+def test_secrets(spark, docs):
+    rng = random.Random(5)
+    bits = ["password", "PassWD", "secret", "ToKen", "api_key", "APIkey", ": ", " = ", "'", '"', "hunter2hunter2", "short", "AKIA" + "Z9" * 8, "AKIAAKIA", "deadbeef" * 3, "ab12" * 3, "ſecret=", "é", "🙂", " ", "\n", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh", "ghp_" + "a1" * 20]
+    texts = {10_000 + k: "".join(rng.choice(bits) for _ in range(rng.randrange(30))) for k in range(400)} | docs
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in ("assign", "access", "hex")] == base_spans(texts[r.doc_id])
+
+
+def test_trigram_queries():
+    for rule in secrets.BASE_RULES + secrets.MORE_RULES:
+        q = secrets.trigram_query(rule.pattern)
+        assert (q is None) == (rule.kind == "hex")
+    matches = ["password:abc", "PASSWD = 'x", "api_key=1", "ApiKey:1"]
+    q = secrets.trigram_query(secrets.BASE_RULES[0].pattern)
+    assert all(any(all(g in m.lower() for g in a) for a in q) for m in matches)
+
+
+def test_secrets_odd(spark, odd):
+    got = {r.doc_id: r.spans for r in secrets.scan(odd).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[8]] == [("assign", 0, 24)] and got[1] == got[2] == []
+    assert secrets.scan(odd.where("false")).count() == 0
+    red = secrets.scan(odd).where("doc_id = 8").select(secrets.redact(F.col("text"), F.col("spans"))).first()[0]
+    assert red == "[SECRET] x"
+
+
+# ------------------------------------------------------------ pipeline
+
+
+def test_pipeline(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, sf_dir))
+        seen[name] = docs
+    n = {k: v.count() for k, v in seen.items()}
+    start = read(spark, sf_dir, "documents")
+    assert start.count() >= n["quality"] >= n["near_duplicates"] >= n["decontamination"] == n["secrets"] == n["sentencepiece"] > 0
+    assert all(v.columns == start.columns for k, v in seen.items() if k != "sentencepiece")
+    fps = {r.doc_id: fingerprint(r.text or "", 5) for r in seen["quality"].collect()}
+    want = components(fps)
+    assert {r.doc_id for r in seen["near_duplicates"].collect()} == {i for i in want if want[i] == i}
+    assert decontaminate.matches(seen["decontamination"], read(spark, sf_dir, "benchmark")).count() == 0
+    assert secrets.scan(seen["secrets"]).where(F.size("spans") > 0).count() == 0
+    assert seen["sentencepiece"].where("NOT round_trip").count() == 0
+
+
+def test_stages_odd(spark, sf_dir):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    for df in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, df, sf_dir)
+            assert got.columns[: len(df.columns)] == df.columns and got.count() <= df.count()
