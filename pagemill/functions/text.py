@@ -59,28 +59,26 @@ FREQUENCY = (
 
 
 def word(w: str) -> str:
-    return rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])" if w.isascii() else rf"(?<=[A-Za-z0-9_]){w}(?=[A-Za-z0-9_])"
+    """A pattern for the word; the literal comes first, which regex engines search for fast."""
+    return rf"{w}(?<![A-Za-z0-9_]{w})(?![A-Za-z0-9_])" if w.isascii() else rf"{w}(?<=[A-Za-z0-9_]{w})(?=[A-Za-z0-9_])"
 
 
-def first_max(pairs, least: int, default: str) -> Column:
-    """The name of the first of (name, count) pairs that has the largest count, if that is least or more."""
-    top = F.greatest(*(c for _, c in pairs)) if len(pairs) > 1 else pairs[0][1]
-    out = F.lit(default)
-    for name, c in reversed(pairs):
-        out = F.when((c == top) & (top >= least), F.lit(name)).otherwise(out)
-    return out
+def first_max(names, counts, least: int, default: str) -> Column:
+    """The name of the first largest count, if that is least or more."""
+    names = F.array(*map(F.lit, names))
+    return let(counts, lambda c: F.when(F.array_max(c) >= least, F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))).otherwise(F.lit(default)))
 
 
 def language_by_presence(x) -> Column:
-    t = F.lower(col(x))
-    counts = [(name, sum((t.rlike(word(w)).cast("int") for w in words), F.lit(0))) for name, words in PRESENCE]
-    return first_max(counts, 3, "Unknown")
+    """The language most of whose stop words occur, if three do."""
+    counts = lambda t: F.array(*(sum((t.rlike(word(w)).cast("int") for w in words), F.lit(0)) for _, words in PRESENCE))
+    return first_max([n for n, _ in PRESENCE], let(F.lower(col(x)), counts), 3, "Unknown")
 
 
 def language_by_frequency(x) -> Column:
-    t = F.left(F.lower(col(x)), F.lit(2000))
-    counts = [(name, sum((F.regexp_count(t, F.lit(word(w))) for w in words), F.lit(0))) for name, words in FREQUENCY]
-    return first_max(counts, 1, "en")
+    """The language whose stop words occur most often in the first 2000 characters."""
+    counts = lambda t: F.array(*(sum((F.regexp_count(t, F.lit(word(w))) for w in words), F.lit(0)) for _, words in FREQUENCY))
+    return first_max([n for n, _ in FREQUENCY], let(F.left(F.lower(col(x)), F.lit(2000)), counts), 1, "en")
 
 
 def table_runs(x) -> Column:
