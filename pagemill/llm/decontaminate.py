@@ -1,7 +1,7 @@
 """Benchmark decontamination: CGK random walks, bit-sampling LSH and exact edit distances.
 
 Texts and benchmark items become sequences of words (runs of letters, digits and
-bytes beyond ASCII, A-Z lower-cased).  A CGK walk reads a window word by word,
+bytes beyond ASCII, lower-cased).  A CGK walk reads a window word by word,
 stays or steps on by a random bit of the word read, and so embeds edit distance
 into Hamming distance.  A repetition samples a few steps of the walk; a window
 whose sampled words equal those of an item's window is a candidate.  Windows are
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ BITS = 16
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows, and n+1 offsets."""
-    buf, offsets = buffer_of(column)
+    buf, offsets = buffer_of(pc.utf8_lower(column))
     starts, ends, first = word_bounds(buf, offsets, GAP)
     return word_hashes(buf, starts, ends), first
 
