@@ -109,10 +109,10 @@ def _groups(batches, key: str, finish, limit: int):
         if not len(cols[0]):
             continue
         tail = int(np.searchsorted(cols[0], cols[0][-1]))
-        if tail == 0 and len(cols[0]) <= limit:
-            kept = cols
-            continue
-        yield from finish([c[:tail] for c in cols]) if tail else ()
+        if len(cols[0]) - tail > limit:
+            tail = len(cols[0])  # the last group's part goes, too
+        if tail:
+            yield from finish([c[:tail] for c in cols])
         kept = [c[tail:] for c in cols]
     if kept is not None and len(kept[0]):
         yield from finish(kept)

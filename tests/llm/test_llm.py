@@ -381,6 +381,16 @@ def test_links(spark, crowd):
     assert {i: parts.get(i, i) for i in want} == want
 
 
+@pytest.mark.parametrize("rows", [1, 3, 7, 100])
+def test_group_parts(rows):
+    key = np.repeat([1, 2, 3, 9], [2, 40, 1, 30])
+    table = pa.table({"key": key, "fp": np.arange(len(key)), "rep": np.arange(len(key))})
+    parts = list(simhash._groups(table.to_batches(max_chunksize=rows), "key", lambda cols: [[c.tolist() for c in cols]], 5))
+    assert sum((p[1] for p in parts), []) == list(range(len(key)))
+    assert max(len(p[0]) for p in parts) <= max(2 * rows + 6, rows + 6)
+    assert sum(1 in p[0] for p in parts) == sum(3 in p[0] for p in parts) == 1  # small groups come whole
+
+
 def test_components_of_a_path(spark):
     n = 200
     order = list(range(n))
