@@ -137,7 +137,7 @@ def similarity_ratio(a, b) -> Column:
     """Containment gives short / long; else the share of the shorter's characters that the longer has at all."""
     a, b = col(a), col(b)
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    hits = F.size(F.filter(F.split(short, ""), lambda c: (c != "") & F.contains(long, c)))
+    hits = F.length(short) - F.length(F.call_function("translate", short, long, F.lit("")))
     return F.when(F.length(long) == 0, 1.0).when(F.contains(long, short), F.length(short) / F.length(long)).otherwise(hits / F.length(long))
 
 

@@ -168,3 +168,40 @@ def merged_pages(pages, header=None, footer=None) -> Column:
         return F.when(runs_on, F.concat(body, F.lit(" "))).otherwise(T.trimmed(t))
 
     return F.array_join(F.transform(p, page), "\n\n")
+
+
+def merged_windows(windows) -> Column:
+    """Markdown of windows (array) joined as merged_pages does, but a window runs on only if its last paragraph is open."""
+    w = col(windows)
+    n = F.size(w)
+
+    def part(t, i):
+        tail = T.last_paragraph(t)
+        following = F.regexp_replace(F.coalesce(F.get(w, i + 1), F.lit("")), r"^\s+", "")
+        runs_on = (i < n - 1) & (tail != "") & ~tail.rlike(r"[.!?:;'\"]$") & (following.rlike("^[a-z]") | ~following.startswith("#"))
+        return F.when(runs_on, F.concat(F.regexp_replace(t, r"\s+$", ""), F.lit(" "))).otherwise(T.trimmed(t))
+
+    return F.array_join(F.transform(w, part), "\n\n")
+
+
+def line_matches(line, patterns) -> Column:
+    """Whether a line equals a pattern (array) apart from case and ends, or both are longer than five and alike by over 0.8."""
+    a = F.lower(T.trimmed(line))
+    return F.exists(patterns, lambda p: (a == F.lower(T.trimmed(p))) | ((F.length(a) > 5) & (F.length(T.trimmed(p)) > 5) & (T.similarity_ratio(a, F.lower(T.trimmed(p))) > F.lit(0.8).cast("double"))))
+
+
+def without_lines(text, patterns, number_pattern: str | None = None) -> Column:
+    """A text without lines that match a pattern or, in any case, the page number's pattern; blank lines stay."""
+    drop = lambda x: line_matches(x, patterns) | (T.trimmed(x).rlike("(?i)" + number_pattern) if number_pattern else F.lit(False))
+    return T.trimmed(F.array_join(F.filter(T.lines(text), lambda x: (T.trimmed(x) == "") | ~drop(x)), "\n"))
+
+
+def outline_depths(levels) -> Column:
+    """The depth of each heading in the tree that levels make: a heading is below the last earlier one of a smaller level."""
+    start = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc, x):
+        above = F.filter(acc["stack"], lambda y: y < x)
+        return F.struct(F.concat(above, F.array(x)).alias("stack"), F.concat(acc["out"], F.array(F.size(above) + 1)).alias("out"))
+
+    return F.aggregate(levels, start, step)["out"]

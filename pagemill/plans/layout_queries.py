@@ -388,3 +388,38 @@ def crop_boxes(spark, d):
 def svg_placeholders(spark, d):
     s = lambda v: F.lit(v) if isinstance(v, str) else v.cast("string")
     return corpus.table(spark, d, "pages").select("page_id", geometry.svg_placeholder(s("1"), s("2"), s(F.col("page_id")), s("9"), F.lit("chart")).alias("svg"))
+
+
+WINDOW_SQL = f"""{PAGED_SQL}, wd AS (SELECT doc_id, i, c, t, coalesce(lead(t) OVER (PARTITION BY doc_id ORDER BY i), '') AS nx FROM (SELECT doc_id, i, ceil(n / 2.0) AS c, array_to_string(pages[i * 2 - 1 : i * 2], chr(10) || chr(10)) AS t FROM (SELECT doc_id, n, pages, unnest(range(1, CAST(ceil(n / 2.0) AS BIGINT) + 1)) AS i FROM paged))),
+ wl AS (SELECT *, coalesce(right([p FOR p IN regexp_split_to_array(t, '\\n\\n+') IF {TRIM.format('p')} <> '' AND NOT starts_with({TRIM.format('p')}, '#')][-1], 500), '') AS tail, regexp_replace(nx, '^\\s+', '') AS ns FROM wd)"""
+
+
+@query("merge_windows", f"WITH {WINDOW_SQL} SELECT doc_id, md5(string_agg(CASE WHEN i < c AND tail <> '' AND NOT regexp_matches(tail, '[.!?:;''\"]$') AND (regexp_matches(ns, '^[a-z]') OR NOT starts_with(ns, '#')) THEN regexp_replace(t, '\\s+$', '') || ' ' ELSE {TRIM.format('t')} END, chr(10) || chr(10) ORDER BY i)) AS markdown_md5 FROM wl GROUP BY doc_id")
+def merge_windows(spark, d):
+    from pagemill.operators import sections as S
+
+    two = F.transform(F.sequence(F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda i: F.array_join(F.slice("pages", i * 2 - 1, F.lit(2)), "\n\n"))
+    return paged(spark, d).withColumn("w", two).select("doc_id", F.md5(S.merged_windows("w")).alias("markdown_md5"))
+
+
+FILTERED_SQL = f"""{LINES_SQL}, fp AS (SELECT doc_id, line_no, line, lower({TRIM.format('line')}) AS a, lower({TRIM.format('first_value(line) OVER (PARTITION BY doc_id ORDER BY line_no)')}) AS b FROM dlines),
+ fs AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM fp)"""
+
+
+@query("line_filter_repeated", f"WITH {FILTERED_SQL} SELECT doc_id, md5({TRIM.format("coalesce(string_agg(CASE WHEN a = '' OR NOT (a = b OR (length(a) > 5 AND length(b) > 5 AND " + SIM_SQL + " > 0.8) OR regexp_matches(a, '^\\s*\\d+\\s*$')) THEN line END, chr(10) ORDER BY line_no), '')")}) AS text_md5 FROM fs GROUP BY doc_id")
+def line_filter_repeated(spark, d):
+    from pagemill.operators import sections as S
+
+    first = F.array(F.get(T.lines("text"), F.lit(0)))
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", F.md5(S.without_lines("text", first, r"^\s*\d+\s*$")).alias("text_md5"))
+
+
+@query(
+    "outline_depth",
+    f"WITH {HEAD_SQL}, pa AS (SELECT h.doc_id, h.ord, (SELECT max(p.ord) FROM hd p WHERE p.doc_id = h.doc_id AND p.ord < h.ord AND p.level < h.level) AS parent FROM hd h), dp AS (WITH RECURSIVE r AS (SELECT doc_id, ord, 1 AS depth FROM pa WHERE parent IS NULL UNION ALL SELECT pa.doc_id, pa.ord, r.depth + 1 FROM r JOIN pa ON pa.doc_id = r.doc_id AND pa.parent = r.ord) SELECT * FROM r) SELECT doc_id, CAST(max(depth) AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS entries FROM dp GROUP BY doc_id",
+)
+def outline_depth(spark, d):
+    from pagemill.operators import sections as S
+
+    per = headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level")))).alias("h"))
+    return per.select("doc_id", F.array_max(S.outline_depths(F.transform("h", lambda x: x["level"]))).cast("long").alias("depth"), F.size("h").cast("long").alias("entries"))
