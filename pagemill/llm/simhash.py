@@ -217,7 +217,7 @@ def sketches_of(column, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return fps, loose, shingles
 
 
-def similar_links(sketches: DataFrame, similarity: float, crowd: int = 16) -> DataFrame:
+def similar_links(sketches: DataFrame, similarity: float, crowd: int = 4) -> DataFrame:
     """(a, b): pairs of reps whose estimated similarity over shingles is high enough.
 
     As two texts of some similarity differ in many bits, but mostly in uncertain ones, a half's ball is made of its
@@ -288,7 +288,32 @@ def similar_links(sketches: DataFrame, similarity: float, crowd: int = 16) -> Da
             ok = shared / np.maximum(m + k - shared, 1) >= similarity
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    return both.mapInArrow(estimate, "a long, b long")
+    return forest(both.mapInArrow(estimate, "a long, b long"))
+
+
+def forest(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) without those that close a circle within their task: the same components from fewer links."""
+
+    def run(batches):
+        root: dict = {}
+
+        def find(x):
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = root[x]
+            return x
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                keep.append(x != y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(pairs, "similar").coalesce(max(1, n // 8)).mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -381,6 +381,14 @@ def test_links(spark, crowd):
     assert {i: parts.get(i, i) for i in want} == want
 
 
+def test_forest(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.randrange(60), rng.randrange(60, 120)) for _ in range(400)] + [(500, 501)] * 3, "a long, b long")
+    thin = simhash.forest(df)
+    assert thin.count() < 400
+    assert {tuple(r) for r in common.connected_components(thin).collect()} == {tuple(r) for r in common.connected_components(df).collect()}
+
+
 @pytest.mark.parametrize("rows", [1, 3, 7, 100])
 def test_group_parts(rows):
     key = np.repeat([1, 2, 3, 9], [2, 40, 1, 30])
