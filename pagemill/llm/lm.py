@@ -1,18 +1,23 @@
 """LM scoring by a weighted backoff automaton over words.
 
 State 0 holds all training tokens with absolutely discounted counts, what the
-discount leaves being the probability of a token unseen in training.  Each of the
-``states`` most frequent words, and the begin of a text, is a further state: its
-arcs are the discounted counts of the frequent words (or the end) that follow it,
-its failure arc leads to state 0 at the weight that makes all continuations sum to
-one.  A text is traversed once from left to right: a token takes the arc of the
-current state or else fails to state 0, and sets the next state.
-
-Nothing of the vocabulary is broadcast.  Texts are packed into blocks of a few MB
-with their distinct words; each block asks for its words' counts, a window over the
-word hash answers all blocks, and the answers meet their block again.  So a word
-costs a row for each block that has it, not for each occurrence.  Only the arcs go
-to all executors: (states + 1) squared numbers at most, whatever the input.
+discount leaves being the probability of a token unseen in training.  Each word of
+the training texts, and the begin of a text, is a further state: its arcs are the
+discounted counts of all words (or the end) that follow it, to which the discounted
+rest is added in proportion to state 0; its failure arc leads to state 0 with the
+weight of that rest, so that all continuations sum to one.  A text is traversed once
+from left to right: a token takes the arc of the current state or else fails to
+state 0, and sets the next state.
+
+Nothing of the vocabulary or of the word pairs is broadcast.  Texts are packed into
+blocks of a few MB with their distinct words.  Each block asks for the counts of its
+words, and then of its pairs, in one packed row for each bucket of their hashes; a
+bucket answers all blocks, and the answers meet their block again.  So a word or
+pair costs an entry for each block that has it, not for each occurrence.  Pairs go to
+the bucket of their first word, which so sees all its followers; those of a word that
+makes up more than 1 / HOT of the tokens are spread by both words, and the numbers of
+its followers are summed up.  Only these sums, of at most HOT words and the begin, go
+to all executors.
 
 Defined cases: null texts count as empty and have the end as their one token; rows
 with a null id are scored, not learned from, and have a null held_out; repeated
@@ -27,12 +32,14 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import buffer_of, crc_mod, row_sums, slices, word_bounds, word_hashes, written
+from pagemill.llm.common import among, buffer_of, crc_mod, mixed, row_sums, slices, word_bounds, word_hashes, written
 
 BLOCK_BYTES = 6 << 20  #: of text in a block, but for a text that is longer
+HOT, HOT_LEAST = 1 << 16, 1 << 14  #: pairs are spread by both words where the first is more than 1 / HOT of the tokens, and occurs HOT_LEAST times
+EDGE = np.uint64(0x9D39247E33776D41)  #: stands for the begin before and the end after the words of a text
 
 _PACKED = "block long, ids binary, valid binary, part binary, first binary, tokens binary, hashes binary, counts binary"
 
@@ -81,121 +88,227 @@ def _pack(batches):
         yield block(parts)
 
 
-def _asks(batches):
-    for b in batches:
-        for i in range(b.num_rows):
-            hashes, counts = _unzip(b.column("hashes")[i].as_py(), "<u8"), _unzip(b.column("counts")[i].as_py(), "<i8")
-            n = len(hashes)
-            for k in range(0, n, 1 << 16):
-                m = min(n, k + (1 << 16)) - k
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[k : k + m].view(np.int64)), pa.array(np.full(m, b.column("block")[i].as_py())), pa.array(np.arange(k, k + m, dtype=np.int32)), pa.array(counts[k : k + m])], ["key", "block", "slot", "n"])
+def _small(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest bytes that hold all of them; the length tells how many."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes() if len(x) else b""
 
 
-def _follows(words: np.ndarray):
-    """(key, n) of a partition: how often in training texts word or end key % (k + 1) follows word or begin key // (k + 1), where
-    words are the hashes of the k frequent words and k stands for begin and end."""
-    k = len(words)
-    order = np.argsort(words)
+def _numbers(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"<u{len(x) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x)) if len(x) else np.zeros(1, np.int64)
+
+
+def _word_asks(buckets: int):
     def run(batches):
-        sums = np.zeros((k + 1) ** 2, np.int64)
         for b in batches:
             for i in range(b.num_rows):
-                state, first = _states(_unzip(b.column("hashes")[i].as_py(), "<u8"), _unzip(b.column("tokens")[i].as_py(), "<i4"), _unzip(b.column("first")[i].as_py(), "<i8"), words, order)
-                learned = np.isin(_unzip(b.column("part")[i].as_py(), "i1"), (0, 2, 3, 4))
-                key, _, row, _ = _steps(state, first, k)
-                np.add.at(sums, key[(key >= 0) & learned[row]], 1)
-        keys = np.flatnonzero(sums)
-        for j in range(0, len(keys), 1 << 16):
-            part = keys[j : j + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part])], ["key", "n"])
+                hashes, counts = _unzip(b.column("hashes")[i].as_py(), "<u8"), _unzip(b.column("counts")[i].as_py(), "<i8")
+                order = np.argsort(hashes)
+                hashes, counts = hashes[order], counts[order]
+                bucket = _bucket(hashes, buckets)
+                cuts = _cuts(bucket)
+                if len(cuts) > 1:
+                    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+                    keys, n = (pa.array([f(x[i:j]) for i, j in spans], pa.binary()) for f, x in ((np.ndarray.tobytes, hashes), (_small, counts)))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(spans), b.column("block")[i].as_py())), keys, n], ["bucket", "block", "keys", "n"])
 
     return run
 
 
-def _states(hashes, token, first, words, order):
-    """The number among the frequent words of each token, -1 for others."""
-    if not len(words):
-        return np.full(len(token), -1), first
-    at = np.minimum(np.searchsorted(words, hashes, sorter=order), len(words) - 1)
-    known = words[order[at]] == hashes
-    return np.where(known, order[at], -1)[token], first
+_ANSWERS = "block long, bucket int, pairs boolean, totals binary, follows binary, key long, n long, types long, ones long, twos long"
+
+
+def _answer(blocks, bucket, pairs, totals, follows, keys, counts, sums) -> pa.Table:
+    """Answers to blocks, numbers of keys, and the sums of the bucket."""
+    m, h = len(blocks), len(keys)
+    return pa.table(
+        {
+            "block": pa.array([*blocks, *[None] * (h + 1)], pa.int64()),
+            "bucket": pa.array([bucket] * (m + h + 1), pa.int32()),
+            "pairs": pa.array([pairs] * (m + h + 1)),
+            "totals": pa.array([*totals, *[None] * (h + 1)], pa.binary()),
+            "follows": pa.array([*follows, *[None] * (h + 1)], pa.binary()),
+            "key": pa.array([*[None] * m, *keys, None], pa.int64()),
+            "n": pa.array([*[None] * m, *counts, sums[0]], pa.int64()),
+            **{c: pa.array([*[None] * (m + h), x], pa.int64()) for c, x in zip(("types", "ones", "twos"), sums[1:], strict=True)},
+        }
+    )
+
 
+def _sums(total: np.ndarray) -> list[int]:
+    return [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]
 
-def _steps(state: np.ndarray, first: np.ndarray, k: int):
-    """The walk through all texts, an end after each: key of the arc (-1: none of a state), state before (-1: state 0), row, and whether it is an end."""
-    rows = len(first) - 1
+
+def _word_answers(asks: pa.Table) -> pa.Table:
+    """The training counts of each block's words; as keys the words that may be hot."""
+    parts = [np.frombuffer(x, "<u8") for x in asks["keys"].to_pylist()]
+    known, at = np.unique(np.concatenate(parts), return_inverse=True)
+    n = np.concatenate([_numbers(x, len(p)) for x, p in zip(asks["n"].to_pylist(), parts, strict=True)])
+    total = np.zeros(len(known), np.int64)
+    np.add.at(total, at, n)
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    often = total > HOT_LEAST
+    return _answer(asks["block"].to_pylist(), asks["bucket"][0].as_py(), False, [_small(x) for x in np.split(total[at], cuts)], [None] * len(parts), known[often].view(np.int64).tolist(), total[often].tolist(), _sums(total))
+
+
+def _pairs(hashes: np.ndarray, token: np.ndarray, first: np.ndarray, buckets: int, hot: np.ndarray):
+    """The walk through all texts, an end after each, and its distinct pairs.
+
+    By step: row, number of the word and of the one before (len(hashes): end and begin), and of the pair.
+    By pair, sorted by bucket, first and second word: bucket and both words' hashes.
+    """
+    k, rows = len(hashes), len(first) - 1
     row = np.repeat(np.arange(rows), np.diff(first) + 1)
     end = np.zeros(len(row), bool)
     end[first[1:] + np.arange(rows)] = True
     now = np.full(len(row), k)
-    now[~end] = state
+    now[~end] = token
     was = np.roll(now, 1)
     was[first[:-1] + np.arange(rows)] = k
-    return np.where((now >= 0) & (was >= 0), was * (k + 1) + now, -1), was, row, end
+    pair, at = np.unique(was * (k + 1) + now, return_inverse=True)
+    keys = np.append(hashes, EDGE)
+    u, w = keys[pair // (k + 1)], keys[pair % (k + 1)]
+    bucket = _bucket(np.where(among(u, hot), mixed(u ^ (w * np.uint64(0x9E3779B97F4A7C15))), u), buckets)
+    order = np.lexsort((w, u, bucket))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return row, now, was, rank[at], bucket[order], u[order], w[order]
+
+
+def _runs(bucket: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The number of each pair's run of the same bucket and first word."""
+    new = np.zeros(len(u), np.int64)
+    new[1:] = (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1])
+    return np.cumsum(new)
+
+
+def _pair_asks(buckets: int, shared):
+    def run(batches):
+        hot = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                got = {c: b.column(c)[i].as_py() for c in ("block", "hashes", "tokens", "first", "part")}
+                row, _, _, at, bucket, u, w = _pairs(_unzip(got["hashes"], "<u8"), _unzip(got["tokens"], "<i4"), _unzip(got["first"], "<i8"), buckets, hot)
+                learned = np.isin(_unzip(got["part"], "i1"), (0, 2, 3, 4))
+                n = np.bincount(at[learned[row]], minlength=len(u))
+                rows = []
+                cuts = _cuts(bucket)
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    runs = _cuts(u[x:y])
+                    rows.append((int(bucket[x]), got["block"], u[x:y][runs[:-1]].tobytes(), _small(np.diff(runs)), w[x:y].tobytes(), _small(n[x:y])))
+                if rows:
+                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "block", "u", "per", "w", "n"])
+
+    return run
+
+
+def _pair_answers(shared):
+    """For each block: the training counts of its pairs, and for each of their first words the number of words that follow it in this bucket; as keys the hot first words."""
+
+    def run(asks: pa.Table) -> pa.Table:
+        us = [np.frombuffer(x, "<u8") for x in asks["u"].to_pylist()]
+        ws = [np.frombuffer(x, "<u8") for x in asks["w"].to_pylist()]
+        per = np.concatenate([_numbers(x, len(u)) for x, u in zip(asks["per"].to_pylist(), us, strict=True)])
+        n = np.concatenate([_numbers(x, len(w)) for x, w in zip(asks["n"].to_pylist(), ws, strict=True)])
+        firsts, which = np.unique(np.concatenate(us), return_inverse=True)
+        u, w = np.repeat(which, per), np.concatenate(ws)
+        order = np.lexsort((w, u))
+        new = np.append(True, (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1]))
+        begin = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], begin)
+        each = np.empty(len(u), np.int64)
+        each[order] = total[np.cumsum(new) - 1]
+        follows = np.bincount(u[order][begin][total > 0], minlength=len(firsts))
+        hot = among(firsts, shared.value)
+        totals = np.split(each, np.cumsum([len(x) for x in ws])[:-1])
+        own = np.split(follows[which], np.cumsum([len(x) for x in us])[:-1])
+        return _answer(asks["block"].to_pylist(), asks["bucket"][0].as_py(), True, map(_small, totals), map(_small, own), firsts[hot].view(np.int64).tolist(), follows[hot].tolist(), _sums(total))
+
+    return run
+
+
+def _arcs(count, total, left, unigram, discount: float):
+    """Probability of continuations of a state: its discounted count, and of what is left the unigram's share."""
+    return np.maximum(count - discount, 0) / np.maximum(total, 1) + left * unigram
 
 
 def automaton(pairs: np.ndarray, unigram: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """log10 arc weights (nan: none) and log10 failure weights by state.
+    """log10 arc weights (nan: none) and log10 failure weights by state, of a model that is small enough for a table.
 
-    pairs: counts of (state, word or end); all continuations of a state, frequent or not, are in its last column.
+    pairs: counts of (state, word or end); all continuations of a state, listed or not, are in its last column.
     unigram: probabilities of the words and the end.
     """
-    total = np.maximum(pairs[:, -1:], 1)
-    arcs = np.maximum(pairs[:, :-1] - discount, 0) / total
-    left = 1 - arcs.sum(1)
-    other = 1 - np.where(arcs > 0, unigram[None, :], 0).sum(1)
+    count, total = pairs[:, :-1], pairs[:, -1:]
+    left = 1 - _arcs(count, total, 0, unigram, discount).sum(1, keepdims=True)
     with np.errstate(divide="ignore"):
-        return np.where(arcs > 0, np.log10(arcs), np.nan), np.log10(np.maximum(left, 1e-12) / np.maximum(other, 1e-12))
+        return np.where(count > 0, np.log10(_arcs(count, total, left, unigram, discount)), np.nan), np.log10(left[:, 0])
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = 1, states: int = 1024) -> DataFrame:
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if 0 < ones and 0 < twos else 0.5
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows whose crc32(id) mod 5 is held are not learned from."""
     spark = docs.sparkSession
     shifted = (crc_mod("doc_id") + (6 - held)) % 5  # _pack leaves out part 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("part", shifted.cast("int"))
     blocks = written(rows.mapInArrow(_pack, _PACKED), "blocks")
-    key = Window.partitionBy("key")
-    asks = blocks.select("block", "hashes", "counts").mapInArrow(_asks, "key long, block long, slot int, n long")
-    answers = asks.select("block", "slot", F.sum("n").over(key).alias("total"), F.when(F.row_number().over(key.orderBy("block")) == 1, F.col("key")).alias("word"))
-    answers = written(answers, "answers")
+    buckets = 1024 * (1 + blocks.count() // 8192)  # a few million entries each
+    seen = [F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col(c))), F.lit(0)) for c in ("n", "types", "ones", "twos")]
+
+    asks = blocks.select("block", "hashes", "counts").mapInArrow(_word_asks(buckets), "bucket int, block long, keys binary, n binary")
+    words = written(asks.groupBy("bucket").applyInArrow(_word_answers, _ANSWERS), "words")
     ends = rows.agg(F.count_if(F.col("part") != 1)).first()[0]
-    types = answers.where("word IS NOT NULL AND total > 0")
-    seen = types.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("total") == 1), F.count_if(F.col("total") == 2)).first()
-    n, v = seen[0] + ends, seen[1] + (ends > 0)
-    discount = seen[2] / (seen[2] + 2 * seen[3]) if 0 < seen[2] and 0 < seen[3] else 0.5
-    top = types.orderBy(F.desc("total"), "word").limit(states).select("word", "total").collect()
-    words, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top] + [ends], float)
-    k = len(words)
-    got = blocks.select("hashes", "tokens", "first", "part").mapInArrow(_follows(words), "key long, n long").groupBy("key").agg(F.sum("n")).collect()  # (states + 1) squared at most
-    pairs = np.zeros((k + 1, k + 2))
-    for x, m in got:
-        pairs[x // (k + 1), x % (k + 1)] = m
-    pairs[:, -1] = counts  # every word is followed by a word or the end, every begin likewise
-    unigram = np.maximum(counts - discount, 0) / max(n, 1)
-    model = spark.sparkContext.broadcast((words, np.argsort(words), *automaton(pairs, unigram, discount)))
+    tokens, types, ones, twos = words.where("block IS NULL").agg(*seen).first()
+    n, v, discount = tokens + ends, types + (ends > 0), _discount(ones, twos)
+    often = words.where(F.col("key").isNotNull() & (F.col("n") > n / HOT)).select("key").collect()  # less than HOT rows
+    hot = np.sort(np.append(np.array([r[0] for r in often], np.int64).view(np.uint64), EDGE))
+    shared = spark.sparkContext.broadcast(hot)
+
+    asks = blocks.select("block", "part", "first", "tokens", "hashes").mapInArrow(_pair_asks(buckets, shared), "bucket int, block long, u binary, per binary, w binary, n binary")
+    pairs = written(asks.groupBy("bucket").applyInArrow(_pair_answers(shared), _ANSWERS), "pairs")
+    _, _, ones, twos = pairs.where("block IS NULL").agg(*seen).first()
+    pair_discount = _discount(ones, twos)
+    follow = {r[0]: r[1] for r in pairs.where("key IS NOT NULL").groupBy("key").agg(F.sum("n")).collect()}  # at most as many as hot
+    hot_follows = spark.sparkContext.broadcast(np.array([follow.get(x, 0) for x in hot.view(np.int64).tolist()], np.int64))
 
     def finish(_, block: pa.Table, answer: pa.Table) -> pa.Table:
-        words, order, arcs, fail = model.value
         got = {c: block[c][0].as_py() for c in block.column_names}
         token, part = _unzip(got["tokens"], "<i4"), _unzip(got["part"], "i1")
-        hashes = _unzip(got["hashes"], "<u8")
-        total = np.zeros(len(hashes), np.int64)
-        total[answer["slot"].to_numpy()] = answer["total"].to_numpy()
-        state, first = _states(hashes, token, _unzip(got["first"], "<i8"), words, order)
-        arc, was, row, end = _steps(state, first, k)
-        count = np.full(len(row), ends)
-        count[~end] = total[token]
+        hashes, first, hot = _unzip(got["hashes"], "<u8"), _unzip(got["first"], "<i8"), shared.value
+        row, now, was, at, bucket, u, _ = _pairs(hashes, token, first, buckets, hot)
+        run = _runs(bucket, u)
+
+        def told(kind: bool, of: np.ndarray, column: str) -> np.ndarray:
+            """The numbers of all buckets, where of is the sorted entries' buckets."""
+            size = np.bincount(of, minlength=buckets)
+            parts = sorted((b, x) for b, k, x in zip(answer["bucket"].to_pylist(), answer["pairs"].to_pylist(), answer[column].to_pylist(), strict=True) if k == kind)
+            return np.concatenate([np.zeros(0, np.int64), *(_numbers(x, int(size[b])) for b, x in parts)])
+
+        order = np.argsort(hashes)
+        total = np.full(len(hashes) + 1, ends)
+        total[order] = told(False, _bucket(hashes[order], buckets), "totals")
+        count, before = total[now], total[was]
+        starts = _cuts(run)[:-1]
+        follows = told(True, bucket[starts], "follows")
+        often = among(u[starts], hot)
+        follows[often] = hot_follows.value[np.searchsorted(hot, u[starts][often])]
         bounds = first + np.arange(len(first))
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         if n:
             p = np.where(count > 0, count - discount, discount * v) / n
-            own = np.log10(p)
-            has = arc >= 0
-            weight = np.full(len(arc), np.nan)
-            weight[has] = arcs.ravel()[arc[has]]
-            own += np.where(was >= 0, fail[was], 0.0)
-            own = np.where(np.isnan(weight), own, weight)
+            left = np.where(before > 0, pair_discount * follows[run[at]] / np.maximum(before, 1), 1)
+            own = np.log10(_arcs(told(True, bucket, "totals")[at], before, left, p, pair_discount))
         else:
             own = np.zeros(len(row))
         return pa.table(
@@ -211,4 +324,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.drop("counts").groupBy("block").cogroup(answers.drop("word").groupBy("block")).applyInArrow(finish, schema)
+    answers = words.unionAll(pairs).where("block IS NOT NULL").select("block", "bucket", "pairs", "totals", "follows")
+    return blocks.drop("counts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

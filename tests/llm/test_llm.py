@@ -303,6 +303,34 @@ def test_lm(spark, sf_dir, docs):
     assert sum(got[i].score for i in words if held[i]) > sum(got[i].base_score for i in words if held[i])
 
 
+def test_lm_learns_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    draw = lambda: f"w{int(3000 * rng.random() ** 3)}"
+    texts = {i: " ".join(draw() for _ in range(rng.randrange(60))) for i in range(600)} | {600: "rare1 rare2 " * 3, 601: "rare1 rare2"}
+    train: Counter = Counter()
+    pairs: Counter = Counter()
+    steps = {i: [*zip([None, *t.split()], [*t.split(), None], strict=True)] for i, t in texts.items()}
+    for i, s in steps.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update(w for _, w in s)
+            pairs.update(s)
+    assert len(train) > 1200
+    n, v = sum(train.values()), len(train)
+    rate = lambda c: sum(x == 1 for x in c.values()) / (sum(x == 1 for x in c.values()) + 2 * sum(x == 2 for x in c.values()))
+    d1, d2, follows = rate(Counter({k: x for k, x in train.items() if k})), rate(pairs), Counter(u for u, _ in pairs)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for least in (lm.HOT_LEAST, 20):  # with and without words whose pairs are spread
+        monkeypatch.setattr(lm, "HOT_LEAST", least)
+        monkeypatch.setattr(lm, "HOT", 1 << 16 if least > 20 else 500)
+        got = {r.doc_id: r.score for r in lm.score(df).collect()}
+        for i, s in steps.items():
+            want = 0.0
+            for u, w in s:
+                p = (train[w] - d1 if train[w] else d1 * v) / n
+                want += math.log10(max(pairs[u, w] - d2, 0) / train[u] + d2 * follows[u] / train[u] * p if train[u] else p)
+            assert got[i] == pytest.approx(want)
+
+
 def test_automaton_sums_to_one():
     rng = np.random.default_rng(4)
     words = 5
