@@ -99,12 +99,12 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def _groups(batches, key: str, finish, limit: int):
+def _groups(batches, key: str, finish, limit: int, columns: tuple = ("fp", "rep")):
     """Calls finish(keys, fps, reps, group starts, open) on sorted rows, whole groups at a time but for those
     over limit rows; of these it gets parts."""
     kept = None
     for b in batches:
-        new = [b.column(c).to_numpy(zero_copy_only=False) for c in (key, "fp", "rep")]
+        new = [b.column(c).to_numpy(zero_copy_only=False) for c in (key, *columns)]
         cols = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
         if not len(cols[0]):
             continue
@@ -203,8 +203,8 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = 64) -> DataFrame:
 TABLES, KEYED, LOOSE = 10, 3, 6  #: fingerprints of a wide sketch, those whose halves are keys, and the least certain bits of a half
 
 
-def sketches_of(column, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, TABLES) fingerprints under independent hashes, (rows, 2 KEYED, LOOSE) least certain bits of the keyed halves, shingles."""
+def sketches_of(column, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, TABLES) fingerprints under independent hashes, (rows, 2 KEYED, LOOSE) least certain bits of the keyed halves, shingles, and their hashes."""
     h, shingles = shingle_hashes(column, words)
     fps, loose = np.zeros((len(shingles), TABLES), np.uint64), np.zeros((len(shingles), 2 * KEYED, LOOSE), np.uint8)
     for t in range(TABLES):
@@ -214,16 +214,37 @@ def sketches_of(column, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             margin = np.abs(2 * sums - shingles[:, None])
             for half in (0, 1):
                 loose[:, 2 * t + half] = np.argsort(margin[:, 32 * half : 32 * half + 32], axis=1, kind="stable")[:, :LOOSE]
-    return fps, loose, shingles
+    return fps, loose, shingles, h
 
 
-def similar_links(sketches: DataFrame, similarity: float, crowd: int = 4) -> DataFrame:
-    """(a, b): pairs of reps whose estimated similarity over shingles is high enough.
+SURE = 0.15  #: five deviations of the similarity that a sketch estimates; pairs below by more are not verified
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs whose sets (rep, same, hashes; same tells sets apart) have an exact Jaccard similarity of at least similarity."""
+
+    def run(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = written(sets.join(need, "rep", "left_semi").dropDuplicates(["rep", "same"]), "needed")
+    side = lambda x: own.select(F.col("rep").alias(x), F.col("hashes").alias(f"s{x}"))
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "verified")
+
+
+def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float, more: DataFrame | None = None, crowd: int = 4) -> DataFrame:
+    """(a, b): links between reps that connect all candidate pairs of an exact similarity over shingles; more: further candidates.
 
     As two texts of some similarity differ in many bits, but mostly in uncertain ones, a half's ball is made of its
     LOOSE least certain bits: all 2**LOOSE variants of each keyed half meet in the middle with those of its neighbours.
-    Within groups of up to crowd all pairs are looked at, in larger ones those with the member nearest to the group's
-    centre; those that pass on another fingerprint are verified on all TABLES fingerprints.
+    Pairs that pass on another fingerprint and on all TABLES fingerprints are verified on their sets.  Within groups of up
+    to crowd all pairs are looked at, in larger ones first those with the member nearest to the group's centre.
     """
     subsets = np.array([[k >> i & 1 for i in range(LOOSE)] for k in range(1 << LOOSE)], np.uint64)
 
@@ -245,12 +266,20 @@ def similar_links(sketches: DataFrame, similarity: float, crowd: int = 4) -> Dat
     near = 18  # of 64 bits; a similarity of 0.8 gives 10 with a deviation of 3, unlike texts 32 with one of 4
 
     def meet(batches):
+        """Rows with b are pairs; rows without are of a crowd."""
+
+        def rows(a, b=None, key=None, fp=None):
+            cols = [x if x is None else np.ascontiguousarray(x).view(np.int64) for x in (a, b, key, fp)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(x) for x in cols], ["a", "b", "key", "fp"])
+
         def finish(cols):
             key, fp, rep = cols[0], np.ascontiguousarray(cols[1]).view(np.uint64), cols[2]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(starts, len(key)))
             found = []
             few = np.repeat(size <= crowd, size)
+            if not few.all():
+                yield rows(rep[~few], None, key[~few], fp[~few])
             k2, f2, r2 = key[few], fp[few], rep[few]
             for shift in range(1, crowd):
                 same = np.flatnonzero(k2[shift:] == k2[:-shift]) if shift < len(k2) else []
@@ -269,15 +298,14 @@ def similar_links(sketches: DataFrame, similarity: float, crowd: int = 4) -> Dat
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["a", "b"])
+                yield rows(pairs[:, 0], pairs[:, 1])
 
         yield from _groups(batches, "key", finish, 1 << 16)
 
     n = max(1, int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = sketches.select("rep", "sketch").mapInArrow(emit, "key long, fp long, rep long").repartition(n, "key").sortWithinPartitions("key", "rep")
-    pairs = written(keyed.mapInArrow(meet, "a long, b long").distinct(), "pairs")
+    met = written(keyed.mapInArrow(meet, "a long, b long, key long, fp long"), "met")
     side = lambda x: sketches.select(F.col("rep").alias(x), F.substring("sketch", 1, 8 * TABLES).alias(f"s{x}"), F.col("shingles").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def estimate(batches):
         for b in batches:
@@ -285,10 +313,16 @@ def similar_links(sketches: DataFrame, similarity: float, crowd: int = 4) -> Dat
             m, k = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
             cosine = np.cos(np.pi * np.bitwise_count(x ^ y).sum(1) / (64 * TABLES))
             shared = np.minimum(cosine * np.sqrt(m * k), np.minimum(m, k))
-            ok = shared / np.maximum(m + k - shared, 1) >= similarity
+            ok = shared / np.maximum(m + k - shared, 1) >= similarity - SURE
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    return forest(both.mapInArrow(estimate, "a long, b long"))
+    def exact(pairs):
+        pairs = written(pairs.distinct(), "pairs")
+        return verified(written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long"), "likely"), sets, similarity)
+
+    first = met.where("b IS NOT NULL").select("a", "b")
+    first = exact(first if more is None else first.unionAll(more))
+    return forest(first)
 
 
 def forest(pairs: DataFrame) -> DataFrame:
@@ -317,27 +351,32 @@ def forest(pairs: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of texts that are linked within radius bits, or by an estimated similarity over shingles.
+    """(doc_id, component_id) of texts that are linked by an exact Jaccard similarity of their shingles; null and empty texts are alike.
 
-    The estimate from 64 * TABLES bits has a deviation of 0.03 at 0.8; links are taken from similarity - 0.05 on, so that
-    few of that similarity are missed.
+    Candidates are texts within radius bits, and those of similar_links.  Texts with the same shingles have one representative.
     """
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                fps, loose, shingles = sketches_of(b.column("text"), words)
+                fps, loose, shingles, h = sketches_of(b.column("text"), words)
                 raw = np.concatenate([fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), loose.reshape(len(fps), -1)], 1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64)), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(shingles.astype(np.int64))], ["doc_id", "fp", "sketch", "shingles"])
+                sets = [np.unique(x).astype("<u8").tobytes() for x in np.split(h, np.cumsum(shingles)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64)), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(shingles.astype(np.int64)), pa.array(sets, pa.binary())],
+                    ["doc_id", "same", "fp", "sketch", "shingles", "hashes"],
+                )
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, sketch binary, shingles long")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, same binary, fp long, sketch binary, shingles long, hashes binary")
     found = written(found, "sketches")
-    reps = found.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "sketch", "shingles")).alias("m"))
-    reps = written(reps.select("fp", F.col("m.doc_id").alias("rep"), "m.sketch", "m.shingles"), "reps")
-    close = links(reps.select("fp", "rep"), radius)
-    parts = connected_components(close.unionAll(similar_links(reps.where("shingles > 0"), similarity - 0.05)))
-    classes = reps.join(parts, reps.rep == parts.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return found.select("doc_id", "fp").join(classes, (F.col("fp") == F.col("_fp")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "component_id")
+    classes = written(found.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
+    own = found.select("doc_id", "same", "fp", "sketch", "shingles").join(classes, "same").where("doc_id = rep")
+    reps = written(own.dropDuplicates(["same"]).drop("doc_id", "same"), "own")
+    sets = found.select(F.col("doc_id").alias("rep"), "same", "hashes")
+    close = links(reps.where("shingles > 0").select("fp", "rep"), radius)
+    parts = connected_components(similar_links(reps.where("shingles > 0"), sets, similarity, close))
+    classes = classes.join(parts, classes.rep == parts.node, "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
+    return found.select("doc_id", "same").join(classes, (F.col("same") == F.col("_same")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, crowd: int = 64, id_col: str = "doc_id", text: str = "text") -> DataFrame:

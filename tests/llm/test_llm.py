@@ -409,6 +409,24 @@ def test_links(spark, crowd):
     assert {i: parts.get(i, i) for i in want} == want
 
 
+def test_similar_documents_of_templates(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = {}
+    for size in (150, 40, 8):
+        template = [word() for _ in range(90)]
+        for _ in range(size):
+            k = rng.randrange(1, 18)
+            at = rng.randrange(90 - k)  # one changed passage: similarities on both sides of 0.8
+            texts[len(texts)] = " ".join([*template[:at], *(word() for _ in range(k)), *template[at + k :]])
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = spark.createDataFrame(alike, "a long, b long")
+    want = {r.node: r.component for r in common.connected_components(links).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(want.get(i, i) == want.get(c, c) for i, c in got.items())  # nothing goes without links of 0.8
+
+
 def test_forest(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(rng.randrange(60), rng.randrange(60, 120)) for _ in range(400)] + [(500, 501)] * 3, "a long, b long")
