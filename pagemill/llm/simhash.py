@@ -244,7 +244,8 @@ def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float, more:
     As two texts of some similarity differ in many bits, but mostly in uncertain ones, a half's ball is made of its
     LOOSE least certain bits: all 2**LOOSE variants of each keyed half meet in the middle with those of its neighbours.
     Pairs that pass on another fingerprint and on all TABLES fingerprints are verified on their sets.  Within groups of up
-    to crowd all pairs are looked at, in larger ones first those with the member nearest to the group's centre.
+    to crowd all pairs are looked at, in larger ones first those with the member nearest to the group's centre, and then
+    all that the links found so far do not connect.
     """
     subsets = np.array([[k >> i & 1 for i in range(LOOSE)] for k in range(1 << LOOSE)], np.uint64)
 
@@ -302,6 +303,25 @@ def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float, more:
 
         yield from _groups(batches, "key", finish, 1 << 16)
 
+    def apart(batches):
+        """The pairs of each group, however large, whose members are not of one component."""
+
+        def finish(cols):
+            key, fp, rep, component = cols[0], np.ascontiguousarray(cols[1]).view(np.uint64), cols[2], cols[3]
+            starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                f, r, c = fp[i:j], rep[i:j], component[i:j]
+                if (c == c[0]).all():
+                    continue
+                step = max(1, (1 << 22) // len(f))
+                for k in range(0, len(f), step):
+                    x, y = np.nonzero((np.bitwise_count(f[k : k + step, None] ^ f) <= near) & (c[k : k + step, None] < c))
+                    if len(x):
+                        x, y = r[x + k], r[y]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        yield from _groups(batches, "key", finish, 1 << 62, ("fp", "rep", "component"))
+
     n = max(1, int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = sketches.select("rep", "sketch").mapInArrow(emit, "key long, fp long, rep long").repartition(n, "key").sortWithinPartitions("key", "rep")
     met = written(keyed.mapInArrow(meet, "a long, b long, key long, fp long"), "met")
@@ -322,7 +342,10 @@ def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float, more:
 
     first = met.where("b IS NOT NULL").select("a", "b")
     first = exact(first if more is None else first.unionAll(more))
-    return forest(first)
+    parts = connected_components(forest(first))
+    crowded = met.where("b IS NULL").select("key", "fp", F.col("a").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select("key", "fp", "rep", F.coalesce("component", "rep").alias("component"))
+    rest = exact(crowded.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(apart, "a long, b long"))
+    return forest(first.unionAll(rest))
 
 
 def forest(pairs: DataFrame) -> DataFrame:
