@@ -8,7 +8,8 @@ whose sampled words equal those of an item's window is a candidate.  Windows are
 about as long as the item (its size class), start at every ``stride`` words of a
 text and at every word of an item, so that each passage has a window that is
 aligned.  Walks end early once their sampled words fit no item.  The number of
-repetitions is what reaches TARGET on simulated edits of the items themselves.
+repetitions is what reaches TARGET on the items themselves with as many simulated
+edits as count as a match, both on replaced words and on all kinds of edits.
 Candidates are verified by the exact edit distance, in words, of the whole item to
 the nearest passage around the window.
 
@@ -37,7 +38,7 @@ from pagemill.llm.common import buffer_of, slices, word_bounds, word_hashes
 GAP = np.ones(256, bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:] = False
 SAMPLED = 6  #: steps sampled by a repetition
-TARGET, EDITS = 0.95, 0.08  #: recall to reach where this share of an item's words is edited
+TARGET = 0.95  #: recall to reach where MAX_EDIT of an item's words are edited
 MAX_EDIT = 0.2  #: edit distance at most, as a share of the item's words
 BITS = 16
 
@@ -105,7 +106,7 @@ def _closed(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin
 
 
-def repetitions(items: list[np.ndarray], target: float = TARGET, edits: float = EDITS, most: int = 12, seed: int = 3) -> list[Repetition]:
+def repetitions(items: list[np.ndarray], target: float = TARGET, edits: float = MAX_EDIT, most: int = 1000, seed: int = 3) -> list[Repetition]:
     rng = np.random.Generator(np.random.PCG64(seed))
     groups: dict[tuple[int, int], list[int]] = {}
     for i, w in enumerate(items):
@@ -120,11 +121,13 @@ def repetitions(items: list[np.ndarray], target: float = TARGET, edits: float =
         where = np.concatenate(place)
         # Edited items, whose recall tells how many repetitions are needed.
         probe = []
-        for i in [own[k] for k in rng.integers(0, len(own), 60)]:
-            w = items[i].copy()
-            hit = rng.random(len(w)) < edits
-            kind = rng.integers(0, 3, len(w))
-            probe.append((i, np.concatenate([[] if h and k == 0 else [rng.integers(1, 2**62)] if h and k == 1 else [x, rng.integers(1, 2**62)] if h else [x] for x, h, k in zip(w.tolist(), hit, kind, strict=True)] or [[0]]).astype(np.uint64)))
+        for k, i in enumerate(own[k] for k in rng.integers(0, len(own), 200)):
+            w = items[i]
+            hit = np.isin(np.arange(len(w)), rng.choice(len(w), int(edits * len(w)), replace=False))
+            kind = rng.integers(0, 3, len(w)) if k % 2 else np.ones(len(w), np.int64)
+            new = rng.integers(1, 2**62, len(w)).tolist()
+            edited = [[] if h and e == 0 else [y] if h and e == 1 else [x, y] if h else [x] for x, y, h, e in zip(w.tolist(), new, hit, kind, strict=True)]
+            probe.append((i, np.array(sum(edited, []) or [0], np.uint64)))  # from lists of integers: with an empty one, concatenate gives floats
         found = np.zeros(len(probe), bool)
         for _ in range(most):
             turns = rng.integers(0, 2**63, 2 * long, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,13 +144,15 @@ def repetitions(items: list[np.ndarray], target: float = TARGET, edits: float =
             by = np.argsort(keys, kind="stable")
             rep = Repetition(long, stride, turns, steps, maps, keys[by], item[by], where[by])
             out.append(rep)
-            for k, (i, w) in enumerate(probe):
-                if not found[k]:
-                    shift = int(rng.integers(0, stride))
-                    doc = np.concatenate([rng.integers(1, 2**62, shift + stride).astype(np.uint64), w, rng.integers(1, 2**62, 5).astype(np.uint64)])
-                    found[k] = any(j == i for _, j, _ in candidates(doc, np.array([0, len(doc)]), [rep]))
-            if found.mean() >= target:
+            left = np.flatnonzero(~found)
+            texts = [np.concatenate([rng.integers(1, 2**62, int(rng.integers(0, stride)) + stride).astype(np.uint64), probe[k][1], rng.integers(1, 2**62, 5).astype(np.uint64)]) for k in left]
+            if texts:
+                for row, j, _ in candidates(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), [rep]):
+                    found[left[row]] |= j == probe[left[row]][0]
+            if min(found[::2].mean(), found[1::2].mean()) >= target:
                 break
+        else:
+            raise RuntimeError(f"items of the size class {long} do not reach a recall of {target} in {most} repetitions")
     return out
 
 
@@ -200,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, b
         words, first = tokens(own["text"])
         ids = own["item_id"].to_pylist()
         known = [words[first[i] : first[i + 1]] for i in range(len(ids))]
-        shared = spark.sparkContext.broadcast((ids, known, repetitions(known)))  # at most block_items items
+        shared = spark.sparkContext.broadcast((ids, known, repetitions(known, edits=max_edit)))  # at most block_items items
 
         def run(batches, shared=shared):
             ids, known, reps = shared.value

@@ -216,6 +216,22 @@ def test_edited_passages():
     assert found >= 55
 
 
+@pytest.mark.parametrize("size", [15, 24, 40, 59])
+def test_passages_at_the_limit(size):
+    rng = np.random.default_rng(size)
+    items = [rng.integers(1, 2**62, size).astype(np.uint64) for _ in range(60)]
+    reps = decontaminate.repetitions(items)
+    found = 0
+    for k in range(200):
+        w = items[k % 60].copy()
+        w[rng.choice(size, int(0.2 * size), replace=False)] = rng.integers(1, 2**62, int(0.2 * size)).astype(np.uint64)
+        doc = np.concatenate([rng.integers(1, 2**62, int(rng.integers(0, 40))).astype(np.uint64), w, rng.integers(1, 2**62, 20).astype(np.uint64)])
+        found += any(i == k % 60 for _, i, _ in decontaminate.candidates(doc, np.array([0, len(doc)]), reps))
+    assert found >= 180
+    with pytest.raises(RuntimeError):
+        decontaminate.repetitions(items, most=1)
+
+
 def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "the the the"), (4, "é𝄞 " * 20), (4, "é𝄞 " * 20), (5, "..")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(odd, bench).collect()}
