@@ -183,8 +183,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     no link or component comes to the driver, only a count and a checksum.
     The longest path may have about 2**(rounds/2) links.
     """
-    e = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
-    before = None
+    partitions = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "links")
+    told = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = told(e)
     for _ in range(rounds):
         # Large star: every larger neighbour of a node goes to the smallest of its neighbourhood.
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -192,8 +194,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         big = both.where("y > x").join(low, "x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = big.groupBy("v").agg(F.min("u").alias("m"))
-        e = written(big.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), "v"))).alias("l")).select("l.u", "l.v").where("u <> v").distinct(), "links")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        ends = F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), "v"))
+        small = big.join(least, "v").select(F.explode(ends).alias("l")).select("l.u", "l.v").where("u <> v").distinct()
+        # A file for some hundred thousand links: rounds over few links write few files.
+        e = written(small.coalesce(max(1, min(partitions, -(-before[0] // 500_000)))), "links")
+        now = told(e)
         if now == before:
             break
         before = now

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from pagemill.llm.common import LOWER, buffer_of, connected_components, mixed, slices, word_bounds, written
 
@@ -99,12 +100,12 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def _groups(batches, key: str, finish, limit: int, columns: tuple = ("fp", "rep")):
-    """Calls finish(keys, fps, reps, group starts, open) on sorted rows, whole groups at a time but for those
-    over limit rows; of these it gets parts."""
+def _groups(batches, key: str, finish, limit: int, tell_last: bool = False):
+    """Calls finish([keys, fps, reps]) on sorted rows, whole groups at a time but for those over limit rows; of these it gets
+    parts.  tell_last: it is told the end."""
     kept = None
     for b in batches:
-        new = [b.column(c).to_numpy(zero_copy_only=False) for c in (key, *columns)]
+        new = [b.column(c).to_numpy(zero_copy_only=False) for c in (key, "fp", "rep")]
         cols = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
         if not len(cols[0]):
             continue
@@ -115,12 +116,14 @@ def _groups(batches, key: str, finish, limit: int, columns: tuple = ("fp", "rep"
             yield from finish([c[:tail] for c in cols])
         kept = [c[tail:] for c in cols]
     if kept is not None and len(kept[0]):
-        yield from finish(kept)
+        yield from finish(kept, True) if tell_last else finish(kept)
 
 
 def links(fps: DataFrame, radius: int = 4, crowd: int = 64) -> DataFrame:
     """(a, b), a < b: links between rep values of distinct fingerprints (fp, rep) that connect all within radius bits."""
-    half_ball, whole_ball = ball(32, radius // 2 // 2), ball(64, radius // 2)
+    if radius % 2:
+        raise ValueError("the radius has to be even: two balls of half of it meet")
+    half_ball, whole_ball = ball(32, -(-(radius // 2) // 2)), ball(64, radius // 2)
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64())])
 
     def emit_halves(batches):
@@ -200,28 +203,67 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = 64) -> DataFrame:
     return met.where("b IS NOT NULL").select("a", "b").unionAll(balls.mapInArrow(star, "a long, b long, fp long").select("a", "b")).distinct()
 
 
-TABLES, KEYED, LOOSE = 10, 3, 6  #: fingerprints of a wide sketch, those whose halves are keys, and the least certain bits of a half
+BANDS, ROWS = 16, 5  #: keys of a text, and minima that a key is made of: two texts of similarity 0.8 share a key with a probability of 0.998
+SURE = 0.2  #: four deviations of the similarity that BANDS * ROWS minima estimate; pairs below by more are not verified
+NEAR = 20  #: fingerprint bits; at similarity 0.8 texts differ in 10 with a deviation of 3, unlike texts in 32 with one of 4
+BLOCK = 1 << 22  #: shingles of a crowded group's members that one task holds
+_TURN = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketches_of(column, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, TABLES) fingerprints under independent hashes, (rows, 2 KEYED, LOOSE) least certain bits of the keyed halves, shingles, and their hashes."""
-    h, shingles = shingle_hashes(column, words)
-    fps, loose = np.zeros((len(shingles), TABLES), np.uint64), np.zeros((len(shingles), 2 * KEYED, LOOSE), np.uint8)
-    for t in range(TABLES):
-        sums = bit_sums(mixed(h * np.uint64(2 * t + 1) + np.uint64(t)) if t else h, shingles)
-        fps[:, t] = packed(sums, shingles)
-        if t < KEYED:
-            margin = np.abs(2 * sums - shingles[:, None])
-            for half in (0, 1):
-                loose[:, 2 * t + half] = np.argsort(margin[:, 32 * half : 32 * half + 32], axis=1, kind="stable")[:, :LOOSE]
-    return fps, loose, shingles, h
+def minima_of(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """(rows, BANDS * ROWS): the least of each row's hashes under as many orders; all ones for rows without shingles."""
+    out = np.full((len(shingles), len(_TURN)), ~np.uint64(0), np.uint64)
+    full = np.flatnonzero(shingles)
+    if len(full):
+        cuts = (np.cumsum(shingles) - shingles)[full]
+        for k, turn in enumerate(_TURN):
+            out[full, k] = np.minimum.reduceat((h ^ (turn >> np.uint64(7))) * turn, cuts)
+    return out
 
 
-SURE = 0.15  #: five deviations of the similarity that a sketch estimates; pairs below by more are not verified
+def sketched(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, written, with the columns of a sketch of each text's set of shingles: _row (unique), _id, _same (tells sets
+    apart), _fp, _n (shingles), _keys and _mins."""
+    kept = docs.columns
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, text):
+                h, shingles = shingle_hashes(b.column(text), words)
+                sets = [np.unique(x) for x in np.split(h, np.cumsum(shingles)[:-1])]
+                u, n = np.concatenate(sets), np.array([len(x) for x in sets])
+                low = minima_of(u, n)
+                keys = np.zeros((len(low), BANDS), np.uint64)
+                for j in range(BANDS):
+                    for k in range(ROWS):
+                        keys[:, j] = mixed(keys[:, j] + low[:, j * ROWS + k] * np.uint64(2 * k + 1) + np.uint64(j))
+                raw = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+                same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+                cols = [b.column(id_col).cast(pa.int64()), same, pa.array(packed(bit_sums(u, n), n).view(np.int64)), pa.array(n), raw(keys.astype("<u8")), raw((low >> np.uint64(5)).astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], [*kept, "_id", "_same", "_fp", "_n", "_keys", "_mins"])
+
+    more = [("_id", LongType()), ("_same", BinaryType()), ("_fp", LongType()), ("_n", LongType()), ("_keys", BinaryType()), ("_mins", BinaryType())]
+    schema = StructType([*docs.schema.fields, *(StructField(*x) for x in more)])
+    return written(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+
+
+def sets_of(table: DataFrame, need: DataFrame, words: int, text: str) -> DataFrame:
+    """(rep, hashes): the sorted shingle hashes of the rows of a table whose _row is a rep of need; written."""
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                h, shingles = shingle_hashes(b.column("text"), words)
+                found = [np.unique(x).astype("<u8").tobytes() for x in np.split(h, np.cumsum(shingles)[:-1])]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(found, pa.binary())], ["rep", "hashes"])
+
+    # The reps grow with the input: no broadcast, however few they are here.
+    texts = table.select(F.col("_row").alias("rep"), F.col(text).alias("text")).join(need.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    return written(texts.mapInArrow(run, "rep long, hashes binary"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): the pairs whose sets (rep, same, hashes; same tells sets apart) have an exact Jaccard similarity of at least similarity."""
+    """(a, b): the pairs of reps whose sets have an exact Jaccard similarity of at least similarity."""
 
     def run(batches):
         for b in batches:
@@ -232,174 +274,209 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 ok.append(shared >= similarity * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    own = written(sets.join(need, "rep", "left_semi").dropDuplicates(["rep", "same"]), "needed")
-    side = lambda x: own.select(F.col("rep").alias(x), F.col("hashes").alias(f"s{x}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "verified")
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float, more: DataFrame | None = None, crowd: int = 4) -> DataFrame:
-    """(a, b): links between reps that connect all candidate pairs of an exact similarity over shingles; more: further candidates.
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    As two texts of some similarity differ in many bits, but mostly in uncertain ones, a half's ball is made of its
-    LOOSE least certain bits: all 2**LOOSE variants of each keyed half meet in the middle with those of its neighbours.
-    Pairs that pass on another fingerprint and on all TABLES fingerprints are verified on their sets.  Within groups of up
-    to crowd all pairs are looked at, in larger ones first those with the member nearest to the group's centre, and then
-    all that the links found so far do not connect.
-    """
-    subsets = np.array([[k >> i & 1 for i in range(LOOSE)] for k in range(1 << LOOSE)], np.uint64)
 
-    def emit(batches):
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                rep = b.column("rep").to_numpy(zero_copy_only=False)
-                raw = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-                fps = raw[:, : 8 * TABLES].copy().view("<u8")
-                loose = raw[:, 8 * TABLES : 8 * TABLES + 2 * KEYED * LOOSE].reshape(len(rep), 2 * KEYED, LOOSE)
-                for j in range(2 * KEYED):
-                    half = (fps[:, j // 2] >> np.uint64(32 * (j % 2))) & np.uint64(0xFFFFFFFF)
-                    flips = (np.uint64(1) << loose[:, j].astype(np.uint64)) @ subsets.T
-                    key = (half[:, None] ^ flips) | np.uint64(j << 32)
-                    check = fps[:, (j // 2 + 1) % KEYED]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(check.view(np.int64), len(subsets))), pa.array(np.repeat(rep, len(subsets)))], ["key", "fp", "rep"])
-
-    near = 18  # of 64 bits; a similarity of 0.8 gives 10 with a deviation of 3, unlike texts 32 with one of 4
-
-    def meet(batches):
-        """Rows with b are pairs; rows without are of a crowd."""
-
-        def rows(a, b=None, key=None, fp=None):
-            cols = [x if x is None else np.ascontiguousarray(x).view(np.int64) for x in (a, b, key, fp)]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(x) for x in cols], ["a", "b", "key", "fp"])
+def _meet(crowd: int, hubs: int):
+    """Over rows sorted by key: rows with b are pairs; rows without belong to a group of more than crowd members, or to one that may go on in another task."""
 
-        def finish(cols):
+    def rows(a, b=None, key=None, fp=None):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b, key, fp)], ["a", "b", "key", "fp"])
+
+    def run(batches):
+        state: dict = {"first": True, "key": None}
+
+        def finish(cols, last=False):
             key, fp, rep = cols[0], np.ascontiguousarray(cols[1]).view(np.uint64), cols[2]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(starts, len(key)))
+            open_ = size > crowd
+            # The first and the last group of a task may have members in another one, and so may parts of one that outgrew the limit.
+            open_[0] |= state["first"] or int(key[0]) == state["key"]
+            open_[-1] |= last
+            state["first"] = False
+            wide = np.repeat(open_, size)
+            if wide.any():
+                yield rows(rep[wide], None, key[wide], fp[wide])
             found = []
-            few = np.repeat(size <= crowd, size)
-            if not few.all():
-                yield rows(rep[~few], None, key[~few], fp[~few])
-            k2, f2, r2 = key[few], fp[few], rep[few]
+            k2, f2, r2 = key[~wide], fp[~wide], rep[~wide]
             for shift in range(1, crowd):
                 same = np.flatnonzero(k2[shift:] == k2[:-shift]) if shift < len(k2) else []
                 if not len(same):
                     break
-                ok = same[np.bitwise_count(f2[same] ^ f2[same + shift]) <= near]
+                ok = same[np.bitwise_count(f2[same] ^ f2[same + shift]) <= NEAR]
                 found.append((r2[ok], r2[ok + shift]))
-            for g in np.flatnonzero(size > crowd).tolist():
+            for g in np.flatnonzero(open_).tolist():
                 f, r = fp[starts[g] : starts[g] + size[g]], rep[starts[g] : starts[g] + size[g]]
-                bits = np.unpackbits(f.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
-                centre = np.packbits(2 * bits > len(f), bitorder="little").view("<u8")[0]
-                hub = int(np.bitwise_count(f ^ centre).argmin())
-                ok = (np.bitwise_count(f ^ f[hub]) <= near) & (r != r[hub])
-                found.append((np.full(int(ok.sum()), r[hub]), r[ok]))
+                if int(key[starts[g]]) != state["key"]:
+                    # Members of least hash: mostly the same ones under all keys of a family.
+                    picked = np.argsort(mixed(r.view(np.uint64)), kind="stable")[:hubs]
+                    state["key"], state["hubs"] = int(key[starts[g]]), (f[picked], r[picked])
+                for hf, hr in zip(*state["hubs"], strict=True):
+                    ok = (np.bitwise_count(f ^ hf) <= NEAR) & (r != hr)
+                    found.append((np.full(int(ok.sum()), hr), r[ok]))
+            if found and sum(len(x) for x, _ in found):
+                out = _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield rows(out.column("a").to_numpy(), out.column("b").to_numpy())
+
+        yield from _groups(batches, "key", finish, 1 << 16, tell_last=True)
+
+    return run
+
+
+class _Block:
+    """Sets by their members: how many of them each of some texts shares with a further one."""
+
+    STEP = 2048  #: texts that are counted together
+
+    def __init__(self, rows: list[tuple]):
+        self.rep, self.component, sets = rows[0]
+        if len(rows) > 1:
+            self.rep, self.component, sets = (np.concatenate(x) for x in zip(*rows, strict=True))
+        self.size = np.array([len(x) // 8 for x in sets])
+        self.parts = []
+        for k in range(0, len(sets), self.STEP):
+            own = [np.frombuffer(x, "<u8") for x in sets[k : k + self.STEP]]
+            members, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+            by = np.argsort(members, kind="stable")
+            members, first = np.unique(members[by], return_index=True)
+            self.parts.append((members, np.append(first, len(by)), owner[by], len(own)))
+
+    def shared(self, x: np.ndarray) -> np.ndarray:
+        out = []
+        for members, first, owner, n in self.parts:
+            at = np.searchsorted(members, x)
+            at = at[(at < len(members)) & (members[np.minimum(at, len(members) - 1)] == x)] if len(members) else at[:0]
+            many = first[at + 1] - first[at]
+            place = np.arange(int(many.sum())) + np.repeat(first[at] - (np.cumsum(many) - many), many)
+            out.append(np.bincount(owner[place], minlength=n))
+        return np.concatenate(out)
+
+
+def _across(similarity: float):
+    """Over rows (key, salt, side, rep, component, main, hashes): a link between any two components that a text of a block
+    (side 0) and one of its group (side 1) connect by an exact similarity."""
+
+    def run(batches):
+        at, held, block = None, [], None
+        for b in batches:
+            key, salt, side, rep, comp, main = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "side", "rep", "component", "main"))
+            sets = np.array([x.as_py() for x in b.column("hashes")], object)
+            cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1]))), len(key))
+            found: dict = {}
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if (int(key[i]), int(salt[i])) != at:
+                    at, held, block = (int(key[i]), int(salt[i])), [], None
+                if side[i] == 0:
+                    held.append((rep[i:j], comp[i:j], sets[i:j]))
+                    continue
+                if not held:
+                    continue
+                block = block or _Block(held)
+                for k in range(i, j):
+                    n, shared = len(sets[k]) // 8, block.shared(np.frombuffer(sets[k], "<u8"))
+                    # Members of the main component are in no block; of two others, the lesser one's block has the pair.
+                    ok = (shared >= similarity * (n + block.size - shared)) & (block.component != comp[k]) & ((comp[k] == main[k]) | (block.rep < rep[k]))
+                    for x in np.flatnonzero(ok).tolist():
+                        found.setdefault((int(block.component[x]), int(comp[k])), (int(block.rep[x]), int(rep[k])))
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-                yield rows(pairs[:, 0], pairs[:, 1])
+                a, b_ = (np.array(x) for x in zip(*found.values(), strict=True))
+                yield _pairs(a, b_)
 
-        yield from _groups(batches, "key", finish, 1 << 16)
+    return run
 
-    def apart(batches):
-        """The pairs of each group, however large, whose members are not of one component."""
 
-        def finish(cols):
-            key, fp, rep, component = cols[0], np.ascontiguousarray(cols[1]).view(np.uint64), cols[2], cols[3]
-            starts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                f, r, c = fp[i:j], rep[i:j], component[i:j]
-                if (c == c[0]).all():
-                    continue
-                step = max(1, (1 << 22) // len(f))
-                for k in range(0, len(f), step):
-                    x, y = np.nonzero((np.bitwise_count(f[k : k + step, None] ^ f) <= near) & (c[k : k + step, None] < c))
-                    if len(x):
-                        x, y = r[x + k], r[y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+def similar_links(reps: DataFrame, table: DataFrame, words: int, similarity: float, more: DataFrame, crowd: int = 8, hubs: int = 4, text: str = "text") -> DataFrame:
+    """(node, component) of reps (rep, fp, n, keys, mins) over links of an exact similarity; more: further candidates.
 
-        yield from _groups(batches, "key", finish, 1 << 62, ("fp", "rep", "component"))
+    Texts of a similarity of 0.8 differ in ten bits of a fingerprint or so, out of any ball's reach, but share one of BANDS
+    keys, each made of ROWS least hashes.  Rows are shuffled on keys, sorted, and cut into tasks of equal size wherever that
+    is, so that a key of any size meets in no single task.  Pairs within groups of up to crowd members, and of larger
+    groups' members with ``hubs`` of them, are verified first.  Then all members of a group that are not of its main
+    component are compared with all others, block by block: a group of any size is dealt out to as many tasks as it has
+    blocks, and a task tells one link for any two components.
+    """
+    n = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def emit(batches):
+        for b in batches:
+            keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), "<i8")
+            many = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("fp", "rep")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, many)], ["key", "fp", "rep"])
 
-    n = max(1, int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keyed = sketches.select("rep", "sketch").mapInArrow(emit, "key long, fp long, rep long").repartition(n, "key").sortWithinPartitions("key", "rep")
-    met = written(keyed.mapInArrow(meet, "a long, b long, key long, fp long"), "met")
-    side = lambda x: sketches.select(F.col("rep").alias(x), F.substring("sketch", 1, 8 * TABLES).alias(f"s{x}"), F.col("shingles").alias(f"n{x}"))
+    keyed = reps.select("keys", "fp", "rep").mapInArrow(emit, "key long, fp long, rep long")
+    met = written(keyed.repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep").mapInArrow(_meet(crowd, hubs), "a long, b long, key long, fp long"), "met")
+    crowded = met.where("b IS NULL").select("key", F.col("a").alias("rep"))
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("mins").alias(f"s{x}"))
 
     def estimate(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-            m, k = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-            cosine = np.cos(np.pi * np.bitwise_count(x ^ y).sum(1) / (64 * TABLES))
-            shared = np.minimum(cosine * np.sqrt(m * k), np.minimum(m, k))
-            ok = shared / np.maximum(m + k - shared, 1) >= similarity - SURE
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-
-    def exact(pairs):
-        pairs = written(pairs.distinct(), "pairs")
-        return verified(written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long"), "likely"), sets, similarity)
-
-    first = met.where("b IS NOT NULL").select("a", "b")
-    first = exact(first if more is None else first.unionAll(more))
-    parts = connected_components(forest(first))
-    crowded = met.where("b IS NULL").select("key", "fp", F.col("a").alias("rep")).join(parts, F.col("rep") == F.col("node"), "left").select("key", "fp", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = exact(crowded.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(apart, "a long, b long"))
-    return forest(first.unionAll(rest))
-
-
-def forest(pairs: DataFrame) -> DataFrame:
-    """Links (a, b) without those that close a circle within their task: the same components from fewer links."""
-
-    def run(batches):
-        root: dict = {}
-
-        def find(x):
-            while (y := root.get(x, x)) != x:
-                root[x] = root.get(y, y)
-                x = root[x]
-            return x
-
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = find(a), find(b)
-                keep.append(x != y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(pairs, "similar").coalesce(max(1, n // 8)).mapInArrow(run, "a long, b long")
+            ok = pa.array((x == y).mean(1) >= similarity - SURE)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    pairs = met.where("b IS NOT NULL").select("a", "b").unionAll(more).distinct()
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long"), "likely")
+    need = likely.select(F.col("a").alias("rep")).unionAll(likely.select(F.col("b").alias("rep"))).unionAll(crowded.select("rep"))
+    sets = sets_of(table, need, words, text)
+    parts = written(connected_components(verified(likely, sets, similarity)), "parts")
+    crowded = crowded.join(parts, F.col("rep") == F.col("node"), "left").join(reps.select("rep", "n"), "rep")
+    crowded = written(crowded.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "crowded")
+    sizes = crowded.groupBy("key", "component").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    apart = sizes.where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"))
+    rows = crowded.join(apart, "key").join(sets, "rep")
+    left = rows.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    dealt = left.unionByName(right).select("key", "salt", "side", "rep", "component", "main", "hashes").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "side")
+    rest = dealt.mapInArrow(_across(similarity), "a long, b long")
+    # Components so far are stars already.
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
+
+
+def similar_classes(table: DataFrame, words: int, similarity: float, radius: int = 4, text: str = "text") -> DataFrame:
+    """(_same, group): the group of each set of shingles of a sketched table, of those that links of a similarity connect."""
+    found = table.groupBy("_same").agg(F.min_by(F.struct("_row", "_fp", "_n", "_keys", "_mins"), "_row").alias("r"))
+    classes = written(found.select("_same", F.col("r._row").alias("rep"), F.col("r._fp").alias("fp"), F.col("r._n").alias("n"), F.col("r._keys").alias("keys"), F.col("r._mins").alias("mins")), "classes")
+    reps = classes.where("n > 0").drop("_same")
+    # Of texts with one fingerprint each is within radius of all; the first one stands for them.
+    distinct = reps.groupBy("fp").agg(F.min("rep").alias("first"))
+    equal = reps.select("rep", "fp").join(distinct, "fp").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    close = links(distinct.select("fp", F.col("first").alias("rep")), radius).unionAll(equal)
+    parts = similar_links(reps, table, words, similarity, close, text=text)
+    return classes.select("_same", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("_same", F.coalesce("component", "rep").alias("group"))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of texts that are linked by an exact Jaccard similarity of their shingles; null and empty texts are alike.
 
-    Candidates are texts within radius bits, and those of similar_links.  Texts with the same shingles have one representative.
+    Candidates are texts within radius bits, and those of similar_links.  component_id is the smallest doc_id of a group;
+    rows with a null id have a null one and link nothing.
     """
-
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, "text"):
-                fps, loose, shingles, h = sketches_of(b.column("text"), words)
-                raw = np.concatenate([fps.astype("<u8").view(np.uint8).reshape(len(fps), -1), loose.reshape(len(fps), -1)], 1)
-                sets = [np.unique(x).astype("<u8").tobytes() for x in np.split(h, np.cumsum(shingles)[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64)), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(shingles.astype(np.int64)), pa.array(sets, pa.binary())],
-                    ["doc_id", "same", "fp", "sketch", "shingles", "hashes"],
-                )
-
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, same binary, fp long, sketch binary, shingles long, hashes binary")
-    found = written(found, "sketches")
-    classes = written(found.where("doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
-    own = found.select("doc_id", "same", "fp", "sketch", "shingles").join(classes, "same").where("doc_id = rep")
-    reps = written(own.dropDuplicates(["same"]).drop("doc_id", "same"), "own")
-    sets = found.select(F.col("doc_id").alias("rep"), "same", "hashes")
-    close = links(reps.where("shingles > 0").select("fp", "rep"), radius)
-    parts = connected_components(similar_links(reps.where("shingles > 0"), sets, similarity, close))
-    classes = classes.join(parts, classes.rep == parts.node, "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
-    return found.select("doc_id", "same").join(classes, (F.col("same") == F.col("_same")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "component_id")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    table = sketched(named.where("doc_id IS NOT NULL"), words)
+    groups = written(similar_classes(table, words, similarity, radius), "groups")
+    least = table.groupBy("_same").agg(F.min("_id").alias("least")).join(groups, "_same").groupBy("group").agg(F.min("least").alias("component_id"))
+    told = groups.join(least, "group").select("_same", "component_id")
+    found = table.select("doc_id", "_same").join(told, "_same").select("doc_id", "component_id")
+    return found.unionAll(named.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of similar texts, that of the smallest id; a null id counts as the largest, and of equal ids one row stays."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever docs' columns are called
+    of = dict(zip(docs.columns, names, strict=True))
+    table = sketched(docs.toDF(*names), words, of[id_col], of[text])
+    groups = similar_classes(table, words, similarity, radius, of[text])
+    best = table.groupBy("_same").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best"))
+    stays = best.join(groups, "_same").groupBy("group").agg(F.min("best").alias("best")).select("best._row")
+    # No broadcast: what stays grows with the input.
+    return table.join(stays.hint("merge"), "_row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, crowd: int = 64, id_col: str = "doc_id", text: str = "text") -> DataFrame:
