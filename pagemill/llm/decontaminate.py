@@ -9,17 +9,19 @@ about as long as the item (its size class), start at every ``stride`` words of a
 text and at every word of an item, so that each passage has a window that is
 aligned.  Walks end early once their sampled words fit no item.  The number of
 repetitions is what reaches TARGET on the items themselves with as many simulated
-edits as count as a match, both on replaced words and on all kinds of edits.
+edits as count as a match, for each kind of edits.
 Candidates are verified by the exact edit distance, in words, of the whole item to
 the nearest passage around the window.
 
-The items go to all executors in blocks of at most ``block_items``; a larger
+The items go to all executors in blocks of at most ``block_bytes`` of text; a larger
 benchmark takes one pass over the texts for each block.
 
 Defined cases: null and empty texts match nothing; items without words are left
 out; equal items are reported each; rows that repeat an id are scanned each and
 reported once an item; rows with a null id are scanned and reported with a null id;
-empty tables give an empty result; other columns are ignored.
+``decontaminated`` judges each row alone, whatever its id; a very long text is worked
+on whole, in memory of about 30 times its bytes; empty tables give an empty result;
+other columns are ignored by ``matches`` and stay in ``decontaminated``.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ from pagemill.llm.common import buffer_of, slices, word_bounds, word_hashes
 GAP = np.ones(256, bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:] = False
 SAMPLED = 6  #: steps sampled by a repetition
-TARGET = 0.95  #: recall to reach where MAX_EDIT of an item's words are edited
+TARGET = 0.95  #: recall to reach where MAX_EDIT of an item's words are edited, of each kind of edits
+KINDS = 4  #: of edits: words go, others stand for them, words come, and all of these
 MAX_EDIT = 0.2  #: edit distance at most, as a share of the item's words
 BITS = 16
+BLOCK_BYTES = 4 << 20  #: of the items' texts that go to all executors at a time; with their repetitions about thirty times as many
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +125,10 @@ def repetitions(items: list[np.ndarray], target: float = TARGET, edits: float =
         where = np.concatenate(place)
         # Edited items, whose recall tells how many repetitions are needed.
         probe = []
-        for k, i in enumerate(own[k] for k in rng.integers(0, len(own), 200)):
+        for k, i in enumerate(own[k] for k in rng.integers(0, len(own), 480)):
             w = items[i]
             hit = np.isin(np.arange(len(w)), rng.choice(len(w), int(edits * len(w)), replace=False))
-            kind = rng.integers(0, 3, len(w)) if k % 2 else np.ones(len(w), np.int64)
+            kind = rng.integers(0, 3, len(w)) if k % KINDS == 3 else np.full(len(w), k % KINDS)
             new = rng.integers(1, 2**62, len(w)).tolist()
             edited = [[] if h and e == 0 else [y] if h and e == 1 else [x, y] if h else [x] for x, y, h, e in zip(w.tolist(), new, hit, kind, strict=True)]
             probe.append((i, np.array(sum(edited, []) or [0], np.uint64)))  # from lists of integers: with an empty one, concatenate gives floats
@@ -142,14 +146,14 @@ def repetitions(items: list[np.ndarray], target: float = TARGET, edits: float =
                 m[(p >> np.uint64(64 - BITS)).astype(np.int64)] = True
                 maps.append(m)
             by = np.argsort(keys, kind="stable")
-            rep = Repetition(long, stride, turns, steps, maps, keys[by], item[by], where[by])
+            rep = Repetition(long, stride, turns, steps, maps, keys[by], item[by].astype(np.int32), where[by].astype(np.int32))
             out.append(rep)
             left = np.flatnonzero(~found)
             texts = [np.concatenate([rng.integers(1, 2**62, int(rng.integers(0, stride)) + stride).astype(np.uint64), probe[k][1], rng.integers(1, 2**62, 5).astype(np.uint64)]) for k in left]
             if texts:
                 for row, j, _ in candidates(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), [rep]):
                     found[left[row]] |= j == probe[left[row]][0]
-            if min(found[::2].mean(), found[1::2].mean()) >= target:
+            if min(found[k::KINDS].mean() for k in range(KINDS)) >= target:
                 break
         else:
             raise RuntimeError(f"items of the size class {long} do not reach a recall of {target} in {most} repetitions")
@@ -192,49 +196,75 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, block_items: int = 50_000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, item_words): all found pairs of a text and an item of which it has a passage within max_edit."""
-    spark = docs.sparkSession
+def found_in(words: np.ndarray, first: np.ndarray, known: list[np.ndarray], reps: list[Repetition], max_edit: float, one: bool = False) -> dict[tuple[int, int], int]:
+    """(row, item): distance of the verified pairs; one: no more than one pair for each row."""
+    best: dict = {}
+    done: set = set()
+    for row, item, place in sorted(candidates(words, first, reps)):
+        w = known[item]
+        if row in done or best.get((row, item)) == 0:
+            continue
+        slack = int(max_edit * len(w)) + 1
+        a = max(int(first[row]), int(first[row]) + place - slack)
+        passage = words[a : max(a, min(int(first[row + 1]), int(first[row]) + place + len(w) + slack))]
+        # A word of the item that is nowhere in the passage is an edit.
+        absent = ~np.isin(w, passage) if len(w) * len(passage) > 100_000 else ~(w[:, None] == passage).any(1)
+        if absent.sum() > max_edit * len(w):
+            continue
+        d, _ = edit_distance(w, passage)
+        if d <= max_edit * len(w) and d < best.get((row, item), math.inf):
+            best[row, item] = d
+            if one:
+                done.add(row)
+    return best
+
+
+def _blocks(benchmark: DataFrame, max_edit: float, block_bytes: int):
+    """Broadcasts of (ids, word hashes, repetitions), each of items of about block_bytes of text, but for an item that is longer."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    blocks = max(1, math.ceil(items.count() / block_items))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, distance int, item_words int"
-    out = None
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
         words, first = tokens(own["text"])
-        ids = own["item_id"].to_pylist()
-        known = [words[first[i] : first[i + 1]] for i in range(len(ids))]
-        shared = spark.sparkContext.broadcast((ids, known, repetitions(known, edits=max_edit)))  # at most block_items items
+        known = [words[first[i] : first[i + 1]] for i in range(own.num_rows)]
+        yield spark.sparkContext.broadcast((own["item_id"].to_pylist(), known, repetitions(known, edits=max_edit)))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance, item_words): all found pairs of a text and an item of which it has a passage within max_edit."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for shared in _blocks(benchmark, max_edit, block_bytes):
 
         def run(batches, shared=shared):
             ids, known, reps = shared.value
             for whole in batches:
                 for b in slices(whole, "text"):
-                    words, first = tokens(b.column("text"))
-                    best: dict = {}
-                    for row, item, place in sorted(candidates(words, first, reps)):
-                        w = known[item]
-                        slack = int(max_edit * len(w)) + 1
-                        if best.get((row, item), (len(w),))[0] == 0:
-                            continue
-                        a = max(int(first[row]), int(first[row]) + place - slack)
-                        d, _ = edit_distance(w, words[a : max(a, min(int(first[row + 1]), int(first[row]) + place + len(w) + slack))])
-                        if d <= max_edit * len(w) and (d,) < best.get((row, item), (math.inf,)):
-                            best[row, item] = (d,)
+                    best = found_in(*tokens(b.column("text")), known, reps, max_edit)
                     doc = b.column("doc_id").to_pylist()
                     found = sorted(best)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc[r] for r, _ in found], pa.int64()), pa.array([ids[i] for _, i in found], pa.int64()), pa.array([best[x][0] for x in found], pa.int32()), pa.array([len(known[i]) for _, i in found], pa.int32())],
+                        [pa.array([doc[r] for r, _ in found], pa.int64()), pa.array([ids[i] for _, i in found], pa.int64()), pa.array([best[x] for x in found], pa.int32()), pa.array([len(known[i]) for _, i in found], pa.int32())],
                         ["doc_id", "item_id", "distance", "item_words"],
                     )
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(run, "doc_id long, item_id long, distance int, item_words int")
         out = part if out is None else out.unionAll(part)
     return out.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("item_words").alias("item_words"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a passage of any item."""
-    hits = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
+    """The documents without a passage of any item: each row by itself, whatever its id, and without a shuffle."""
+    for shared in _blocks(benchmark, max_edit, block_bytes):
+
+        def run(batches, shared=shared):
+            _, known, reps = shared.value
+            for whole in batches:
+                for b in slices(whole, text):
+                    keep = np.ones(b.num_rows, bool)
+                    keep[[row for row, _ in found_in(*tokens(b.column(text)), known, reps, max_edit, True)]] = False
+                    yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
