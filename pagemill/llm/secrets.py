@@ -1,17 +1,18 @@
 """Secret scans over a trigram inverted index, by DataFrame expressions only.
 
 ``trigram_query`` derives from a rule's regex the Boolean query of trigrams that
-each match must contain.  The index holds a postings bitmap for every trigram that
-some query names; the bitmaps are aligned with the rows (a row carries its bit of
-each), so that intersecting postings is an AND of bits and candidates are verified
-where their text already is: no text is shuffled, and no posting list of a common
-trigram ever meets in one task.  Rules without a mandatory trigram scan all rows.
+each match must contain.  ``index`` writes the postings of all trigrams that some
+query names: a list of texts for each trigram, in blocks, so that no list of a common
+trigram meets in one task.  ``candidates`` intersects and joins the lists block by
+block.  The texts found are verified by the regex; rules without a mandatory trigram
+scan all rows.  Texts are known by a hash; two of one hash only make more candidates.
 
 Defined cases: a null text counts as empty; repeated rows and equal ids are each
-scanned alone; an empty table gives an empty one; other columns stay, but for
-``spans``, which is replaced.  Matches are leftmost and non-overlapping within a
-kind, and those that fail the kind's length condition are dropped afterwards.
-Offsets are code points, ends exclusive.
+scanned alone; an empty table gives an empty one; other columns stay, whatever their
+names, but for ``spans``, which is replaced.  Very long texts are scanned whole; the
+work grows with a text's length and its matches.  Matches are leftmost and
+non-overlapping within a kind, and those that fail the kind's length condition are
+dropped afterwards.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -121,80 +124,119 @@ def trigram_query(pattern: str) -> frozenset | None:
     return _walk(rp.parse(pattern))[1]
 
 
+def prefix(values: Column, combine, zero: int = 0, chunk: int = 256) -> Column:
+    """What an associative combine makes of all values before each one; in chunks, as an array that grows is copied at each step."""
+
+    def walk(array, value):
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, start, lambda acc, x: F.struct(combine(acc["at"], value(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / chunk).cast("int")), lambda k: walk(F.slice(v, k * chunk + 1, F.lit(chunk)), lambda x: x))
+    joined = lambda own: _let(walk(own, lambda x: x["at"])["out"], lambda heads: F.flatten(F.transform(own, lambda c, k: F.transform(c["out"], lambda x: combine(F.get(heads, k), x)))))
+    return _let(values, lambda v: _let(chunks(v), joined))
+
+
+def _let(value: Column, f) -> Column:
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
+SPAN = "array<struct<start:int,order:int,end:int>>"
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start,order,end>> of a rule's kept matches."""
     pattern = F.lit(rule.pattern)
     hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern)
     shown = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    both = F.zip_with(F.arrays_zip(hits.alias("hit"), shown.alias("shown")), gaps, lambda h, g: F.struct(g.alias("gap"), h["hit"].alias("hit"), h["shown"].alias("shown")))
-    kind = "array<struct<start:int,order:int,end:int>>"
-    walked = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                x["hit"].isNotNull() & (F.length(x["shown"]) >= rule.least),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(order).alias("order"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )
-    return F.when(text.rlike(rule.pattern), walked["spans"]).otherwise(F.array().cast(kind))
+    sizes = F.zip_with(F.arrays_zip(hits.alias("hit"), shown.alias("shown")), gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(h["hit"]), F.lit(0)).alias("hit"), F.coalesce(F.length(h["shown"]), F.lit(-1)).alias("shown")))
+
+    def placed(v):
+        before = prefix(F.transform(v, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b)
+        spans = F.zip_with(v, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("order"), (at + x["gap"] + x["hit"]).alias("end"), x["shown"].alias("shown")))
+        kept = F.filter(spans, lambda x: (x["shown"] >= rule.least) & (x["end"] > x["start"]))  # the last gap has no match after it
+        return F.transform(kept, lambda x: F.struct(x["start"], x["order"], x["end"]))
+
+    return F.when(text.rlike(rule.pattern), _let(sizes, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+
+SALTS = 16  #: parts that the rows of one text are dealt to
+LIST_ROWS = 1 << 16  #: keys in a block of the index
+
+
+def index(texts: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
+    """(block, gram, keys): the postings of the grams, a sorted list of text keys (xxhash64) for each block of about LIST_ROWS keys.
+
+    Copies of a text have one key.  Lists are made map side first and never hold more than a block's keys.
+    """
+    blocks = max(1, -(-texts.count() // LIST_ROWS))
+    low = F.lower(F.col(text))  # may fold more than A-Z, which only adds candidates
+    has = _let(low, lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
+    hits = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.explode(has).alias("gram"))
+    return hits.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def candidates(postings: DataFrame, queries: list[frozenset | None]) -> DataFrame:
+    """(key, rules): the bits of the rules whose query a text's trigrams fulfil: lists are intersected within an alternative, and joined over all."""
+    none = F.array().cast("array<bigint>")
+    lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("of"))
+
+    def fulfilled(q) -> Column:
+        out = none
+        for a in sorted(q, key=sorted):
+            found = None
+            for g in sorted(a):
+                one = F.coalesce(F.element_at("of", F.lit(g)), none)
+                found = one if found is None else F.array_intersect(found, one)
+            out = F.array_union(out, found)
+        return out
+
+    each = F.array(*(F.struct(F.lit(1 << k).cast("long").alias("bit"), fulfilled(q).alias("keys")) for k, q in enumerate(queries) if q))
+    found = lists.select(F.explode(each).alias("f")).select(F.col("f.bit").alias("bit"), F.explode("f.keys").alias("key"))
+    return found.groupBy("key").agg(F.bit_or("bit").alias("rules"))
 
 
 def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
     """df with spans: array<struct<kind,start,end>> by start, then by the rules' order."""
-    queries = [trigram_query(r.pattern) for r in rules]
+    names = [f"c{k}" for k in range(len(df.columns))]  # whatever df's columns are called
+    body, queries = F.coalesce(F.col(names[df.columns.index(text)]), F.lit("")), [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries if q for a in q for g in a})
-    body = F.coalesce(F.col("_text"), F.lit(""))
-    low = F.lower(body)  # may fold more than A-Z, which only adds candidates
-    # The index: a row's bit in the postings bitmap of each trigram, 63 to a word.
-    words = [grams[i : i + 63] for i in range(0, len(grams), 63)]
-
-    def bits(gs):
-        return sum((F.shiftleft(F.contains("_low", F.lit(g)).cast("long"), i) for i, g in enumerate(gs)), F.lit(0).cast("long"))
-
-    indexed = df.withColumn("_text", F.col(text)).withColumn("_low", low).withColumns({f"_p{k}": bits(gs) for k, gs in enumerate(words)})
-    at = {g: (k, 1 << i) for k, gs in enumerate(words) for i, g in enumerate(gs)}
-
-    def alternative(a) -> Column:
-        need: dict[int, int] = {}
-        for g in a:
-            k, bit = at[g]
-            need[k] = need.get(k, 0) | bit
-        out = F.lit(True)
-        for k, mask in sorted(need.items()):
-            out = out & (F.col(f"_p{k}").bitwiseAND(F.lit(mask)) == F.lit(mask))
-        return out
-
-    found = {}
+    plain = df.toDF(*names)
+    if grams:
+        found = candidates(written(index(plain, grams, names[df.columns.index(text)]), "postings"), queries)
+        # What is found grows with the input: no broadcast, however little it is here.  Copies of a text share a key, and are dealt out by a salt.
+        asked = plain.withColumn("key", F.xxhash64(names[df.columns.index(text)])).withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
+        found = found.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        plain = asked.join(found.hint("merge"), ["key", "salt"], "left").withColumn("rules", F.coalesce("rules", F.lit(0).cast("long")))
+    each = []
     for order, (r, q) in enumerate(zip(rules, queries, strict=True)):
         hit = _spans(body, r, order)
-        if q:
-            candidate = F.lit(False)
-            for a in sorted(q, key=sorted):
-                candidate = candidate | alternative(a)
-            hit = F.when(candidate, hit).otherwise(F.array().cast("array<struct<start:int,order:int,end:int>>"))
-        found[f"_s{order}"] = hit
-    scanned = indexed.withColumns(found)
+        each.append(hit if not q else F.when(F.col("rules").bitwiseAND(F.lit(1 << order).cast("long")) != 0, hit).otherwise(F.array().cast(SPAN)))
     kinds = F.array(*(F.lit(r.kind) for r in rules))
-    spans = F.transform(F.array_sort(F.concat(*map(F.col, found))), lambda s: F.struct(F.get(kinds, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return scanned.withColumn("spans", spans).drop("_text", "_low", *(f"_p{k}" for k in range(len(words))), *found)
-
-
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each maximal run of overlapping spans replaced by mark; null stays null."""
-    walked = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        ),
-    )
-    return F.when(F.size(spans) > 0, F.concat(walked["out"], F.substr(text, walked["at"] + 1))).otherwise(text)
+    spans = F.transform(F.array_sort(F.concat(*each)), lambda s: F.struct(F.get(kinds, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    kept = [(n, c) for n, c in zip(names, df.columns, strict=True) if c != "spans"]
+    return plain.select(*(F.col(n).alias(c) for n, c in kept), spans.alias("spans"))
+
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]", segment: int = 4096) -> Column:
+    """text with each maximal run of overlapping spans replaced by mark; null stays null.
+
+    A substring is found by walking from the begin, so a long text is cut into segments first.
+    """
+
+    def between(parts, a, b):
+        """Code points a to b of the text that parts make up."""
+        part = lambda k: F.substr(F.get(parts, k), (F.greatest(a - k * segment, F.lit(0)) + 1).cast("int"), (F.least(b, (k + 1) * segment) - F.greatest(a, k * segment)).cast("int"))
+        return F.when(a >= b, "").otherwise(F.array_join(F.transform(F.sequence(F.floor(a / segment).cast("int"), F.floor((b - 1) / segment).cast("int")), part), ""))
+
+    def of(x):
+        parts, before = x["parts"], x["before"]
+        kept = F.transform(spans, lambda s, i: F.when(s["start"] < F.get(before, i), "").otherwise(F.concat(between(parts, F.get(before, i), s["start"]), F.lit(mark))))
+        last = F.greatest(F.get(before, F.size(before) - 1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(kept, ""), between(parts, last, F.length(text)))
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / segment).cast("int")), lambda k: F.substr(text, k * segment + 1, F.lit(segment)))
+    both = F.struct(cut.alias("parts"), prefix(F.transform(spans, lambda s: s["end"]), F.greatest).alias("before"))
+    return F.when(F.size(spans) > 0, _let(both, of)).otherwise(text)
 
 
 def listed(spans: Column) -> Column:
