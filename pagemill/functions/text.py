@@ -154,11 +154,19 @@ def dice(a, b) -> Column:
     """Bigram multiset similarity of two strings."""
 
     def numbered(x):  # the k-th occurrence of a bigram gets the number k, so that sets can be intersected
-        return let(F.array_sort(bigrams(x)), lambda s: F.transform(s, lambda g, i: F.concat(g, (i - F.array_position(s, g)).cast("string"))))
 
-    p, q = F.regexp_replace(col(a), r"\s", ""), F.regexp_replace(col(b), r"\s", "")
-    common = F.size(F.array_intersect(numbered(a), numbered(b)))
-    return F.when(p == q, 1.0).when((F.length(p) < 2) | (F.length(q) < 2), 0.0).otherwise(2.0 * common / (F.length(p) + F.length(q) - 2))
+        def of(s):
+            begins = F.filter(F.transform(s, lambda g, i: F.when((i == 0) | (F.get(s, i - 1) != g), i)), lambda i: i.isNotNull())
+            many = lambda p, q: F.transform(F.sequence(F.lit(0), q - p - 1), lambda k: F.concat(F.get(s, p), k.cast("string")))
+            return let(begins, lambda at: F.flatten(F.transform(at, lambda p, k: many(p, F.coalesce(F.get(at, k + 1), F.size(s))))))
+
+        return let(F.array_sort(bigrams(x)), of)
+
+    def of_both(x):
+        common = F.size(F.array_intersect(numbered(x["p"]), numbered(x["q"])))
+        return F.when(x["p"] == x["q"], 1.0).when((F.length(x["p"]) < 2) | (F.length(x["q"]) < 2), 0.0).otherwise(2.0 * common / (F.length(x["p"]) + F.length(x["q"]) - 2))
+
+    return let(F.struct(F.regexp_replace(col(a), r"\s", "").alias("p"), F.regexp_replace(col(b), r"\s", "").alias("q")), of_both)
 
 
 def slug(x) -> Column:
@@ -186,3 +194,8 @@ def footnote_markers(x) -> Column:
 def last_paragraph(x) -> Column:
     parts = F.filter(F.split(col(x), "\n\n+"), lambda p: (trimmed(p) != "") & ~trimmed(p).startswith("#"))
     return F.coalesce(F.right(F.get(parts, F.size(parts) - 1), F.lit(500)), F.lit(""))
+
+
+def base64_text(x) -> Column:
+    """Base64 of a text's UTF-8 bytes, on one line."""
+    return F.replace(F.base64(F.encode(col(x), "UTF-8")), F.lit("\r\n"), F.lit(""))

@@ -101,31 +101,87 @@ def in_order(call: Callable, items: list, at_once: int = 3) -> list:
         return list(pool.map(call, items))
 
 
+def within(seconds: float, call: Callable, *args):
+    """call(*args), or a timeout so many seconds after it began; a call that hangs is left behind and holds nobody up."""
+    got: list = []
+
+    def run():
+        try:
+            got.append((call(*args), None))
+        except BaseException as e:  # noqa: BLE001 raised again where it is waited for
+            got.append((None, e))
+
+    worker = threading.Thread(target=run, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if not got:
+        raise CallError("timeout", "timeout", None, True)
+    result, error = got[0]
+    if error is not None:
+        raise error
+    return result
+
+
+def in_sequence(call: Callable, items: Iterable, delay: float = 0.5, sleep=time.sleep) -> list:
+    """call over items one after the other, with a delay between two."""
+    out = []
+    for k, x in enumerate(items):
+        if k:
+            sleep(delay)
+        out.append(call(x))
+    return out
+
+
+def in_batches(call: Callable, items: list, size: int = 5, delay: float = 0.5, sleep=time.sleep, waits: Iterable[float] | None = None, report: Callable[[int, int], None] = lambda done, total: None) -> list:
+    """call(batch) over slices of items, each tried again as a whole, with a delay between two; results in one list."""
+    batches = [items[i : i + size] for i in range(0, len(items), size)]
+    out: list = []
+
+    def one(batch):
+        out.extend(with_retry(call, batch, sleep=sleep, waits=waits))
+        report(len(out), len(items))
+
+    in_sequence(one, batches, delay, sleep)
+    return out
+
+
+@dataclass
+class Progress:
+    """The last state told by any thread."""
+
+    state: tuple[int, int, str] = (0, 0, "")
+
+    def __post_init__(self):
+        self._lock = threading.Lock()
+
+    def tell(self, current: int, total: int, status: str = "") -> None:
+        with self._lock:
+            self.state = (current, total, status)
+
+
+def captured(call: Callable, *args) -> tuple:
+    """(result, None), or (None, the error as a dict with the fields of ERROR)."""
+    try:
+        return call(*args), None
+    except Exception as e:  # noqa: BLE001 every failure is classified
+        c = classified(e)
+        return None, {"kind": c.kind, "message": c.message, "status": c.status, "retryable": c.retryable}
+
+
 def robust_calls(df: DataFrame, call: Callable[[dict], str], name: str = "result", at_once: int = 3, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None) -> DataFrame:
-    """df with the string result of call(row) and an error struct, one of which is null, for each row."""
+    """df with the string result of call(row) and an error struct, one of which is null, for each row.
+
+    timeout holds for each attempt, from its begin; one that is late counts as failed and is tried again as other failures are.
+    """
     schema = StructType([*(f for f in df.schema.fields if f.name not in (name, "error")), StructField(name, StringType()), StructField("error", ERROR)])
     kept = [f.name for f in schema.fields[:-2]]
 
     def run(batches):
         limiter = Limiter(at_once, gap)
-        with ThreadPoolExecutor(at_once) as pool:
-            for pdf in batches:
-
-                def one(row):
-                    try:
-                        return limiter.run(with_retry, call, row) if waits is None else limiter.run(lambda r: with_retry(call, r, waits=waits), row), None
-                    except Exception as e:  # noqa: BLE001
-                        c = classified(e)
-                        return None, {"kind": c.kind, "message": c.message, "status": c.status, "retryable": c.retryable}
-
-                waiting = [pool.submit(one, row) for row in pdf[kept].to_dict("records")]
-                done = []
-                for w in waiting:
-                    try:
-                        done.append(w.result(timeout))
-                    except Late:
-                        done.append((None, {"kind": "timeout", "message": "timeout", "status": None, "retryable": True}))
-                yield pdf[kept].assign(**{name: [d[0] for d in done], "error": [d[1] for d in done]})
+        one = lambda row: captured(limiter.run, lambda r: with_retry(within, timeout, call, r, waits=waits), row)
+        for pdf in batches:
+            done = in_order(one, pdf[kept].to_dict("records"), at_once)
+            yield pdf[kept].assign(**{name: [d[0] for d in done], "error": [d[1] for d in done]})
 
     return df.mapInPandas(run, schema)
 

@@ -24,7 +24,7 @@ def _whole(x) -> Column:
 
 def factors(paged: DataFrame, k: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """From (doc_id, n, pages): one row of factors for each document, from a sample of k pages; keep: columns to keep."""
-    s = paged.withColumn("sample", F.transform(sampling.first_middle_last("n", k), lambda p: F.get("pages", (p - 1).cast("int"))))
+    s = paged.withColumn("sample", sampling.picked("pages", sampling.first_middle_last("n", k)))
     each = F.transform(
         "sample",
         lambda t: F.struct(

@@ -42,9 +42,15 @@ def repeated_lines(lines: DataFrame, share: float = SHARE) -> DataFrame:
 def common_line(lines: Column) -> Column:
     """Of an array of lines: the first one that half of them equal and that is longer than two characters; ``\\d+`` if all
     are numbers; else, or for fewer than three lines, null."""
-    count = lambda x: F.size(F.filter(lines, lambda y: y == x))
-    often = F.get(F.filter(lines, lambda x: (count(x) >= F.size(lines) * 0.5) & (F.length(x) > 2)), F.lit(0))
-    return F.when(F.size(lines) >= 3, F.coalesce(often, F.when(F.forall(lines, lambda x: x.rlike(r"^\d+$")), F.lit(r"\d+"))))
+
+    def often(ordered):
+        # A line that makes up half of them stands in the middle of the sorted lines, or right before it.
+        n = F.size(ordered)
+        middle = F.array_distinct(F.array(F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))))
+        enough = F.filter(middle, lambda x: (F.size(F.filter(ordered, lambda y: y == x)) >= n * 0.5) & (F.length(x) > 2))
+        return T.let(enough, lambda e: F.get(F.filter(lines, lambda x: F.array_contains(e, x)), F.lit(0)))
+
+    return F.when(F.size(lines) >= 3, F.coalesce(T.let(F.array_sort(lines), often), F.when(F.forall(lines, lambda x: x.rlike(r"^\d+$")), F.lit(r"\d+"))))
 
 
 def edge_lines(text) -> Column:
@@ -82,7 +88,7 @@ def decorative(description, kind, x, y, page, patterns, positions, zones) -> Col
     return named | placed | kind.isin("logo", "icon")
 
 
-ANSWER = "struct<headerZone:struct<top:double,bottom:double>,footerZone:struct<top:double,bottom:double>,marginZones:struct<left:double,right:double>,headerText:string,footerText:string,footnoteStyle:string,columnLayout:string>"
+ANSWER = "struct<headerZone:struct<top:double,bottom:double>,footerZone:struct<top:double,bottom:double>,marginZones:struct<left:double,right:double>,headerText:string,footerText:string,footnoteStyle:string,columnLayout:string,pageNumberPattern:string,decorativeImages:array<struct<zone:string,description:string>>>"
 
 
 def coerced(answer) -> list[Column]:
@@ -99,6 +105,64 @@ def coerced(answer) -> list[Column]:
     return out
 
 
+def page_profile(answer) -> Column:
+    """A page's layout as a struct, from a model's answer."""
+    j = F.from_json(F.regexp_extract(T.col(answer), r"(?s)\{.*\}", 0), ANSWER)
+    zone = lambda z: F.when(z.isin(*IMAGE_ZONES), z).otherwise("background")
+    images = F.transform(F.filter(F.coalesce(j["decorativeImages"], F.array().cast("array<struct<zone:string,description:string>>")), lambda x: x.isNotNull()), lambda x: F.struct(zone(x["zone"]).alias("zone"), F.coalesce(x["description"], F.lit("")).alias("description")))
+    return F.struct(*coerced(answer), j["headerText"].alias("header_text"), j["footerText"].alias("footer_text"), j["pageNumberPattern"].alias("number_pattern"), images.alias("images"))
+
+
+def is_default(page: Column) -> Column:
+    """Whether a page's layout says nothing beyond the defaults."""
+    empty = page["header_text"].isNull() & page["footer_text"].isNull() & page["number_pattern"].isNull() & (F.size(page["images"]) == 0)
+    return empty & (page["header_bottom"] == DEFAULTS["header_bottom"]) & (page["footer_top"] == DEFAULTS["footer_top"])
+
+
+def repeated_texts(texts: Column) -> Column:
+    """Of an array of texts: those that recur in a share of them apart from numbers and white space, each as first seen."""
+
+    def of(known):
+        least = F.greatest(F.lit(1), F.floor(F.size(known) * F.lit(SHARE)))
+        same = lambda norm, i: F.size(F.filter(norm, lambda y: y == F.get(norm, i)))
+        return T.let(F.transform(known, T.normalized_line), lambda norm: F.filter(known, lambda x, i: (F.array_position(norm, F.get(norm, i)) == i + 1) & (same(norm, i) >= least)))
+
+    return T.let(F.filter(texts, lambda x: x.isNotNull()), of)
+
+
+def most_common_of(values: Column) -> Column:
+    """The most frequent value of an array, of equal ones the first."""
+
+    def of(distinct):
+        counts = F.transform(distinct, lambda x: F.size(F.filter(values, lambda y: y == x)))
+        return T.let(counts, lambda c: F.get(distinct, (F.array_position(c, F.array_max(c)) - 1).cast("int")))
+
+    return T.let(F.array_distinct(values), of)
+
+
+def median_of(values: Column) -> Column:
+    return T.let(F.array_sort(values), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+
+def document_profile(sampled: Column) -> Column:
+    """A document's layout from array<struct<page,a>> of sampled pages' profiles: medians, modes, repeated texts, decorative images."""
+    each = lambda name: F.transform(sampled, lambda s: s["a"][name])
+    images = F.flatten(F.transform(sampled, lambda s: F.transform(s["a"]["images"], lambda x: F.struct(s["page"].alias("page"), x["zone"].alias("zone"), x["description"].alias("description")))))
+    least = F.greatest(F.lit(1), F.floor(F.size(sampled) * F.lit(SHARE)))
+    patterns = T.let(F.transform(images, lambda x: F.concat_ws(" ", x["description"], x["zone"])), lambda t: F.filter(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x)) >= least))
+    columns = F.array_distinct(each("column_layout"))
+    return F.struct(
+        *(median_of(each(z)).alias(z) for z in ZONES),
+        most_common_of(each("footnote_style")).alias("footnote_style"),
+        F.when(F.size(columns) == 1, F.get(columns, F.lit(0))).otherwise("mixed").alias("column_layout"),
+        repeated_texts(each("header_text")).alias("headers"),
+        repeated_texts(each("footer_text")).alias("footers"),
+        T.let(F.filter(each("number_pattern"), lambda x: x.isNotNull()), page_number_pattern).alias("page_numbers"),
+        patterns.alias("decorative"),
+        F.transform(images, lambda x: F.struct(x["page"].alias("page"), x["zone"].alias("zone"))).alias("positions"),
+    )
+
+
 def profiles(pages: DataFrame) -> DataFrame:
     """One layout profile for each document of page rows (doc_id, page, zones, footnote_style, column_layout)."""
     style = most_common(pages, "footnote_style", "page")

@@ -1,8 +1,9 @@
 """The conversion pipelines over a corpus: direct, light, full, intelligent, and the adaptive choice among them.
 
 Each takes (doc_id, n, pages) and returns (doc_id, markdown, language, n_pages,
-pipeline).  A pipeline is an expression over a document's pages, so the adaptive
-one is a single pass over the corpus in which each row evaluates its own branch.
+pipeline, contents, has_toc, level), the one result record of all.  A pipeline is an
+expression over a document's pages, so the adaptive one is a single pass over the
+corpus in which each row evaluates its own branch.
 """
 
 from __future__ import annotations
@@ -11,103 +12,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import features, layout, windows
+from pagemill.operators import features, layout, passes, sampling, structure, windows
 from pagemill.operators import sections as S
 from pagemill.operators.providers import Offline, Provider
 
-def _converted(pages: Column, provider: Provider) -> Column:
-    return F.transform(pages, lambda p: provider.convert(p)["content"])
 
+def _answer(markdown: Column, language: Column, contents: Column, has_toc) -> Column:
+    return F.struct(markdown.alias("markdown"), language.alias("language"), contents.alias("contents"), (has_toc if isinstance(has_toc, Column) else F.lit(has_toc)).alias("has_toc"))
 
-def _answer(markdown: Column, language: Column) -> Column:
-    return F.struct(markdown.alias("markdown"), language.alias("language"))
 
+def _shown(pages: Column, provider: Provider) -> Column:
+    """Converted pages with notes for placeholders that are left over."""
+    return F.transform(provider.contents(pages), lambda c: structure.placeholders_noted(c, True))
 
-def _head(pages: Column) -> Column:
-    return F.array_join(F.slice(pages, 1, 5), "\n\n")
+
+def edges(pages: Column, n: Column, k: int, more_than: int) -> Column:
+    """struct<header,footer>: the lines that recur at either end of k pages spread over the document; null for none."""
+
+    def mined(e, which):
+        return T.let(F.filter(F.transform(e, lambda x: x[which]), lambda x: x.isNotNull()), layout.common_line)
+
+    sampled = F.transform(sampling.picked(pages, sampling.evenly(n, k, more_than)), layout.edge_lines)
+    return T.let(sampled, lambda e: F.struct(mined(e, "first").alias("header"), mined(e, "last").alias("footer")))
 
 
 def direct_answer(pages: Column, n: Column, provider: Provider) -> Column:
     """Pages converted one by one and joined by blank lines; the language is the first page's."""
-    return _answer(F.array_join(_converted(pages, provider), "\n\n"), provider.analyze(F.get(pages, F.lit(0)))["language"])
+    first = T.language_by_presence(F.get(provider.contents(pages), F.lit(0)))
+    return T.let(_shown(pages, provider), lambda p: _answer(F.array_join(p, "\n\n"), first, p, False))
 
 
 def light_answer(pages: Column, n: Column, provider: Provider) -> Column:
     """As direct, without headers and footers that recur, sentences running on over page ends."""
+    analysis = provider.analyze(sampling.head_text(pages, 5))
+    told = F.struct(_shown(pages, provider).alias("p"), edges(pages, n, 5, 3).alias("e"), analysis.alias("a"))
+    return T.let(told, lambda x: _answer(S.merged_pages(x["p"], x["e"]["header"], x["e"]["footer"]), x["a"]["language"], x["p"], x["a"]["has_toc"]))
 
-    def mined(edges, which):
-        return F.coalesce(T.let(F.filter(F.transform(edges, lambda e: e[which]), lambda x: x.isNotNull()), layout.common_line), F.lit(""))
 
-    def without(t, edge):
-        # An empty pattern strips nothing that trimming would not.
-        t = F.when(edge["h"] != "", F.regexp_replace(t, F.concat(F.lit("(?m)^"), T.escaped_regex(edge["h"]), F.lit(r"\s*\n?")), F.lit(""))).otherwise(t)
-        return F.when(edge["f"] != "", F.regexp_replace(t, F.concat(F.lit(r"(?m)\n?"), T.escaped_regex(edge["f"]), F.lit(r"\s*$")), F.lit(""))).otherwise(t)
-
-    edges = F.transform(pages, layout.edge_lines)
-    edge = T.let(edges, lambda e: F.struct(mined(e, "first").alias("h"), mined(e, "last").alias("f")))
-    stripped = T.let(edge, lambda e: F.transform(_converted(pages, provider), lambda t: without(t, e)))
-    return _answer(T.let(stripped, S.merged_pages), provider.analyze(_head(pages))["language"])
+def window_plan(pages: Column, n: Column, headings: Column, size: int = 50) -> Column:
+    return T.let(F.transform(headings, lambda h: h["page"].cast("int")), lambda starts: windows.plan(n, starts, size))
 
 
 def full_answer(pages: Column, n: Column, provider: Provider, size: int = 50) -> Column:
-    """Windows on section starts; pages of a window joined, windows merged as pages are in light."""
-
-    def of(converted):
-        starts = F.filter(F.transform(converted, lambda p, i: F.when(p.rlike(r"(?m)^#{1,6}\s+\S"), (i + 1).cast("int"))), lambda x: x.isNotNull())
-        planned = T.let(starts, lambda s: windows.plan(n, s, size))
-        parts = F.transform(planned, lambda x: F.array_join(F.slice(converted, x["start"], x["end"] - x["start"] + 1), "\n\n"))
-        return T.let(parts, S.merged_pages)
-
-    return _answer(T.let(_converted(pages, provider), of), provider.analyze(_head(pages))["language"])
+    """Windows that end where a section starts; each converted whole, and merged without recurring headers and footers."""
+    analysis = provider.analyze(sampling.head_middle_tail_text(pages))
+    parts = T.let(window_plan(pages, n, provider.headings(pages), size), lambda plan: provider.windows(pages, plan))
+    told = F.struct(parts.alias("w"), edges(pages, n, 7, 4).alias("e"), analysis.alias("a"))
+    return T.let(told, lambda x: _answer(S.merged_windows(x["w"], x["e"]["header"], x["e"]["footer"]), x["a"]["language"], x["w"], x["a"]["has_toc"]))
 
 
-def intelligent_answer(pages: Column, n: Column, provider: Provider, footnote_style: str = "none", include_toc: bool = True) -> Column:
-    """Page numbers stripped, footnotes split off, sections parsed, headings repaired, contents list, clean-up."""
-    clean = F.transform(_converted(pages, provider), lambda t: S.strip_repeated(t, [], r"^\s*\d+\s*$"))
+def organized_documents(paged: DataFrame, provider: Provider, keep=lambda e: e, include_toc: bool = True) -> DataFrame:
+    """paged with _layout, _found, _raw and _markdown: layout and structure of sampled pages, linked sections of all pages,
+    one organised document; keep: says for which rows."""
+    pages, n = F.col("pages"), F.col("n")
+    got = paged.withColumn("_profile", keep(passes.layout_pass(pages, n, provider)))
+    got = got.withColumn("_found", keep(T.let(F.col("_profile"), lambda x: passes.structure_pass(pages, n, x, provider))))
+    both = F.struct(F.col("_profile").alias("layout"), F.col("_found").alias("found"))
+    got = got.withColumn("_extracted", keep(T.let(both, lambda x: passes.extraction(provider.converted(pages), x["layout"], x["found"]))))
+    got = got.withColumn("_raw", keep(passes.raw_content(F.col("_extracted"))))
+    return passes.organized(got, keep, include_toc)
 
-    def of(clean):
-        notes = F.flatten(F.transform(clean, lambda t: S.footnotes(t, footnote_style)))
-        listed = T.let(notes, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("\n---\n\n## Notes\n\n"), F.array_join(F.transform(x, lambda y: F.concat(F.lit("[^"), y["id"], F.lit("]: "), y["content"])), "\n"))))
 
-        def of_sections(sections):
-            headed = F.filter(sections, lambda s: s["level"] > 0)
-            entries = F.transform(headed, lambda s: F.struct(s["level"].alias("level"), s["title"].alias("title"), (s["level"] - 1).alias("depth")))
-            contents = F.when(F.size(headed) > 0, S.toc(entries)) if include_toc else F.lit(None).cast("string")
-            body = S.assembled(sections, contents)
-            markdown = body if footnote_style not in S.NOTES else F.coalesce(T.cleaned_markdown(F.concat(body, listed)), body)
-            first = F.array_join(F.transform(F.slice(sections, 1, 5), lambda s: s["content"]), " ")
-            return _answer(markdown, T.let(first, T.language_by_frequency))
+def intelligent_answer(pages: Column, n: Column, provider: Provider) -> Column:
+    """Of organized_documents."""
+    first = F.array_join(F.transform(F.slice(F.col("_raw")["sections"], 1, 5), lambda s: s["content"]), " ")
+    return _answer(F.col("_markdown"), T.language_by_frequency(first), F.array("_markdown"), F.col("_found")["explicit"])
 
-        return T.let(F.flatten(F.transform(clean, lambda t: S.parse(S.without_footnotes(t, footnote_style)))), of_sections)
 
-    return T.let(clean, of)
+def legacy_answer(pages: Column, n: Column, provider: Provider) -> Column:
+    """The earliest conversion: analysis of three pages, each page followed by a blank line, the earlier wording for lost images."""
+    analysis = provider.analyze(sampling.head_text(pages, 3))
+    shown = F.transform(provider.contents(pages), lambda c: structure.placeholders_told(c))
+    return T.let(shown, lambda p: _answer(F.array_join(F.transform(p, lambda x: F.concat(x, F.lit("\n\n"))), ""), analysis["language"], p, analysis["has_toc"]))
 
 
 ANSWERS = {"direct": direct_answer, "light": light_answer, "full": full_answer, "intelligent": intelligent_answer}
 
 
-def _run(paged: DataFrame, answer: Column, pipeline: Column) -> DataFrame:
-    got = paged.select("doc_id", "n", pipeline.alias("pipeline"), answer.alias("a"))
-    return got.select("doc_id", "a.markdown", "a.language", F.col("n").alias("n_pages"), "pipeline")
+def _run(paged: DataFrame, answer: Column, pipeline: Column, level: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    got = paged.select("doc_id", "n", pipeline.alias("pipeline"), answer.alias("a"), (F.lit(None).cast("string") if level is None else level).alias("level"), *keep)
+    return got.select("doc_id", "a.markdown", "a.language", F.col("n").alias("n_pages"), "pipeline", "a.contents", "a.has_toc", "level", *keep)
 
 
-def convert(paged: DataFrame, pipeline: str, provider: Provider | None = None, **options) -> DataFrame:
-    """All documents by one pipeline."""
-    return _run(paged, ANSWERS[pipeline](F.col("pages"), F.col("n"), provider or Offline(), **options), F.lit(pipeline))
+def convert(paged: DataFrame, pipeline: str, provider: Provider | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """All documents by one pipeline; keep: further columns."""
+    provider = provider or Offline()
+    if pipeline == "intelligent":
+        paged, options = organized_documents(paged, provider, **options), {}
+    make = legacy_answer if pipeline == "legacy" else ANSWERS[pipeline]
+    return _run(paged, make(F.col("pages"), F.col("n"), provider, **options), F.lit(pipeline), keep=keep)
 
 
 def adaptive(paged: DataFrame, provider: Provider | None = None, force: str | None = None) -> DataFrame:
     """Each document by the plan that its factors choose, or all by force."""
     if force:
         return convert(paged, force, provider)
-    answer = None
+    provider, answer = provider or Offline(), None
+    planned = organized_documents(with_plan(paged), provider, lambda e: F.when(F.col("pipeline") == "intelligent", e))
     for name, make in ANSWERS.items():
-        one = make(F.col("pages"), F.col("n"), provider or Offline())
+        one = make(F.col("pages"), F.col("n"), provider)
         answer = F.when(F.col("pipeline") == name, one) if answer is None else answer.when(F.col("pipeline") == name, one)
-    return _run(with_plan(paged), answer, F.col("pipeline"))
+    return _run(planned, answer, F.col("pipeline"), F.col("level"))
 
 
 def with_plan(paged: DataFrame) -> DataFrame:
-    """paged with the pipeline chosen for each document."""
+    """paged with the pipeline chosen for each document, and its level of complexity."""
     planned = features.planned(features.factors(paged, keep=("n", "pages")))
-    return planned.select("doc_id", "n", "pages", "pipeline")
+    return planned.select("doc_id", "n", "pages", "pipeline", "level")

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import col
+from pagemill.functions.text import col, let
+
+
+def picked(pages, numbers) -> Column:
+    """The pages of an array with the numbers of another; the pages are worked out once, not for each number."""
+    return let(col(pages), lambda p: F.transform(numbers, lambda i: F.get(p, (i - 1).cast("int"))))
 
 
 def first_middle_last(n, k: int = 3) -> Column:

@@ -19,9 +19,10 @@ NOTES = {"numbered": r"(?m)^(\d+)\.\s+(.+)$", "symbolic": "(?m)^([*†‡§])\\s
 PLACEMENT = {"academic": "document-end", "book": "section-end", "report": "section-end", "manual": "section-end"}
 
 
-def parse(text, max_depth: int = 6) -> Column:
+def parse(text, max_depth=6) -> Column:
     """array<struct<n,level,title,content>> of a page: text before the first heading is a section of level 0; an
-    empty last section is dropped."""
+    empty last section is dropped; levels are max_depth (a number or a column) at most."""
+    most = max_depth if isinstance(max_depth, Column) else F.lit(max_depth)
 
     def of_lines(ls):
         is_heading = lambda i: F.get(ls, i).rlike(HEADING)
@@ -33,7 +34,7 @@ def parse(text, max_depth: int = 6) -> Column:
             skip = head.cast("int")
             return F.struct(
                 (k + 1).cast("int").alias("n"),
-                F.when(head, F.least(F.length(F.regexp_extract(here, HEADING, 1)), F.lit(max_depth))).otherwise(0).alias("level"),
+                F.when(head, F.least(F.length(F.regexp_extract(here, HEADING, 1)), most)).otherwise(0).alias("level"),
                 F.when(head, T.trimmed(F.regexp_extract(here, HEADING, 2))).otherwise("").alias("title"),
                 T.trimmed(F.array_join(F.slice(ls, i + 1 + skip, end - i - skip), "\n")).alias("content"),
             )
@@ -60,6 +61,14 @@ def without_footnotes(text, style: str = "numbered") -> Column:
     return T.trimmed(F.regexp_replace(F.regexp_replace(col(text), NOTES[style], ""), r"\n{3,}", "\n\n"))
 
 
+def by_style(style, f, otherwise) -> Column:
+    """f(style) for the style that a column holds."""
+    out = otherwise
+    for name in NOTES:
+        out = F.when(col(style) == name, f(name)).otherwise(out)
+    return out
+
+
 def references(content, notes) -> Column:
     """Ids of the page's notes that a content marks as ``[id]``."""
     return F.transform(F.filter(col(notes), lambda x: F.contains(content, F.concat(F.lit("["), x["id"], F.lit("]")))), lambda x: x["id"])
@@ -75,6 +84,14 @@ def strip_repeated(text, patterns: list[str], number_pattern: str | None = None)
     return T.trimmed(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
+def without_repeated(text, patterns, number_pattern) -> Column:
+    """As strip_repeated, with the lines (an array) and the number's pattern in columns."""
+    line = lambda t, p: F.when(F.contains(t, p), F.regexp_replace(t, F.concat(F.lit(r"(?m)^\s*"), T.escaped_regex(p), F.lit(r"\s*$")), F.lit(""))).otherwise(t)
+    t = F.aggregate(patterns, col(text), line)
+    t = F.regexp_replace(t, F.concat(F.lit("(?m)"), number_pattern), F.lit(""))
+    return T.trimmed(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+
+
 def _quoted(s: str) -> str:
     return "".join("\\" + c if c in r".*+?^${}()|[]\\" else c for c in s)
 
@@ -90,11 +107,13 @@ def repaired_levels(levels) -> Column:
     return F.aggregate(levels, start, step)["out"]
 
 
-def merged(sections) -> Column:
+def merged(sections, lists: tuple[str, ...] = ()) -> Column:
     """Continuations joined into the section they continue, all the way down, in depth-first order.
 
     sections: array<struct<id,level,title,content,continues_from,...>>, a continued section before its
-    continuations; a link to no earlier section keeps the section as it is.
+    continuations; a link to no earlier section keeps the section as it is.  lists: fields with arrays, whose
+    distinct members are joined.  Finding a parent walks the sections before it, so the work grows with the square of a
+    document's sections; a document is one row, and no two documents meet.
     """
     walked = F.aggregate(
         sections,
@@ -111,21 +130,24 @@ def merged(sections) -> Column:
             ),
         ),
     )
-    placed = F.zip_with(sections, walked, lambda s, w: F.struct(w["root"].alias("root"), w["path"].alias("path"), s["content"].alias("content"), s["id"].alias("id"), s["level"].alias("level"), s["title"].alias("title")))
+    placed = F.zip_with(sections, walked, lambda s, w: F.struct(w["root"].alias("root"), w["path"].alias("path"), s["content"].alias("content"), s["id"].alias("id"), s["level"].alias("level"), s["title"].alias("title"), *(s[x].alias(x) for x in lists)))
+
+    def field(array, name):
+        return F.transform(array, lambda y: y[name])
 
     def joined(placed):
-        chain = lambda r: F.array_sort(F.transform(F.filter(placed, lambda s: s["root"] == r["id"]), lambda s: F.struct(s["path"].alias("path"), s["content"].alias("content"))))
+        chain = lambda r: F.array_sort(F.transform(F.filter(placed, lambda s: s["root"] == r["id"]), lambda s: F.struct(s["path"].alias("path"), s["content"].alias("content"), *(s[x].alias(x) for x in lists))))
         return F.transform(
             F.filter(placed, lambda s: s["root"] == s["id"]),
-            lambda r: T.let(chain(r), lambda c: F.struct(r["id"].alias("id"), r["level"].alias("level"), r["title"].alias("title"), F.array_join(F.transform(c, lambda x: x["content"]), "\n\n").alias("content"), F.size(c).alias("parts"))),
+            lambda r: T.let(chain(r), lambda c: F.struct(r["id"].alias("id"), r["level"].alias("level"), r["title"].alias("title"), F.array_join(F.transform(c, lambda x: x["content"]), "\n\n").alias("content"), F.size(c).alias("parts"), *(F.array_distinct(F.flatten(field(c, x))).alias(x) for x in lists))),
         )
 
     return T.let(placed, joined)
 
 
-def rendered(level, title, content) -> Column:
-    """A section as Markdown: heading and blank line if it has both title and level, then its content with marked footnotes."""
-    level, title, content = col(level), col(title), T.footnote_markers(content)
+def rendered(level, title, content, then=lambda c: c) -> Column:
+    """A section as Markdown: heading and blank line if it has both title and level, then then(its content with marked footnotes)."""
+    level, title, content = col(level), col(title), then(T.footnote_markers(content))
     head = F.when((title != "") & (level > 0), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title, F.lit("\n")))
     body = F.when(T.trimmed(content) != "", content)
     return F.array_join(F.array_compact(F.array(head, body)), "\n")
@@ -140,8 +162,13 @@ def assembled(sections, toc=None) -> Column:
 
 def toc(entries, max_level: int = 3) -> Column:
     """Contents list of array<struct<level,title,depth>> in pre-order; an entry deeper than max_level goes with all below it."""
-    kept = F.filter(entries, lambda e: e["level"] <= max_level)
-    lines = F.transform(kept, lambda e: F.concat(F.repeat(F.lit("  "), e["depth"]), F.lit("- ["), e["title"], F.lit("](#"), T.slug(e["title"]), F.lit(")")))
+    line = lambda e: F.concat(F.repeat(F.lit("  "), e["depth"]), F.lit("- ["), e["title"], F.lit("](#"), T.slug(e["title"]), F.lit(")"))
+
+    def step(acc, e):  # cut: the depth of an entry that is left out, whose children go, too
+        gone, deep = e["depth"] > acc["cut"], e["level"] > max_level
+        return F.struct(F.when(gone, acc["cut"]).when(deep, e["depth"]).otherwise(F.lit(99)).cast("int").alias("cut"), F.when(gone | deep, acc["out"]).otherwise(F.concat(acc["out"], F.array(line(e)))).alias("out"))
+
+    lines = F.aggregate(entries, F.struct(F.lit(99).alias("cut"), F.array().cast("array<string>").alias("out")), step)["out"]
     return F.concat(F.lit("## Table of Contents\n\n"), F.array_join(lines, "\n"), F.lit("\n"))
 
 
@@ -152,36 +179,40 @@ def placement(document_type) -> Column:
     return out
 
 
-def merged_pages(pages, header=None, footer=None) -> Column:
-    """Page texts joined by blank lines; a page that ends within a sentence keeps a trailing space instead of being trimmed."""
-    p = col(pages)
-    if header is not None:
-        p = F.transform(p, lambda t: F.regexp_replace(t, F.concat(F.lit("(?m)^"), T.escaped_regex(header), F.lit(r"\s*\n?")), F.lit("")))
-    if footer is not None:
-        p = F.transform(p, lambda t: F.regexp_replace(t, F.concat(F.lit(r"(?m)\n?"), T.escaped_regex(footer), F.lit(r"\s*$")), F.lit("")))
-    n = F.size(p)
+def without_edges(text, header, footer) -> Column:
+    """A text without what stands at the begin of a line like the header, or at the end of one like the footer; null: none."""
 
-    def page(t, i):
-        body = F.regexp_replace(t, r"\s+$", "")
-        following = F.regexp_replace(F.coalesce(F.get(col(pages), i + 1), F.lit("")), r"^\s+", "")
-        runs_on = (i < n - 1) & ~body.rlike(r"[.!?:;'\"]$") & (following.rlike("^[a-z]") | ~following.startswith("#"))
-        return F.when(runs_on, F.concat(body, F.lit(" "))).otherwise(T.trimmed(t))
+    def gone(t, edge, before, after):
+        hit = edge.isNotNull() & F.contains(t, edge)
+        return F.when(hit, F.regexp_replace(t, F.concat(F.lit(before), T.escaped_regex(edge), F.lit(after)), F.lit(""))).otherwise(t)
 
-    return F.array_join(F.transform(p, page), "\n\n")
+    return T.let(gone(col(text), header, "(?m)^", r"\s*\n?"), lambda t: gone(t, footer, r"(?m)\n?", r"\s*$"))
 
 
-def merged_windows(windows) -> Column:
-    """Markdown of windows (array) joined as merged_pages does, but a window runs on only if its last paragraph is open."""
-    w = col(windows)
-    n = F.size(w)
+def _run_on(parts, tail, header, footer) -> Column:
+    """parts joined by blank lines; one whose tail(part) is open, where the next goes on, keeps a space instead of being trimmed."""
+    p = col(parts)
+    n = F.size(p)
+    none = F.lit(None).cast("string")
 
     def part(t, i):
-        tail = T.last_paragraph(t)
-        following = F.regexp_replace(F.coalesce(F.get(w, i + 1), F.lit("")), r"^\s+", "")
-        runs_on = (i < n - 1) & (tail != "") & ~tail.rlike(r"[.!?:;'\"]$") & (following.rlike("^[a-z]") | ~following.startswith("#"))
-        return F.when(runs_on, F.concat(F.regexp_replace(t, r"\s+$", ""), F.lit(" "))).otherwise(T.trimmed(t))
+        following = F.regexp_replace(F.coalesce(F.get(p, i + 1), F.lit("")), r"^\s+", "")
+        goes_on = (i < n - 1) & (following.rlike("^[a-z]") | ~following.startswith("#"))
+        clean = without_edges(t, none if header is None else header, none if footer is None else footer)
+        return T.let(clean, lambda c: F.when(goes_on & tail(t, c), F.concat(F.regexp_replace(c, r"\s+$", ""), F.lit(" "))).otherwise(T.trimmed(c)))
+
+    return F.array_join(F.transform(p, part), "\n\n")
+
+
+def merged_pages(pages, header=None, footer=None) -> Column:
+    """Page texts, without header and footer (columns), joined by blank lines; a page that ends within a sentence keeps a
+    trailing space instead of being trimmed."""
+    return _run_on(pages, lambda _, clean: ~F.regexp_replace(clean, r"\s+$", "").rlike(r"[.!?:;'\"]$"), header, footer)
+
 
-    return F.array_join(F.transform(w, part), "\n\n")
+def merged_windows(windows, header=None, footer=None) -> Column:
+    """Markdown of windows (array) joined as merged_pages does, but a window runs on only if its last paragraph is open."""
+    return _run_on(windows, lambda whole, _: T.let(T.last_paragraph(whole), lambda x: (x != "") & ~x.rlike(r"[.!?:;'\"]$")), header, footer)
 
 
 def line_matches(line, patterns) -> Column:
@@ -190,9 +221,13 @@ def line_matches(line, patterns) -> Column:
     return F.exists(patterns, lambda p: (a == F.lower(T.trimmed(p))) | ((F.length(a) > 5) & (F.length(T.trimmed(p)) > 5) & (T.similarity_ratio(a, F.lower(T.trimmed(p))) > F.lit(0.8).cast("double"))))
 
 
-def without_lines(text, patterns, number_pattern: str | None = None) -> Column:
-    """A text without lines that match a pattern or, in any case, the page number's pattern; blank lines stay."""
-    drop = lambda x: line_matches(x, patterns) | (T.trimmed(x).rlike("(?i)" + number_pattern) if number_pattern else F.lit(False))
+def without_lines(text, patterns, number_pattern=None) -> Column:
+    """A text without lines that match a pattern or, in any case, the page number's pattern (a string or a column); blank lines stay."""
+
+    def drop(x):
+        hit = line_matches(x, patterns)
+        return hit if number_pattern is None else hit | F.rlike(T.trimmed(x), F.concat(F.lit("(?i)"), number_pattern if isinstance(number_pattern, Column) else F.lit(number_pattern)))
+
     return T.trimmed(F.array_join(F.filter(T.lines(text), lambda x: (T.trimmed(x) == "") | ~drop(x)), "\n"))
 
 

@@ -10,7 +10,11 @@ from pagemill.functions.text import col
 
 TYPES = ("academic", "book", "report", "marketing", "manual", "legal", "other")  # fixed values
 NOTE_STYLES = ("inline", "endnote", "chapter-end")
-ANSWER = "struct<documentType:string,toc:struct<explicit:boolean,entries:array<struct<level:double,title:string,page:double>>>,hierarchy:struct<maxDepth:double>,sections:struct<frontMatter:struct<start:double,end:double>,body:struct<start:double,end:double>,backMatter:struct<start:double,end:double>>,crossReferences:struct<footnoteStyle:string,citationStyle:string>>"
+DEPTH = 6  #: levels of nested contents entries
+ENTRY = "struct<level:double,title:string,page:double>"
+for _ in range(DEPTH - 1):
+    ENTRY = f"struct<level:double,title:string,page:double,children:array<{ENTRY}>>"
+ANSWER = f"struct<documentType:string,toc:struct<explicit:boolean,entries:array<{ENTRY}>>,hierarchy:struct<maxDepth:double>,sections:struct<frontMatter:struct<start:double,end:double>,body:struct<start:double,end:double>,backMatter:struct<start:double,end:double>>,crossReferences:struct<footnoteStyle:string,citationStyle:string>>"
 
 
 def clamp(x, low, high) -> Column:
@@ -31,15 +35,7 @@ def validated(answer, n) -> list[Column]:
     start = F.when(body["start"].isNotNull(), F.greatest(F.lit(1.0), body["start"])).otherwise(F.coalesce(front["end"] + 1, F.lit(1.0)))
     end = F.when(body["end"].isNotNull(), F.least(n, body["end"])).otherwise(F.coalesce(back["start"] - 1, n))
     empty = end < start
-    entries = F.transform(
-        F.filter(F.coalesce(j["toc"]["entries"], F.array().cast("array<struct<level:double,title:string,page:double>>")), lambda e: e.isNotNull()),
-        lambda e: F.concat_ws(
-            ":",
-            F.coalesce(clamp(e["level"], 1, 6), F.lit(1.0)).cast("long").cast("string"),
-            F.coalesce(clamp(e["page"], 1, n), F.lit(1.0)).cast("long").cast("string"),
-            F.coalesce(e["title"], F.lit("Untitled")),
-        ),
-    )
+    entries = F.transform(contents(j["toc"]["entries"], n), lambda e: F.concat_ws(":", e["level"].cast("string"), e["page"].cast("string"), e["title"]))
     notes = j["crossReferences"]["footnoteStyle"]
     return [
         F.when(j["documentType"].isin(*TYPES), j["documentType"]).otherwise("other").alias("document_type"),
@@ -52,6 +48,33 @@ def validated(answer, n) -> list[Column]:
     ]
 
 
+def contents(entries, n, depth: int = 0, level=None) -> Column:
+    """Nested contents entries as array<struct<level,title,page,depth>> in pre-order; an entry without a level is one below its parent."""
+    kind = "array<struct<level:int,title:string,page:bigint,depth:int>>"
+
+    def one(e):
+        own = F.coalesce(clamp(e["level"], 1, 6), F.lit(1.0) if level is None else (level + 1).cast("double")).cast("int")
+
+        def below(x):
+            here = F.array(F.struct(x.alias("level"), F.coalesce(e["title"], F.lit("Untitled")).alias("title"), F.coalesce(clamp(e["page"], 1, n), F.lit(1.0)).cast("long").alias("page"), F.lit(depth).alias("depth"))).cast(kind)
+            return F.concat(here, F.coalesce(contents(e["children"], n, depth + 1, x), F.array().cast(kind))) if depth + 1 < DEPTH else here
+
+        return T.let(own, below)
+
+    return F.coalesce(F.flatten(F.transform(F.filter(entries, lambda e: e.isNotNull()), one)), F.array().cast(kind))
+
+
+def profile(answer, n) -> Column:
+    """A document's structure as a struct: document_type, max_depth, explicit and toc (see contents)."""
+    j = F.from_json(F.regexp_extract(col(answer), r"(?s)\{.*\}", 0), ANSWER)
+    return F.struct(
+        F.when(j["documentType"].isin(*TYPES), j["documentType"]).otherwise("other").alias("document_type"),
+        F.coalesce(clamp(j["hierarchy"]["maxDepth"], 1, 6), F.lit(2.0)).cast("int").alias("max_depth"),
+        F.coalesce(j["toc"]["explicit"], F.lit(False)).alias("explicit"),
+        contents(j["toc"]["entries"], col(n).cast("double")).alias("toc"),
+    )
+
+
 def parsed_response(text) -> list[Column]:
     """content, summary and last_paragraph of a marked response; without a content mark the whole text is content."""
     t = col(text)
@@ -64,6 +87,7 @@ def parsed_response(text) -> list[Column]:
 
 
 IMAGES = "map<string,struct<bbox:array<double>,description:string>>"
+PLACED = "map<string,struct<bbox:array<double>,description:string,type:string>>"
 
 
 def parsed_images(text) -> Column:
@@ -75,9 +99,14 @@ def parsed_images(text) -> Column:
 
 def placeholders_filled(text, crops, empty_too: bool = True) -> Column:
     """Placeholders replaced by their crop (map id to URL), in the map's order; those left over become a note."""
-    t = F.aggregate(F.map_entries(col(crops)), col(text), lambda s, e: F.replace(s, e["key"], e["value"]))
-    t = F.regexp_replace(t, r"!\[(.*?)\]\((img_placeholder_[a-zA-Z0-9_]+)\)", "> *[Image: $1]*")
-    return F.regexp_replace(t, r"!\[(.*?)\]\(\s*\)", "> *[Image: $1]*") if empty_too else t
+    return placeholders_noted(F.aggregate(F.map_entries(col(crops)), col(text), lambda s, e: F.replace(s, e["key"], e["value"])), empty_too)
+
+
+def placeholders_noted(text, empty_too: bool = False) -> Column:
+    """Placeholders, and empty links if wanted, as a note."""
+    t = F.regexp_replace(col(text), r"!\[(.*?)\]\((img_placeholder_[a-zA-Z0-9_]+)\)", "> *[Image: $1]*")
+    t = F.regexp_replace(t, r"!\[(.*?)\]\(\s*\)", "> *[Image: $1]*") if empty_too else t
+    return F.when(F.contains(col(text), F.lit("![")), t).otherwise(col(text))
 
 
 def images_resolved(text, images) -> Column:
@@ -89,12 +118,18 @@ def images_resolved(text, images) -> Column:
 
     def link(mark):
         i = F.regexp_replace(mark, r"^\{\{image:|^\[image:|\}\}$|\]$", "")
-        im = F.element_at(F.col(images), i)
+        im = F.element_at(col(images), i)
         return F.when(im.isNull() | im["decorative"], "").otherwise(F.concat(F.lit("!["), F.coalesce(F.nullif(im["description"], F.lit("")), F.concat(F.lit("Image "), i)), F.lit("]("), im["url"], F.lit(")")))
 
     return F.array_join(F.zip_with(gaps, F.transform(ids, link), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
 
 
+def placeholders_told(text) -> Column:
+    """The earlier wording for placeholders and empty links that are left over."""
+    t = F.regexp_replace(col(text), r"!\[(.*?)\]\((img_placeholder_[a-zA-Z0-9_]+)\)", "> *[Image extraction failed or coordinates missing for: $1]*")
+    return F.regexp_replace(t, r"!\[(.*?)\]\(\s*\)", "> *[Image missing: $1]*")
+
+
 def error_class(message) -> list[Column]:
     """kind, status and retryable of an error's message."""
     m = F.lower(col(message))

@@ -10,11 +10,12 @@ from pagemill.operators import sections as S
 from pagemill.plans.base import LINES_SQL, PAGED_SQL, PAGES_SQL, docs, paged, pages, query
 from pagemill.sources import corpus
 
-# Marked-up documents are derived from the plain ones by the same rule in both engines.
-MD_SQL = f"""{LINES_SQL}, mdl AS (SELECT doc_id, line_no, line_no // 4 + 1 AS page, CASE WHEN (doc_id + line_no) % 3 = 0 AND line <> '' THEN repeat('#', CAST(1 + (doc_id + line_no * 2) % 4 AS INT)) || ' ' || left(line, 20) WHEN (doc_id + line_no) % 5 = 1 THEN (line_no % 3 + 1) || '. ' || left(line, 30) ELSE line || ' [' || (line_no % 3 + 1) || ']' END AS line FROM dlines),
+# Plain documents have no marks: short lines are taken for headings, some others for footnotes, by the same rule in both engines.
+MD_SQL = f"""{LINES_SQL}, mdl AS (SELECT doc_id, line_no, line_no // 4 + 1 AS page, CASE WHEN length(line) BETWEEN 1 AND 40 THEN repeat('#', CAST(1 + (doc_id + line_no * 2) % 4 AS INT)) || ' ' || line WHEN (doc_id + line_no) % 5 = 1 THEN (line_no % 3 + 1) || '. ' || line ELSE line || ' [' || (line_no % 3 + 1) || ']' END AS line FROM dlines),
  mdp AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM mdl GROUP BY doc_id, page)"""
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-HEAD_SQL = f"""{LINES_SQL}, hd AS (SELECT doc_id, line_no AS ord, 1 + (doc_id + line_no * 2) % 4 AS level, left(line, 20) AS title, line_no // 4 + 1 AS page FROM dlines WHERE (doc_id + line_no) % 3 = 0 AND line <> '')"""
+HEAD_SQL = f"""{LINES_SQL}, hd AS (SELECT doc_id, line_no AS ord, 1 + (doc_id + line_no * 2) % 4 AS level, line AS title, line_no // 4 + 1 AS page FROM dlines WHERE length(line) BETWEEN 1 AND 40)"""
+SHORT = 40  #: characters of a line that counts as a heading
 
 
 def marked_lines(ls, doc):
@@ -22,8 +23,8 @@ def marked_lines(ls, doc):
         level = (F.lit(1) + (doc + i * 2) % 4).cast("int")
         number = (i % 3 + 1).cast("string")
         return (
-            F.when(((doc + i) % 3 == 0) & (line != ""), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.left(line, F.lit(20))))
-            .when((doc + i) % 5 == 1, F.concat(number, F.lit(". "), F.left(line, F.lit(30))))
+            F.when(F.length(line).between(1, SHORT), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), line))
+            .when((doc + i) % 5 == 1, F.concat(number, F.lit(". "), line))
             .otherwise(F.concat(line, F.lit(" ["), number, F.lit("]")))
         )
 
@@ -41,10 +42,8 @@ def marked_pages(spark, d):
 
 
 def headings(spark, d):
-    ls = corpus.exploded_lines(docs(spark, d))
-    return ls.where("(doc_id + line_no) % 3 = 0 AND line <> ''").select(
-        "doc_id", F.col("line_no").alias("ord"), (1 + (F.col("doc_id") + F.col("line_no") * 2) % 4).alias("level"), F.left("line", F.lit(20)).alias("title"), (F.floor(F.col("line_no") / 4) + 1).alias("page")
-    )
+    ls = corpus.exploded_lines(docs(spark, d)).where(F.length("line").between(1, SHORT))
+    return ls.select("doc_id", F.col("line_no").alias("ord"), (1 + (F.col("doc_id") + F.col("line_no") * 2) % 4).alias("level"), F.col("line").alias("title"), (F.floor(F.col("line_no") / 4) + 1).alias("page"))
 
 
 SECTIONS_SQL = MD_SQL + f""", hl AS (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) = 1 AS f FROM mdl),
@@ -202,12 +201,23 @@ def toc_render(spark, d):
 
 
 RENDER_SQL = "CASE WHEN title <> '' AND level > 0 THEN repeat('#', CAST(level AS INT)) || ' ' || title || chr(10) || CASE WHEN {c} <> '' THEN chr(10) ELSE '' END ELSE '' END || {c}"
-MARKED = "regexp_replace(regexp_replace(content, '\\[(\\d+)\\]', '[^\\1]', 'g'), '\\((\\d+)\\)', '[^\\1]', 'g')"
 
 
-@query("render_sections", f"WITH {SECTIONS_SQL} SELECT doc_id, page, n, md5({RENDER_SQL.format(c=MARKED)}) AS markdown_md5 FROM sec WHERE NOT regexp_matches(content, '\\^\\d|\\(\\d|\\d\\]\\(|\\[\\d\\d')")
+def marked_sql(x):
+    """The three rules for footnote marks without look-aheads: what must stay is put aside under other characters, and put back."""
+    for left, right, barred in (("\\[", "\\]", "\\("), ("\\(", "\\)", "\\[")):
+        plain = [c.strip("\\") for c in (left, right, barred)]
+        x = f"regexp_replace({x}, '{left}(\\d+){right}{barred}', chr(2) || '\\1' || chr(3), 'g')"
+        x = f"regexp_replace({x}, '{left}(\\d+){right}', '[^\\1]', 'g')"
+        x = f"regexp_replace({x}, chr(2) || '(\\d+)' || chr(3), '{plain[0]}\\1{plain[1]}{plain[2]}', 'g')"
+    x = f"regexp_replace({x}, '\\^(\\d)\\]', chr(2) || '\\1]', 'g')"
+    x = f"regexp_replace({x}, '\\^(\\d+)(\\d)\\]', '[' || chr(3) || '\\1]\\2]', 'g')"
+    return f"replace(replace(regexp_replace({x}, '\\^(\\d+)', '[' || chr(3) || '\\1]', 'g'), chr(2), '^'), chr(3), '^')"
+
+
+@query("render_sections", f"WITH {SECTIONS_SQL} SELECT doc_id, page, n, md5({RENDER_SQL.format(c='c')}) AS markdown_md5 FROM (SELECT *, {marked_sql('content')} AS c FROM sec)")
 def render_sections(spark, d):
-    return sections(spark, d).where(~F.col("content").rlike(r"\^\d|\(\d|\d\]\(|\[\d\d")).select("doc_id", "page", "n", F.md5(S.rendered(F.col("level").cast("int"), "title", "content")).alias("markdown_md5"))
+    return sections(spark, d).select("doc_id", "page", "n", F.md5(S.rendered(F.col("level").cast("int"), "title", "content")).alias("markdown_md5"))
 
 
 @query("assemble_pages", f"WITH {PAGED_SQL} SELECT doc_id, n, md5(array_to_string(pages, chr(10) || chr(10))) AS markdown_md5 FROM paged")

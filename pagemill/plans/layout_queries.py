@@ -145,14 +145,11 @@ def validate_structure_json(spark, d):
     return docs(spark, d).withColumn("answer", text).select("doc_id", *structure.validated("answer", F.lit(20)))
 
 
-RESPONSE_SQL = "'intro [Content] ' || left(text, 40) || ' [IMAGES] ```json {\"img_placeholder_1\": {\"description\": \"d' || doc_id || '\"}} ``` [SUMMARY] s' || doc_id || ' [LAST_PARAGRAPH] end ' || doc_id || ' '"
-
-
-@query("parse_response", f"SELECT doc_id, {TRIM.format("left(text, 40)")} AS content, 's' || doc_id AS summary, 'end ' || doc_id AS last_paragraph, 'img_placeholder_1:d' || doc_id || ':0.0,0.0,1000.0,1000.0:other' AS images FROM documents WHERE text IS NOT NULL AND NOT contains(left(text, 40), '[')")
+@query("parse_response", f"SELECT doc_id, {TRIM.format('text')} AS content, 's' || doc_id AS summary, 'end ' || doc_id AS last_paragraph, 'img_placeholder_1:d' || doc_id || ':0.0,0.0,1000.0,1000.0:other' AS images FROM documents WHERE text IS NOT NULL")
 def parse_response(spark, d):
     i = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("intro [Content] "), F.left("text", F.lit(40)), F.lit(' [IMAGES] ```json {"img_placeholder_1": {"description": "d'), i, F.lit('"}} ``` [SUMMARY] s'), i, F.lit(" [LAST_PARAGRAPH] end "), i, F.lit(" "))
-    got = docs(spark, d).where("text IS NOT NULL AND NOT contains(left(text, 40), '[')").withColumn("raw", raw)
+    raw = F.concat(F.lit("intro [Content] "), F.col("text"), F.lit(' [IMAGES] ```json {"img_placeholder_1": {"description": "d'), i, F.lit('"}} ``` [SUMMARY] s'), i, F.lit(" [LAST_PARAGRAPH] end "), i, F.lit(" "))
+    got = docs(spark, d).where("text IS NOT NULL").withColumn("raw", raw)
     entries = F.transform(F.map_entries(structure.parsed_images("raw")), lambda e: F.concat_ws(":", e["key"], e["value"]["description"], F.array_join(e["value"]["bbox"].cast("array<string>"), ","), e["value"]["type"]))
     return got.select("doc_id", *structure.parsed_response("raw"), F.array_join(entries, "|").alias("images"))
 
@@ -262,7 +259,7 @@ def last_paragraphs(spark, d):
 # ------------------------------------------------------------------ validation
 
 SIM_SQL = """CASE WHEN length(l) = 0 THEN 1.0::DOUBLE WHEN contains(l, s) THEN length(s)::DOUBLE / length(l) ELSE len([c FOR c IN string_split(s, '') IF contains(l, c)])::DOUBLE / length(l) END"""
-PAIR_SQL = f"""{LINES_SQL}, pr AS (SELECT doc_id, line_no, left(line, 40) AS a, left(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), 30) AS b FROM dlines)"""
+PAIR_SQL = f"""{LINES_SQL}, pr AS (SELECT doc_id, line_no, line AS a, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM dlines)"""
 
 
 @query("similarity_ratio", f"WITH {PAIR_SQL} SELECT doc_id, line_no, round({SIM_SQL}, 6) AS similarity FROM (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS l FROM pr WHERE b IS NOT NULL)")
@@ -274,7 +271,7 @@ def line_pairs(spark, d):
     from pyspark.sql import Window
 
     before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return corpus.exploded_lines(docs(spark, d)).select("doc_id", "line_no", F.left("line", F.lit(40)).alias("a"), F.left(before, F.lit(30)).alias("b")).where("b IS NOT NULL")
+    return corpus.exploded_lines(docs(spark, d)).select("doc_id", "line_no", F.col("line").alias("a"), before.alias("b")).where("b IS NOT NULL")
 
 
 def norm_sql(x):
@@ -287,18 +284,24 @@ def dice_sql(a, b):
     return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * list_sum([least(len([y FOR y IN {g(a)} IF y = x]), len([y FOR y IN {g(b)} IF y = x])) FOR x IN list_distinct({g(a)})]) / (length({a}) + length({b}) - 2) END"
 
 
-@query("dice_similarity", f"WITH {PAIR_SQL}, q AS (SELECT doc_id, line_no, regexp_replace({norm_sql('a')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('b')}, '\\s', '', 'g') AS b FROM pr WHERE b IS NOT NULL) SELECT doc_id, line_no, round({dice_sql('a', 'b')}, 6) AS similarity FROM q")
+GRAMS_SQL = "g{0} AS (SELECT doc_id, line_no, substr({0}, i, 2) AS g, count(*) AS c FROM (SELECT *, CAST(unnest(range(1, length({0}))) AS BIGINT) AS i FROM q) GROUP BY ALL)"
+
+
+@query(
+    "dice_similarity",
+    f"WITH {PAIR_SQL}, q AS (SELECT doc_id, line_no, regexp_replace({norm_sql('a')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('b')}, '\\s', '', 'g') AS b FROM pr WHERE b IS NOT NULL), {GRAMS_SQL.format('a')}, {GRAMS_SQL.format('b')}, cm AS (SELECT doc_id, line_no, sum(least(ga.c, gb.c)) AS s FROM ga JOIN gb USING (doc_id, line_no, g) GROUP BY ALL) SELECT doc_id, line_no, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(a) < 2 OR length(b) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(s, 0)::DOUBLE / (length(a) + length(b) - 2) END, 6) AS similarity FROM q LEFT JOIN cm USING (doc_id, line_no)",
+)
 def dice_similarity(spark, d):
     return line_pairs(spark, d).select("doc_id", "line_no", F.round(T.dice(T.match_normal("a"), T.match_normal("b")), 6).alias("similarity"))
 
 
 @query(
     "heading_best_match",
-    f"WITH {HEAD_SQL}, ex AS (SELECT doc_id, ord, level, left(title, 18) || ' x' AS text FROM hd WHERE ord % 2 = 0), p AS (SELECT e.doc_id, e.ord, e.level, e.text, h.title AS m, h.ord AS mo, regexp_replace({norm_sql('e.text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('h.title')}, '\\s', '', 'g') AS b FROM ex e LEFT JOIN hd h ON h.doc_id = e.doc_id AND h.level = e.level), s AS (SELECT *, round({dice_sql('a', 'b')}, 6) AS sim FROM p) SELECT doc_id, ord, level, text, m AS match, coalesce(sim, 0.0::DOUBLE) AS similarity, coalesce(sim, 0) >= 0.9 AS matched FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY sim DESC, mo) = 1",
+    f"WITH {HEAD_SQL}, ex AS (SELECT doc_id, ord, level, title || ' x' AS text FROM hd), p AS (SELECT e.doc_id, e.ord, e.level, e.text, h.title AS m, h.ord AS mo, regexp_replace({norm_sql('e.text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('h.title')}, '\\s', '', 'g') AS b FROM ex e LEFT JOIN hd h ON h.doc_id = e.doc_id AND h.level = e.level), s AS (SELECT *, round({dice_sql('a', 'b')}, 6) AS sim FROM p) SELECT doc_id, ord, level, text, m AS match, coalesce(sim, 0.0::DOUBLE) AS similarity, coalesce(sim, 0) >= 0.9 AS matched FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY sim DESC, mo) = 1",
 )
 def heading_best_match(spark, d):
     h = headings(spark, d).select("doc_id", "ord", "level", F.col("title").alias("text"))
-    expected = h.where("ord % 2 = 0").withColumn("text", F.concat(F.left("text", F.lit(18)), F.lit(" x")))
+    expected = h.withColumn("text", F.concat("text", F.lit(" x")))
     return validation.best_matches(expected, h)
 
 

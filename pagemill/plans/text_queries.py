@@ -76,7 +76,7 @@ def table_runs(spark, d):
 
 @query("text_density", f"WITH {PAGED_SQL} SELECT doc_id, a AS avg_chars, CASE WHEN a < 500 THEN 'sparse' WHEN a > 2500 THEN 'dense' ELSE 'normal' END AS density FROM (SELECT doc_id, round(list_avg([length(pages[p]) FOR p IN {FML_SQL}]), 6) AS a FROM paged)")
 def text_density(spark, d):
-    sample = F.transform(sampling.first_middle_last("n"), lambda p: F.length(F.get("pages", (p - 1).cast("int"))))
+    sample = F.transform(sampling.picked("pages", sampling.first_middle_last("n")), lambda p: F.length(p))
     got = paged(spark, d).select("doc_id", F.round(F.aggregate(sample, F.lit(0), lambda a, x: a + x) / F.size(sample), 6).alias("avg_chars"))
     return got.withColumn("density", T.density("avg_chars"))
 
@@ -140,10 +140,10 @@ def language_confusion(spark, d):
 PLAIN_SQL = """regexp_matches(text, '[\\s.,!?;:''"()\\[\\]{}]')"""
 
 
-@query("plain_text_or_base64", f"SELECT doc_id, {PLAIN_SQL} AS is_plain, base64(encode(left(text, 30))) AS encoded, CASE WHEN {PLAIN_SQL} THEN FALSE ELSE TRUE END AS is_base64 FROM documents WHERE text IS NOT NULL")
+@query("plain_text_or_base64", f"SELECT doc_id, {PLAIN_SQL} AS is_plain, md5(base64(encode(text))) AS encoded_md5, CASE WHEN {PLAIN_SQL} THEN FALSE ELSE TRUE END AS is_base64 FROM documents WHERE text IS NOT NULL")
 def plain_text_or_base64(spark, d):
     plain = F.col("text").rlike(r"""[\s.,!?;:'"()\[\]{}]""")
-    return docs(spark, d).where("text IS NOT NULL").select("doc_id", plain.alias("is_plain"), F.base64(F.encode(F.left("text", F.lit(30)), "UTF-8")).alias("encoded"), (~plain).alias("is_base64"))
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", plain.alias("is_plain"), F.md5(T.base64_text("text")).alias("encoded_md5"), (~plain).alias("is_base64"))
 
 
 INCOMPLETE_SQL = """(length(rtrim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0 AND NOT regexp_matches(rtrim(text, ' ' || chr(9) || chr(10) || chr(13)), '[.!?:;''"]$'))"""

@@ -18,18 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def page_texts(text, per_page: int = LINES_PER_PAGE):
+    """The array of a text's pages; the text is split once, whatever its length."""
+    count = lambda ls: F.ceil(F.size(ls) / per_page).cast("int")
+    page = lambda ls, i: F.array_join(F.slice(ls, i * per_page + 1, F.lit(per_page)), "\n")
+    return T.let(T.lines(text), lambda ls: F.transform(F.sequence(F.lit(0), count(ls) - 1), lambda i: page(ls, i)))
+
+
+def page_count(text, per_page: int = LINES_PER_PAGE):
+    """The number of a text's pages, without building them."""
+    return F.ceil((F.length(T.col(text)) - F.length(F.replace(T.col(text), F.lit("\n"), F.lit(""))) + 1) / per_page).cast("long")
+
+
 def paginate(docs: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
-    """(doc_id, page, text) with pages from 1; documents without text have none."""
-    ls = T.lines("text")
-    pages = F.transform(F.sequence(F.lit(0), F.ceil(F.size(ls) / per_page).cast("int") - 1), lambda i: F.array_join(F.slice(ls, i * per_page + 1, F.lit(per_page)), "\n"))
-    return docs.where("text IS NOT NULL").select("doc_id", F.posexplode(pages).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "text")
+    """(doc_id, page, text) with pages from 1; documents with a null text have none."""
+    found = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(page_texts("text", per_page)).alias("p", "text"))
+    return found.select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "text")
 
 
 def paged_documents(docs: DataFrame, per_page: int = LINES_PER_PAGE) -> DataFrame:
-    """(doc_id, n, pages): a row for each document with the array of its page texts."""
-    ls = T.lines("text")
-    pages = F.transform(F.sequence(F.lit(0), F.ceil(F.size(ls) / per_page).cast("int") - 1), lambda i: F.array_join(F.slice(ls, i * per_page + 1, F.lit(per_page)), "\n"))
-    return docs.where("text IS NOT NULL").select("doc_id", pages.alias("pages")).select("doc_id", F.size("pages").cast("long").alias("n"), "pages")
+    """(doc_id, n, pages): a row for each document with the array of its page texts; documents with a null text have none."""
+    return docs.where("text IS NOT NULL").select("doc_id", page_count("text", per_page).alias("n"), page_texts("text", per_page).alias("pages"))
 
 
 def exploded_lines(docs: DataFrame) -> DataFrame:
@@ -59,9 +68,13 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return found.orderBy("name")
 
 
-def write_markdown(documents: DataFrame, path: str) -> None:
-    """One folder of text files for each document (doc_id, markdown)."""
-    documents.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_markdown(documents: DataFrame, path: str, folders: bool = False) -> None:
+    """Documents (doc_id, markdown) as Parquet files of many documents each, or one folder with a text file for each document,
+    which only suits as many documents as a file system takes folders."""
+    if folders:
+        documents.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    else:
+        documents.select("doc_id", "markdown").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def html_to_markdown(html):

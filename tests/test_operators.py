@@ -169,7 +169,9 @@ def test_markdown_sink(spark, tmp_path):
     from pagemill.sources import corpus
 
     df = spark.createDataFrame([(1, "# A\ntext"), (2, "b")], "doc_id long, markdown string")
-    corpus.write_markdown(df, str(tmp_path / "md"))
+    corpus.write_markdown(df, str(tmp_path / "md"), folders=True)
     assert (tmp_path / "md/doc_id=1").exists()
+    corpus.write_markdown(df, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4")
     assert corpus.read_pdf_bytes(spark, str(tmp_path)).count() == 1
