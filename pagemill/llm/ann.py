@@ -2,17 +2,19 @@
 
 Vectors are scaled to length 1, rotated at random and assigned to the nearest of the
 centroids, which are fitted on a bounded sample.  A query probes its nearest lists;
-each list (hot ones in salted shares of bounded expected size) is scanned together
-with the queries that probe it, in blocks of columns: after each block, a
-hypothesis test on the partial distance abandons candidates that are too far with
-near certainty.  Survivors get their exact cosine in double precision from the
+each list (in salted shares of bounded expected size, as are the queries that probe
+it) is scanned in blocks of columns: after each block, a hypothesis test on the
+partial distance abandons candidates that are too far with near certainty.  Survivors get their exact cosine in double precision from the
 original vectors; the best of all lists win, ties to the smaller id.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors whose length differs from that of most of
-the sample; rows with a null id take no part; rows that repeat an id are candidates
-each, but a query never finds its own id; fewer candidates than asked for give all of
-them; an empty table gives an empty one.
+the sample; rows with a null id take no part; of vectors that repeat an id each is a
+candidate and, where it applies, a query, an id is found once, with its best score, and
+a query never finds its own id; ties go to the smaller id; components of any finite
+size are safe; fewer candidates than asked for give all of them; an empty table gives
+an empty one; other columns are ignored.  From 4 million vectors on the number of
+lists stays at that which the bounded sample can tell apart (1001), and lists grow.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import written
 
 RECALL = 0.97
-SHARE_ROWS = 20_000  #: expected candidates in a share of a list
+SHARE_ROWS = 20_000  #: expected candidates in a share of a list, and queries that meet them at a time
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -67,39 +69,56 @@ def probes_for(x: np.ndarray, centers: np.ndarray, k: int, queries: int = 300) -
     return int(np.quantile(ranks, RECALL, method="higher")) + 1 if ranks else 1
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two next to their largest component: directions stay to the last bit, and squares neither over- nor underflow."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1))[1][:, None]) if m.size else m
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
+    return m / np.sqrt((m * m).sum(1))[:, None]
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row by row; the same result for the same two vectors wherever they stand."""
+    q, x = scaled(q), scaled(x)
     return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
 
 def scan(q: np.ndarray, x: np.ndarray, k: int, block: int = 16, eps: float = 2.1) -> tuple[np.ndarray, np.ndarray]:
     """For one query among rotated unit vectors: the rows and squared distances of those that are not abandoned.
 
-    The k nearest so far bound the distance; of d out of D columns, a partial squared
-    distance above bound * d / D * (1 + eps / sqrt(d))**2 rejects that a candidate is within the bound.
+    Rows come in the order of their distance over the first block of columns, in parts that grow.  The k nearest so far
+    bound the distance, and the bound tightens with each part.  Of d out of D columns, a partial squared distance above
+    bound * d / D * (1 + eps / sqrt(d))**2 rejects that a candidate is within the bound.
     """
     dim, n = x.shape[1], len(x)
-    kept, part = np.arange(n), np.zeros(n)
-    first = min(n, max(64, 4 * k))
-    # A first bound from whole distances of some candidates, those that look nearest in the first block.
-    part = ((x[:, :block] - q[:block]) ** 2).sum(1)
-    if n > first and dim > block:
-        some = np.argpartition(part, first - 1)[:first]
-        whole = part[some] + ((x[some, block:] - q[block:]) ** 2).sum(1)
+    first = ((x[:, :block] - q[:block]) ** 2).sum(1)
+    size = max(64, 4 * k)
+    if n <= size or dim <= block:
+        return np.arange(n), first + ((x[:, block:] - q[block:]) ** 2).sum(1)
+    steps = [m for m in (size, 64 * size, 4096 * size) if m < n]
+    order = np.argpartition(first, [m - 1 for m in steps])
+    rows = [order[:size]]
+    found = [first[rows[0]] + ((x[rows[0], block:] - q[block:]) ** 2).sum(1)]
+    for a, b in zip(steps, [*steps[1:], n], strict=True):
+        whole = np.concatenate(found)
         bound = np.partition(whole, k - 1)[k - 1]
-        done = block
-        while done < dim:
-            near = part <= bound * done / dim * (1 + eps / np.sqrt(done)) ** 2 + 1e-9
+        kept, done = order[a:b], block
+        part = first[kept]
+        while True:
+            near = part <= (bound * done / dim * (1 + eps / np.sqrt(done)) ** 2 if done < dim else bound) + 1e-9
             kept, part = kept[near], part[near]
+            if done == dim or not len(kept):
+                break
             to = min(dim, done + block)
             part = part + ((x[kept, done:to] - q[done:to]) ** 2).sum(1)
             done = to
-            if done == dim:
-                near = part <= bound + 1e-9
-                kept, part = kept[near], part[near]
-    else:
-        part = part + ((x[:, block:] - q[block:]) ** 2).sum(1)
-    return kept, part
+        rows.append(kept)
+        found.append(part)
+    rows, found = np.concatenate(rows), np.concatenate(found)
+    near = found <= np.partition(found, k - 1)[k - 1] + 1e-9
+    return rows[near], found[near]
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None = None, sample_rows: int = 20_000, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -122,7 +141,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None =
     base = base.where(F.size("v") == dim)
     known = np.array([x for x in sample["v"].to_pylist() if len(x) == dim])
     turn = rotation(dim)
-    unit = lambda m: m / np.sqrt((m * m).sum(1))[:, None]
     total = base.count()
     # Lists grow with the root of the input up to what the sample can tell apart.
     lists = int(min(max(1, np.sqrt(total) / 2), len(known) / 20 + 1))
@@ -141,15 +159,20 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None =
             m = _matrix(b.column("v"))
             if len(m):
                 near = np.argsort(-(unit(m) @ turn @ centers.T - (centers * centers).sum(1) / 2), axis=1, kind="stable")[:, :asked]
-                rows = np.repeat(np.arange(len(m)), asked)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), b.column("vec_id").take(pa.array(rows)), b.column("v").take(pa.array(rows))], ["list", "vec_id", "v"])
-
-    kind = "list int, vec_id long, v array<double>"
-    index = written(base.mapInArrow(assign, kind), "index")
-    sizes = index.groupBy("list").count().withColumn("shares", F.ceil(F.col("count") / SHARE_ROWS).cast("int")).drop("count")  # a row for each list
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+
+    index = written(base.mapInArrow(assign, "list int, vec_id long, v array<double>"), "index")
+    probes_of = base.where(F.col("vec_id") % every == 0).mapInArrow(probe, "vec_id long, v array<double>, lists array<int>")
+    probes_of = written(probes_of, "probes")
+    # A row for each list: into how many parts its vectors, and the queries that probe it, are dealt.
+    parts = lambda n: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / SHARE_ROWS), F.lit(1)).cast("int")
+    asking = probes_of.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("held")).join(asking, "list").select("list", parts(F.col("held")).alias("shares"), parts(F.col("asked")).alias("turns"))
     sizes = F.broadcast(sizes)
-    stored = index.join(sizes, "list").withColumn("share", F.pmod(F.xxhash64("vec_id"), "shares").cast("int"))
-    queries = base.where(F.col("vec_id") % every == 0).mapInArrow(probe, kind).join(sizes, "list").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    stored = index.join(sizes, "list").withColumn("share", part("shares", 1)).withColumn("turn", each("turns"))
+    queries = probes_of.withColumn("list", F.explode("lists")).join(sizes, "list").withColumn("turn", part("turns", 2)).withColumn("share", each("shares"))
 
     def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -177,6 +200,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None =
                 out[2] += s[best].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    found = queries.select("list", "share", "vec_id", "v").groupBy("list", "share").cogroup(stored.select("list", "share", "vec_id", "v").groupBy("list", "share")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    cell = ["list", "share", "turn"]
+    found = queries.select(*cell, "vec_id", "v").groupBy(*cell).cogroup(stored.select(*cell, "vec_id", "v").groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # of ids that repeat
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
