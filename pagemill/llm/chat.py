@@ -10,8 +10,8 @@ roles and texts get a backslash after their first character, and backslashes are
 doubled, so that ``parse`` gives back every turn exactly.
 
 Defined cases: a null role or text counts as empty; rows with equal turn are
-ordered by role and text; repeated rows stay; a null turn sorts first; an empty
-table gives an empty one; other columns are ignored.  The output is one string a
+ordered by role and text; repeated rows stay; a null turn sorts first; a row with a
+null id is a conversation of its own (they are never gathered); an empty table gives an empty one; other columns are ignored.  The output is one string a
 conversation, so one conversation has to fit a row (2 GB): rows are collected map
 side first, and nothing wider than a conversation meets in a task.
 """
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import let, prefix
+
 OPEN, ROLE_END, SEP, CLOSE = "<s>[INST]", "[/INST]", "<sep>", "</s>"
 
 
@@ -38,9 +40,10 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
     one for each turn of a role in loss_roles."""
     turns = df.select(
         F.col(conv_id).alias("conv_id"),
+        F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"),
     )
-    got = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    got = turns.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     n = F.size("ts")
     # The first turn of each block of one role, then the blocks as slices of the sorted turns.
     begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ts", i)["role"] != F.get("ts", i - 1)["role"]))
@@ -73,18 +76,15 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
     )
     got = got.withColumn("pieces", pieces)
     formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(CLOSE))
-    placed = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["mark"]) + F.length(p["text"])).cast("long").alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["mark"])).cast("long").alias("start"), (acc["at"] + F.length(p["mark"]) + F.length(p["text"])).cast("long").alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return got.select("conv_id", formatted.alias("formatted"), placed["spans"].alias("loss_spans"))
+    long = lambda x: x.cast("long")
+
+    def placed(sizes):
+        before = prefix(F.transform(sizes, lambda x: x["mark"] + x["text"]), lambda a, b: a + b)
+        spans = F.zip_with(sizes, before, lambda x, at: F.struct(long(at + x["mark"]).alias("start"), long(at + x["mark"] + x["text"]).alias("end"), x["loss"].alias("loss")))
+        return F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"], x["end"]))
+
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["mark"]).alias("mark"), F.length(p["text"]).alias("text"), p["loss"].alias("loss")))
+    return got.select("conv_id", formatted.alias("formatted"), let(sizes, placed).alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:

@@ -8,16 +8,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a fresh local one only where it is unset (tests)."""
+    """The folder that the cluster names for checkpoints; a fresh local one only where it is unset and all runs on one machine (tests)."""
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that all executors share")
         named = getattr(spark, "_pagemill_dir", None) or "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark._pagemill_dir = named
     return named.rstrip("/")
@@ -35,6 +37,25 @@ def crc_mod(col, m: int = 5):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)
 
 
+# ---------------------------------------------------------------- expressions
+
+
+def prefix(values: Column, combine, zero: int = 0, chunk: int = 256) -> Column:
+    """What an associative combine makes of all values before each one; in chunks, as an array that grows is copied at each step."""
+
+    def walk(array, value):
+        start = F.struct(F.lit(zero).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(array, start, lambda acc, x: F.struct(combine(acc["at"], value(x)).cast("long").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / chunk).cast("int")), lambda k: walk(F.slice(v, k * chunk + 1, F.lit(chunk)), lambda x: x))
+    joined = lambda own: let(walk(own, lambda x: x["at"])["out"], lambda heads: F.flatten(F.transform(own, lambda c, k: F.transform(c["out"], lambda x: combine(F.get(heads, k), x)))))
+    return let(values, lambda v: let(chunks(v), joined))
+
+
+def let(value: Column, f) -> Column:
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 # ---------------------------------------------------------------- text buffers
 
 SEPARATOR = np.zeros(256, bool)
@@ -121,17 +142,6 @@ def row_sums(values: np.ndarray, bounds: np.ndarray, how=np.add, empty=0):
     return out
 
 
-def arrow_rows(df: DataFrame, f, schema: str) -> DataFrame:
-    """f: RecordBatch -> RecordBatch or list of them, over all batches."""
-
-    def run(batches):
-        for batch in batches:
-            got = f(batch)
-            yield from got if isinstance(got, (list, tuple)) else [got]
-
-    return df.mapInArrow(run, schema)
-
-
 def slices(batch, column: str, limit: int = 1 << 20):
     """The batch in slices of whole rows with about limit bytes of text each; a longer text makes a slice of its own."""
     at, (_, offsets) = 0, buffer_of(batch.column(column))

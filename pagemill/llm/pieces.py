@@ -2,8 +2,9 @@
 
 The distinct words of a batch of texts are concatenated and indexed by a suffix
 array (sorted as deep as the longest piece).  Every piece of the vocabulary is
-binary-searched for its range of occurrences; the resulting edges are sorted into
-place by position, and relaxed as the model's merge order demands: in rounds, each
+binary-searched for its range of occurrences; the resulting edges are put in order of
+position and length (into a table with a row for each position), and relaxed as the
+model's merge order demands, which is not that of a shortest path: in rounds, each
 word takes its edge of best score that spans two adjacent symbols.  Characters
 without a piece fall back to bytes.  Decoding joins the bytes of the pieces.
 
@@ -13,8 +14,10 @@ normalisation, a prefix space and byte fallback; others are refused.
 
 Defined cases: null and empty texts have no tokens, and decode to null and empty;
 a text's own U+2581 decodes to a space, as the format has it (its round trip is
-told false); repeated rows are encoded each; an empty table gives an empty one;
-other columns stay.
+told false); repeated rows are encoded each; an empty table gives an empty one; other
+columns stay, but for token_ids, n_tokens and round_trip (text in ``detokenized``),
+which are replaced.  Texts are taken in pieces of a few MB; a longer text is taken
+whole, and so is a word, at about 250 bytes of memory a character.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from pagemill.llm.common import mixed, powers
 
@@ -269,3 +272,18 @@ def tokenized(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), tokens, pa.array(np.diff(offsets), pa.int32()), pa.array(same, pa.bool_())], [*kept, *names])
 
     return docs.mapInArrow(run, StructType([*fields, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()), StructField("round_trip", BooleanType())]))
+
+
+def detokenized(tokens: DataFrame, ids: str = "token_ids", name: str = "text", model: str = MODEL) -> DataFrame:
+    """tokens with the text that each row's ids decode to; null ids give null."""
+    v = Vocabulary.read(model)
+    fields = [f for f in tokens.schema.fields if f.name != name]
+    kept = [f.name for f in fields]
+    shared = tokens.sparkSession.sparkContext.broadcast(v)  # the model's fixed vocabulary
+
+    def run(batches):
+        for b in batches:
+            texts = [None if x is None else decode(shared.value, x) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, name])
+
+    return tokens.mapInArrow(run, StructType([*fields, StructField(name, StringType())]))

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import written
+from pagemill.llm.common import let, prefix, written
 
 
 @dataclass(frozen=True)
@@ -124,22 +124,6 @@ def trigram_query(pattern: str) -> frozenset | None:
     return _walk(rp.parse(pattern))[1]
 
 
-def prefix(values: Column, combine, zero: int = 0, chunk: int = 256) -> Column:
-    """What an associative combine makes of all values before each one; in chunks, as an array that grows is copied at each step."""
-
-    def walk(array, value):
-        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(array, start, lambda acc, x: F.struct(combine(acc["at"], value(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
-
-    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / chunk).cast("int")), lambda k: walk(F.slice(v, k * chunk + 1, F.lit(chunk)), lambda x: x))
-    joined = lambda own: _let(walk(own, lambda x: x["at"])["out"], lambda heads: F.flatten(F.transform(own, lambda c, k: F.transform(c["out"], lambda x: combine(F.get(heads, k), x)))))
-    return _let(values, lambda v: _let(chunks(v), joined))
-
-
-def _let(value: Column, f) -> Column:
-    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
-
-
 SPAN = "array<struct<start:int,order:int,end:int>>"
 
 
@@ -156,7 +140,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         kept = F.filter(spans, lambda x: (x["shown"] >= rule.least) & (x["end"] > x["start"]))  # the last gap has no match after it
         return F.transform(kept, lambda x: F.struct(x["start"], x["order"], x["end"]))
 
-    return F.when(text.rlike(rule.pattern), _let(sizes, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(rule.pattern), let(sizes, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 SALTS = 16  #: parts that the rows of one text are dealt to
@@ -170,7 +154,7 @@ def index(texts: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
     """
     blocks = max(1, -(-texts.count() // LIST_ROWS))
     low = F.lower(F.col(text))  # may fold more than A-Z, which only adds candidates
-    has = _let(low, lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
+    has = let(low, lambda t: F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(t, g)))
     hits = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.explode(has).alias("gram"))
     return hits.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
@@ -236,7 +220,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]", segment: int = 4
 
     cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / segment).cast("int")), lambda k: F.substr(text, k * segment + 1, F.lit(segment)))
     both = F.struct(cut.alias("parts"), prefix(F.transform(spans, lambda s: s["end"]), F.greatest).alias("before"))
-    return F.when(F.size(spans) > 0, _let(both, of)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(both, of)).otherwise(text)
 
 
 def listed(spans: Column) -> Column:

@@ -4,6 +4,9 @@ Two fingerprints within ``radius`` bits share a variant within half the radius o
 both.  Emitting the whole ball of every fingerprint (2081 variants of 64 bits) is
 only needed where many fingerprints crowd together, so it comes second:
 
+(That emitting it for all is too much is computed, not measured: see the README;
+``links(fps, crowd=0)`` does so.)
+
 1. One of the two 32-bit halves of linked fingerprints differs in at most half the
    radius.  Every distinct fingerprint emits, for each half, the ball of half of
    *that* radius (33 variants); rows are shuffled on variants, and within a group
@@ -19,7 +22,9 @@ before anything is emitted.
 Defined cases: null and empty texts have no words and fingerprint zero, which links
 like any other; a text of fewer words than a shingle is one shingle; rows with a
 null id are returned with a null component and link nothing; repeated rows are
-returned as often as they occur; an empty table gives an empty one.
+returned as often as they occur; equal fingerprints are one; an empty table gives an
+empty one; other columns are ignored, and stay in ``deduplicated``.  A very long text
+is worked on whole, in about 45 times its bytes of memory, other texts a MB at a time.
 """
 
 from __future__ import annotations

@@ -9,9 +9,9 @@ these, and all rows are scored by the trees as one expression.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, still
 gets features, and is judged by the trees; without training rows of both classes
-every margin is the prior's; empty tables give empty results; other columns stay
-unless the outputs' names (host, path, rule, verdict, ...) replace them; repeated
-rows are judged alike.
+every margin is the prior's; empty tables give empty results; other columns stay,
+whatever their names, but for those of OUTPUTS, which are replaced; repeated rows are
+judged alike; very long urls are judged whole.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ def rule_column(rules: list[Rule]) -> Column:
     return out
 
 
+OUTPUTS = ("host", "path", "rule", "verdict", "block_score")
 FEATURES = ("url_chars", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "host_chars", "suffix_rate", "suffix_rows")
 
 
@@ -168,15 +169,18 @@ def judge(df: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, u
     labelled: (url, label) with label 1 for block; by default the rows of df that a
     rule judges, labelled by its verdict.
     """
-    parts = with_parts(df, url).withColumn("rule", rule_column(rules))
+    names = [f"c{k}" for k in range(len(df.columns))]  # whatever df's columns are called
+    own = names[df.columns.index(url)]
+    parts = with_parts(df.toDF(*names), own).withColumn("rule", rule_column(rules))
     blocks = [r.text for r in rules if r.verdict == "block"]
     if labelled is None:
-        labelled = parts.where(F.col("rule").isNotNull()).select(F.col(url).alias("url"), F.col("rule").isin(*blocks).cast("int").alias("label"))
+        labelled = parts.where(F.col("rule").isNotNull()).select(F.col(own).alias("url"), F.col("rule").isin(*blocks).cast("int").alias("label"))
         model, suffixes = train(labelled, **options)
     else:
         model, suffixes = train(labelled, url, **options)
-    rated = with_features(parts, url).join(F.broadcast(suffixes), "suffix", "left")  # max_rows suffixes at most
+    rated = with_features(parts, own).join(F.broadcast(suffixes), "suffix", "left")  # max_rows suffixes at most
     prior = 1 / (1 + math.exp(-model.prior))
     rated = rated.fillna({"suffix_rate": prior, "suffix_rows": 0.0}).withColumn("block_score", 1 / (1 + F.exp(-model.margin())))
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin(*blocks), "block").otherwise("allow")).otherwise(F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return rated.withColumn("verdict", verdict).drop("suffix", *FEATURES)
+    kept = [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True) if c not in OUTPUTS]
+    return rated.withColumn("verdict", verdict).select(*kept, *OUTPUTS)

@@ -135,6 +135,36 @@ def test_ann_odd(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_ann_odd_sizes_and_ids(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e200, 1e200]), (2, [0.0, 5e-324]), (3, [-1e-200, 1e-200])]
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == pytest.approx({(0, 1): 0.5**0.5, (0, 2): 0.0, (0, 3): -(0.5**0.5)})
+    twice = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.2, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = ann.search(twice).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2)] and got[1].score == pytest.approx(1 / 1.04**0.5)
+
+
+def test_scan_by_brute_force():
+    rng = np.random.default_rng(3)
+    x = ann.unit(rng.normal(size=(20_000, 64)))
+    hits = 0
+    for q in x[:40]:
+        kept, part = ann.scan(q, x, 6)
+        d = ((x - q) ** 2).sum(1)
+        assert np.allclose(part, d[kept])
+        hits += len(set(np.argsort(d)[:6].tolist()) & set(kept.tolist()))
+        assert len(kept) < 200
+    assert hits >= 0.95 * 240
+
+
+def test_ann_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(600, 8)).tolist())], "vec_id long, embedding array<double>")
+    want = ann.search(df, every=3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ann, "SHARE_ROWS", 7)
+    assert ann.search(df, every=3).orderBy("query_id", "rank").collect() == want
+
+
 # ------------------------------------------------------------ 3: pieces
 
 
@@ -167,6 +197,8 @@ def test_pieces_odd(spark, odd):
     got = pieces.tokenized(odd).collect()
     assert len(got) == len(ODD) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got) and got[1].token_ids == []
     assert pieces.tokenized(odd.where("false")).count() == 0
+    back = pieces.detokenized(pieces.tokenized(odd.withColumn("token_ids", F.lit("mine"))).drop("text"))
+    assert sorted((r.doc_id or 0, r.text) for r in back.collect()) == sorted((i or 0, t or "") for i, t in ODD)
 
 
 # ------------------------------------------------------------ 4: decontamination
@@ -280,6 +312,9 @@ def test_urls_odd(spark):
     got = {r.page_id: (r.host, r.path, r.rule) for r in urls.judge(df, queries.URL_RULES).collect()}
     assert got[1] == got[2] == got[3] == ("", "", None) and got[4] == ("a.example.com", "/En/x", "com/") and got[5] == ("net", "", None) and got[6] == ("b.net", "/es/", "net/es/") and got[7][2] is None
     assert urls.judge(df.where("false"), queries.URL_RULES).count() == 0
+    clash = df.selectExpr("page_id", "url", "1 AS depth", "2 AS suffix_rate", "3 AS labels", "4 AS suffix", "5 AS verdict", "6 AS _h")
+    first = urls.judge(clash, queries.URL_RULES).first()
+    assert (first.depth, first.suffix_rate, first.labels, first.suffix, first["_h"]) == (1, 2, 3, 4, 6) and first.verdict in ("allow", "block")
     labelled = spark.createDataFrame([(f"http://s{i}.org/{'9' * (i % 2 * 9)}", i % 2) for i in range(60)], "url string, label int")
     judged = urls.judge(labelled, [], labelled).collect()
     assert all((r.verdict == "block") == (r.label == 1) for r in judged)
@@ -313,6 +348,14 @@ def test_chat_odd(spark):
         assert [got[c].formatted[s.start : s.end] for s in got[c].loss_spans] == [re.sub(r"([<\[])(/?(?:s>|sep>|INST\]))", r"\1\\\2", x.replace("\\", "\\\\")) for _, r, x in own if r == "assistant"]
     assert got[9].formatted.count("[INST]") == 1  # two turns of one role: one block
     assert chat.format_conversations(df.where("false")).count() == 0
+    alone = spark.createDataFrame([(None, 1, "user", "a"), (None, 2, "user", "b"), (None, 1, "user", "a")], "conv_id long, turn long, role string, text string")
+    assert sorted(r.formatted for r in chat.format_conversations(alone).collect()) == ["<s>[INST]user[/INST]a</s>"] * 2 + ["<s>[INST]user[/INST]b</s>"]
+
+
+def test_long_conversation(spark):
+    df = spark.range(3000).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'assistant', 'user') AS role", "CONCAT('t', id) AS text")
+    r = chat.format_conversations(df).first()
+    assert [r.formatted[s.start : s.end] for s in r.loss_spans] == [f"t{i}" for i in range(0, 3000, 3)]
 
 
 # ------------------------------------------------------------ 8: language model
