@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.table(spark, d, "documents").select("doc_id", "text")
+    return corpus.spread(corpus.table(spark, d, "documents").select("doc_id", "text"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:

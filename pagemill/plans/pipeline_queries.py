@@ -47,7 +47,7 @@ def adaptive_mix(spark, d):
 
 @query("html_to_markdown")
 def html_to_markdown(spark, d):
-    return corpus.table(spark, d, "pages").select("page_id", corpus.html_to_markdown("html").alias("markdown"))
+    return corpus.spread(corpus.table(spark, d, "pages").select("page_id", "html")).select("page_id", corpus.html_to_markdown("html").alias("markdown"))
 
 
 def flaky(row: dict) -> str:

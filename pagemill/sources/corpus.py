@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores if its files make fewer partitions than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def page_texts(text, per_page: int = LINES_PER_PAGE):
     """The array of a text's pages; the text is split once, whatever its length."""
     count = lambda ls: F.ceil(F.size(ls) / per_page).cast("int")
