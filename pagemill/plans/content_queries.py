@@ -225,12 +225,6 @@ def assemble_pages(spark, d):
     return paged(spark, d).select("doc_id", "n", F.md5(F.array_join("pages", "\n\n")).alias("markdown_md5"))
 
 
-@query("assemble_document")
-def assemble_document(spark, d):
-    all_ = F.flatten(F.transform("pages", lambda t: S.parse(S.without_footnotes(t))))
-    return marked(spark, d).select("doc_id", S.assembled(all_).alias("markdown"))
-
-
 @query("headings_by_level", f"WITH {HEAD_SQL} SELECT doc_id, {', '.join(f'CAST(count(*) FILTER (level = {k}) AS BIGINT) AS h{k}' for k in range(1, 7))}, greatest(1, max(level)) AS max_depth FROM hd GROUP BY doc_id")
 def headings_by_level(spark, d):
     return headings(spark, d).groupBy("doc_id").agg(*(F.count_if(F.col("level") == k).cast("long").alias(f"h{k}") for k in range(1, 7)), F.greatest(F.lit(1), F.max("level")).cast("long").alias("max_depth"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.operators import execution, pipelines
+from pagemill.operators import sections as S
 from pagemill.plans.base import PAGED_SQL, paged, pages, query
+from pagemill.plans.content_queries import DEFS, MD_SQL, TRIM, marked
+from pagemill.plans.conversion_sql import FULL, HTML, INTELLIGENT, LIGHT, organized
 from pagemill.plans.text_queries import FACTORS_SQL, PLAN_SQL, presence_sql
 from pagemill.sources import corpus
 
@@ -14,38 +17,51 @@ def digest(df):
     return df.select("doc_id", F.md5("markdown").alias("markdown_md5"), "language", "n_pages", "pipeline")
 
 
-@query("convert_direct", "WITH {2} SELECT doc_id, md5(array_to_string(pages, chr(10) || chr(10))) AS markdown_md5, {1} AS language, n AS n_pages, 'direct' AS pipeline FROM (SELECT *, {0} FROM paged)".format(*presence_sql("pages[1]"), PAGED_SQL))
+DIRECT = "WITH {2} SELECT doc_id, md5(array_to_string(pages, chr(10) || chr(10))) AS markdown_md5, {1} AS language, n AS n_pages, 'direct' AS pipeline FROM (SELECT *, {0} FROM paged)".format(*presence_sql("pages[1]"), PAGED_SQL)
+ADAPTIVE = f"WITH {FACTORS_SQL}, {PLAN_SQL} " + " UNION ALL ".join(f"SELECT c.* FROM ({x}) c JOIN plan p ON p.doc_id = c.doc_id AND p.pipeline = c.pipeline" for x in (DIRECT, LIGHT, FULL, INTELLIGENT))
+
+
+@query("convert_direct", DIRECT)
 def convert_direct(spark, d):
     return digest(pipelines.convert(paged(spark, d), "direct"))
 
 
-@query("convert_light")
+@query("convert_light", LIGHT)
 def convert_light(spark, d):
     return digest(pipelines.convert(paged(spark, d), "light"))
 
 
-@query("convert_full")
+@query("convert_full", FULL)
 def convert_full(spark, d):
     return digest(pipelines.convert(paged(spark, d), "full"))
 
 
-@query("convert_intelligent")
+@query("convert_intelligent", INTELLIGENT)
 def convert_intelligent(spark, d):
     return digest(pipelines.convert(paged(spark, d), "intelligent"))
 
 
-@query("convert_adaptive")
+@query("convert_adaptive", ADAPTIVE)
 def convert_adaptive(spark, d):
     return digest(pipelines.adaptive(paged(spark, d)))
 
 
+MARKED = f"WITH {MD_SQL}, {organized('SELECT doc_id, page, ' + TRIM.format(f"regexp_replace(regexp_replace(text, {DEFS}, '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')") + " AS text, '' AS last FROM mdp", 6, False, False)} SELECT doc_id, markdown FROM mg"
+
+
+@query("assemble_document", MARKED)
+def assemble_document(spark, d):
+    all_ = F.flatten(F.transform("pages", lambda t: S.parse(S.without_footnotes(t))))
+    return marked(spark, d).select("doc_id", S.assembled(all_).alias("markdown"))
+
+
 @query("adaptive_mix", f"WITH {FACTORS_SQL}, {PLAN_SQL} SELECT pipeline, CAST(count(*) AS BIGINT) AS documents, CAST(sum(page_count) AS BIGINT) AS n_pages FROM plan GROUP BY pipeline")
 def adaptive_mix(spark, d):
     got = pipelines.with_plan(paged(spark, d))
     return got.groupBy("pipeline").agg(F.count(F.lit(1)).cast("long").alias("documents"), F.sum("n").cast("long").alias("n_pages"))
 
 
-@query("html_to_markdown")
+@query("html_to_markdown", f"SELECT page_id, {HTML} AS markdown FROM pages")
 def html_to_markdown(spark, d):
     return corpus.spread(corpus.table(spark, d, "pages").select("page_id", "html")).select("page_id", corpus.html_to_markdown("html").alias("markdown"))
 
