@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import ann, chat, decontaminate, lm, pieces, quality, secrets, simhash, toxicity, urls
 from pagemill.llm.common import crc_mod
+from pagemill.llm.oracles import ORACLES  # noqa: F401 of this module's queries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,5 +91,3 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
-
-ORACLES: dict[str, str] = {}

@@ -48,6 +48,19 @@ def held_out(got, labels):
     return auc(np.array([a for a, _ in rows]), np.array([b for _, b in rows]))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, d), con.sql(queries.ORACLES[name])
+    at = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 # ------------------------------------------------------------ 1 and 5: classifiers
 
 
