@@ -86,8 +86,9 @@ def _pages(provider: LiveProvider, retry, pages: list[str], first: int, shared:
     return out
 
 
-def _windows(provider: LiveProvider, retry, row: dict, gap: float) -> list[dict]:
-    """Windows converted one after the other: as a whole where the provider can, else page by page."""
+def _windows(provider: LiveProvider, retry, row: dict, gap: float, parallel: int = 0) -> list[dict]:
+    """Windows converted as a whole where the provider can, else page by page: one after the other, each told of the one
+    before, or so many together, told of none; in order either way."""
     pages, plan, headings = row["pages"], row["_plan"], row["_headings"] or []
     total, previous, summary = len(pages), "", ""
     starts = [h["page"] for h in headings]
@@ -112,10 +113,11 @@ def _windows(provider: LiveProvider, retry, row: dict, gap: float) -> list[dict]
             told, error = execution.captured(retry, provider.summarize, text, 300)
             failed = next((p["error"] for p in parts if p["error"]), error)
             done = _empty(failed) | {"content": text, "summary": told or ""}
-        previous, summary = done.get("last_paragraph") or done["content"][-500:], done["summary"] or ""
+        if not parallel:
+            previous, summary = done.get("last_paragraph") or done["content"][-500:], done["summary"] or ""
         return done
 
-    return execution.in_sequence(one, plan, gap)
+    return execution.in_order(one, plan, parallel) if parallel else execution.in_sequence(one, plan, gap)
 
 
 def _step(df: DataFrame, name: str, call, kind: str | None, **limits) -> DataFrame:
@@ -131,7 +133,7 @@ def _told(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("errors", F.concat("errors", failed))
 
 
-def recorded(paged: DataFrame, provider: LiveProvider, pipeline: str, size: int = 50, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None, at_once: int = 3) -> DataFrame:
+def recorded(paged: DataFrame, provider: LiveProvider, pipeline: str, size: int = 50, parallel: int = 0, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None, at_once: int = 3) -> DataFrame:
     """paged with the answers that a pipeline's expressions read (see providers.Recorded), and errors."""
     pages, n = F.col("pages"), F.col("n")
     retry = lambda call, *args: execution.with_retry(execution.within, timeout, call, *args, waits=waits)
@@ -180,7 +182,7 @@ def recorded(paged: DataFrame, provider: LiveProvider, pipeline: str, size: int
     if pipeline == "light":
         return page_calls(df, lambda row: {"language": (row["_analysis"] or {}).get("language"), **row["_edges"]}).drop("_edges")
     df = df.withColumn("_plan", pipelines.window_plan(pages, n, F.col("_headings"), size))
-    return _told(_step(df, "_windows", lambda row: json.dumps(_windows(provider, retry, _plain(row), gap)), CONVERTED, **limits), "_windows").drop("_edges", "_plan")
+    return _told(_step(df, "_windows", lambda row: json.dumps(_windows(provider, retry, _plain(row), gap, parallel)), CONVERTED, **limits), "_windows").drop("_edges", "_plan")
 
 
 def convert(paged: DataFrame, provider: LiveProvider, pipeline: str, **limits) -> DataFrame:

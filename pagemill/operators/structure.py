@@ -86,6 +86,13 @@ def parsed_response(text) -> list[Column]:
     ]
 
 
+def parsed_legacy(text) -> list[Column]:
+    """content and images (map of bbox arrays) of the earlier marks; without a content mark the whole text is content."""
+    t = col(text)
+    content = F.when(t.rlike(r"(?i)\[CONTENT\]"), T.trimmed(F.regexp_extract(t, r"(?si)\[CONTENT\](.*?)(?:\[COORDINATES\]|$)", 1))).otherwise(t)
+    return [content.alias("content"), F.from_json(F.regexp_extract(t, r"(?si)\[COORDINATES\]\s*```json(.*?)```", 1), "map<string,array<double>>").alias("images")]
+
+
 IMAGES = "map<string,struct<bbox:array<double>,description:string>>"
 PLACED = "map<string,struct<bbox:array<double>,description:string,type:string>>"
 

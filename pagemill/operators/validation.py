@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
@@ -52,3 +52,21 @@ def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS) ->
 def image_url_ok(url) -> Column:
     u = col(url)
     return F.when(u.startswith("data:image/"), F.length(u) > 50).when(u.rlike("^https?://"), True).when(u.startswith("./") | u.startswith("/"), True).otherwise(u.rlike(r"(?i)^[\w-]+\.(png|jpg|jpeg|gif|webp|svg)$"))
+
+
+def structure_report(expected: DataFrame, actual: DataFrame, least: float = PASS) -> DataFrame:
+    """(doc_id, h1 ... h6, hierarchy_errors, hierarchy_valid, expected, matched): actual headings by level, levels that skip one,
+    and how many expected headings (both: doc_id, ord, level, text) have a match; documents of either table."""
+    before = F.lag("level").over(Window.partitionBy("doc_id").orderBy("ord"))
+    skips = actual.select("doc_id", "level", ((before > 0) & (F.col("level") > before + 1)).alias("skips"))
+    counts = skips.groupBy("doc_id").agg(*(F.count_if(F.col("level") == k).cast("long").alias(f"h{k}") for k in range(1, 7)), F.count_if("skips").cast("long").alias("hierarchy_errors"))
+    found = best_matches(expected, actual, least).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("expected"), F.count_if("matched").cast("long").alias("matched"))
+    both = counts.join(found, "doc_id", "full")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in (*(f"h{k}" for k in range(1, 7)), "hierarchy_errors", "expected", "matched")]
+    return both.select("doc_id", *numbers).withColumn("hierarchy_valid", F.col("hierarchy_errors") == 0)
+
+
+def content_report(actual, expected, tolerance: int = 1) -> list[Column]:
+    """From structs with images, tables and code_blocks: whether each number is within the tolerance, and all of them."""
+    ok = {x: within(col(actual)[x], col(expected)[x], tolerance) for x in ("images", "tables", "code_blocks")}
+    return [*(v.alias(f"{k}_ok") for k, v in ok.items()), (ok["images"] & ok["tables"] & ok["code_blocks"]).alias("content_ok")]

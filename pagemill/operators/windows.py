@@ -38,3 +38,14 @@ def percent(k, total) -> Column:
 def expected(total, pages, start, end) -> Column:
     """The window's share of a document-wide estimate, rounded up."""
     return F.ceil(col(total) / F.when(col(pages) == 0, 1).otherwise(col(pages)) * (col(end) - col(start) + 1)).cast("long")
+
+
+def continued(headings, start) -> Column:
+    """The title of the last heading (array<struct<level,title,page>>, in order) of level 1 or 2 before a window; null on page 1."""
+    before = F.filter(col(headings), lambda h: (h["page"] < col(start)) & (h["level"] <= 2))
+    return F.when(col(start) > 1, F.get(before, F.size(before) - 1)["title"])
+
+
+def goes_on(spans, start, end) -> Column:
+    """Whether a section (array<struct<start,end>>) of the window ends after it."""
+    return F.exists(col(spans), lambda s: (s["start"] <= col(end)) & (s["end"] >= col(start)) & (s["end"] > col(end)))

@@ -232,6 +232,19 @@ def window_context(spark, d):
     return planned_windows(spark, d).select("doc_id", "win", windows.percent("win", total).alias("percent"), windows.expected((F.col("doc_id") % 17).cast("double"), "n", "start_page", "end_page").alias("images"))
 
 
+@query(
+    "window_sections",
+    f"WITH {PLAN_SQL}, sx AS (SELECT h.doc_id, h.ord, h.level, h.title, h.page AS s, coalesce(lead(h.page) OVER (PARTITION BY h.doc_id ORDER BY h.ord) - 1, n) AS e FROM hd h JOIN tot USING (doc_id)) SELECT w.doc_id, w.win, CASE WHEN w.start_page > 1 THEN arg_max(x.title, x.ord) FILTER (x.s < w.start_page AND x.level <= 2) END AS continued, coalesce(bool_or(x.s <= w.end_page AND x.e >= w.start_page AND x.e > w.end_page), FALSE) AS goes_on FROM wn w LEFT JOIN sx x USING (doc_id) GROUP BY w.doc_id, w.win, w.start_page",
+)
+def window_sections(spark, d):
+    from pagemill.plans.content_queries import section_tree
+
+    h = section_tree(spark, d).join(headings(spark, d).select("doc_id", "ord", "title"), ["doc_id", "ord"])
+    per = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "level", "title", F.col("start_page").alias("page"), F.col("start_page").alias("start"), F.col("end_page").alias("end")))).alias("h"))
+    w = planned_windows(spark, d).join(per, "doc_id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<ord:bigint,level:bigint,title:string,page:bigint,start:bigint,end:bigint>>")))
+    return w.select("doc_id", "win", windows.continued("h", "start_page").alias("continued"), windows.goes_on("h", "start_page", "end_page").alias("goes_on"))
+
+
 @query("headings_in_window", f"WITH {PLAN_SQL} SELECT w.doc_id, w.win, h.ord, h.title FROM wn w JOIN hd h ON h.doc_id = w.doc_id AND h.page BETWEEN w.start_page AND w.end_page")
 def headings_in_window(spark, d):
     h = headings(spark, d).withColumnRenamed("doc_id", "h_doc")
@@ -305,6 +318,24 @@ def heading_best_match(spark, d):
     return validation.best_matches(expected, h)
 
 
+REPORT_SQL = f"""WITH {HEAD_SQL}, ex AS (SELECT doc_id, ord, level, title || ' x' AS text FROM hd), p AS (SELECT e.doc_id, e.ord, regexp_replace({norm_sql('e.text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('h.title')}, '\\s', '', 'g') AS b FROM ex e LEFT JOIN hd h ON h.doc_id = e.doc_id AND h.level = e.level),
+ b AS (SELECT doc_id, ord, max(coalesce(round({dice_sql('a', 'b')}, 6), 0)) >= 0.9 AS matched FROM p GROUP BY doc_id, ord), m AS (SELECT doc_id, count(*) AS n, count(*) FILTER (matched) AS k FROM b GROUP BY doc_id),
+ c AS (SELECT doc_id, {', '.join(f'count(*) FILTER (level = {k}) AS h{k}' for k in range(1, 7))}, count(*) FILTER (prev > 0 AND level > prev + 1) AS e FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM hd) GROUP BY doc_id)
+ SELECT doc_id, {', '.join(f'CAST(h{k} AS BIGINT) AS h{k}' for k in range(1, 7))}, CAST(e AS BIGINT) AS hierarchy_errors, CAST(n AS BIGINT) AS expected, CAST(k AS BIGINT) AS matched, e = 0 AS hierarchy_valid FROM c JOIN m USING (doc_id)"""
+
+
+@query("structure_report", REPORT_SQL)
+def structure_report(spark, d):
+    h = headings(spark, d).select("doc_id", "ord", "level", F.col("title").alias("text"))
+    return validation.structure_report(h.withColumn("text", F.concat("text", F.lit(" x"))), h)
+
+
+@query("content_report", "SELECT doc_id, abs(doc_id % 5 - doc_id % 3) <= 1 AS images_ok, abs(doc_id % 7 - doc_id % 4) <= 1 AS tables_ok, abs(doc_id % 6 - doc_id % 5) <= 1 AS code_blocks_ok, abs(doc_id % 5 - doc_id % 3) <= 1 AND abs(doc_id % 7 - doc_id % 4) <= 1 AND abs(doc_id % 6 - doc_id % 5) <= 1 AS content_ok FROM documents")
+def content_report(spark, d):
+    counts = lambda a, b, c: F.struct((F.col("doc_id") % a).alias("images"), (F.col("doc_id") % b).alias("tables"), (F.col("doc_id") % c).alias("code_blocks"))
+    return docs(spark, d).select("doc_id", counts(5, 7, 6).alias("a"), counts(3, 4, 5).alias("e")).select("doc_id", *validation.content_report("a", "e"))
+
+
 @query("content_tolerance", "SELECT doc_id, abs((doc_id % 5) - (doc_id % 3)) <= 1 AS images_ok, abs((doc_id % 7) - (doc_id % 4)) <= 1 AS tables_ok FROM documents")
 def content_tolerance(spark, d):
     i = F.col("doc_id")
@@ -320,10 +351,22 @@ def format_warnings(spark, d):
     return docs(spark, d).where("text IS NOT NULL").withColumn("t", t).select("doc_id", *validation.format_warnings("t"))
 
 
-@query("markdown_elements", "SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(t, '(?m)^#{{{k}}}[ \\t]+[^ \\t\\r\\n]')) AS BIGINT) AS h{k}" for k in range(1, 7)) + ", 1::BIGINT AS images, 1::BIGINT AS tables, 1::BIGINT AS code_blocks FROM (SELECT doc_id, repeat('#', CAST(doc_id % 6 + 1 AS INT)) || ' A' || chr(10) || '## B' AS t FROM documents)")
+ELEMENTS_SQL = "repeat('#', CAST(doc_id % 6 + 1 AS INT)) || ' A' || chr(10) || repeat('```py' || chr(10) || '# no' || chr(10) || '```' || chr(10), CAST(doc_id % 3 AS INT)) || repeat(chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | 2 |' || chr(10), CAST(doc_id % 4 AS INT)) || repeat('![i](u)' || chr(10), CAST(doc_id % 5 AS INT)) || text"
+FENCE = "'(?ms)^```.*?^```[ \\t]*$'"
+
+
+def matches_sql(x, pattern, name):
+    return f"CAST(len(regexp_extract_all({x}, {pattern})) AS BIGINT) AS {name}"
+
+
+@query(
+    "markdown_elements",
+    f"SELECT doc_id, {', '.join(matches_sql('o', f"'(?m)^#{{{k}}}[ \\t]+[^ \\t\\r\\n\\f\\v]'", f'h{k}') for k in range(1, 7))}, {matches_sql('o', "'!\\[[^\\]]*\\]\\([^)]*\\)'", 'images')}, {matches_sql('o', "'(?m)^\\|?[ \\t]*:?-+:?[ \\t]*(?:\\|[ \\t]*:?-+:?[ \\t]*)+\\|?[ \\t]*$'", 'tables')}, {matches_sql('t', FENCE, 'code_blocks')} FROM (SELECT doc_id, t, regexp_replace(t, {FENCE}, '', 'g') AS o FROM (SELECT doc_id, {ELEMENTS_SQL} AS t FROM documents WHERE text IS NOT NULL))",
+)
 def markdown_elements(spark, d):
-    md = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" A\n## B\n```py\n# no\n```\n\n| a | b |\n|---|:-:|\n| 1 | 2 |\n\n![i](u)\n"))
-    return docs(spark, d).withColumn("t", md).select("doc_id", *validation.elements("t"))
+    times = lambda what, k: F.repeat(F.lit(what), (F.col("doc_id") % k).cast("int"))
+    md = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" A\n"), times("```py\n# no\n```\n", 3), times("\n| a | b |\n|---|:-:|\n| 1 | 2 |\n", 4), times("![i](u)\n", 5), F.col("text"))
+    return docs(spark, d).where("text IS NOT NULL").withColumn("t", md).select("doc_id", *validation.elements("t"))
 
 
 # -------------------------------------------------------------------- geometry

@@ -367,6 +367,16 @@ def test_native_windows(spark):
     assert got.markdown == "<1-2 after > \n\n<3-4 after nd.> \n\n<5-5 after nd.>"
 
 
+    got = live.convert(df, Native(), "full", waits=(), size=2, parallel=3).first()
+    assert got.markdown == "<1-2 after > \n\n<3-4 after > \n\n<5-5 after >"
+
+
+def test_earlier_answers(spark):
+    df = spark.createDataFrame([("x [Content] body \n[COORDINATES] ```json {\"a\": [1, 2, 3, 4]}```",), ("plain",)], "t string")
+    got = [tuple(r) for r in df.select(*structure.parsed_legacy("t")).collect()]
+    assert got == [("body", {"a": [1.0, 2.0, 3.0, 4.0]}), ("plain", None)]
+
+
 def test_windows_with_failures(spark):
     def call(pages):
         if "c" in pages:
