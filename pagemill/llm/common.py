@@ -25,13 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_tables: list[str] = []  #: that this driver has written and not dropped
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors; it stays until it is dropped."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_so_far() -> int:
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables written since so many, but for the last keep of them; nothing that reads them may run any more."""
+    jvm = spark._jvm
+    for path in _tables[since : len(_tables) - keep]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _tables[since : len(_tables) - keep]
+
+
 def crc_mod(col, m: int = 5):
     """crc32 of the decimal text of an integer id, modulo m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)

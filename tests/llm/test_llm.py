@@ -723,3 +723,11 @@ def test_stages_odd(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             got = stage(spark, df, sf_dir)
             assert got.columns[: len(df.columns)] == df.columns and got.count() <= df.count()
+
+
+def test_run_leaves_one_table(spark, sf_dir):
+    before = common.tables_so_far()
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert common.tables_so_far() == before + 1 and got.count() > 0
+    common.drop_tables(spark, before)
+    assert common.tables_so_far() == before
