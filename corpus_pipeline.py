@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import decontaminate, pieces, quality, secrets, simhash
-from pagemill.llm.common import written
+from pagemill.llm.common import drop_tables, tables_so_far, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,9 +56,11 @@ ORACLE_SQL = None  # learned and hashed stages; tests/llm holds them against bru
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The tokens of all stages; of the tables written on the way only the last stage's input stays."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_so_far()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            drop_tables(spark, since, keep=1)
     return docs
