@@ -211,7 +211,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     The longest path may have about 2**(rounds/2) links.
     """
     partitions = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "links")
+    # Links are few beside what they come from: a quarter of the files.
+    e = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct().coalesce(max(1, partitions // 4)), "links")
     told = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = told(e)
     for _ in range(rounds):

@@ -372,20 +372,21 @@ def _across(similarity: float):
         at, held, block = None, [], None
         for b in batches:
             key, salt, side, rep, comp, main = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "side", "rep", "component", "main"))
-            sets = np.array([x.as_py() for x in b.column("hashes")], object)
+            sets = b.column("hashes")
             cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1]))), len(key))
             found: dict = {}
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if (int(key[i]), int(salt[i])) != at:
                     at, held, block = (int(key[i]), int(salt[i])), [], None
                 if side[i] == 0:
-                    held.append((rep[i:j], comp[i:j], sets[i:j]))
+                    held.append((rep[i:j], comp[i:j], np.array([*map(bytes, (x.as_buffer() for x in sets[i:j])), None], object)[:-1]))
                     continue
                 if not held:
                     continue
                 block = block or _Block(held)
                 for k in range(i, j):
-                    n, shared = len(sets[k]) // 8, block.shared(np.frombuffer(sets[k], "<u8"))
+                    own = np.frombuffer(sets[k].as_buffer(), "<u8")
+                    n, shared = len(own), block.shared(own)
                     # Members of the main component are in no block; of two others, the lesser one's block has the pair.
                     ok = (shared >= similarity * (n + block.size - shared)) & (block.component != comp[k]) & ((comp[k] == main[k]) | (block.rep < rep[k]))
                     for x in np.flatnonzero(ok).tolist():
@@ -430,7 +431,7 @@ def similar_links(reps: DataFrame, table: DataFrame, words: int, similarity: flo
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long"), "likely")
     need = likely.select(F.col("a").alias("rep")).unionAll(likely.select(F.col("b").alias("rep"))).unionAll(crowded.select("rep"))
     sets = sets_of(table, need, words, text)
-    parts = written(connected_components(verified(likely, sets, similarity)), "parts")
+    parts = connected_components(verified(likely, sets, similarity))
     crowded = crowded.join(parts, F.col("rep") == F.col("node"), "left").join(reps.select("rep", "n"), "rep")
     crowded = written(crowded.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "crowded")
     sizes = crowded.groupBy("key", "component").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
