@@ -731,3 +731,20 @@ def test_run_leaves_one_table(spark, sf_dir):
     assert common.tables_so_far() == before + 1 and got.count() > 0
     common.drop_tables(spark, before)
     assert common.tables_so_far() == before
+
+
+def test_very_long_text(spark):
+    """2 MB of text beside short ones: whole, by every operator that works on texts."""
+    rng = random.Random(11)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(350_000)) + " password: hunter2hunter2"
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, text + " x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for m in (quality, toxicity) for r in m.score(docs, m.train(docs, labels)).collect())
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).select("doc_id").collect()) == [1, 2]
+    bench = spark.createDataFrame([(1, " ".join(text.split()[-60:-20]))], "item_id long, text string")
+    assert sorted((r.doc_id, r.distance) for r in decontaminate.matches(docs, bench).collect()) == [(1, 0), (3, 0)]
+    assert [r.n for r in secrets.scan(docs).orderBy("doc_id").select(F.size("spans").alias("n")).collect()] == [1, 0, 1]
+    assert {r.doc_id: r.n_tokens for r in lm.score(docs).collect()} == {1: 350_003, 2: 2, 3: 350_004}
+    assert all(r.round_trip for r in pieces.tokenized(docs).collect())
