@@ -38,3 +38,24 @@ SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(te
  sha256(coalesce(string_agg({_SPAN}, ',' ORDER BY a, o) FILTER ({_BASE}), '')) AS base_sha256, coalesce(string_agg({_SPAN}, ',' ORDER BY a, o), '') AS spans FROM d LEFT JOIN s USING (rid) GROUP BY rid"""
 
 ORACLES = {"op7_chat_formatting": CHAT, "op10_secret_scan": SECRETS}
+
+ORACLES["op12_phrases"] = r"""
+WITH pieces AS (
+  SELECT lang, doc, pos, [x FOR x IN string_split_regex(p, '[ \t]+') IF x <> ''] AS w
+  FROM (SELECT lang, doc, generate_subscripts(ps, 1) AS pos, unnest(ps) AS p
+        FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                     string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]') AS ps FROM documents))),
+grams AS (SELECT lang, unnest(flatten([[array_to_string(w[i : i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)] FOR m IN [1, 2, 3]])) AS phrase FROM pieces),
+f AS (SELECT lang, phrase, len(string_split(phrase, ' ')) AS words, count(*) AS f FROM grams GROUP BY lang, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2 AND f >= 10),
+cuts AS (SELECT lang, phrase, a, words, k, array_to_string(w[1 : k], ' ') AS p, array_to_string(w[k + 1 :], ' ') AS q FROM (SELECT *, unnest(range(1, words)) AS k FROM c)),
+sc AS (SELECT cuts.lang, cuts.phrase, a, cuts.words, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p JOIN f y ON y.lang = cuts.lang AND y.phrase = q),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE words = 3) GROUP BY lang, phrase)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank, best.phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) LEFT JOIN inner_of i ON i.lang = best.lang AND i.phrase = best.phrase
+WHERE i.longest IS NULL OR 100 * longest < 50 * a
+QUALIFY row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) <= 2000
+"""

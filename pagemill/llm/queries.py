@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, chat, decontaminate, lm, pieces, quality, secrets, simhash, toxicity, urls
+from pagemill.llm import ann, chat, decontaminate, lm, phrases, pieces, quality, secrets, simhash, toxicity, urls, whitening
 from pagemill.llm.common import crc_mod
 from pagemill.llm.oracles import ORACLES  # noqa: F401 of this module's queries
 
@@ -79,6 +79,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ann_search": op2_ann_search,
@@ -90,4 +98,6 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_whitening": op11_whitening,
+    "op12_phrases": op12_phrases,
 }
