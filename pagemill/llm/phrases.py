@@ -36,7 +36,8 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BETWEEN = BREAK.copy()
 BETWEEN[[0x20, 0x09]] = True
 SHARES = 4096
-SLICE = 1 << 22  #: bytes of text whose suffixes are counted together
+SLICE = 1 << 23  #: bytes of text whose suffixes are counted together
+PARTS = 2 * SHARES  #: more than the parts of any word
 SALTS = 64  #: groups in which a language's phrases are ranked first
 
 
@@ -68,13 +69,23 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(lang, text).mapInArrow(count, "lang string, h long, f long").groupBy("lang", "h").agg(F.sum("f").alias("f"))
 
 
+def _named(lang: str) -> str:
+    """A language as the beginning of a key, which a tab ends."""
+    return lang.replace("\\", "\\\\").replace("\t", "\\t") + "\t"
+
+
+def _plain(key: str) -> tuple[str, str]:
+    """Language and phrase of a key."""
+    name, phrase = key.split("\t", 1)
+    return name.replace("\\t", "\t").replace("\\\\", "\\") if "\\" in name else name, phrase.rstrip(" ")
+
+
 def suffixes(docs: DataFrame, text: str, lang: str, max_n: int, hot: dict[tuple[str, int], int]) -> DataFrame:
-    """(lang, first, part, split, suffix, c): the counted suffixes, each word of one followed by a space.
+    """(key, n): the counted suffixes.  key: the language, a tab, and the words, each followed by a space; n: PARTS
+    times the count, plus 0 or, for a first word in hot, 1 plus the part that the suffix is dealt to.
 
-    first: its first word's hash; split: whether that word is dealt out, over so many
-    parts as hot tells, by the rest of the suffix.
+    Rows of a slice come in rough order, which makes what is shuffled smaller.
     """
-
     known = {}  # by language: the hashes that are dealt out, sorted, and into how many parts
     for name, h in sorted(hot):
         known.setdefault(name, []).append((h, hot[name, h]))
@@ -85,65 +96,62 @@ def suffixes(docs: DataFrame, text: str, lang: str, max_n: int, hot: dict[tuple[
             for b in slices(whole, text, SLICE):
                 buf, offsets = buffer_of(b.column(text))
                 starts, ends, first = word_bounds(buf, offsets, BETWEEN)
-                if not len(starts):
-                    continue
+                names = _languages(b, lang).dictionary_encode()
+                code = names.indices.to_numpy()
                 # How many words of its piece a suffix has: those before the next break, in the row.
-                breaks = np.cumsum(BREAK[buf])[starts]
+                breaks = np.cumsum(BREAK[buf], dtype=np.int32)[starts]
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                last = np.flatnonzero(np.append((row[1:] != row[:-1]) | (breaks[1:] != breaks[:-1]), True))
+                last = np.flatnonzero(np.append((row[1:] != row[:-1]) | (breaks[1:] != breaks[:-1]), True)) if len(starts) else starts
                 depth = np.minimum(max_n, last[np.searchsorted(last, np.arange(len(starts)))] - np.arange(len(starts)) + 1)
-                size = ends - starts
-                packed = np.full(int((size + 1).sum()), 0x20, np.uint8)
-                at = np.cumsum(size + 1) - size - 1
-                packed[_span_index(at, size)] = LOWER[buf[_span_index(starts, size)]]
-                at = np.append(at, len(packed))
-                here = np.arange(len(starts))
-                length = at[here + depth] - at[here]
-                flat = packed[_span_index(at[:-1], length)]
-                names = _languages(b, lang).dictionary_encode()
-                code = names.indices.to_numpy()[row].astype(np.int32)
-                joined = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int64)), pa.py_buffer(flat))
                 hashes = word_hashes(buf, starts, ends).view(np.int64)
-                got = pa.table({"lang": code, "suffix": joined, "first": hashes}).group_by(["lang", "suffix", "first"], use_threads=False).aggregate([([], "count_all")])
-                lang_code, head = got["lang"].to_numpy(), got["first"].to_numpy()
-                parts, split = np.zeros(len(got), np.int32), np.zeros(len(got), bool)
-                text_buf, text_at = buffer_of(got["suffix"])
+                size = ends - starts
+                packed = np.full(int((size + 1).sum()) + 8, 0x20, np.uint8)
+                at = np.append(0, np.cumsum(size + 1))
+                packed[_span_index(at[:-1], size)] = LOWER[buf[_span_index(starts, size)]]
                 for k, name in enumerate(names.dictionary.to_pylist()):
-                    if name not in known:
-                        continue
-                    of, into = known[name]
-                    near = np.flatnonzero(lang_code == k)
-                    where = np.minimum(np.searchsorted(of, head[near]), len(of) - 1)
-                    near, where = near[of[where] == head[near]], where[of[where] == head[near]]
-                    size = np.diff(text_at)[near]
-                    end = np.cumsum(size)
-                    rest = word_hashes(text_buf[_span_index(text_at[near], size)], end - size, end)  # of the whole suffix
-                    parts[near], split[near] = (rest % into[where]).astype(np.int32), True
-                yield pa.RecordBatch.from_arrays(
-                    [names.dictionary.take(pa.array(lang_code)), pa.array(head), pa.array(parts), pa.array(split), got["suffix"].combine_chunks().cast(pa.string()), got["count_all"].combine_chunks()],
-                    ["lang", "first", "part", "split", "suffix", "c"],
-                )
-
-    return docs.select(lang, text).mapInArrow(cut, "lang string, first long, part int, split boolean, suffix string, c long")
+                    mine = np.flatnonzero(code[row] == k)
+                    begin = packed[at[mine][:, None] + np.arange(8)].view(">u8").ravel()
+                    mine = mine[np.argsort(begin, kind="stable")]
+                    length = at[mine + depth[mine]] - at[mine]
+                    flat = packed[_span_index(at[mine], length)]
+                    joined = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(np.append(0, np.cumsum(length)).astype(np.int64)), pa.py_buffer(flat))
+                    got = pa.table({"suffix": joined, "h": hashes[mine]}).group_by(["suffix", "h"], use_threads=False).aggregate([([], "count_all")])
+                    n = got["count_all"].to_numpy() * PARTS
+                    if name in known:
+                        of, into = known[name]
+                        head = got["h"].to_numpy()
+                        where = np.minimum(np.searchsorted(of, head), len(of) - 1)
+                        near = np.flatnonzero(of[where] == head)
+                        text_buf, text_at = buffer_of(got["suffix"])
+                        size = np.diff(text_at)[near]
+                        end = np.cumsum(size)
+                        rest = word_hashes(text_buf[_span_index(text_at[near], size)], end - size, end)  # of the whole suffix
+                        n[near] += 1 + (rest % into[where[near]]).astype(np.int64)
+                    key = pa.compute.binary_join_element_wise(pa.scalar(_named(name), pa.large_string()), got["suffix"].combine_chunks(), pa.scalar("", pa.large_string()))
+                    for lo in range(0, len(n), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([key[lo : lo + (1 << 16)].cast(pa.string()), pa.array(n[lo : lo + (1 << 16)])], ["key", "n"])
+
+    return docs.select(lang, text).mapInArrow(cut, "key string, n long")
 
 
 class Stack:
     """The open prefixes of a reverse-lexicographically sorted stream of suffixes, with their counts so far."""
 
     def __init__(self, max_n: int):
-        self.max_n, self.lang, self.top, self.split, self.counts = max_n, None, b"", False, [0] * max_n
+        self.max_n, self.top, self.split, self.counts = max_n, b"", False, [0] * max_n
 
-    def push(self, other: np.ndarray, text: np.ndarray, at: np.ndarray, c: np.ndarray):
-        """Takes rows (other: of another language than the row before; bytes text[at[i]:at[i+1]]; c occurrences); gives (row, words, count) of the
-        prefixes that they close, row -1 for that of the rows before, and the bytes of each row's first words."""
+    def push(self, text: np.ndarray, at: np.ndarray, c: np.ndarray):
+        """Takes rows (keys text[at[i]:at[i+1]]; c occurrences); gives (row, words, count) of the prefixes that they
+        close, row -1 for that of the rows before, and how far each row's first words go."""
         n = len(c)
+        tabs = np.flatnonzero(text == 0x09)  # one in each key, as no word holds any
         spaces = np.flatnonzero(text == 0x20)
-        first = np.searchsorted(spaces, at)
-        words = np.diff(first)
+        first = np.searchsorted(spaces, tabs)  # a language may hold spaces
+        words = np.searchsorted(spaces, at[1:]) - first
         end = np.zeros((self.max_n, n), np.int64)  # bytes of a row's first d+1 words
         for d in range(self.max_n):
             has = words > d
-            end[d, has] = spaces[first[:-1][has] + d] + 1 - at[:-1][has]
+            end[d, has] = spaces[first[has] + d] + 1 - at[:-1][has]
         # Bytes that a row has in common with the one before it.
         before = np.append(len(self.top), np.diff(at)[:-1])
         least = np.minimum(before, np.diff(at))
@@ -157,7 +165,6 @@ class Stack:
         while k < min(len(head), len(self.top)) and head[k] == self.top[k]:
             k += 1
         common[0] = k
-        common[other] = 0
         out = []
         for d in range(self.max_n):
             opens = (end[d] == 0) | (end[d] > common)  # the row begins another prefix of d+1 words than the one before
@@ -175,40 +182,42 @@ class Stack:
 
 
 def prefix_counts(rows: DataFrame, max_n: int, least: int) -> DataFrame:
-    """(lang, phrase, words, f, split) of sorted suffixes: all prefixes with f >= least, and of words that are dealt out all parts."""
+    """(lang, phrase, words, f, split) of sorted (key, n): all prefixes with f >= least, and of words that are dealt out all parts."""
 
     def run(batches):
         stack = Stack(max_n)
-
         names = ["lang", "phrase", "words", "f", "split"]
 
         def kept(count, split, d):
             return (count >= least) | (split & (d < max_n))
 
+        def told(keys, d, count, split):
+            both = [_plain(k) for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string()), pa.array(np.full(len(both), d, np.int32)), pa.array(count, pa.int64()), pa.array(split, pa.bool_())], names)
+
         def before(d, count):  # of the rows before, which the stack remembers
-            if not kept(count, stack.split, d):
-                return
-            phrase = b" ".join(stack.top.split(b" ")[:d]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array([stack.lang], pa.string()), pa.array([phrase]), pa.array([d], pa.int32()), pa.array([count], pa.int64()), pa.array([stack.split])], names)
+            if kept(count, stack.split, d):
+                lang, words = stack.top.split(b"\t", 1)
+                yield told([(lang + b"\t" + b" ".join(words.split(b" ")[:d])).decode()], d, [count], [stack.split])
 
         for b in batches:
             for lo in range(0, b.num_rows, 1 << 16):
                 part = b.slice(lo, 1 << 16)
-                lang, c, split = part.column("lang"), part.column("c").to_numpy(), part.column("split").to_numpy(zero_copy_only=False)
-                text, at = buffer_of(part.column("suffix"))
-                code = lang.dictionary_encode().indices.to_numpy()
-                closed, end = stack.push(np.append(lang[0].as_py() != stack.lang, np.diff(code) != 0), text, at, c)
+                n = part.column("n").to_numpy()
+                split = n % PARTS > 0
+                text, at = buffer_of(part.column("key"))
+                closed, end = stack.push(text, at, n // PARTS)
                 for row, d, count in closed:
                     if len(row) and row[0] < 0:
                         yield from before(d, int(count[0]))
                         continue
                     keep = kept(count, split[row], d)
                     row, count = row[keep], count[keep]
-                    size = end[d - 1, row] - 1
+                    size = end[d - 1, row]
                     flat = text[_span_index(at[row], size)]
-                    phrase = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(flat)).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([lang.take(pa.array(row)), phrase, pa.array(np.full(len(row), d, np.int32)), pa.array(count), pa.array(split[row])], names)
-                stack.lang, stack.top, stack.split = lang[-1].as_py(), text[at[-2] :].tobytes(), bool(split[-1])
+                    keys = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(flat))
+                    yield told(keys.to_pylist(), d, count, split[row])
+                stack.top, stack.split = text[at[-2] :].tobytes(), bool(split[-1])
         for d, count in enumerate(stack.counts):
             if count:
                 yield from before(d + 1, count)
@@ -242,8 +251,8 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, top: int = 20
     totals = seen.groupBy("lang").agg(F.sum("f").alias("n"))
     every = seen.agg(F.sum("f")).first()[0] or 0
     hot = {(r["lang"], r["h"]): int(-(-r["f"] * SHARES // every)) for r in seen.where(F.col("f") * SHARES > every).collect()}  # at most SHARES words
-    dealt = suffixes(docs, text, lang, max_n, hot).repartition("lang", "first", "part").sortWithinPartitions("lang", F.desc("suffix"))
-    found = written(prefix_counts(dealt.select("lang", "suffix", "split", "c"), max_n, least), "prefixes")
+    dealt = suffixes(docs, text, lang, max_n, hot).repartition(F.substring_index(F.substring_index("key", "\t", -1), " ", 1), F.substring_index("key", "\t", 1), F.pmod("n", F.lit(PARTS)))
+    found = written(prefix_counts(dealt.sortWithinPartitions(F.desc("key")), max_n, least), "prefixes")
     # Of a word that is dealt out, only the longest phrases are whole.
     whole = F.col("split") & (F.col("words") < max_n)
     added = found.where(whole).groupBy("lang", "phrase", "words", "split").agg(F.sum("f").alias("f")).where(F.col("f") >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import ann, chat, decontaminate, lm, phrases, pieces, quality, secrets, simhash, toxicity, urls, whitening
+from pagemill.llm import ann, chat, decontaminate, lm, phrases, pieces, quality, secrets, simhash, toxicity, urls, whitening, wordbpe
 from pagemill.llm.common import crc_mod
 from pagemill.llm.oracles import ORACLES  # noqa: F401 of this module's queries
 
@@ -87,6 +87,14 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = wordbpe.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    listed = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), " ")
+    return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(F.coalesce("decoded", F.lit("")), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ann_search": op2_ann_search,
@@ -100,4 +108,5 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_whitening": op11_whitening,
     "op12_phrases": op12_phrases,
+    "op13_word_bpe": op13_word_bpe,
 }
