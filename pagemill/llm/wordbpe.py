@@ -96,6 +96,7 @@ class Model:
         self.texts = [words.get(i, "").encode() for i in range(len(first))]
 
         self.pairs: dict[int, int] = {}
+        self.own: Splitter | None = None
 
     @staticmethod
     def read(path: str) -> Model:
@@ -108,6 +109,12 @@ class Model:
             self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         return self.pairs
 
+    def splitter(self) -> Splitter:
+        """Made once in each process that asks."""
+        if self.own is None:
+            self.own = Splitter(self)
+        return self.own
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the merges of a and b, -1 where there is none."""
         key = a.astype(np.int64) << 32 | b
@@ -470,7 +477,7 @@ def counted_words(docs: DataFrame, m: Model, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def count(batches):
-        splitter = Splitter(shared.value)
+        splitter = shared.value.splitter()
         for whole in batches:
             for b in slices(whole, text, 1 << 22):
                 buf, start, size, special, _ = splitter.split([t or "" for t in b.column(text).to_pylist()])
@@ -522,7 +529,7 @@ def tokenized(docs: DataFrame, model: str, text: str = "text", most: int = LEXIC
 
     def run(batches):
         m = shared.value
-        splitter, lexicon = Splitter(m), Lexicon.mapped(SparkFiles.get(file)) if file else None
+        splitter, lexicon = m.splitter(), Lexicon.mapped(SparkFiles.get(file)) if file else None
         for whole in batches:
             for b in slices(whole, text):
                 texts = b.column(text)
