@@ -5,7 +5,8 @@ centroids, which are fitted on a bounded sample.  A query probes its nearest lis
 each list (in salted shares of bounded expected size, as are the queries that probe
 it) is scanned in blocks of columns: after each block, a hypothesis test on the
 partial distance abandons candidates that are too far with near certainty.  Survivors get their exact cosine in double precision from the
-original vectors; the best of all lists win, ties to the smaller id.
+original vectors; the best of all lists win, ties to the smaller id.  A query whose
+nearest lists hold too few other ids probes further ones, in order, until it has k.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do vectors whose length differs from that of most of
@@ -141,7 +142,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None =
     base = base.where(F.size("v") == dim)
     known = np.array([x for x in sample["v"].to_pylist() if len(x) == dim])
     turn = rotation(dim)
-    total = base.count()
+    total, unique = base.agg(F.count(F.lit(1)), F.countDistinct("vec_id")).first()
     # Lists grow with the root of the input up to what the sample can tell apart.
     lists = int(min(max(1, np.sqrt(total) / 2), len(known) / 20 + 1))
     centers = kmeans(unit(known) @ turn, lists)
@@ -158,21 +159,26 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None =
         for b in batches:
             m = _matrix(b.column("v"))
             if len(m):
-                near = np.argsort(-(unit(m) @ turn @ centers.T - (centers * centers).sum(1) / 2), axis=1, kind="stable")[:, :asked]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+                near = np.argsort(-(unit(m) @ turn @ centers.T - (centers * centers).sum(1) / 2), axis=1, kind="stable").astype(np.int32)
+                # As many lists as hold k ids and the query's own; one whose lists are empty but for itself goes on.
+                enough = (np.cumsum(held[near], axis=1) <= k).sum(1) + 1
+                lists = [row[: max(asked, n)] for row, n in zip(near, enough.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
 
     index = written(base.mapInArrow(assign, "list int, vec_id long, v array<double>"), "index")
+    held = np.zeros(len(centers), np.int64)
+    for r in index.groupBy("list").agg(F.countDistinct("vec_id").alias("ids")).collect():  # a row for each list
+        held[r["list"]] = r["ids"]
     probes_of = base.where(F.col("vec_id") % every == 0).mapInArrow(probe, "vec_id long, v array<double>, lists array<int>")
     probes_of = written(probes_of, "probes")
     # A row for each list: into how many parts its vectors, and the queries that probe it, are dealt.
     parts = lambda n: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / SHARE_ROWS), F.lit(1)).cast("int")
     asking = probes_of.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
-    sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("held")).join(asking, "list").select("list", parts(F.col("held")).alias("shares"), parts(F.col("asked")).alias("turns"))
+    sizes = index.groupBy("list").agg(F.count(F.lit(1)).alias("held")).join(asking, "list", "left").select("list", parts(F.col("held")).alias("shares"), parts(F.col("asked")).alias("turns"))
     sizes = F.broadcast(sizes)
     part = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     stored = index.join(sizes, "list").withColumn("share", part("shares", 1)).withColumn("turn", each("turns"))
-    queries = probes_of.withColumn("list", F.explode("lists")).join(sizes, "list").withColumn("turn", part("turns", 2)).withColumn("share", each("shares"))
 
     def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
@@ -188,20 +194,36 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: int | None =
             keep = np.sort(by[place <= k])
             x, ids = x[keep], ids[keep]
             turned = unit(x) @ turn
+            # Of ids that repeat, so many rows may stand before those of k other ids.
+            most = int(np.unique(ids, return_counts=True)[1].max())
             for me, vec, t in zip(left["vec_id"].to_pylist(), q, unit(q) @ turn, strict=True):
-                kept, part = scan(t, turned, k + 1)
+                kept, part = scan(t, turned, (k + 1) * most)
                 kept = kept[ids[kept] != me]
                 if not len(kept):
                     continue
                 s = cosines(vec[None, :], x[kept])
-                best = np.lexsort((ids[kept], -s))[:k]
+                best = np.lexsort((ids[kept], -s))
+                if most > 1:
+                    best = best[np.sort(np.unique(ids[kept][best], return_index=True)[1])]
+                best = best[:k]
                 out[0] += [me] * len(best)
                 out[1] += ids[kept][best].tolist()
                 out[2] += s[best].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     cell = ["list", "share", "turn"]
-    found = queries.select(*cell, "vec_id", "v").groupBy(*cell).cogroup(stored.select(*cell, "vec_id", "v").groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # of ids that repeat
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def nearest(asking: DataFrame) -> DataFrame:
+        queries = asking.withColumn("list", F.explode("lists")).join(sizes, "list").withColumn("turn", part("turns", 2)).withColumn("share", each("shares"))
+        found = queries.select(*cell, "vec_id", "v").groupBy(*cell).cogroup(stored.select(*cell, "vec_id", "v").groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # of ids that repeat
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if unique == total:
+        return nearest(probes_of)
+    # An id that repeats in several lists was counted in each: queries left with too few ids look through all lists.
+    found = written(nearest(probes_of), "nearest")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, unique - 1)).select("query_id")
+    short = probes_of.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti").withColumn("lists", F.sequence(F.lit(0), F.lit(len(centers) - 1)))
+    return found.join(full, "query_id", "left_semi").unionByName(nearest(short))

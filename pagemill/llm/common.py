@@ -3,8 +3,11 @@ word splitting over Arrow buffers, and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,28 +28,55 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_tables: list[str] = []  #: that this driver has written and not dropped
+class Tables:
+    """Tables that one run has written to the shared folder and not dropped yet."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def drop(self, keep: int = 0) -> None:
+        """Deletes all but the last keep of them; nothing that reads them may run any more."""
+        gone = self.paths[: len(self.paths) - keep]
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = self.paths[len(gone) :]
+
+
+_run: contextvars.ContextVar[Tables | None] = contextvars.ContextVar("tables of the run", default=None)
+
+
+@contextlib.contextmanager
+def own_tables(spark: SparkSession) -> Iterator[Tables]:
+    """What is written within the block, by this thread, belongs to the Tables that it gets; runs of other threads have their own."""
+    mine = Tables(spark)
+    before = _run.set(mine)
+    try:
+        yield mine
+    finally:
+        _run.reset(before)
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors; it stays until it is dropped."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
+    mine = _run.get()
+    if mine is not None:
+        mine.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tables_so_far() -> int:
-    return len(_tables)
-
-
-def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the tables written since so many, but for the last keep of them; nothing that reads them may run any more."""
-    jvm = spark._jvm
-    for path in _tables[since : len(_tables) - keep]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _tables[since : len(_tables) - keep]
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within the block, Spark plans Arrow batches of about so many bytes, for rows that are large; a plan keeps the size it was made with."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
 
 
 def crc_mod(col, m: int = 5):

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from pagemill.llm.common import LOWER, buffer_of, connected_components, mixed, slices, word_bounds, written
+from pagemill.llm.common import LOWER, batches_of, buffer_of, connected_components, mixed, slices, word_bounds, written
 
 
 def shingle_hashes(column, words: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +105,12 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def _groups(batches, key: str, finish, limit: int, tell_last: bool = False):
+def _groups(batches, key: str, finish, limit: int, tell_last: bool = False, others: tuple = ("fp", "rep")):
     """Calls finish([keys, fps, reps]) on sorted rows, whole groups at a time but for those over limit rows; of these it gets
     parts.  tell_last: it is told the end."""
     kept = None
     for b in batches:
-        new = [b.column(c).to_numpy(zero_copy_only=False) for c in (key, "fp", "rep")]
+        new = [b.column(c).to_numpy(zero_copy_only=False) for c in (key, *others)]
         cols = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
         if not len(cols[0]):
             continue
@@ -210,8 +210,9 @@ def links(fps: DataFrame, radius: int = 4, crowd: int = 64) -> DataFrame:
 
 BANDS, ROWS = 16, 5  #: keys of a text, and minima that a key is made of: two texts of similarity 0.8 share a key with a probability of 0.998
 SURE = 0.2  #: four deviations of the similarity that BANDS * ROWS minima estimate; pairs below by more are not verified
-NEAR = 20  #: fingerprint bits; at similarity 0.8 texts differ in 10 with a deviation of 3, unlike texts in 32 with one of 4
-BLOCK = 1 << 22  #: shingles of a crowded group's members that one task holds
+BLOCK = 1 << 20  #: shingles of a crowded group's members that one task holds
+SHARE = 64  #: blocks' worth of shingles of all of a group's members that one task compares with a block
+BATCH = 16 << 20  #: bytes of sets of shingles that Spark and Python hold at a time
 _TURN = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -291,14 +292,14 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def _meet(crowd: int, hubs: int):
     """Over rows sorted by key: rows with b are pairs; rows without belong to a group of more than crowd members, or to one that may go on in another task."""
 
-    def rows(a, b=None, key=None, fp=None):
-        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b, key, fp)], ["a", "b", "key", "fp"])
+    def rows(a, b=None, key=None):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x)) for x in (a, b, key)], ["a", "b", "key"])
 
     def run(batches):
         state: dict = {"first": True, "key": None}
 
         def finish(cols, last=False):
-            key, fp, rep = cols[0], np.ascontiguousarray(cols[1]).view(np.uint64), cols[2]
+            key, rep = cols
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(starts, len(key)))
             open_ = size > crowd
@@ -308,29 +309,27 @@ def _meet(crowd: int, hubs: int):
             state["first"] = False
             wide = np.repeat(open_, size)
             if wide.any():
-                yield rows(rep[wide], None, key[wide], fp[wide])
+                yield rows(rep[wide], None, key[wide])
             found = []
-            k2, f2, r2 = key[~wide], fp[~wide], rep[~wide]
+            k2, r2 = key[~wide], rep[~wide]
             for shift in range(1, crowd):
                 same = np.flatnonzero(k2[shift:] == k2[:-shift]) if shift < len(k2) else []
                 if not len(same):
                     break
-                ok = same[np.bitwise_count(f2[same] ^ f2[same + shift]) <= NEAR]
-                found.append((r2[ok], r2[ok + shift]))
+                found.append((r2[same], r2[same + shift]))
             for g in np.flatnonzero(open_).tolist():
-                f, r = fp[starts[g] : starts[g] + size[g]], rep[starts[g] : starts[g] + size[g]]
+                r = rep[starts[g] : starts[g] + size[g]]
                 if int(key[starts[g]]) != state["key"]:
                     # Members of least hash: mostly the same ones under all keys of a family.
                     picked = np.argsort(mixed(r.view(np.uint64)), kind="stable")[:hubs]
-                    state["key"], state["hubs"] = int(key[starts[g]]), (f[picked], r[picked])
-                for hf, hr in zip(*state["hubs"], strict=True):
-                    ok = (np.bitwise_count(f ^ hf) <= NEAR) & (r != hr)
-                    found.append((np.full(int(ok.sum()), hr), r[ok]))
+                    state["key"], state["hubs"] = int(key[starts[g]]), r[picked]
+                for hub in state["hubs"]:
+                    found.append((np.full(int((r != hub).sum()), hub), r[r != hub]))
             if found and sum(len(x) for x, _ in found):
                 out = _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield rows(out.column("a").to_numpy(), out.column("b").to_numpy())
 
-        yield from _groups(batches, "key", finish, 1 << 16, tell_last=True)
+        yield from _groups(batches, "key", finish, 1 << 16, tell_last=True, others=("rep",))
 
     return run
 
@@ -365,19 +364,19 @@ class _Block:
 
 
 def _across(similarity: float):
-    """Over rows (key, salt, side, rep, component, main, hashes): a link between any two components that a text of a block
+    """Over rows (key, salt, turn, side, rep, component, main, hashes): a link between any two components that a text of a block
     (side 0) and one of its group (side 1) connect by an exact similarity."""
 
     def run(batches):
         at, held, block = None, [], None
         for b in batches:
-            key, salt, side, rep, comp, main = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "side", "rep", "component", "main"))
+            key, salt, turn, side, rep, comp, main = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "turn", "side", "rep", "component", "main"))
             sets = b.column("hashes")
-            cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1]))), len(key))
+            cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (turn[1:] != turn[:-1]) | (side[1:] != side[:-1]))), len(key))
             found: dict = {}
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if (int(key[i]), int(salt[i])) != at:
-                    at, held, block = (int(key[i]), int(salt[i])), [], None
+                if (int(key[i]), int(salt[i]), int(turn[i])) != at:
+                    at, held, block = (int(key[i]), int(salt[i]), int(turn[i])), [], None
                 if side[i] == 0:
                     held.append((rep[i:j], comp[i:j], np.array([*map(bytes, (x.as_buffer() for x in sets[i:j])), None], object)[:-1]))
                     continue
@@ -406,18 +405,17 @@ def similar_links(reps: DataFrame, table: DataFrame, words: int, similarity: flo
     is, so that a key of any size meets in no single task.  Pairs within groups of up to crowd members, and of larger
     groups' members with ``hubs`` of them, are verified first.  Then all members of a group that are not of its main
     component are compared with all others, block by block: a group of any size is dealt out to as many tasks as it has
-    blocks, and a task tells one link for any two components.
+    blocks, times the turns that all its members take, and a task tells one link for any two components.
     """
     n = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def emit(batches):
         for b in batches:
             keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), "<i8")
-            many = [np.repeat(b.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("fp", "rep")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, many)], ["key", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("rep").to_numpy(zero_copy_only=False), BANDS))], ["key", "rep"])
 
-    keyed = reps.select("keys", "fp", "rep").mapInArrow(emit, "key long, fp long, rep long")
-    met = written(keyed.repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep").mapInArrow(_meet(crowd, hubs), "a long, b long, key long, fp long"), "met")
+    keyed = reps.select("keys", "rep").mapInArrow(emit, "key long, rep long")
+    met = written(keyed.repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep").mapInArrow(_meet(crowd, hubs), "a long, b long, key long"), "met")
     crowded = met.where("b IS NULL").select("key", F.col("a").alias("rep"))
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("mins").alias(f"s{x}"))
 
@@ -431,16 +429,22 @@ def similar_links(reps: DataFrame, table: DataFrame, words: int, similarity: flo
     likely = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, "a long, b long"), "likely")
     need = likely.select(F.col("a").alias("rep")).unionAll(likely.select(F.col("b").alias("rep"))).unionAll(crowded.select("rep"))
     sets = sets_of(table, need, words, text)
-    parts = connected_components(verified(likely, sets, similarity))
+    with batches_of(table.sparkSession, BATCH):
+        same = written(verified(likely, sets, similarity), "same")
+    parts = connected_components(same)
     crowded = crowded.join(parts, F.col("rep") == F.col("node"), "left").join(reps.select("rep", "n"), "rep")
     crowded = written(crowded.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "crowded")
     sizes = crowded.groupBy("key", "component").agg(F.sum("n").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
-    apart = sizes.where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"))
+    apart = sizes.where("kinds > 1").select("key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / (SHARE * BLOCK)).cast("int").alias("turns"))
     rows = crowded.join(apart, "key").join(sets, "rep")
-    left = rows.where("component <> main").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    dealt = left.unionByName(right).select("key", "salt", "side", "rep", "component", "main", "hashes").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "side")
-    rest = dealt.mapInArrow(_across(similarity), "a long, b long")
+    part = lambda of, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = rows.where("component <> main").withColumn("salt", part("blocks", 1)).withColumn("turn", each("turns")).withColumn("side", F.lit(0))
+    right = rows.withColumn("turn", part("turns", 2)).withColumn("salt", each("blocks")).withColumn("side", F.lit(1))
+    cell = ["key", "salt", "turn"]
+    dealt = left.unionByName(right).select(*cell, "side", "rep", "component", "main", "hashes").repartition(n, *cell).sortWithinPartitions(*cell, "side")
+    with batches_of(table.sparkSession, BATCH):
+        rest = written(dealt.mapInArrow(_across(similarity), "a long, b long"), "rest")
     # Components so far are stars already.
     return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(rest))
 

@@ -196,7 +196,7 @@ def fit(docs: list[tuple[np.ndarray, int, int]], shape: Shape = Shape(), seed: i
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 6_000, max_bytes: int = 256 << 20, shape: Shape = Shape()) -> Net:
     """A net of at most max_rows labelled rows whose crc32(doc_id) mod 5 is not 0; their bucket numbers, whole rows of
-    max_bytes in all, come to the driver."""
+    max_bytes in all, come to the driver.  A row of more than a 64th of that is left out, alone."""
     sample = labelled_sample(labels, label, max_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")  # max_rows rows at most
 
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
                 yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array(lang, pa.int32()), pa.array(raw, pa.binary())], ["label", "lang", "ids"])
 
     order = [F.col("h"), F.col("ids"), F.col("label")]
-    found = joined.mapInArrow(run, "label int, lang int, ids binary").withColumn("h", F.xxhash64("ids", "label")).orderBy(*order).limit(max_rows)
+    found = joined.mapInArrow(run, "label int, lang int, ids binary").where(F.length("ids") <= max_bytes // 64).withColumn("h", F.xxhash64("ids", "label")).orderBy(*order).limit(max_rows)
     fits = found.withColumn("sum", F.sum(F.length("ids").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= max_bytes)
     rows = sorted((bytes(r[2]), r[1], r[0]) for r in fits.select("label", "lang", "ids").collect())  # the same net in any order of rows
     return fit([(np.frombuffer(x, "<i4").reshape(-1, len(PREFIXES)), lang, y) for x, lang, y in rows], shape)
