@@ -18,7 +18,7 @@ Defined cases: a null text is empty, a null language is ``und``; texts without w
 give nothing, nor does an empty table; a phrase has at most max_n words; repeated rows
 count each; ties in rank go by count, then by the phrase's bytes; only text and lang are
 read, other columns whatever their names are ignored.  Texts are taken in slices of
-some MB, a longer text as a whole, at about 150 bytes of memory a byte of text, as every
+two MB, a longer text as a whole, at about 150 bytes of memory a byte of text, as every
 word begins a suffix of max_n words.
 """
 
@@ -36,7 +36,7 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BETWEEN = BREAK.copy()
 BETWEEN[[0x20, 0x09]] = True
 SHARES = 4096
-SLICE = 1 << 23  #: bytes of text whose suffixes are counted together
+SLICE = 1 << 21  #: bytes of text whose suffixes are counted together
 PARTS = 2 * SHARES  #: more than the parts of any word
 SALTS = 64  #: groups in which a language's phrases are ranked first
 
