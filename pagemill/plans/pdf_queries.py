@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.plans.base import LINES_SQL, PAGES_SQL, docs, pages, query
-from pagemill.sources import corpus, pdf
+from pagemill.operators import geometry
+from pagemill.plans.base import LINES_SQL, PAGED_SQL, PAGES_SQL, docs, paged, pages, query
+from pagemill.sources import corpus, pdf, pdf_content, pdf_objects, pdf_writer, shared
 
 ITEMS_SQL = f"{LINES_SQL}, items AS (SELECT doc_id, line_no // 4 + 1 AS page, line_no AS seq, line AS text FROM dlines)"
 
@@ -53,3 +54,61 @@ def outline_pages(spark, d):
     nodes = ls.select("doc_id", n.alias("node"), F.when(n > 0, F.floor(n / 2)).alias("parent"), F.col("line").alias("title"), F.when(n % 3 != 0, F.concat(F.lit("d"), n.cast("string"))).alias("dest"))
     known = ls.where(n % 5 != 0).select("doc_id", F.concat(F.lit("d"), n.cast("string")).alias("dest"), F.floor(n / 4).alias("page_index"))
     return pdf.outline_pages(nodes, known)
+
+
+# Files written from the documents and read again: a page for four lines, an outline entry, a drawn box and a picture for each page.
+FILES_SQL = f"{PAGED_SQL}, files AS (SELECT doc_id, CAST(i + 1 AS BIGINT) AS page, string_split(pages[i + 1], chr(10)) AS ls FROM (SELECT doc_id, pages, unnest(range(n)) AS i FROM paged))"
+
+
+def files(spark, d):
+    """(doc_id, content): a PDF file of each document."""
+    p = paged(spark, d).select("doc_id", F.transform("pages", lambda x: F.split(x, "\n")).alias("pages"))
+    size = lambda ls, k: F.coalesce(F.length(F.get(ls, F.lit(k))), F.lit(0)).cast("string")
+    box = lambda ls: F.concat(F.lit("q 2 0 0 2 10 20 cm q 1 0 0 1 5 5 cm "), size(ls, 0), F.lit(" "), size(ls, 1), F.lit(" 30 10 re S Q 0 0 m "), size(ls, 2), F.lit(" 40 l B Q"))
+    first = F.get(F.get("pages", F.lit(0)), F.lit(0))
+    return pdf_writer.text_files(p.select("doc_id", "pages", first.alias("title"), F.transform("pages", lambda ls: F.get(ls, F.lit(0))).alias("titles"), F.transform("pages", box).alias("marks"), F.encode(F.substring(F.concat(F.lit("p"), first), 1, 50), "UTF-8").alias("picture")))
+
+
+def read_back(spark, d):
+    """Object rows and pages of the files."""
+    objs = shared.written(pdf_objects.objects(files(spark, d)), "objects")
+    return objs, shared.written(pdf_objects.page_nodes(objs), "pages")
+
+
+@query("pdf_metadata", f"WITH {PAGED_SQL} SELECT doc_id, n AS page_count, string_split(pages[1], chr(10))[1] AS title FROM paged")
+def pdf_metadata(spark, d):
+    return pdf_objects.metadata(*read_back(spark, d)).select("doc_id", "page_count", "title")
+
+
+@query("pdf_page_texts", f"WITH {FILES_SQL} SELECT doc_id, page, array_to_string(ls, ' ') AS text FROM files")
+def pdf_page_texts(spark, d):
+    objs, pages = read_back(spark, d)
+    shown = pdf_content.with_state(pdf_content.operators(objs, pages))
+    return pdf.page_texts(pdf_content.text_items(shown, pdf_content.fonts(objs, pages)))
+
+
+@query("pdf_outline", f"WITH {FILES_SQL} SELECT doc_id, page - 1 AS ordinal, (page - 1) % 2 AS depth, ls[1] AS title, page FROM files")
+def pdf_outline(spark, d):
+    objs, pages = read_back(spark, d)
+    return pdf_objects.outline(objs, pages, pdf_objects.destinations(objs, pages)).select("doc_id", "ordinal", "depth", "title", "page")
+
+
+@query("pdf_images", f"WITH {FILES_SQL} SELECT doc_id, page, CAST(strlen(t) AS BIGINT) AS width, CAST(1 AS BIGINT) AS height, sha256(t) AS samples FROM files JOIN (SELECT doc_id, 'p' || substring(ls[1], 1, 49) AS t FROM files WHERE page = 1) USING (doc_id)")
+def pdf_images(spark, d):
+    objs, pages = read_back(spark, d)
+    found = pdf_content.images(objs, pages, pdf_content.with_state(pdf_content.operators(objs, pages)))
+    return found.select("doc_id", "page", "width", "height", F.sha2("data", 256).alias("samples"))
+
+
+# A box of 30 x 10 moved by (5, 5), doubled and moved by (10, 20); a line from there, doubled as well.
+PATHS_SQL = f"""{FILES_SQL}, sizes AS (SELECT doc_id, page, coalesce(length(ls[1]), 0) AS a, coalesce(length(ls[2]), 0) AS b, coalesce(length(ls[3]), 0) AS c FROM files),
+drawn AS (SELECT doc_id, page, 0 AS k, 2 * (a + 5) + 10 AS min_x, 792 - (2 * (b + 15) + 20) AS min_y, 2 * (a + 35) + 10 AS max_x, 792 - (2 * (b + 5) + 20) AS max_y, false AS has_fill FROM sizes
+UNION ALL SELECT doc_id, page, 1, 10, 792 - 100, 10 + 2 * c, 792 - 20, true FROM sizes)"""
+
+
+@query("pdf_painted_paths", f"WITH {PATHS_SQL} SELECT doc_id, page, CAST(min_x AS DOUBLE) AS min_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_x AS DOUBLE) AS max_x, CAST(max_y AS DOUBLE) AS max_y, has_fill FROM drawn WHERE max_x - min_x >= 20 OR max_y - min_y >= 20")
+def pdf_painted_paths(spark, d):
+    objs, pages = read_back(spark, d)
+    drawn = pdf_content.drawn(pdf_content.with_state(pdf_content.operators(objs, pages)), pages, placed=True)
+    paths = geometry.painted_paths(drawn, height=F.col("height"))
+    return paths.select("page_id.doc_id", "page_id.page", "min_x", "min_y", "max_x", "max_y", "has_fill")
