@@ -76,7 +76,8 @@ def number_of(value: Column) -> Column:
 
 def resolved(df: DataFrame, objs: DataFrame, *columns: str) -> DataFrame:
     """df (doc_id, ...) whose columns of JSON values have what a reference names in its place."""
-    held = objs.where("num > 0").select("doc_id", F.col("num").alias("_num"), F.col("value").alias("_held"))
+    plain = F.when(F.col("value").startswith('"'), F.get_json_object("value", "$")).otherwise(F.col("value"))  # strings stand without quotes, as in field
+    held = objs.where("num > 0").select("doc_id", F.col("num").alias("_num"), plain.alias("_held"))
     for c in columns:
         df = df.withColumn("_num", number_of(F.col(c))).join(held, ["doc_id", "_num"], "left")
         df = df.withColumn(c, F.when(F.col("_num").isNull(), F.col(c)).otherwise(F.col("_held"))).drop("_num", "_held")

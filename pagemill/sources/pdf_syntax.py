@@ -20,7 +20,7 @@ TOKEN = re.compile(rb"[" + WHITE + rb"]+|%[^\r\n]*|(<<|>>|[\[\]{}]|/[^" + WHITE
 REFERENCE = re.compile(rb"(\d+)[" + WHITE + rb"]+(\d+)[" + WHITE + rb"]+R(?![^" + WHITE + rb"()<>\[\]{}/%])")
 OBJECT = re.compile(rb"(?<!\d)(\d+)[" + WHITE + rb"]+(\d+)[" + WHITE + rb"]+obj(?![A-Za-z])")
 NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)$")
-DAMAGED_NUMBER = re.compile(rb"[+-]*([+-]?\d+\.?\d*)[\d.+-]*$")
+DAMAGED_NUMBER = re.compile(rb"[+-]*?([+-]?\d+\.?\d*)[\d.+-]*$")
 DEPTH = 200  #: of arrays and dictionaries; deeper ones are damage
 LARGEST = 1 << 28  #: bytes of a stream
 #: Codes of text strings that differ from Latin-1 (fixed values).
