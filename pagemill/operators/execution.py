@@ -58,17 +58,40 @@ def delays(base: float = 1.0, cap: float = 30.0, within: float = 30.0, most: int
         wait *= 2
 
 
-def with_retry(call: Callable, *args, sleep=time.sleep, waits: Iterable[float] | None = None):
+def with_retry(call: Callable, *args, sleep=time.sleep, waits: Iterable[float] | None = None, until: float = float("inf"), clock=time.monotonic):
+    """call(*args), again after each wait while what fails may succeed; no wait goes beyond until."""
     for wait in [*(delays() if waits is None else waits), None]:
         try:
             return call(*args)
         except Exception as e:  # noqa: BLE001 every failure is classified
             known = classified(e)
-            if wait is None or not known.retryable:
+            if wait is None or not known.retryable or clock() + wait >= until:
                 raise known from e
             sleep(wait)
 
 
+@dataclass
+class Budget:
+    """The time that all calls for one document may take together."""
+
+    seconds: float
+    timeout: float = 120.0
+    waits: tuple[float, ...] | None = None
+    clock: Callable[[], float] = time.monotonic
+
+    def __post_init__(self):
+        self.end = self.clock() + self.seconds
+
+    def left(self) -> float:
+        return self.end - self.clock()
+
+    def run(self, call: Callable, *args):
+        """A call with its own limit and tries, within what is left; none is made once all is spent."""
+        if self.left() <= 0:
+            raise CallError("timeout", "the document's time is up", None, False)
+        return with_retry(lambda *a: within(max(0.0, min(self.timeout, self.left())), call, *a), *args, waits=self.waits, until=self.end, clock=self.clock)
+
+
 @dataclass
 class Limiter:
     """At most so many calls at a time, and a least time between the end of one and the begin of the next."""
@@ -168,9 +191,11 @@ def captured(call: Callable, *args) -> tuple:
         return None, {"kind": c.kind, "message": c.message, "status": c.status, "retryable": c.retryable}
 
 
-def robust_calls(df: DataFrame, call: Callable[[dict], str], name: str = "result", at_once: int = 3, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None) -> DataFrame:
+def robust_calls(df: DataFrame, call: Callable[[dict], str], name: str = "result", at_once: int = 3, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None, lanes: int = 0) -> DataFrame:
     """df with the string result of call(row) and an error struct, one of which is null, for each row.
 
+    at_once and gap hold in each task.  lanes, if any, is the number of tasks of this stage, however many rows and
+    executors there are: then lanes * at_once calls run at a time in all, and lanes calls a gap begin.
     timeout holds for each attempt, from its begin; one that is late counts as failed and is tried again as other failures are.
     """
     schema = StructType([*(f for f in df.schema.fields if f.name not in (name, "error")), StructField(name, StringType()), StructField("error", ERROR)])
@@ -183,7 +208,7 @@ def robust_calls(df: DataFrame, call: Callable[[dict], str], name: str = "result
             done = in_order(one, pdf[kept].to_dict("records"), at_once)
             yield pdf[kept].assign(**{name: [d[0] for d in done], "error": [d[1] for d in done]})
 
-    return df.mapInPandas(run, schema)
+    return (df.repartition(lanes) if lanes else df).mapInPandas(run, schema)
 
 
 def error_rollup(rows: DataFrame, key: str = "doc_id", order: str = "page") -> DataFrame:

@@ -4,7 +4,10 @@ Each kind of call is one pass of ``execution.robust_calls`` over the documents,
 the order in which a conversion needs the answers: analysis and headings, layout of
 sampled pages, structure, then pages or windows.  Pages of a document are called for
 one after the other, each told what came before.  What fails leaves an empty answer
-and an entry in ``errors``; tasks can run again, so calls have to be idempotent.
+and an entry in ``errors``.  All calls for a document share a budget of time, which is
+handed on from step to step; a document whose time is up gets no further calls, an
+empty result and an error of step ``document``.  Tasks can run again: a provider behind
+``journal.Journaled`` pays for no call twice.  Answers are written once, before they are read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import execution, passes, pipelines, prompts, sampling, structure
 from pagemill.operators.providers import Recorded
+from pagemill.sources.shared import written
 
 ANALYSIS = "struct<language:string,tables:int,has_code:boolean,has_math:boolean,has_toc:boolean>"
 HEADINGS = "array<struct<level:int,title:string,page:bigint>>"
@@ -120,11 +124,21 @@ def _windows(provider: LiveProvider, retry, row: dict, gap: float, parallel: int
     return execution.in_order(one, plan, parallel) if parallel else execution.in_sequence(one, plan, gap)
 
 
-def _step(df: DataFrame, name: str, call, kind: str | None, **limits) -> DataFrame:
-    """df with the answer of call(row), JSON of a kind, and its failure among the errors."""
-    got = execution.robust_calls(df, call, name, **limits)
-    failed = F.when(F.col("error").isNotNull(), F.array(F.struct(F.lit(name[1:]).alias("step"), F.lit(None).cast("long").alias("at"), F.col("error")).cast(ERROR))).otherwise(F.array().cast(f"array<{ERROR}>"))
-    return got.withColumn("errors", F.concat("errors", failed)).withColumn(name, F.from_json(name, kind) if kind else F.col(name)).drop("error")
+def _step(df: DataFrame, name: str, call, kind: str | None, timeout: float, waits: tuple[float, ...] | None, **limits) -> DataFrame:
+    """df with the answer of call(row, budget), JSON of a kind, its failure among the errors, and what it leaves of the document's time (_left)."""
+
+    def run(row: dict) -> str:
+        budget = execution.Budget(row["_left"], timeout, waits)
+        answer, error = execution.captured(call, row, budget)
+        return json.dumps({"answer": answer, "error": error, "left": budget.left()})
+
+    # The budget holds; the row as a whole has no further limit.
+    got = written(execution.robust_calls(df, run, "_told", timeout=1e9, waits=(), **limits).drop("error"), "answers")
+    told = F.from_json("_told", f"struct<answer:string,error:{FAILURE},left:double>")
+    got = got.withColumn("_told", told)
+    failed = F.when(F.col("_told.error").isNotNull(), F.array(F.struct(F.lit(name[1:]).alias("step"), F.lit(None).cast("long").alias("at"), F.col("_told.error").alias("error")).cast(ERROR))).otherwise(F.array().cast(f"array<{ERROR}>"))
+    answer = F.col("_told.answer")
+    return got.withColumn("errors", F.concat("errors", failed)).withColumn(name, F.from_json(answer, kind) if kind else answer).withColumn("_left", F.coalesce("_told.left", "_left")).drop("_told")
 
 
 def _told(df: DataFrame, name: str) -> DataFrame:
@@ -133,37 +147,44 @@ def _told(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("errors", F.concat("errors", failed))
 
 
-def recorded(paged: DataFrame, provider: LiveProvider, pipeline: str, size: int = 50, parallel: int = 0, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None, at_once: int = 3) -> DataFrame:
-    """paged with the answers that a pipeline's expressions read (see providers.Recorded), and errors."""
+def recorded(paged: DataFrame, provider: LiveProvider, pipeline: str, size: int = 50, parallel: int = 0, gap: float = 0.0, timeout: float = 120.0, waits: tuple[float, ...] | None = None, at_once: int = 3, lanes: int = 0, total: float = 600.0) -> DataFrame:
+    """paged with the answers that a pipeline's expressions read (see providers.Recorded), and errors.
+
+    timeout: of a call; total: of all calls for a document; lanes: see execution.robust_calls.
+    """
     pages, n = F.col("pages"), F.col("n")
-    retry = lambda call, *args: execution.with_retry(execution.within, timeout, call, *args, waits=waits)
-    # A document's pages have their own limits; the row as a whole has none.
-    limits = {"at_once": at_once, "gap": gap, "timeout": 1e9, "waits": ()}
-    df = paged.withColumn("errors", F.array().cast(f"array<{ERROR}>"))
+    limits = {"at_once": at_once, "gap": gap, "timeout": timeout, "waits": waits, "lanes": lanes}
+    df = paged.withColumn("errors", F.array().cast(f"array<{ERROR}>")).withColumn("_left", F.lit(float(total)))
+    df = _called(df, provider, pipeline, size, parallel, gap, pages, n, limits)
+    late = F.struct(F.lit("document").alias("step"), F.lit(None).cast("long").alias("at"), F.struct(F.lit("timeout").alias("kind"), F.lit("the document's time is up").alias("message"), F.lit(None).cast("long").alias("status"), F.lit(False).alias("retryable")).alias("error"))
+    return df.withColumn("errors", F.when(F.col("_left") <= 0, F.concat("errors", F.array(late.cast(ERROR)))).otherwise(F.col("errors"))).drop("_left")
+
+
+def _called(df: DataFrame, provider: LiveProvider, pipeline: str, size: int, parallel: int, gap: float, pages, n, limits: dict) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
 
     def page_calls(df: DataFrame, shared) -> DataFrame:
-        def call(row: dict) -> str:
+        def call(row: dict, budget: execution.Budget) -> str:
             row = _plain(row)
-            return json.dumps(_pages(provider, retry, row["pages"], 1, {"total": len(row["pages"])} | shared(row), row["_headings"] or []))
+            return json.dumps(_pages(provider, budget.run, row["pages"], 1, {"total": len(row["pages"])} | shared(row), row["_headings"] or []))
 
         return _told(_step(df, "_converted", call, CONVERTED, **limits), "_converted")
 
     if pipeline == "intelligent":
 
-        def layouts(row: dict) -> str:
+        def layouts(row: dict, budget: execution.Budget) -> str:
             out = {}
             for p in _plain(row["_numbers"]):
                 text = row["pages"][p - 1]
                 prompt = prompts.LAYOUT.format(page=p, total=len(row["pages"])) + text[: prompts.SAMPLE]
-                answer, _ = execution.captured(retry, provider.chat, prompt)
+                answer, _ = execution.captured(budget.run, provider.chat, prompt)
                 out[p] = answer or "{}"
             return json.dumps(out)
 
         df = df.withColumn("_numbers", sampling.at_percentiles(n))
         df = _step(df, "_layout", layouts, "map<string,string>", **limits)
         df = df.withColumn("_prompt", T.let(passes.layout_pass(pages, n, Recorded()), lambda x: prompts.structure(passes.structure_samples(pages, n, x), n)))
-        df = _step(df, "_structure", lambda row: retry(provider.chat, row["_prompt"]), None, **limits).withColumn("_structure", F.coalesce("_structure", F.lit("{}")))
+        df = _step(df, "_structure", lambda row, budget: budget.run(provider.chat, row["_prompt"]), None, **limits).withColumn("_structure", F.coalesce("_structure", F.lit("{}")))
         df = df.withColumn("_found", structure.profile(F.col("_structure"), n)).withColumn("_headings", F.transform(F.col("_found")["toc"], lambda e: F.struct(e["level"], e["title"], e["page"])))
         df = df.withColumn("_filters", T.let(passes.layout_pass(pages, n, Recorded()), lambda x: F.struct(passes.filter_pattern(x["headers"]).alias("header"), passes.filter_pattern(x["footers"]).alias("footer"))))
         df = page_calls(df.drop("_found"), lambda row: {"language": "auto", **row["_filters"]})
@@ -172,23 +193,25 @@ def recorded(paged: DataFrame, provider: LiveProvider, pipeline: str, size: int
     if pipeline == "direct":
         df = df.withColumn("_analysis", none(ANALYSIS)).withColumn("_headings", none(HEADINGS))
         return page_calls(df, lambda row: {"language": "auto"})
-    df = _step(df.withColumn("_text", text), "_analysis", lambda row: json.dumps(retry(provider.analyze, row["_text"])), ANALYSIS, **limits)
+    df = _step(df.withColumn("_text", text), "_analysis", lambda row, budget: json.dumps(budget.run(provider.analyze, row["_text"])), ANALYSIS, **limits)
     if pipeline == "legacy":
         return page_calls(df.withColumn("_headings", none(HEADINGS)), lambda row: {"language": (row["_analysis"] or {}).get("language")}).drop("_text")
-    df = _step(df, "_headings", lambda row: json.dumps(retry(provider.extract_structure, row["_text"], _plain(row["_analysis"]) or {})), HEADINGS, **limits)
+    df = _step(df, "_headings", lambda row, budget: json.dumps(budget.run(provider.extract_structure, row["_text"], _plain(row["_analysis"]) or {})), HEADINGS, **limits)
     df = df.withColumn("_headings", F.coalesce("_headings", F.array().cast(HEADINGS))).drop("_text")
     edges = pipelines.edges(pages, n, *((5, 3) if pipeline == "light" else (7, 4)))
     df = df.withColumn("_edges", edges)
     if pipeline == "light":
         return page_calls(df, lambda row: {"language": (row["_analysis"] or {}).get("language"), **row["_edges"]}).drop("_edges")
     df = df.withColumn("_plan", pipelines.window_plan(pages, n, F.col("_headings"), size))
-    return _told(_step(df, "_windows", lambda row: json.dumps(_windows(provider, retry, _plain(row), gap, parallel)), CONVERTED, **limits), "_windows").drop("_edges", "_plan")
+    return _told(_step(df, "_windows", lambda row, budget: json.dumps(_windows(provider, budget.run, _plain(row), gap, parallel)), CONVERTED, **limits), "_windows").drop("_edges", "_plan")
 
 
 def convert(paged: DataFrame, provider: LiveProvider, pipeline: str, **limits) -> DataFrame:
     """All documents by one pipeline with a live provider, and errors: array<struct<step,at,error>>."""
     told = recorded(paged, provider, pipeline, **limits)
-    return pipelines.convert(told, pipeline, Recorded(), keep=("errors",))
+    out = pipelines.convert(told, pipeline, Recorded(), keep=("errors",))
+    late = F.exists("errors", lambda e: e["step"] == "document")
+    return out.withColumn("markdown", F.when(late, F.lit("")).otherwise(F.col("markdown")))
 
 
 def processed_windows(df: DataFrame, call, name: str = "content", delay: float = 0.5, waits: tuple[float, ...] | None = None, timeout: float = 120.0, sleep=time.sleep) -> DataFrame:

@@ -10,10 +10,7 @@ from pagemill.functions.text import col
 
 TYPES = ("academic", "book", "report", "marketing", "manual", "legal", "other")  # fixed values
 NOTE_STYLES = ("inline", "endnote", "chapter-end")
-DEPTH = 6  #: levels of nested contents entries
-ENTRY = "struct<level:double,title:string,page:double>"
-for _ in range(DEPTH - 1):
-    ENTRY = f"struct<level:double,title:string,page:double,children:array<{ENTRY}>>"
+ENTRY = "struct<level:double,title:string,page:double,children:string>"  # children: JSON as it stands
 ANSWER = f"struct<documentType:string,toc:struct<explicit:boolean,entries:array<{ENTRY}>>,hierarchy:struct<maxDepth:double>,sections:struct<frontMatter:struct<start:double,end:double>,body:struct<start:double,end:double>,backMatter:struct<start:double,end:double>>,crossReferences:struct<footnoteStyle:string,citationStyle:string>>"
 
 
@@ -35,7 +32,7 @@ def validated(answer, n) -> list[Column]:
     start = F.when(body["start"].isNotNull(), F.greatest(F.lit(1.0), body["start"])).otherwise(F.coalesce(front["end"] + 1, F.lit(1.0)))
     end = F.when(body["end"].isNotNull(), F.least(n, body["end"])).otherwise(F.coalesce(back["start"] - 1, n))
     empty = end < start
-    entries = F.transform(contents(j["toc"]["entries"], n), lambda e: F.concat_ws(":", e["level"].cast("string"), e["page"].cast("string"), e["title"]))
+    entries = F.transform(contents(j["toc"]["entries"], n, braces(answer)), lambda e: F.concat_ws(":", e["level"].cast("string"), e["page"].cast("string"), e["title"]))
     notes = j["crossReferences"]["footnoteStyle"]
     return [
         F.when(j["documentType"].isin(*TYPES), j["documentType"]).otherwise("other").alias("document_type"),
@@ -48,20 +45,34 @@ def validated(answer, n) -> list[Column]:
     ]
 
 
-def contents(entries, n, depth: int = 0, level=None) -> Column:
-    """Nested contents entries as array<struct<level,title,page,depth>> in pre-order; an entry without a level is one below its parent."""
-    kind = "array<struct<level:int,title:string,page:bigint,depth:int>>"
+def braces(answer) -> Column:
+    """The number of opening braces of a text: no fewer than it has nested entries."""
+    return F.length(col(answer)) - F.length(F.replace(col(answer), F.lit("{"), F.lit("")))
 
-    def one(e):
-        own = F.coalesce(clamp(e["level"], 1, 6), F.lit(1.0) if level is None else (level + 1).cast("double")).cast("int")
 
-        def below(x):
-            here = F.array(F.struct(x.alias("level"), F.coalesce(e["title"], F.lit("Untitled")).alias("title"), F.coalesce(clamp(e["page"], 1, n), F.lit(1.0)).cast("long").alias("page"), F.lit(depth).alias("depth"))).cast(kind)
-            return F.concat(here, F.coalesce(contents(e["children"], n, depth + 1, x), F.array().cast(kind))) if depth + 1 < DEPTH else here
+def contents(entries, n, most) -> Column:
+    """Nested contents entries, however deep, as array<struct<level,title,page,depth>> in pre-order; an entry without a level is one below its parent.
 
-        return T.let(own, below)
+    A list of what is to come is worked off from the front, an entry's children taking its
+    place; there are at most ``most`` entries.
+    """
+    item, kind = f"array<struct<e:{ENTRY},depth:int,level:int>>", "array<struct<level:int,title:string,page:bigint,depth:int>>"
+    items = lambda es, depth, level: F.transform(F.filter(es, lambda e: e.isNotNull()), lambda e: F.struct(e.alias("e"), depth.cast("int").alias("depth"), level.cast("int").alias("level")))
+    none = lambda k: F.array().cast(k)
 
-    return F.coalesce(F.flatten(F.transform(F.filter(entries, lambda e: e.isNotNull()), one)), F.array().cast(kind))
+    def step(acc, _):
+        todo, out = acc["todo"], acc["out"]
+        head = F.get(todo, F.lit(0))
+        e = head["e"]
+        level = F.coalesce(clamp(e["level"], 1, 6), (F.coalesce(head["level"], F.lit(0)) + 1).cast("double")).cast("int")
+        here = F.array(F.struct(level.alias("level"), F.coalesce(e["title"], F.lit("Untitled")).alias("title"), F.coalesce(clamp(e["page"], 1, n), F.lit(1.0)).cast("long").alias("page"), head["depth"].alias("depth"))).cast(kind)
+        below = items(F.from_json(e["children"], f"array<{ENTRY}>"), head["depth"] + 1, level)
+        rest = F.slice(todo, F.lit(2), F.size(todo))
+        more = F.struct(F.concat(F.coalesce(below.cast(item), none(item)), rest).alias("todo"), F.concat(out, here).alias("out"))
+        return F.when(F.size(todo) > 0, more).otherwise(acc)
+
+    start = F.struct(F.coalesce(items(entries, F.lit(0), F.lit(None)).cast(item), none(item)).alias("todo"), none(kind).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.coalesce(most, F.lit(0))), start, step)["out"]
 
 
 def profile(answer, n) -> Column:
@@ -71,7 +82,7 @@ def profile(answer, n) -> Column:
         F.when(j["documentType"].isin(*TYPES), j["documentType"]).otherwise("other").alias("document_type"),
         F.coalesce(clamp(j["hierarchy"]["maxDepth"], 1, 6), F.lit(2.0)).cast("int").alias("max_depth"),
         F.coalesce(j["toc"]["explicit"], F.lit(False)).alias("explicit"),
-        contents(j["toc"]["entries"], col(n).cast("double")).alias("toc"),
+        contents(j["toc"]["entries"], col(n).cast("double"), braces(answer)).alias("toc"),
     )
 
 
