@@ -150,20 +150,22 @@ def bigrams(x) -> Column:
     return let(t, lambda t: F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))))
 
 
-def dice(a, b) -> Column:
-    """Bigram multiset similarity of two strings."""
+def numbered_bigrams(x) -> Column:
+    """Two-letter parts; the k-th occurrence of one gets the number k, so that sets of them can be intersected."""
+
+    def of(s):
+        begins = F.filter(F.transform(s, lambda g, i: F.when((i == 0) | (F.get(s, i - 1) != g), i)), lambda i: i.isNotNull())
+        many = lambda p, q: F.transform(F.sequence(F.lit(0), q - p - 1), lambda k: F.concat(F.get(s, p), k.cast("string")))
+        return let(begins, lambda at: F.flatten(F.transform(at, lambda p, k: many(p, F.coalesce(F.get(at, k + 1), F.size(s))))))
 
-    def numbered(x):  # the k-th occurrence of a bigram gets the number k, so that sets can be intersected
+    return let(F.array_sort(bigrams(x)), of)
 
-        def of(s):
-            begins = F.filter(F.transform(s, lambda g, i: F.when((i == 0) | (F.get(s, i - 1) != g), i)), lambda i: i.isNotNull())
-            many = lambda p, q: F.transform(F.sequence(F.lit(0), q - p - 1), lambda k: F.concat(F.get(s, p), k.cast("string")))
-            return let(begins, lambda at: F.flatten(F.transform(at, lambda p, k: many(p, F.coalesce(F.get(at, k + 1), F.size(s))))))
 
-        return let(F.array_sort(bigrams(x)), of)
+def dice(a, b) -> Column:
+    """Bigram multiset similarity of two strings."""
 
     def of_both(x):
-        common = F.size(F.array_intersect(numbered(x["p"]), numbered(x["q"])))
+        common = F.size(F.array_intersect(numbered_bigrams(x["p"]), numbered_bigrams(x["q"])))
         return F.when(x["p"] == x["q"], 1.0).when((F.length(x["p"]) < 2) | (F.length(x["q"]) < 2), 0.0).otherwise(2.0 * common / (F.length(x["p"]) + F.length(x["q"]) - 2))
 
     return let(F.struct(F.regexp_replace(col(a), r"\s", "").alias("p"), F.regexp_replace(col(b), r"\s", "").alias("q")), of_both)

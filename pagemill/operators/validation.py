@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions.text import col
+from pagemill.sources.shared import written
 
 PASS = 0.9  #: similarity of a matching heading
 
@@ -36,17 +37,123 @@ def elements(text) -> list[Column]:
     ]
 
 
+def blocks(text) -> Column:
+    """struct<tables: array<struct<rows,columns>>, languages: array<string>> of Markdown: each table's rows with its header, and each fenced
+    block's language, empty if none is named.
+
+    One walk over the lines: a table begins with a line of as many cells as the delimiter
+    line below it, and goes on until a blank line or another block; a fence ends with one
+    of its own kind that is as long, or with the text.
+    """
+    fence, shut = r"^ {0,3}(`{3,}|~{3,})", r"^ {0,3}(`{3,}|~{3,})[ \t]*$"
+    delimiter = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
+    other = r"^ {0,3}(#{1,6}([ \t]|$)|>|[-*+][ \t]|[0-9]{1,9}[.)][ \t]|(-[ \t]*){3,}$|(\*[ \t]*){3,}$|(_[ \t]*){3,}$)"
+    kind = "struct<fence:string,header:int,inside:boolean,tables:array<struct<rows:int,columns:int>>,languages:array<string>>"
+    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("header"), F.lit(False).alias("inside"), F.array().cast("array<struct<rows:int,columns:int>>").alias("tables"), F.array().cast("array<string>").alias("languages")).cast(kind)
+
+    def cells(line):
+        t = T.trimmed(line)
+        bars = F.regexp_count(t, F.lit(r"(?<!\\)\|"))
+        return F.when(bars > 0, bars + 1 - t.startswith("|").cast("int") - (t.rlike(r"(?<!\\)\|$") & (F.length(t) > 1)).cast("int")).otherwise(F.when(t != "", 1).otherwise(0)).cast("int")
+
+    def step(acc, line):
+        state = lambda **new: F.struct(*(new.get(k, acc[k]).alias(k) for k in ("fence", "header", "inside", "tables", "languages"))).cast(kind)
+        none, off = F.lit(0), F.lit(False)
+        mark = F.regexp_extract(line, fence, 1)
+        info = T.trimmed(F.regexp_replace(line, fence, ""))
+        opens = (mark != "") & ~(mark.startswith("`") & F.contains(info, F.lit("`")))
+        last = F.element_at(acc["tables"], -1)
+        longer = F.concat(F.slice(acc["tables"], F.lit(1), F.size(acc["tables"]) - 1), F.array(F.struct((last["rows"] + 1).alias("rows"), last["columns"].alias("columns"))))
+        n = cells(line)
+        return (
+            F.when(acc["fence"] != "", F.when(F.regexp_extract(line, shut, 1).startswith(acc["fence"]), state(fence=F.lit(""))).otherwise(acc))
+            .when(opens, state(fence=mark, header=none, inside=off, languages=F.concat(acc["languages"], F.array(F.regexp_extract(info, r"^([^ \t]*)", 1)))))
+            .when(~acc["inside"] & (acc["header"] == n) & (n > 0) & line.rlike(delimiter) & F.contains(line, F.lit("|")), state(inside=F.lit(True), header=none, tables=F.concat(acc["tables"], F.array(F.struct(F.lit(1).alias("rows"), n.alias("columns"))))))
+            .when(acc["inside"] & (n > 0) & ~line.rlike(other), state(tables=longer))
+            .otherwise(state(inside=off, header=F.when(line.rlike(other) | line.rlike(r"^(    |\t)"), none).otherwise(n)))
+        )
+
+    walked = F.aggregate(T.lines(text), start, step)
+    return F.struct(walked["tables"].alias("tables"), walked["languages"].alias("languages"))
+
+
+def content_of(text) -> Column:
+    """struct<images,tables,code_blocks> of Markdown, as content_report takes it."""
+    outside = F.regexp_replace(col(text), r"(?ms)^ {0,3}```.*?^ {0,3}```[ \t]*$", "")
+    images = F.regexp_count(outside, F.lit(r"!\[[^\]]*\]\([^)]*\)"))
+    return T.let(blocks(text), lambda b: F.struct(images.cast("long").alias("images"), F.size(b["tables"]).cast("long").alias("tables"), F.size(b["languages"]).cast("long").alias("code_blocks")))
+
+
+def fixture_report(documents: DataFrame, fixtures: DataFrame, tolerance: int = 1) -> DataFrame:
+    """(name, actual and expected counts, content_report): conversions (name, markdown) against expectation files (corpus.read_fixtures); documents of either."""
+    wanted = fixtures.select("name", F.struct(*(F.col(f"content.{c}.count").cast("long").alias(n) for c, n in (("images", "images"), ("tables", "tables"), ("codeBlocks", "code_blocks")))).alias("expected"))
+    both = documents.select("name", content_of("markdown").alias("actual")).join(wanted, "name", "full")
+    report = [F.coalesce(c, F.lit(False)).alias(n) for c, n in zip(content_report("actual", "expected", tolerance), ("images_ok", "tables_ok", "code_blocks_ok", "content_ok"), strict=True)]
+    return both.select("name", "actual", "expected", *report)
+
+
 def within(actual, expected, tolerance: int = 1) -> Column:
     return F.abs(col(actual) - col(expected)) <= tolerance
 
 
+def _grams(df: DataFrame, prefix: str) -> DataFrame:
+    """df with the normal form without spaces, and its numbered two-letter parts, once for each heading."""
+    plain = F.regexp_replace(T.match_normal("text"), r"\s", "")
+    return df.withColumn(f"{prefix}_plain", plain).withColumn(f"{prefix}_grams", T.numbered_bigrams(T.match_normal("text")))
+
+
+def _likeness(p, q, g, h) -> Column:
+    common = F.size(F.array_intersect(g, h))
+    s = F.when(p == q, 1.0).when((F.length(p) < 2) | (F.length(q) < 2), 0.0).otherwise(2.0 * common / (F.size(g) + F.size(h)))
+    return F.round(s, 6)
+
+
 def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS) -> DataFrame:
     """For each expected heading (doc_id, ord, level, text): the most similar actual one of the document and level, the
-    first of equal ones; documents and levels are equi-join keys."""
-    a = actual.select("doc_id", "level", F.col("ord").alias("a_ord"), F.col("text").alias("a_text"))
-    pairs = expected.join(a, ["doc_id", "level"], "left").withColumn("s", F.round(T.dice(T.match_normal("text"), T.match_normal("a_text")), 6))
-    best = pairs.groupBy("doc_id", "ord", "level", "text").agg(F.max_by(F.struct("a_text", "s"), F.struct("s", -F.col("a_ord"))).alias("m"))
-    return best.select("doc_id", "ord", "level", "text", F.col("m.a_text").alias("match"), F.coalesce("m.s", F.lit(0.0)).alias("similarity"), (F.coalesce("m.s", F.lit(0.0)) >= least).alias("matched"))
+    first of equal ones; documents and levels are equi-join keys.
+
+    Texts with the same two-letter parts come first, by a join on these; then those that can reach least, by a join on
+    pairs of the rarest of their parts, of which such texts share one; only what has no match by then is compared with all texts
+    of its document and level, equal texts once.
+    """
+    e = written(_grams(expected.select("doc_id", "ord", "level", "text"), "e").withColumn("id", F.monotonically_increasing_id()), "expected")
+    first = actual.groupBy("doc_id", "level", "text").agg(F.min("ord").alias("a_ord"))
+    a = written(_grams(first, "a").withColumnRenamed("text", "a_text"), "actual")
+    rank = F.struct("s", -F.col("a_ord"))
+    chosen = F.max_by(F.struct("a_text", "s"), rank).alias("m")
+    told = lambda pairs: pairs.groupBy("id").agg(chosen)
+    scored = lambda pairs: pairs.withColumn("s", _likeness(F.col("e_plain"), F.col("a_plain"), F.col("e_grams"), F.col("a_grams")))
+    here = ["doc_id", "level"]
+    # Alike: the same parts, in whatever order; texts without parts have to be equal.
+    form = lambda p: F.when(F.length(f"{p}_plain") < 2, F.concat(F.lit("="), f"{p}_plain")).otherwise(F.array_join(F.array_sort(f"{p}_grams"), " "))
+    same = told(scored(e.withColumn("form", form("e")).join(a.withColumn("form", form("a")), [*here, "form"])))
+    same = written(same, "same")
+    left = e.join(same, "id", "left_anti")
+    tokens = lambda df, id_, p: df.select(*here, id_, F.size(f"{p}_grams").alias("n"), F.explode(f"{p}_grams").alias("gram"))
+    mine, theirs = tokens(left, "id", "e"), tokens(a, "a_ord", "a")
+    often = mine.select(*here, "gram").unionAll(theirs.select(*here, "gram")).groupBy(*here, "gram").agg(F.count(F.lit(1)).alias("often"))
+    share = (least - 1e-6) / (2 - least + 1e-6)  # of a text's parts that one of such a similarity has, too
+
+    reach = lambda n: F.ceil(n * share).cast("int")
+
+    def keys(t: DataFrame, id_: str) -> DataFrame:
+        """Two by two, the rarest parts: so many that texts of that similarity have two of them in common; single ones of texts that may have but one."""
+        ordered = t.join(often, [*here, "gram"]).groupBy(*here, id_, "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
+        first = lambda more: F.transform(F.slice("g", F.lit(1), F.col("n") - reach(F.col("n")) + more), lambda x: x["gram"])
+        pairs = lambda g: F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.size(g)), lambda y: F.concat_ws(" ", x, y))))
+        two = F.when(reach(F.col("n")) >= 2, pairs(first(2))).otherwise(F.array().cast("array<string>"))
+        one = F.when(reach(reach(F.col("n"))) < 2, first(1)).otherwise(F.array().cast("array<string>"))
+        return ordered.select(*here, id_, "n", F.explode(F.concat(one, two)).alias("key"))
+
+    other = keys(theirs, "a_ord").withColumnRenamed("n", "m")
+    sized = (F.col("m") >= reach(F.col("n"))) & (F.col("n") >= reach(F.col("m")))
+    near = keys(mine, "id").join(other, [*here, "key"]).where(sized).select("id", "a_ord", *here).distinct()
+    near = scored(near.join(e, ["id", *here]).join(a, [*here, "a_ord"])).where(F.col("s") >= least)
+    near = written(told(near), "near")
+    rest = scored(left.join(near, "id", "left_anti").join(a, here, "left")).withColumn("s", F.when(F.col("a_text").isNotNull(), F.col("s")))
+    best = e.join(same.unionByName(near).unionByName(told(rest)), "id", "left")
+    s = F.coalesce("m.s", F.lit(0.0))
+    return best.select("doc_id", "ord", "level", "text", F.col("m.a_text").alias("match"), s.alias("similarity"), (s >= least).alias("matched"))
 
 
 def image_url_ok(url) -> Column:
