@@ -71,13 +71,13 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 def _named(lang: str) -> str:
     """A language as the beginning of a key, which a tab ends."""
-    return lang.replace("\\", "\\\\").replace("\t", "\\t") + "\t"
+    return lang.replace("\\", "\\s").replace("\t", "\\t") + "\t"
 
 
 def _plain(key: str) -> tuple[str, str]:
     """Language and phrase of a key."""
     name, phrase = key.split("\t", 1)
-    return name.replace("\\t", "\t").replace("\\\\", "\\") if "\\" in name else name, phrase.rstrip(" ")
+    return name.replace("\\t", "\t").replace("\\s", "\\"), phrase.rstrip(" ")
 
 
 def suffixes(docs: DataFrame, text: str, lang: str, max_n: int, hot: dict[tuple[str, int], int]) -> DataFrame:
