@@ -49,6 +49,10 @@ class LiveProvider(Protocol):
 
     def chat(self, prompt: str) -> str: ...
 
+    def classify_image(self, data: bytes, prompt: str) -> str: ...
+
+    def validate_connection(self) -> bool: ...
+
 
 def _empty(error: dict | None) -> dict:
     return {"content": "", "summary": "", "last_paragraph": "", "images": None, "error": error}
@@ -214,6 +218,24 @@ def convert(paged: DataFrame, provider: LiveProvider, pipeline: str, **limits) -
     return out.withColumn("markdown", F.when(late, F.lit("")).otherwise(F.col("markdown")))
 
 
+def classified_images(images: DataFrame, provider: LiveProvider, data: str = "data", **limits) -> DataFrame:
+    """images with kind: struct<type,description,is_pure_vector,complexity>, and the error of a failed call.
+
+    A call that fails, an answer without a JSON object and missing parts of one give type
+    other, "Unknown image", false and 0.5; pictures without data are not asked for.  limits: of execution.robust_calls.
+    """
+    kept = images.columns
+    told = execution.robust_calls(images.withColumn("_data", F.col(data)), lambda row: "" if row["_data"] is None else provider.classify_image(bytes(row["_data"]), prompts.IMAGE), "_answer", **limits)
+    j = F.from_json(F.regexp_extract(F.coalesce("_answer", F.lit("")), r"(?s)\{.*\}", 0), "type string, description string, isPureVector boolean, complexity double")
+    parts = {"type": (j["type"], "other"), "description": (j["description"], "Unknown image"), "is_pure_vector": (j["isPureVector"], False), "complexity": (j["complexity"], 0.5)}
+    return told.select(*kept, F.struct(*(F.coalesce(x, F.lit(d)).alias(k) for k, (x, d) in parts.items())).alias("kind"), "error")
+
+
+def connected(provider: LiveProvider, timeout: float = 120.0) -> bool:
+    """Whether the provider can be reached with its key; what fails counts as no."""
+    return execution.captured(execution.within, timeout, provider.validate_connection)[0] is True
+
+
 def processed_windows(df: DataFrame, call, name: str = "content", delay: float = 0.5, waits: tuple[float, ...] | None = None, timeout: float = 120.0, sleep=time.sleep) -> DataFrame:
     """df (pages, plan: array<struct<window,start,end>>) with array<struct<window,content,error>>: call(pages of a window) one
     after the other, each failure in its place."""

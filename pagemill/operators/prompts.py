@@ -59,3 +59,7 @@ def window(context: dict) -> str:
         if context.get(key):
             lines.append(f"{told}: {context[key]}")
     return "\n".join(lines)
+
+IMAGE = """What does this picture show? Answer with one JSON object and nothing else:
+{"type": one of "photo", "diagram", "chart", "logo", "icon", "screenshot", "other",
+ "description": a short sentence, "isPureVector": true or false, "complexity": a number from 0 to 1}"""

@@ -135,6 +135,26 @@ def test_no_call_is_paid_twice(spark, tmp_path):
         _ = Journaled(other, journal).nothing
 
 
+def test_pictures_and_connection(spark, tmp_path):
+    class Sees(Counted):
+        def classify_image(self, data, prompt):
+            if data == b"bad":
+                raise RuntimeError("status: 400")
+            return {b"c": 'So: {"type": "chart", "description": "bars", "isPureVector": true, "complexity": 0.9} .', b"p": '{"type": "photo"}', b"n": "no idea"}[data]
+
+        def validate_connection(self):
+            if self.poison:
+                raise OSError("unreachable")
+            return True
+
+    rows = [(1, b"c"), (2, b"p"), (3, b"n"), (4, b"bad"), (5, None)]
+    got = {r.k: r for r in live.classified_images(spark.createDataFrame(rows, "k int, data binary"), Sees(str(tmp_path)), waits=()).collect()}
+    assert tuple(got[1].kind) == ("chart", "bars", True, 0.9) and tuple(got[2].kind) == ("photo", "Unknown image", False, 0.5)
+    assert all(tuple(got[k].kind) == ("other", "Unknown image", False, 0.5) for k in (3, 4, 5))
+    assert got[4].error.status == 400 and all(got[k].error is None for k in (1, 2, 3, 5))
+    assert live.connected(Sees(str(tmp_path))) and not live.connected(Sees(str(tmp_path), poison="x"))
+
+
 def test_failed_calls_are_not_kept(tmp_path):
     class Failing(Counted):
         def chat(self, prompt):
