@@ -108,14 +108,34 @@ def _likeness(p, q, g, h) -> Column:
     return F.round(s, 6)
 
 
-def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS) -> DataFrame:
+def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS, crowd: int = 1 << 16) -> DataFrame:
     """For each expected heading (doc_id, ord, level, text): the most similar actual one of the document and level, the
     first of equal ones; documents and levels are equi-join keys.
 
-    Texts with the same two-letter parts come first, by a join on these; then those that can reach least, by a join on
-    pairs of the rarest of their parts, of which such texts share one; only what has no match by then is compared with all texts
-    of its document and level, equal texts once.
+    Documents and levels of up to crowd pairs are compared pair by pair, those of more by ``rare_matches``; both give the same.
     """
+    here = ["doc_id", "level"]
+    count = lambda df, n: df.groupBy(*here).agg(F.count(F.lit(1)).alias(n))
+    many = count(expected, "n").join(count(actual, "m"), here).where(F.col("n") * F.col("m") > crowd).select(*here)
+    if many.isEmpty():
+        return paired_matches(expected, actual, least)
+    many = written(many, "many")
+    of, apart = (lambda df, how=how: df.join(many, here, how) for how in ("left_semi", "left_anti"))
+    columns = ["doc_id", "ord", "level", "text", "match", "similarity", "matched"]
+    return paired_matches(apart(expected), apart(actual), least).select(*columns).unionByName(rare_matches(of(expected), of(actual), least).select(*columns))
+
+
+def paired_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFrame:
+    a = actual.select("doc_id", "level", F.col("ord").alias("a_ord"), F.col("text").alias("a_text"))
+    pairs = expected.join(a, ["doc_id", "level"], "left").withColumn("s", F.round(T.dice(T.match_normal("text"), T.match_normal("a_text")), 6))
+    best = pairs.groupBy("doc_id", "ord", "level", "text").agg(F.max_by(F.struct("a_text", "s"), F.struct("s", -F.col("a_ord"))).alias("m"))
+    return best.select("doc_id", "ord", "level", "text", F.col("m.a_text").alias("match"), F.coalesce("m.s", F.lit(0.0)).alias("similarity"), (F.coalesce("m.s", F.lit(0.0)) >= least).alias("matched"))
+
+
+def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFrame:
+    """Texts with the same two-letter parts come first, by a join on these; then those that can reach least, by a join on
+    pairs of the rarest of their parts, of which such texts share one; only what has no match by then is compared with all texts
+    of its document and level, equal texts once."""
     e = written(_grams(expected.select("doc_id", "ord", "level", "text"), "e").withColumn("id", F.monotonically_increasing_id()), "expected")
     first = actual.groupBy("doc_id", "level", "text").agg(F.min("ord").alias("a_ord"))
     a = written(_grams(first, "a").withColumnRenamed("text", "a_text"), "actual")

@@ -80,8 +80,8 @@ def likeness(a, b):
     return round(2 * sum((x & y).values()) / (len(p) + len(q) - 2), 6)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_best_matches_by_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(0, 0), (1, 0), (2, 0), (0, 1 << 16), (1, 500)])
+def test_best_matches_by_brute_force(spark, seed, crowd):
     rng = random.Random(seed)
     words = ["alpha", "beta", "gamma", "delta", "abab", "baba", "a", "b", "x y", "", "Über", "1", "12"]
     title = lambda: " ".join(rng.choices(words, k=rng.randrange(0, 6)))
@@ -91,7 +91,7 @@ def test_best_matches_by_brute_force(spark, seed):
         changed = text if rng.random() < 0.4 else text[:-1] + rng.choice("xyz") if rng.random() < 0.5 else title()
         expected.append((d, k, level, changed))
     expected += [(9, 0, 1, "nothing there"), (0, 99, 7, "no such level")]
-    got = {(r.doc_id, r.ord): (r.match, r.similarity, r.matched) for r in validation.best_matches(spark.createDataFrame(expected, "doc_id long, ord long, level int, text string"), spark.createDataFrame(actual, "doc_id long, ord long, level int, text string")).collect()}
+    got = {(r.doc_id, r.ord): (r.match, r.similarity, r.matched) for r in validation.best_matches(spark.createDataFrame(expected, "doc_id long, ord long, level int, text string"), spark.createDataFrame(actual, "doc_id long, ord long, level int, text string"), crowd=crowd).collect()}
     for d, k, level, text in expected:
         own = [(likeness(text, t), -o, t) for i, o, lv, t in actual if i == d and lv == level]
         best = max(own, key=lambda x: x[:2]) if own else None
