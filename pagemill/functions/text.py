@@ -145,20 +145,27 @@ def match_normal(x) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(F.lower(col(x)), r"\s+", " "), r"[^A-Za-z0-9_\s]", ""))
 
 
+CODES = 0x110000  #: code points there are
+TIMES = 1 << 22  #: occurrences of one two-letter part that are told apart within a text
+
+
 def bigrams(x) -> Column:
+    """Two-letter parts without white space, as array<long> of both letters' code points."""
     t = F.regexp_replace(col(x), r"\s", "")
-    return let(t, lambda t: F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))))
+    codes = lambda t: F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("long"))
+    parts = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * CODES + b)
+    return let(t, lambda t: F.when(F.length(t) < 2, F.array().cast("array<long>")).otherwise(let(codes(t), parts)))
 
 
 def numbered_bigrams(x) -> Column:
-    """Two-letter parts; the k-th occurrence of one gets the number k, so that sets of them can be intersected."""
+    """Two-letter parts in order; the k-th occurrence of one gets the number k, so that sets of them can be intersected."""
 
     def of(s):
         begins = F.filter(F.transform(s, lambda g, i: F.when((i == 0) | (F.get(s, i - 1) != g), i)), lambda i: i.isNotNull())
-        many = lambda p, q: F.transform(F.sequence(F.lit(0), q - p - 1), lambda k: F.concat(F.get(s, p), k.cast("string")))
+        many = lambda p, q: F.transform(F.sequence(F.lit(0), q - p - 1), lambda k: F.get(s, p) * TIMES + k)
         return let(begins, lambda at: F.flatten(F.transform(at, lambda p, k: many(p, F.coalesce(F.get(at, k + 1), F.size(s))))))
 
-    return let(F.array_sort(bigrams(x)), of)
+    return let(F.sort_array(bigrams(x)), of)
 
 
 def dice(a, b) -> Column:

@@ -126,8 +126,10 @@ def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS, cr
 
 
 def paired_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFrame:
-    a = actual.select("doc_id", "level", F.col("ord").alias("a_ord"), F.col("text").alias("a_text"))
-    pairs = expected.join(a, ["doc_id", "level"], "left").withColumn("s", F.round(T.dice(T.match_normal("text"), T.match_normal("a_text")), 6))
+    """Pair by pair; the two-letter parts of a heading are taken once, not for each pair."""
+    e = _grams(expected.select("doc_id", "ord", "level", "text"), "e")
+    a = _grams(actual.select("doc_id", "level", F.col("ord").alias("a_ord"), "text"), "a").withColumnRenamed("text", "a_text")
+    pairs = e.join(a, ["doc_id", "level"], "left").withColumn("s", _likeness(F.col("e_plain"), F.col("a_plain"), F.col("e_grams"), F.col("a_grams")))
     best = pairs.groupBy("doc_id", "ord", "level", "text").agg(F.max_by(F.struct("a_text", "s"), F.struct("s", -F.col("a_ord"))).alias("m"))
     return best.select("doc_id", "ord", "level", "text", F.col("m.a_text").alias("match"), F.coalesce("m.s", F.lit(0.0)).alias("similarity"), (F.coalesce("m.s", F.lit(0.0)) >= least).alias("matched"))
 
@@ -145,7 +147,7 @@ def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFr
     scored = lambda pairs: pairs.withColumn("s", _likeness(F.col("e_plain"), F.col("a_plain"), F.col("e_grams"), F.col("a_grams")))
     here = ["doc_id", "level"]
     # Alike: the same parts, in whatever order; texts without parts have to be equal.
-    form = lambda p: F.when(F.length(f"{p}_plain") < 2, F.concat(F.lit("="), f"{p}_plain")).otherwise(F.array_join(F.array_sort(f"{p}_grams"), " "))
+    form = lambda p: F.when(F.length(f"{p}_plain") < 2, F.concat(F.lit("="), f"{p}_plain")).otherwise(F.array_join(F.col(f"{p}_grams").cast("array<string>"), " "))
     same = told(scored(e.withColumn("form", form("e")).join(a.withColumn("form", form("a")), [*here, "form"])))
     same = written(same, "same")
     left = e.join(same, "id", "left_anti")
@@ -159,7 +161,7 @@ def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFr
     def keys(t: DataFrame, id_: str) -> DataFrame:
         """Two by two, the rarest parts: so many that texts of that similarity have two of them in common; single ones of texts that may have but one."""
         ordered = t.join(often, [*here, "gram"]).groupBy(*here, id_, "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
-        first = lambda more: F.transform(F.slice("g", F.lit(1), F.col("n") - reach(F.col("n")) + more), lambda x: x["gram"])
+        first = lambda more: F.transform(F.slice("g", F.lit(1), F.col("n") - reach(F.col("n")) + more), lambda x: x["gram"].cast("string"))
         pairs = lambda g: F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.size(g)), lambda y: F.concat_ws(" ", x, y))))
         two = F.when(reach(F.col("n")) >= 2, pairs(first(2))).otherwise(F.array().cast("array<string>"))
         one = F.when(reach(reach(F.col("n"))) < 2, first(1)).otherwise(F.array().cast("array<string>"))

@@ -14,8 +14,8 @@ from pagemill.sources import corpus
 MD_SQL = f"""{LINES_SQL}, mdl AS (SELECT doc_id, line_no, line_no // 4 + 1 AS page, CASE WHEN length(line) BETWEEN 1 AND 40 THEN repeat('#', CAST(1 + (doc_id + line_no * 2) % 4 AS INT)) || ' ' || line WHEN (doc_id + line_no) % 5 = 1 THEN (line_no % 3 + 1) || '. ' || line ELSE line || ' [' || (line_no % 3 + 1) || ']' END AS line FROM dlines),
  mdp AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_no) AS text FROM mdl GROUP BY doc_id, page)"""
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-HEAD_SQL = f"""{LINES_SQL}, hd AS (SELECT doc_id, line_no AS ord, 1 + (doc_id + line_no * 2) % 4 AS level, line AS title, line_no // 4 + 1 AS page FROM dlines WHERE length(line) BETWEEN 1 AND 40)"""
-SHORT = 40  #: characters of a line that counts as a heading
+HEAD_SQL = f"""{LINES_SQL}, hd AS (SELECT doc_id, line_no AS ord, 1 + (doc_id + line_no * 2) % 4 AS level, line AS title, line_no // 4 + 1 AS page FROM dlines WHERE regexp_matches(line, '[^ \\t\\r\\n\\f\\v]'))"""
+SHORT = 40  #: characters of a line that is marked up as a heading
 
 
 def marked_lines(ls, doc):
@@ -41,9 +41,23 @@ def marked_pages(spark, d):
     return marked(spark, d).select("doc_id", F.posexplode("pages").alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "text")
 
 
+def headed(spark, d):
+    """(doc_id, n, h): a row for each document with its pages' number and its headings, which are all lines that are not blank, in order."""
+
+    def heading(line, i):
+        i = i.cast("long")
+        return F.struct(i.alias("ord"), (1 + (F.col("doc_id") + i * 2) % 4).alias("level"), line.alias("title"), (F.floor(i / 4) + 1).alias("page"))
+
+    found = F.filter(F.transform(T.lines("text"), heading), lambda x: x["title"].rlike(r"\S"))
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", corpus.page_count("text").alias("n"), found.alias("h"))
+
+
 def headings(spark, d):
-    ls = corpus.exploded_lines(docs(spark, d)).where(F.length("line").between(1, SHORT))
-    return ls.select("doc_id", F.col("line_no").alias("ord"), (1 + (F.col("doc_id") + F.col("line_no") * 2) % 4).alias("level"), F.col("line").alias("title"), (F.floor(F.col("line_no") / 4) + 1).alias("page"))
+    return headed(spark, d).select("doc_id", F.inline("h"))
+
+
+def levels_of(h):
+    return F.transform(h, lambda x: x["level"].cast("int"))
 
 
 SECTIONS_SQL = MD_SQL + f""", hl AS (SELECT *, regexp_matches(line, '^(#{{1,6}})\\s+(.+)$') AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) = 1 AS f FROM mdl),
@@ -146,8 +160,8 @@ def cleanup_markdown(spark, d):
 
 @query("hierarchy_errors", f"WITH {HEAD_SQL} SELECT doc_id, ord, level, prev FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM hd) WHERE prev > 0 AND level > prev + 1")
 def hierarchy_errors(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    return headings(spark, d).select("doc_id", "ord", "level", F.lag("level").over(w).alias("prev")).where("prev > 0 AND level > prev + 1")
+    with_prev = T.let(F.col("h"), lambda h: F.transform(h, lambda x, k: F.struct(x["ord"].alias("ord"), x["level"].alias("level"), F.get(h, k - 1)["level"].alias("prev"))))
+    return headed(spark, d).select("doc_id", F.inline(with_prev)).where("prev > 0 AND level > prev + 1")
 
 
 FIX_SQL = "list_reduce(list_prepend([0, 0], list_transform(list(level ORDER BY ord), lambda v: [v, v])), lambda a, b: CASE WHEN b[1] = 0 THEN list_append(a, 0) WHEN a[1] = 0 THEN list_concat([CASE WHEN b[1] > 2 THEN 1 ELSE b[1] END], a[2:], [CASE WHEN b[1] > 2 THEN 1 ELSE b[1] END]) ELSE list_concat([least(b[1], a[1] + 1)], a[2:], [least(b[1], a[1] + 1)]) END)[3:]"
@@ -155,9 +169,8 @@ FIX_SQL = "list_reduce(list_prepend([0, 0], list_transform(list(level ORDER BY o
 
 @query("hierarchy_fix", f"WITH {HEAD_SQL} SELECT doc_id, array_to_string(list(level ORDER BY ord), ',') AS levels, array_to_string({FIX_SQL}, ',') AS fixed FROM hd GROUP BY doc_id")
 def hierarchy_fix(spark, d):
-    got = headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level")))).alias("h"))
-    levels = F.transform("h", lambda x: x["level"])
-    return got.select("doc_id", F.array_join(levels.cast("array<string>"), ",").alias("levels"), F.array_join(S.repaired_levels(levels).cast("array<string>"), ",").alias("fixed"))
+    got = headed(spark, d).where(F.size("h") > 0).select("doc_id", levels_of("h").alias("levels"))
+    return got.select("doc_id", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), F.array_join(S.repaired_levels(F.col("levels")).cast("array<string>"), ",").alias("fixed"))
 
 
 @query("previous_chapter", f"WITH {HEAD_SQL} SELECT doc_id, ord, level, last_value(CASE WHEN level = 1 THEN ord END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS chapter, last_value(CASE WHEN level = 1 THEN ord END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM hd")
@@ -182,10 +195,11 @@ CHAIN_SQL = HEAD_SQL + """, ch AS (SELECT doc_id, ord, row_number() OVER w AS k,
 
 @query("merge_continuations", f"WITH {CHAIN_SQL} SELECT w.doc_id, CAST(w.root AS VARCHAR) AS id, string_agg(c.title, chr(10) || chr(10) ORDER BY w.path) AS content, CAST(count(*) AS BIGINT) AS parts FROM wk w JOIN ch c ON c.doc_id = w.doc_id AND c.ord = w.ord GROUP BY w.doc_id, w.root")
 def merge_continuations(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    parent = F.when(F.col("ord") % 4 == 1, F.lit("x")).when(F.col("ord") % 2 == 0, F.lag("ord").over(w).cast("string"))
-    rows = headings(spark, d).withColumn("continues_from", parent)
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("ord").cast("string").alias("id"), F.col("level").cast("int").alias("level"), "title", F.col("title").alias("content"), "continues_from"))).alias("s"))
+    def section(h, x, k):
+        parent = F.when(x["ord"] % 4 == 1, F.lit("x")).when(x["ord"] % 2 == 0, F.get(h, k - 1)["ord"].cast("string"))
+        return F.struct(x["ord"].cast("string").alias("id"), x["level"].cast("int").alias("level"), x["title"].alias("title"), x["title"].alias("content"), parent.alias("continues_from"))
+
+    per = headed(spark, d).select("doc_id", T.let(F.col("h"), lambda h: F.transform(h, lambda x, k: section(h, x, k))).alias("s"))
     return per.select("doc_id", F.explode(S.merged(F.col("s"))).alias("m")).select("doc_id", "m.id", "m.content", F.col("m.parts").cast("long").alias("parts"))
 
 
@@ -196,8 +210,8 @@ def anchor_slugs(spark, d):
 
 @query("toc_render", f"WITH {HEAD_SQL} SELECT doc_id, '## Table of Contents' || chr(10) || chr(10) || coalesce(string_agg(CASE WHEN level <= 3 THEN repeat('  ', CAST(level - 1 AS INT)) || '- [' || title || '](#' || regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g') || ')' END, chr(10) ORDER BY ord), '') || chr(10) AS toc FROM hd GROUP BY doc_id")
 def toc_render(spark, d):
-    per = headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level"), "title", (F.col("level") - 1).cast("int").alias("depth")))).alias("e"))
-    return per.select("doc_id", S.toc(F.col("e")).alias("toc"))
+    entries = F.transform("h", lambda x: F.struct(x["level"].cast("int").alias("level"), x["title"].alias("title"), (x["level"] - 1).cast("int").alias("depth")))
+    return headed(spark, d).where(F.size("h") > 0).select("doc_id", S.toc(entries).alias("toc"))
 
 
 RENDER_SQL = "CASE WHEN title <> '' AND level > 0 THEN repeat('#', CAST(level AS INT)) || ' ' || title || chr(10) || CASE WHEN {c} <> '' THEN chr(10) ELSE '' END ELSE '' END || {c}"
@@ -227,7 +241,9 @@ def assemble_pages(spark, d):
 
 @query("headings_by_level", f"WITH {HEAD_SQL} SELECT doc_id, {', '.join(f'CAST(count(*) FILTER (level = {k}) AS BIGINT) AS h{k}' for k in range(1, 7))}, greatest(1, max(level)) AS max_depth FROM hd GROUP BY doc_id")
 def headings_by_level(spark, d):
-    return headings(spark, d).groupBy("doc_id").agg(*(F.count_if(F.col("level") == k).cast("long").alias(f"h{k}") for k in range(1, 7)), F.greatest(F.lit(1), F.max("level")).cast("long").alias("max_depth"))
+    got = headed(spark, d).where(F.size("h") > 0).select("doc_id", levels_of("h").alias("l"))
+    count = lambda k: F.size(F.filter("l", lambda x: x == k)).cast("long").alias(f"h{k}")
+    return got.select("doc_id", *map(count, range(1, 7)), F.greatest(F.lit(1), F.array_max("l")).cast("long").alias("max_depth"))
 
 
 @query("headings_by_page", f"WITH {HEAD_SQL} SELECT doc_id, page, string_agg(title, '|' ORDER BY ord) AS titles FROM hd GROUP BY ALL")
@@ -268,12 +284,11 @@ def expected_headings(spark, d):
 )
 def section_tree(spark, d):
     w = Window.partitionBy("doc_id").orderBy("ord")
-    total = paged(spark, d).select("doc_id", "n")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     # The parent is the last earlier heading of a smaller level: of the last ones of each level, the latest.
     parent = F.greatest(*(F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("ord"))).over(before)) for k in range(1, 6)))
-    h = headings(spark, d).withColumn("parent", parent).withColumn("follows", F.lead("page").over(w) - 1)
-    return h.join(total, "doc_id").select("doc_id", "ord", "level", F.col("page").alias("start_page"), F.coalesce("follows", "n").alias("end_page"), "parent")
+    h = headed(spark, d).select("doc_id", "n", F.inline("h")).withColumn("parent", parent).withColumn("follows", F.lead("page").over(w) - 1)
+    return h.select("doc_id", "ord", "level", F.col("page").alias("start_page"), F.coalesce("follows", "n").alias("end_page"), "parent")
 
 
 @query("merge_pages_light", f"WITH {PAGED_SQL}, m AS (SELECT doc_id, i, n, pages[i] AS t, coalesce(pages[i + 1], '') AS nx FROM (SELECT doc_id, n, pages, unnest(range(1, n + 1)) AS i FROM paged)) SELECT doc_id, md5(string_agg(CASE WHEN i < n AND NOT regexp_matches(regexp_replace(t, '\\s+$', ''), '[.!?:;''\"]$') AND (regexp_matches(regexp_replace(nx, '^\\s+', ''), '^[a-z]') OR NOT starts_with(regexp_replace(nx, '^\\s+', ''), '#')) THEN regexp_replace(t, '\\s+$', '') || ' ' ELSE {TRIM.format('t')} END, chr(10) || chr(10) ORDER BY i)) AS markdown_md5 FROM m GROUP BY doc_id")

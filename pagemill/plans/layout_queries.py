@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import geometry, layout, structure, validation, windows
 from pagemill.plans.base import LINES_SQL, PAGED_SQL, PAGES_SQL, docs, paged, pages, query
-from pagemill.plans.content_queries import HEAD_SQL, TRIM, headings
+from pagemill.plans.content_queries import HEAD_SQL, TRIM, headed, headings, levels_of
 from pagemill.sources import corpus
 
 # Page layouts are derived from ids by the same arithmetic in both engines.
@@ -212,16 +212,26 @@ PLAN_SQL = HEAD_SQL + """, tot AS (SELECT doc_id, max(line_no // 4 + 1) AS n, 5
  wn AS (WITH RECURSIVE w AS (SELECT doc_id, n, s, size, back, 0 AS k, 0 AS a, 0 AS z FROM st UNION ALL SELECT doc_id, n, s, size, back, k + 1, z + 1, CASE WHEN b > z + 1 THEN b ELSE i END FROM (SELECT *, list_reduce(list_prepend(0, [p FOR p IN s IF p >= i - back AND p <= i]), lambda b, p: CASE WHEN b = 0 OR p > b THEN p - 1 ELSE b END) AS b FROM (SELECT *, least(z + size, n) AS i FROM w WHERE z < n))) SELECT doc_id, CAST(k AS BIGINT) AS win, CAST(a AS BIGINT) AS start_page, CAST(z AS BIGINT) AS end_page FROM w WHERE k > 0)"""
 
 
-def planned_windows(spark, d):
-    h = headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("page").cast("int").alias("page")))).alias("h"))
-    got = paged(spark, d).select("doc_id", "n").join(h, "doc_id", "left").withColumn("s", F.coalesce(F.transform("h", lambda x: x["page"]), F.array().cast("array<int>")))
-    w = got.select("doc_id", "n", F.explode(windows.plan("n", "s", 5, 2)).alias("w"))
-    return w.select("doc_id", "n", F.col("w.window").cast("long").alias("win"), F.col("w.start").cast("long").alias("start_page"), F.col("w.end").cast("long").alias("end_page"))
+def windowed(spark, d):
+    """(doc_id, n, h, w): documents with their headings and each of their planned windows."""
+    starts = F.transform("h", lambda x: x["page"].cast("int"))
+    return headed(spark, d).withColumn("s", starts).select("doc_id", "n", "h", F.explode(windows.plan("n", "s", 5, 2)).alias("w"))
+
+
+def planned(spark, d):
+    """windowed with the window in columns win, start_page and end_page."""
+    of = {"win": "window", "start_page": "start", "end_page": "end"}
+    return windowed(spark, d).select("doc_id", "n", "h", *(F.col(f"w.{x}").cast("long").alias(c) for c, x in of.items()))
+
+
+def spans(h, n):
+    """Headings with the pages from start to end that are theirs: until the page before the next one's, or the document's end."""
+    return T.let(h, lambda h: F.transform(h, lambda x, k: F.struct(x["ord"].alias("ord"), x["page"].alias("start"), F.coalesce(F.get(h, k + 1)["page"] - 1, n).alias("end"))))
 
 
 @query("plan_windows", f"WITH {PLAN_SQL} SELECT * FROM wn")
 def plan_windows(spark, d):
-    return planned_windows(spark, d).drop("n")
+    return planned(spark, d).drop("n", "h")
 
 
 @query("window_context", f"WITH {PLAN_SQL} SELECT doc_id, win, CAST(round(win / count(*) OVER (PARTITION BY doc_id)::DOUBLE * 100) AS BIGINT) AS percent, CAST(ceil((doc_id % 17)::DOUBLE / n * (end_page - start_page + 1)) AS BIGINT) AS images FROM wn JOIN tot USING (doc_id)")
@@ -229,7 +239,7 @@ def window_context(spark, d):
     from pyspark.sql import Window
 
     total = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    return planned_windows(spark, d).select("doc_id", "win", windows.percent("win", total).alias("percent"), windows.expected((F.col("doc_id") % 17).cast("double"), "n", "start_page", "end_page").alias("images"))
+    return planned(spark, d).select("doc_id", "win", windows.percent("win", total).alias("percent"), windows.expected((F.col("doc_id") % 17).cast("double"), "n", "start_page", "end_page").alias("images"))
 
 
 @query(
@@ -237,19 +247,14 @@ def window_context(spark, d):
     f"WITH {PLAN_SQL}, sx AS (SELECT h.doc_id, h.ord, h.level, h.title, h.page AS s, coalesce(lead(h.page) OVER (PARTITION BY h.doc_id ORDER BY h.ord) - 1, n) AS e FROM hd h JOIN tot USING (doc_id)) SELECT w.doc_id, w.win, CASE WHEN w.start_page > 1 THEN arg_max(x.title, x.ord) FILTER (x.s < w.start_page AND x.level <= 2) END AS continued, coalesce(bool_or(x.s <= w.end_page AND x.e >= w.start_page AND x.e > w.end_page), FALSE) AS goes_on FROM wn w LEFT JOIN sx x USING (doc_id) GROUP BY w.doc_id, w.win, w.start_page",
 )
 def window_sections(spark, d):
-    from pagemill.plans.content_queries import section_tree
-
-    h = section_tree(spark, d).join(headings(spark, d).select("doc_id", "ord", "title"), ["doc_id", "ord"])
-    per = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "level", "title", F.col("start_page").alias("page"), F.col("start_page").alias("start"), F.col("end_page").alias("end")))).alias("h"))
-    w = planned_windows(spark, d).join(per, "doc_id", "left").withColumn("h", F.coalesce("h", F.array().cast("array<struct<ord:bigint,level:bigint,title:string,page:bigint,start:bigint,end:bigint>>")))
-    return w.select("doc_id", "win", windows.continued("h", "start_page").alias("continued"), windows.goes_on("h", "start_page", "end_page").alias("goes_on"))
+    w = planned(spark, d)
+    return w.select("doc_id", "win", windows.continued("h", "start_page").alias("continued"), windows.goes_on(spans(F.col("h"), F.col("n")), "start_page", "end_page").alias("goes_on"))
 
 
 @query("headings_in_window", f"WITH {PLAN_SQL} SELECT w.doc_id, w.win, h.ord, h.title FROM wn w JOIN hd h ON h.doc_id = w.doc_id AND h.page BETWEEN w.start_page AND w.end_page")
 def headings_in_window(spark, d):
-    h = headings(spark, d).withColumnRenamed("doc_id", "h_doc")
-    w = planned_windows(spark, d)
-    return w.join(h, (w.doc_id == h.h_doc) & h.page.between(w.start_page, w.end_page)).select("doc_id", "win", "ord", "title")
+    inside = F.filter("h", lambda x: x["page"].between(F.col("start_page"), F.col("end_page")))
+    return planned(spark, d).select("doc_id", "win", F.inline(inside)).select("doc_id", "win", "ord", "title")
 
 
 TREE_SQL = PLAN_SQL + ", sx AS (SELECT h.doc_id, h.ord, h.page AS s, coalesce(lead(h.page) OVER (PARTITION BY h.doc_id ORDER BY h.ord) - 1, n) AS e FROM hd h JOIN tot USING (doc_id))"
@@ -257,11 +262,8 @@ TREE_SQL = PLAN_SQL + ", sx AS (SELECT h.doc_id, h.ord, h.page AS s, coalesce(le
 
 @query("sections_in_window", f"WITH {TREE_SQL} SELECT w.doc_id, w.win, x.ord, x.e > w.end_page AS runs_on FROM wn w JOIN sx x ON x.doc_id = w.doc_id AND x.s <= w.end_page AND x.e >= w.start_page")
 def sections_in_window(spark, d):
-    from pagemill.plans.content_queries import section_tree
-
-    x = section_tree(spark, d).select(F.col("doc_id").alias("x_doc"), "ord", F.col("start_page").alias("s"), F.col("end_page").alias("e"))
-    w = planned_windows(spark, d)
-    return w.join(x, (w.doc_id == x.x_doc) & (x.s <= w.end_page) & (x.e >= w.start_page)).select("doc_id", "win", "ord", (F.col("e") > F.col("end_page")).alias("runs_on"))
+    inside = F.filter(spans(F.col("h"), F.col("n")), lambda x: (x["start"] <= F.col("end_page")) & (x["end"] >= F.col("start_page")))
+    return planned(spark, d).select("doc_id", "win", "end_page", F.inline(inside)).select("doc_id", "win", "ord", (F.col("end") > F.col("end_page")).alias("runs_on"))
 
 
 @query("last_paragraphs", f"WITH {PAGES_SQL} SELECT doc_id, page, coalesce(right([p FOR p IN regexp_split_to_array(text, '\\n\\n+') IF {TRIM.format('p')} <> '' AND NOT starts_with({TRIM.format('p')}, '#')][-1], 500), '') AS last FROM dpages")
@@ -281,24 +283,19 @@ def similarity_ratio(spark, d):
 
 
 def line_pairs(spark, d):
-    from pyspark.sql import Window
-
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return corpus.exploded_lines(docs(spark, d)).select("doc_id", "line_no", F.col("line").alias("a"), before.alias("b")).where("b IS NOT NULL")
+    """Each line but a text's first, with the one before it, from the array of lines."""
+    pairs = T.let(T.lines("text"), lambda ls: F.transform(F.slice(ls, F.lit(2), F.size(ls)), lambda a, i: F.struct((i + 1).cast("long").alias("line_no"), a.alias("a"), F.get(ls, i).alias("b"))))
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", F.inline(pairs))
 
 
 def norm_sql(x):
     return TRIM.format(f"regexp_replace(regexp_replace(lower({x}), '\\s+', ' ', 'g'), '[^A-Za-z0-9_\\s]', '', 'g')")
 
 
-def dice_sql(a, b):
-    """a, b: normalised strings without white space."""
-    g = lambda x: f"[{x}[i : i + 1] FOR i IN range(1, length({x}))]"
-    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN length({a}) < 2 OR length({b}) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * list_sum([least(len([y FOR y IN {g(a)} IF y = x]), len([y FOR y IN {g(b)} IF y = x])) FOR x IN list_distinct({g(a)})]) / (length({a}) + length({b}) - 2) END"
-
-
 GRAMS_SQL = "g{0} AS (SELECT doc_id, line_no, substr({0}, i, 2) AS g, count(*) AS c FROM (SELECT *, CAST(unnest(range(1, length({0}))) AS BIGINT) AS i FROM q) GROUP BY ALL)"
 
+HEAD_GRAMS_SQL = "g{0} AS (SELECT doc_id, level, ord, substr({0}, i, 2) AS g, count(*) AS c FROM (SELECT *, CAST(unnest(range(1, length({0}))) AS BIGINT) AS i FROM q) GROUP BY ALL)"
+
 
 @query(
     "dice_similarity",
@@ -308,9 +305,14 @@ def dice_similarity(spark, d):
     return line_pairs(spark, d).select("doc_id", "line_no", F.round(T.dice(T.match_normal("a"), T.match_normal("b")), 6).alias("similarity"))
 
 
+MATCH_SQL = f"""{HEAD_SQL}, ex AS (SELECT doc_id, ord, level, title || ' x' AS text, title FROM hd), q AS (SELECT *, regexp_replace({norm_sql('text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('title')}, '\\s', '', 'g') AS b FROM ex),
+ {HEAD_GRAMS_SQL.format('a')}, {HEAD_GRAMS_SQL.format('b')}, cm AS (SELECT doc_id, ga.ord, gb.ord AS mo, sum(least(ga.c, gb.c)) AS s FROM ga JOIN gb USING (doc_id, level, g) GROUP BY ALL),
+ sm AS (SELECT e.doc_id, e.ord, e.level, e.text, h.title AS m, h.ord AS mo, round(CASE WHEN e.a = h.b THEN 1.0::DOUBLE WHEN length(e.a) < 2 OR length(h.b) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(cm.s, 0)::DOUBLE / (length(e.a) + length(h.b) - 2) END, 6) AS sim FROM q e JOIN q h ON h.doc_id = e.doc_id AND h.level = e.level LEFT JOIN cm ON cm.doc_id = e.doc_id AND cm.ord = e.ord AND cm.mo = h.ord)"""
+
+
 @query(
     "heading_best_match",
-    f"WITH {HEAD_SQL}, ex AS (SELECT doc_id, ord, level, title || ' x' AS text FROM hd), p AS (SELECT e.doc_id, e.ord, e.level, e.text, h.title AS m, h.ord AS mo, regexp_replace({norm_sql('e.text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('h.title')}, '\\s', '', 'g') AS b FROM ex e LEFT JOIN hd h ON h.doc_id = e.doc_id AND h.level = e.level), s AS (SELECT *, round({dice_sql('a', 'b')}, 6) AS sim FROM p) SELECT doc_id, ord, level, text, m AS match, coalesce(sim, 0.0::DOUBLE) AS similarity, coalesce(sim, 0) >= 0.9 AS matched FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY sim DESC, mo) = 1",
+    f"WITH {MATCH_SQL} SELECT doc_id, ord, level, text, m AS match, sim AS similarity, sim >= 0.9 AS matched FROM sm QUALIFY row_number() OVER (PARTITION BY doc_id, ord ORDER BY sim DESC, mo) = 1",
 )
 def heading_best_match(spark, d):
     h = headings(spark, d).select("doc_id", "ord", "level", F.col("title").alias("text"))
@@ -318,8 +320,7 @@ def heading_best_match(spark, d):
     return validation.best_matches(expected, h)
 
 
-REPORT_SQL = f"""WITH {HEAD_SQL}, ex AS (SELECT doc_id, ord, level, title || ' x' AS text FROM hd), p AS (SELECT e.doc_id, e.ord, regexp_replace({norm_sql('e.text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('h.title')}, '\\s', '', 'g') AS b FROM ex e LEFT JOIN hd h ON h.doc_id = e.doc_id AND h.level = e.level),
- b AS (SELECT doc_id, ord, max(coalesce(round({dice_sql('a', 'b')}, 6), 0)) >= 0.9 AS matched FROM p GROUP BY doc_id, ord), m AS (SELECT doc_id, count(*) AS n, count(*) FILTER (matched) AS k FROM b GROUP BY doc_id),
+REPORT_SQL = f"""WITH {MATCH_SQL}, b AS (SELECT doc_id, ord, max(sim) >= 0.9 AS matched FROM sm GROUP BY doc_id, ord), m AS (SELECT doc_id, count(*) AS n, count(*) FILTER (matched) AS k FROM b GROUP BY doc_id),
  c AS (SELECT doc_id, {', '.join(f'count(*) FILTER (level = {k}) AS h{k}' for k in range(1, 7))}, count(*) FILTER (prev > 0 AND level > prev + 1) AS e FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM hd) GROUP BY doc_id)
  SELECT doc_id, {', '.join(f'CAST(h{k} AS BIGINT) AS h{k}' for k in range(1, 7))}, CAST(e AS BIGINT) AS hierarchy_errors, CAST(n AS BIGINT) AS expected, CAST(k AS BIGINT) AS matched, e = 0 AS hierarchy_valid FROM c JOIN m USING (doc_id)"""
 
@@ -467,5 +468,5 @@ def line_filter_repeated(spark, d):
 def outline_depth(spark, d):
     from pagemill.operators import sections as S
 
-    per = headings(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level")))).alias("h"))
-    return per.select("doc_id", F.array_max(S.outline_depths(F.transform("h", lambda x: x["level"]))).cast("long").alias("depth"), F.size("h").cast("long").alias("entries"))
+    per = headed(spark, d).where(F.size("h") > 0)
+    return per.select("doc_id", F.array_max(S.outline_depths(levels_of("h"))).cast("long").alias("depth"), F.size("h").cast("long").alias("entries"))
