@@ -6,6 +6,10 @@ All stay inside Catalyst.  Words are bounded by ASCII look-arounds rather than
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Hashable
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +20,21 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(f):
+    """f, called once for each JVM and for the same arguments (those that have a hash): the expressions of a conversion, which
+    take seconds to build, are shared by all queries that need them."""
+
+    @functools.lru_cache(maxsize=64)
+    def made(jvm, *args):
+        return f(*args)
+
+    @functools.wraps(f)
+    def run(*args):
+        return made(SparkContext._gateway, *args) if all(isinstance(a, Hashable) for a in args) else f(*args)
+
+    return run
+
+
 def let(value, f) -> Column:
     """f(value) with value evaluated once: an expression used within a lambda would be evaluated for each element."""
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))

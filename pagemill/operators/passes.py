@@ -183,8 +183,18 @@ def organized(raw: DataFrame, keep=lambda e: e, include_toc: bool = True) -> Dat
 
     Each step is a column of its own, so that what several later ones use is worked out once.
     """
-    got = raw.withColumn("_merged", keep(S.merged(F.col("_raw")["sections"], ("refs", "shown"))))
-    got = got.withColumn("_levels", keep(S.repaired_levels(F.transform("_merged", lambda s: s["level"]))))
-    got = got.withColumn("_first", keep(first_uses(F.col("_merged"), F.col("_raw")["notes"]))).withColumn("_chapters", keep(chapters(F.col("_merged"), F.col("_levels"))))
+    for name, value in _steps(include_toc).items():
+        raw = raw.withColumn(name, keep(value))
+    return raw
+
+
+@T.once
+def _steps(include_toc: bool) -> dict[str, Column]:
     parts = F.struct(*(F.col("_" + x).alias(y) for x, y in (("merged", "sections"), ("levels", "levels"), ("first", "first"), ("chapters", "chapters"), ("found", "found"))), F.col("_raw")["notes"].alias("notes"), F.col("_raw")["images"].alias("images"))
-    return got.withColumn("_markdown", keep(T.let(parts, lambda x: emitted(x, include_toc))))
+    return {
+        "_merged": S.merged(F.col("_raw")["sections"], ("refs", "shown")),
+        "_levels": S.repaired_levels(F.transform("_merged", lambda s: s["level"])),
+        "_first": first_uses(F.col("_merged"), F.col("_raw")["notes"]),
+        "_chapters": chapters(F.col("_merged"), F.col("_levels")),
+        "_markdown": T.let(parts, lambda x: emitted(x, include_toc)),
+    }

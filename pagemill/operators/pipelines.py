@@ -64,13 +64,22 @@ def full_answer(pages: Column, n: Column, provider: Provider, size: int = 50) ->
 def organized_documents(paged: DataFrame, provider: Provider, keep=lambda e: e, include_toc: bool = True) -> DataFrame:
     """paged with _layout, _found, _raw and _markdown: layout and structure of sampled pages, linked sections of all pages,
     one organised document; keep: says for which rows."""
+    for name, value in _passes(provider).items():
+        paged = paged.withColumn(name, keep(value))
+    return passes.organized(paged, keep, include_toc)
+
+
+@T.once
+def _passes(provider: Provider) -> dict[str, Column]:
+    """The passes before a document is organised, each over the columns of those before it."""
     pages, n = F.col("pages"), F.col("n")
-    got = paged.withColumn("_profile", keep(passes.layout_pass(pages, n, provider)))
-    got = got.withColumn("_found", keep(T.let(F.col("_profile"), lambda x: passes.structure_pass(pages, n, x, provider))))
     both = F.struct(F.col("_profile").alias("layout"), F.col("_found").alias("found"))
-    got = got.withColumn("_extracted", keep(T.let(both, lambda x: passes.extraction(provider.converted(pages), x["layout"], x["found"]))))
-    got = got.withColumn("_raw", keep(passes.raw_content(F.col("_extracted"))))
-    return passes.organized(got, keep, include_toc)
+    return {
+        "_profile": passes.layout_pass(pages, n, provider),
+        "_found": T.let(F.col("_profile"), lambda x: passes.structure_pass(pages, n, x, provider)),
+        "_extracted": T.let(both, lambda x: passes.extraction(provider.converted(pages), x["layout"], x["found"])),
+        "_raw": passes.raw_content(F.col("_extracted")),
+    }
 
 
 def intelligent_answer(pages: Column, n: Column, provider: Provider) -> Column:
@@ -87,6 +96,13 @@ def legacy_answer(pages: Column, n: Column, provider: Provider) -> Column:
 
 
 ANSWERS = {"direct": direct_answer, "light": light_answer, "full": full_answer, "intelligent": intelligent_answer}
+OFFLINE = Offline()
+
+
+@T.once
+def _made(pipeline: str, provider: Provider, options: tuple = ()) -> Column:
+    make = legacy_answer if pipeline == "legacy" else ANSWERS[pipeline]
+    return make(F.col("pages"), F.col("n"), provider, **dict(options))
 
 
 def _run(paged: DataFrame, answer: Column, pipeline: Column, level: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -95,22 +111,21 @@ def _run(paged: DataFrame, answer: Column, pipeline: Column, level: Column | Non
 
 
 def convert(paged: DataFrame, pipeline: str, provider: Provider | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """All documents by one pipeline; keep: further columns."""
-    provider = provider or Offline()
+    """All documents by one pipeline; keep: further columns.  A provider's expressions are built once for each provider."""
+    provider = provider or OFFLINE
     if pipeline == "intelligent":
         paged, options = organized_documents(paged, provider, **options), {}
-    make = legacy_answer if pipeline == "legacy" else ANSWERS[pipeline]
-    return _run(paged, make(F.col("pages"), F.col("n"), provider, **options), F.lit(pipeline), keep=keep)
+    return _run(paged, _made(pipeline, provider, tuple(sorted(options.items()))), F.lit(pipeline), keep=keep)
 
 
 def adaptive(paged: DataFrame, provider: Provider | None = None, force: str | None = None) -> DataFrame:
     """Each document by the plan that its factors choose, or all by force."""
     if force:
         return convert(paged, force, provider)
-    provider, answer = provider or Offline(), None
+    provider, answer = provider or OFFLINE, None
     planned = organized_documents(with_plan(paged), provider, lambda e: F.when(F.col("pipeline") == "intelligent", e))
-    for name, make in ANSWERS.items():
-        one = make(F.col("pages"), F.col("n"), provider)
+    for name in ANSWERS:
+        one = _made(name, provider)
         answer = F.when(F.col("pipeline") == name, one) if answer is None else answer.when(F.col("pipeline") == name, one)
     return _run(planned, answer, F.col("pipeline"), F.col("level"))
 

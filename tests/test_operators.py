@@ -81,6 +81,33 @@ def test_dice(spark, a, b, x):
     assert one(spark, T.dice(lit(a), lit(b))) == pytest.approx(x)
 
 
+@pytest.mark.parametrize("text", ["", "a", "ab", "aaaa", "abababa ba", "a\U0001f600b\U0001f600b", "\u00e4\u00e4 \u00e4x" * 40])
+def test_numbered_bigrams(spark, text):
+    plain, seen, want = "".join(text.split()), {}, []
+    for a, b in zip(plain, plain[1:]):
+        k = seen[a + b] = seen.get(a + b, -1) + 1
+        want.append((ord(a) * T.CODES + ord(b)) * T.TIMES + k)
+    assert one(spark, T.numbered_bigrams(lit(text))) == sorted(want)
+
+
+def test_once():
+    calls = []
+    made = T.once(lambda *a: calls.append(a) or len(calls))
+    assert (made("x"), made("x"), made("y"), made([1]), made([1])) == (1, 1, 2, 3, 4)  # a list has no hash
+
+
+def test_headings_are_all_lines_but_blank_ones(spark, tmp_path):
+    from pagemill.plans import content_queries as Q
+
+    long = "a" * 5000
+    rows = [(4, f"One\n\n \t\x0b\n{long}\n# two"), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in Q.headings(spark, str(tmp_path)).orderBy("doc_id", "ord").collect()]
+    assert got == [(4, 0, 1, "One", 1), (4, 3, 3, long, 1), (4, 4, 1, "# two", 2)]
+    assert [r.doc_id for r in Q.hierarchy_fix(spark, str(tmp_path)).collect()] == [4]
+    assert [tuple(r) for r in Q.hierarchy_errors(spark, str(tmp_path)).collect()] == [(4, 3, 3, 1)]
+
+
 def test_similarity(spark):
     assert one(spark, T.similarity_ratio(lit("abc"), lit("xabcx"))) == pytest.approx(0.6)
     assert one(spark, T.similarity_ratio(lit(""), lit(""))) == 1.0
