@@ -14,10 +14,12 @@ blocks of a few MB with their distinct words.  Each block asks for the counts of
 words, and then of its pairs, in one packed row for each bucket of their hashes; a
 bucket answers all blocks, and the answers meet their block again.  So a word or
 pair costs an entry for each block that has it, not for each occurrence.  Pairs go to
-the bucket of their first word, which so sees all its followers; those of a word that
-makes up more than 1 / HOT of the tokens are spread by both words, and the numbers of
-its followers are summed up.  Only these sums, of at most HOT words and the begin, go
-to all executors.
+the bucket of their first word, which so sees all its followers; those of a hot word,
+one that makes up more than 1 / HOT of the tokens or occurs HOT_MOST times, are spread
+by both words, and the numbers of its followers are summed up.  So no bucket has more
+than HOT_MOST entries of one first word, as long as there are no more than HOT_MOST *
+HOT_WORDS tokens (some 100 TB of text).  Only the hot words' hashes and sums, of at most
+HOT_WORDS words (64 MB) and the begin, go to all executors.
 
 Defined cases: null texts count as empty and have the end as their one token; rows
 with a null id are scored, not learned from, and have a null held_out; repeated
@@ -39,6 +41,7 @@ from pagemill.llm.common import among, buffer_of, crc_mod, mixed, row_sums, slic
 
 BLOCK_BYTES = 6 << 20  #: of text in a block, but for a text that is longer
 HOT, HOT_LEAST = 1 << 16, 1 << 14  #: pairs are spread by both words where the first is more than 1 / HOT of the tokens, and occurs HOT_LEAST times
+HOT_MOST, HOT_WORDS = 1 << 22, 1 << 22  #: or where it occurs HOT_MOST times, however many tokens there are; but for at most HOT_WORDS words
 EDGE = np.uint64(0x9D39247E33776D41)  #: stands for the begin before and the end after the words of a text
 
 _PACKED = "block long, ids binary, valid binary, part binary, first binary, tokens binary, hashes binary, counts binary"
@@ -253,6 +256,11 @@ def automaton(pairs: np.ndarray, unigram: np.ndarray, discount: float) -> tuple[
         return np.where(count > 0, np.log10(_arcs(count, total, left, unigram, discount)), np.nan), np.log10(left[:, 0])
 
 
+def hot_from(tokens: int) -> float:
+    """A word that occurs more often is hot, if it occurs HOT_LEAST times: so fewer than HOT_WORDS words are."""
+    return max(min(tokens / HOT, HOT_MOST), tokens / HOT_WORDS)
+
+
 def _discount(ones: int, twos: int) -> float:
     return ones / (ones + 2 * twos) if 0 < ones and 0 < twos else 0.5
 
@@ -271,16 +279,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held: int
     ends = rows.agg(F.count_if(F.col("part") != 1)).first()[0]
     tokens, types, ones, twos = words.where("block IS NULL").agg(*seen).first()
     n, v, discount = tokens + ends, types + (ends > 0), _discount(ones, twos)
-    often = words.where(F.col("key").isNotNull() & (F.col("n") > n / HOT)).select("key").collect()  # less than HOT rows
-    hot = np.sort(np.append(np.array([r[0] for r in often], np.int64).view(np.uint64), EDGE))
+    often = words.where(F.col("key").isNotNull() & (F.col("n") > hot_from(n))).select("key").toArrow()  # less than HOT_WORDS rows
+    hot = np.sort(np.append(often["key"].to_numpy().astype(np.int64).view(np.uint64), EDGE))
     shared = spark.sparkContext.broadcast(hot)
 
     asks = blocks.select("block", "part", "first", "tokens", "hashes").mapInArrow(_pair_asks(buckets, shared), "bucket int, block long, u binary, per binary, w binary, n binary")
     pairs = written(asks.groupBy("bucket").applyInArrow(_pair_answers(shared), _ANSWERS), "pairs")
     _, _, ones, twos = pairs.where("block IS NULL").agg(*seen).first()
     pair_discount = _discount(ones, twos)
-    follow = {r[0]: r[1] for r in pairs.where("key IS NOT NULL").groupBy("key").agg(F.sum("n")).collect()}  # at most as many as hot
-    hot_follows = spark.sparkContext.broadcast(np.array([follow.get(x, 0) for x in hot.view(np.int64).tolist()], np.int64))
+    follow = pairs.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most as many as hot
+    of_hot = np.zeros(len(hot), np.int64)
+    of_hot[np.searchsorted(hot, follow["key"].to_numpy().astype(np.int64).view(np.uint64))] = follow["n"].to_numpy()
+    hot_follows = spark.sparkContext.broadcast(of_hot)
 
     def finish(_, block: pa.Table, answer: pa.Table) -> pa.Table:
         got = {c: block[c][0].as_py() for c in block.column_names}

@@ -459,6 +459,13 @@ def test_automaton_sums_to_one():
         assert total == pytest.approx(1)
 
 
+def test_lm_hot_words_are_bounded():
+    assert lm.hot_from(lm.HOT * 100) == 100
+    for tokens in (1 << 40, lm.HOT_MOST * lm.HOT_WORDS):  # entries of one bucket, and words that are told to all
+        assert lm.hot_from(tokens) <= lm.HOT_MOST and tokens / lm.hot_from(tokens) <= lm.HOT_WORDS
+    assert (1 << 50) / lm.hot_from(1 << 50) <= lm.HOT_WORDS
+
+
 def test_lm_odd(spark, odd):
     got = lm.score(odd).collect()
     assert len(got) == len(ODD)
