@@ -1,6 +1,6 @@
 """Scalar text functions as Column expressions: detectors, normalisers, similarity.
 
-All stay inside Catalyst.  Words are bounded by ASCII look-arounds rather than
+All but ``dice`` stay inside Catalyst.  Words are bounded by ASCII look-arounds rather than
 ``\\b``, whose meaning differs between regex engines.
 """
 
@@ -9,6 +9,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Hashable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,6 +168,11 @@ def match_normal(x) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(F.lower(col(x)), r"\s+", " "), r"[^A-Za-z0-9_\s]", ""))
 
 
+def match_plain(x) -> Column:
+    """match_normal without spaces: the letters that are left when all else goes, whatever white space was between."""
+    return F.regexp_replace(F.lower(col(x)), r"[^a-z0-9_]+", "")
+
+
 CODES = 0x110000  #: code points there are
 TIMES = 1 << 22  #: occurrences of one two-letter part that are told apart within a text
 
@@ -187,14 +196,72 @@ def numbered_bigrams(x) -> Column:
     return let(F.sort_array(bigrams(x)), of)
 
 
-def dice(a, b) -> Column:
-    """Bigram multiset similarity of two strings."""
+def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of an Arrow array of strings, one after the other, and each string's number of them."""
+    return np.frombuffer("".join(pc.drop_null(texts).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64), pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)
+
+
+CELLS = 1 << 22  #: of a table of counts
+
+
+def counted_parts(codes: np.ndarray, length: np.ndarray):
+    """(first row, counts) of some rows at a time: how often each row has each two-letter part there is; a generator."""
+    names, at = np.unique(codes, return_inverse=True) if len(codes) and codes.max() >= 1 << 16 else (None, codes)
+    if names is None and len(codes):
+        used = np.flatnonzero(np.bincount(codes))
+        place = np.zeros(used[-1] + 1, np.int64)
+        place[used] = np.arange(len(used))
+        names, at = used, place[codes]
+    row = np.repeat(np.arange(len(length)), length)
+    inside = row[1:] == row[:-1]
+    two, row = (at[:-1] * (0 if names is None else len(names)) + at[1:])[inside], row[1:][inside]
+    many = 1 if names is None else len(names) ** 2
+    if many > CELLS >> 8:  # so many letters that most parts are not there
+        parts, two = np.unique(two, return_inverse=True)
+        many = max(len(parts), 1)
+    step = max(2, CELLS // many // 2 * 2)  # even: pairs of rows stay together
+    for lo in range(0, len(length), step):
+        n = min(step, len(length) - lo)
+        i, j = np.searchsorted(row, (lo, lo + n))
+        yield lo, np.bincount((row[i:j] - lo) * many + two[i:j], minlength=n * many).reshape(n, many)
+
+
+def numbered_parts(codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part) of all two-letter parts by row: the k-th occurrence of one in a row is another than the first."""
+    rows, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, counts in counted_parts(codes, length):
+        r, c = np.nonzero(counts)
+        times = counts[r, c]
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        rows.append(np.repeat(r + lo, times))
+        parts.append(k * counts.shape[1] + np.repeat(c, times))
+    return np.concatenate(rows), np.concatenate(parts)
 
-    def of_both(x):
-        common = F.size(F.array_intersect(numbered_bigrams(x["p"]), numbered_bigrams(x["q"])))
-        return F.when(x["p"] == x["q"], 1.0).when((F.length(x["p"]) < 2) | (F.length(x["q"]) < 2), 0.0).otherwise(2.0 * common / (F.length(x["p"]) + F.length(x["q"]) - 2))
 
-    return let(F.struct(F.regexp_replace(col(a), r"\s", "").alias("p"), F.regexp_replace(col(b), r"\s", "").alias("q")), of_both)
+def dice(a, b) -> Column:
+    """Bigram multiset similarity of two strings, white space aside."""
+
+    @F.pandas_udf("double")
+    def alike(p: pd.Series, q: pd.Series) -> pd.Series:
+        x, y = (pa.array(s, pa.string(), from_pandas=True) for s in (p, q))
+        (c, m), (d, o) = code_points(x), code_points(y)
+        # Strings and their partners are rows by turns.
+        both = np.stack([m, o], axis=1).ravel()
+        place = np.cumsum(both) - both
+        letters = np.empty(len(c) + len(d), np.int64)
+        for own, n, begin in ((c, m, place[::2]), (d, o, place[1::2])):
+            letters[np.arange(len(own)) + np.repeat(begin - (np.cumsum(n) - n), n)] = own
+        common = np.zeros(len(both) // 2)
+        for lo, counts in counted_parts(letters, both):
+            k = lo + np.arange(len(counts) - 1)
+            k = k[k % 2 == 0]
+            common[k // 2] = np.minimum(counts[k - lo], counts[k - lo + 1]).sum(axis=1)
+        s = 2.0 * common / np.maximum(m + o - 2, 1)
+        s[(m < 2) | (o < 2)] = 0.0
+        s[(p == q).to_numpy()] = 1.0
+        return pd.Series(s).mask((p.isna() | q.isna()).to_numpy())
+
+    return alike(*(F.regexp_replace(col(x), r"\s", "") for x in (a, b)))
 
 
 def slug(x) -> Column:

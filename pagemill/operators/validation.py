@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +101,8 @@ def within(actual, expected, tolerance: int = 1) -> Column:
 
 def _grams(df: DataFrame, prefix: str) -> DataFrame:
     """df with the normal form without spaces, and its numbered two-letter parts, once for each heading."""
-    plain = F.regexp_replace(T.match_normal("text"), r"\s", "")
-    return df.withColumn(f"{prefix}_plain", plain).withColumn(f"{prefix}_grams", T.numbered_bigrams(T.match_normal("text")))
+    plain = T.match_plain("text")
+    return df.withColumn(f"{prefix}_plain", plain).withColumn(f"{prefix}_grams", T.numbered_bigrams(plain))
 
 
 def _likeness(p, q, g, h) -> Column:
@@ -108,30 +111,136 @@ def _likeness(p, q, g, h) -> Column:
     return F.round(s, 6)
 
 
-def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS, crowd: int = 1 << 16) -> DataFrame:
+SIDE = 1 << 12  #: headings of a document and level, of either table, that are compared as matrices
+
+
+def best_matches(expected: DataFrame, actual: DataFrame, least: float = PASS, crowd: int = 1 << 20) -> DataFrame:
     """For each expected heading (doc_id, ord, level, text): the most similar actual one of the document and level, the
-    first of equal ones; documents and levels are equi-join keys.
+    first of equal ones.
 
-    Documents and levels of up to crowd pairs are compared pair by pair, those of more by ``rare_matches``; both give the same.
+    Documents and levels of up to crowd pairs are compared pair by pair, those of more by ``rare_matches``; both give the
+    same.  What grows with the documents is joined by sort and merge: written tables of parts are small as files only.
     """
     here = ["doc_id", "level"]
-    count = lambda df, n: df.groupBy(*here).agg(F.count(F.lit(1)).alias(n))
-    many = count(expected, "n").join(count(actual, "m"), here).where(F.col("n") * F.col("m") > crowd).select(*here)
+    crowded = (F.col("n") * F.col("m") > crowd) | (F.greatest("n", "m") > SIDE) & (F.least("n", "m") > 0)
+    both = expected.select(*here, F.lit(1).alias("own")).unionByName(actual.select(*here, F.lit(0).alias("own")))
+    many = both.groupBy(*here).agg(F.sum("own").alias("n"), F.sum(1 - F.col("own")).alias("m")).where(crowded).select(*here)
+    many = written(many, "many")
     if many.isEmpty():
         return paired_matches(expected, actual, least)
-    many = written(many, "many")
-    of, apart = (lambda df, how=how: df.join(many, here, how) for how in ("left_semi", "left_anti"))
+    of, apart = (lambda df, how=how: df.join(many.hint("merge"), here, how) for how in ("left_semi", "left_anti"))
     columns = ["doc_id", "ord", "level", "text", "match", "similarity", "matched"]
     return paired_matches(apart(expected), apart(actual), least).select(*columns).unionByName(rare_matches(of(expected), of(actual), least).select(*columns))
 
 
 def paired_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFrame:
-    """Pair by pair; the two-letter parts of a heading are taken once, not for each pair."""
-    e = _grams(expected.select("doc_id", "ord", "level", "text"), "e")
-    a = _grams(actual.select("doc_id", "level", F.col("ord").alias("a_ord"), "text"), "a").withColumnRenamed("text", "a_text")
-    pairs = e.join(a, ["doc_id", "level"], "left").withColumn("s", _likeness(F.col("e_plain"), F.col("a_plain"), F.col("e_grams"), F.col("a_grams")))
-    best = pairs.groupBy("doc_id", "ord", "level", "text").agg(F.max_by(F.struct("a_text", "s"), F.struct("s", -F.col("a_ord"))).alias("m"))
-    return best.select("doc_id", "ord", "level", "text", F.col("m.a_text").alias("match"), F.coalesce("m.s", F.lit(0.0)).alias("similarity"), (F.coalesce("m.s", F.lit(0.0)) >= least).alias("matched"))
+    """Pair by pair: the headings of a document and level, actual ones first, follow each other in sorted partitions."""
+    columns = ["doc_id", "level", "role", "ord", "text", "plain"]
+    kinds = {c: expected.schema[c].dataType.simpleString() for c in ("doc_id", "ord", "level", "text")}
+    rows = [df.select("doc_id", F.col("level").cast(kinds["level"]).alias("level"), F.lit(role).alias("role"), F.col("ord").cast(kinds["ord"]).alias("ord"), "text") for role, df in ((0, actual), (1, expected))]
+    both = rows[0].unionByName(rows[1]).repartition("doc_id", "level").sortWithinPartitions("doc_id", "level", "role", "ord").select(*columns[:-1], T.match_plain("text").alias("plain"))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = (pa.concat_tables([held, t]) if held is not None else t).combine_chunks()
+            begins = group_begins(t)
+            # The last group may go on in the next batch.
+            held = t.slice(begins[-1])
+            yield from told(t, begins)
+        if held is not None and held.num_rows:
+            yield from told(held.combine_chunks(), np.array([0, held.num_rows]))
+
+    def told(t, begins):
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(t["plain"]), 0).to_numpy()) // PART
+        k = 0
+        while k + 1 < len(begins):
+            more = k + 1
+            while more + 1 < len(begins) and sizes[begins[more + 1] - 1] == sizes[begins[k]]:
+                more += 1
+            part = t.slice(begins[k], begins[more] - begins[k]).combine_chunks()
+            yield from matched(part, begins[k : more + 1] - begins[k])
+            k = more
+
+    def matched(t, begins):
+        role = t["role"].to_numpy()
+        mine = np.flatnonzero(role)
+        if not len(mine):
+            return
+        best, score = most_alike(t["plain"].combine_chunks() if isinstance(t["plain"], pa.ChunkedArray) else t["plain"], role, begins)
+        at = pa.array(best[mine], pa.int64(), mask=best[mine] < 0)
+        own = t.take(pa.array(mine))
+        s = np.maximum(score[mine], 0) / 1e6
+        out = {"doc_id": own["doc_id"], "ord": own["ord"], "level": own["level"], "text": own["text"], "match": t["text"].take(at), "similarity": pa.array(s), "matched": pa.array(s >= least)}
+        yield from pa.table(out).to_batches()
+
+    return both.mapInArrow(run, f"doc_id {kinds['doc_id']}, ord {kinds['ord']}, level {kinds['level']}, text {kinds['text']}, match string, similarity double, matched boolean")
+
+
+PART = 4 << 20  #: bytes of headings whose two-letter parts are sorted at once
+PLACES = 1 << 17  #: parts up to which a table gives their numbers within a group
+BLOCK = 1 << 12  #: different parts that are compared at once
+
+
+def group_begins(t: pa.Table) -> np.ndarray:
+    """Where the groups of a sorted table's (doc_id, level) begin, the last one too."""
+    n = t.num_rows
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in ("doc_id", "level"):
+        x = t[c].combine_chunks()
+        differ = pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        empty = x.is_null().to_numpy(zero_copy_only=False)
+        new[1:] |= np.asarray(differ, bool) | (empty[1:] != empty[:-1])
+    return np.flatnonzero(new)
+
+
+def most_alike(plain, role: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of role 1: the row of role 0 of its group whose text is most alike, the first of equal ones, or -1; and how much, in millionths.
+
+    Texts without a value are like nothing (-1).
+    """
+    n = len(plain)
+    codes, length = T.code_points(plain)
+    row, token = T.numbered_parts(codes, length)
+    ends = np.searchsorted(row, begins)
+    empty = plain.is_null().to_numpy(zero_copy_only=False)
+    same = pc.fill_null(plain.dictionary_encode().indices, -1).to_numpy()
+    few = int(token.max(initial=-1)) < PLACES  # not where a letter is repeated over and over
+    place = np.zeros(int(token.max(initial=-1)) + 1 if few else 0, np.int64)
+    best, score = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    for k in range(len(begins) - 1):
+        lo, hi = begins[k], begins[k + 1]
+        mid = lo + int(np.searchsorted(role[lo:hi], 1))
+        if lo == mid or mid == hi:
+            continue
+        r, t = row[ends[k] : ends[k + 1]] - lo, token[ends[k] : ends[k + 1]]
+        # Numbers from 0 for the parts of this group.
+        if few:
+            place[t] = 1
+            used = np.flatnonzero(place)
+            place[used] = np.arange(len(used))
+            t = place[t]
+            place[used] = 0
+        else:
+            t = np.unique(t, return_inverse=True)[1]
+        common = np.zeros((hi - mid, mid - lo), np.float32)
+        for first in range(0, int(t.max(initial=-1)) + 1, BLOCK):
+            own = (t >= first) & (t < first + BLOCK) if first or t.max() >= BLOCK else slice(None)
+            has = np.zeros((hi - lo, min(BLOCK, int(t.max()) + 1 - first)), np.float32)
+            has[r[own], t[own] - first] = 1
+            common += has[mid - lo :] @ has[: mid - lo].T
+        p, q = length[mid:hi, None], length[None, lo:mid]
+        whole = np.maximum(p + q - 2, 1)
+        # 2 c / whole in millionths, halves up, by whole numbers.
+        s = (4_000_000 * common.astype(np.int64) + whole) // (2 * whole)
+        s[(p < 2) | (q < 2)] = 0
+        s[same[mid:hi, None] == same[None, lo:mid]] = 1_000_000
+        s[empty[mid:hi, None] | empty[None, lo:mid]] = -1
+        at = s.argmax(axis=1)
+        best[mid:hi], score[mid:hi] = lo + at, s[np.arange(hi - mid), at]
+    return best, score
 
 
 def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFrame:
@@ -148,9 +257,9 @@ def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFr
     here = ["doc_id", "level"]
     # Alike: the same parts, in whatever order; texts without parts have to be equal.
     form = lambda p: F.when(F.length(f"{p}_plain") < 2, F.concat(F.lit("="), f"{p}_plain")).otherwise(F.array_join(F.col(f"{p}_grams").cast("array<string>"), " "))
-    same = told(scored(e.withColumn("form", form("e")).join(a.withColumn("form", form("a")), [*here, "form"])))
+    same = told(scored(e.withColumn("form", form("e")).join(a.withColumn("form", form("a")).hint("merge"), [*here, "form"])))
     same = written(same, "same")
-    left = e.join(same, "id", "left_anti")
+    left = e.join(same.hint("merge"), "id", "left_anti")
     tokens = lambda df, id_, p: df.select(*here, id_, F.size(f"{p}_grams").alias("n"), F.explode(f"{p}_grams").alias("gram"))
     mine, theirs = tokens(left, "id", "e"), tokens(a, "a_ord", "a")
     often = mine.select(*here, "gram").unionAll(theirs.select(*here, "gram")).groupBy(*here, "gram").agg(F.count(F.lit(1)).alias("often"))
@@ -160,7 +269,7 @@ def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFr
 
     def keys(t: DataFrame, id_: str) -> DataFrame:
         """Two by two, the rarest parts: so many that texts of that similarity have two of them in common; single ones of texts that may have but one."""
-        ordered = t.join(often, [*here, "gram"]).groupBy(*here, id_, "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
+        ordered = t.join(often.hint("merge"), [*here, "gram"]).groupBy(*here, id_, "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
         first = lambda more: F.transform(F.slice("g", F.lit(1), F.col("n") - reach(F.col("n")) + more), lambda x: x["gram"].cast("string"))
         pairs = lambda g: F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.size(g)), lambda y: F.concat_ws(" ", x, y))))
         two = F.when(reach(F.col("n")) >= 2, pairs(first(2))).otherwise(F.array().cast("array<string>"))
@@ -169,11 +278,11 @@ def rare_matches(expected: DataFrame, actual: DataFrame, least: float) -> DataFr
 
     other = keys(theirs, "a_ord").withColumnRenamed("n", "m")
     sized = (F.col("m") >= reach(F.col("n"))) & (F.col("n") >= reach(F.col("m")))
-    near = keys(mine, "id").join(other, [*here, "key"]).where(sized).select("id", "a_ord", *here).distinct()
-    near = scored(near.join(e, ["id", *here]).join(a, [*here, "a_ord"])).where(F.col("s") >= least)
+    near = keys(mine, "id").join(other.hint("merge"), [*here, "key"]).where(sized).select("id", "a_ord", *here).distinct()
+    near = scored(near.join(e.hint("merge"), ["id", *here]).join(a.hint("merge"), [*here, "a_ord"])).where(F.col("s") >= least)
     near = written(told(near), "near")
-    rest = scored(left.join(near, "id", "left_anti").join(a, here, "left")).withColumn("s", F.when(F.col("a_text").isNotNull(), F.col("s")))
-    best = e.join(same.unionByName(near).unionByName(told(rest)), "id", "left")
+    rest = scored(left.join(near.hint("merge"), "id", "left_anti").join(a.hint("merge"), here, "left")).withColumn("s", F.when(F.col("a_text").isNotNull(), F.col("s")))
+    best = e.join(same.unionByName(near).unionByName(told(rest)).hint("merge"), "id", "left")
     s = F.coalesce("m.s", F.lit(0.0))
     return best.select("doc_id", "ord", "level", "text", F.col("m.a_text").alias("match"), s.alias("similarity"), (s >= least).alias("matched"))
 
@@ -190,7 +299,7 @@ def structure_report(expected: DataFrame, actual: DataFrame, least: float = PASS
     skips = actual.select("doc_id", "level", ((before > 0) & (F.col("level") > before + 1)).alias("skips"))
     counts = skips.groupBy("doc_id").agg(*(F.count_if(F.col("level") == k).cast("long").alias(f"h{k}") for k in range(1, 7)), F.count_if("skips").cast("long").alias("hierarchy_errors"))
     found = best_matches(expected, actual, least).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("expected"), F.count_if("matched").cast("long").alias("matched"))
-    both = counts.join(found, "doc_id", "full")
+    both = counts.join(found.hint("merge"), "doc_id", "full")
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in (*(f"h{k}" for k in range(1, 7)), "hierarchy_errors", "expected", "matched")]
     return both.select("doc_id", *numbers).withColumn("hierarchy_valid", F.col("hierarchy_errors") == 0)
 

@@ -302,7 +302,7 @@ HEAD_GRAMS_SQL = "g{0} AS (SELECT doc_id, level, ord, substr({0}, i, 2) AS g, co
     f"WITH {PAIR_SQL}, q AS (SELECT doc_id, line_no, regexp_replace({norm_sql('a')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('b')}, '\\s', '', 'g') AS b FROM pr WHERE b IS NOT NULL), {GRAMS_SQL.format('a')}, {GRAMS_SQL.format('b')}, cm AS (SELECT doc_id, line_no, sum(least(ga.c, gb.c)) AS s FROM ga JOIN gb USING (doc_id, line_no, g) GROUP BY ALL) SELECT doc_id, line_no, round(CASE WHEN a = b THEN 1.0::DOUBLE WHEN length(a) < 2 OR length(b) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(s, 0)::DOUBLE / (length(a) + length(b) - 2) END, 6) AS similarity FROM q LEFT JOIN cm USING (doc_id, line_no)",
 )
 def dice_similarity(spark, d):
-    return line_pairs(spark, d).select("doc_id", "line_no", F.round(T.dice(T.match_normal("a"), T.match_normal("b")), 6).alias("similarity"))
+    return line_pairs(spark, d).select("doc_id", "line_no", F.round(T.dice(T.match_plain("a"), T.match_plain("b")), 6).alias("similarity"))
 
 
 MATCH_SQL = f"""{HEAD_SQL}, ex AS (SELECT doc_id, ord, level, title || ' x' AS text, title FROM hd), q AS (SELECT *, regexp_replace({norm_sql('text')}, '\\s', '', 'g') AS a, regexp_replace({norm_sql('title')}, '\\s', '', 'g') AS b FROM ex),

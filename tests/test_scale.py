@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
 from pagemill.operators import components, geometry, validation
 from pagemill.sources import corpus
 
@@ -100,6 +101,41 @@ def test_best_matches_by_brute_force(spark, seed, crowd):
     assert len(got) == len(expected)
 
 
+def test_best_matches_broadcast_nothing(spark):
+    """Written tables of parts are small as files and large in memory: none of them goes through the driver."""
+    rows = [(d, k, 1, f"heading {k} of {d}") for d in range(4) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, ord long, level int, text string")
+    for crowd in (0, 1 << 20):
+        assert "Broadcast" not in validation.best_matches(df, df, crowd=crowd)._jdf.queryExecution().toString()
+    assert "Broadcast" not in validation.structure_report(df, df)._jdf.queryExecution().toString()
+
+
+def test_best_matches_pair_by_pair_are_matrices(spark, monkeypatch):
+    """Groups that go on in the next batch, more parts than a block, ties to seven digits, texts without a value."""
+    monkeypatch.setattr(validation, "BLOCK", 7)
+    texts = ["ab" * 33 + "c" * 62, "x" * 65, None, "", "a", "A", "Kelvin K", "kelvin k", "İx", "ix", "z" * 300_000]
+    rows = [(d, k, 1, t) for d in range(3) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, ord long, level int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {(r.doc_id, r.ord): (r.match, r.similarity) for r in validation.best_matches(df.where("ord <> 6").withColumn("text", F.concat("text", F.lit("b"))), df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for d, k, _, t in rows:
+        if k != 6:
+            own = [(likeness(t + "b", x), -o, x) for i, o, _, x in rows if i == d and x is not None] if t is not None else None
+            assert got[d, k] == ((max(own)[2], max(own)[0]) if own else (texts[0], 0.0)), (t, got[d, k])
+
+
+def test_dice_of_many_lines(spark):
+    """100,000 pairs of lines of some hundred letters."""
+    line = lambda s: F.repeat(F.concat_ws(" ", F.md5((F.col("id") * s).cast("string")), F.lit("the same words")), 7)
+    begin = time.time()
+    got = spark.range(0, 100_000, 1, 4).select(T.dice(line(1), line(3)).alias("s")).agg(F.count("s").alias("n"), F.min("s").alias("least"), F.max("s").alias("most")).first()
+    assert got.n == 100_000 and 0.2 < got.least < 0.9 and got.most == 1.0
+    assert time.time() - begin < 12
+
+
 def test_many_headings_of_one_level(spark):
     """20,000 of one document and level, most of them changed a little: not all pairs are compared."""
     rng = random.Random(4)
