@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import col
+from pagemill.functions.text import col, let
 from pagemill.operators.components import components
 from pagemill.sources.shared import written
 
@@ -46,9 +46,13 @@ def path_bounds(sub_ops, coords, scale: float = 1.0, height: float = 0.0, transf
         fx, fy = (lambda p: p["x"] * a + p["y"] * c + e), (lambda p: p["x"] * b + p["y"] * d + f)
     else:
         fx, fy = (lambda p: p["x"] * scale), (lambda p: F.lit(height) - p["y"] * scale)
-    xs, ys = F.transform(pts, fx), F.transform(pts, fy)
     zero = F.lit(0.0)
-    return F.struct(*(F.coalesce(v, zero).alias(n) for v, n in ((F.array_min(xs), "min_x"), (F.array_min(ys), "min_y"), (F.array_max(xs), "max_x"), (F.array_max(ys), "max_y"))))
+
+    def of(v):
+        return F.struct(*(F.coalesce(v, zero).alias(n) for v, n in ((F.array_min(v["xs"]), "min_x"), (F.array_min(v["ys"]), "min_y"), (F.array_max(v["xs"]), "max_x"), (F.array_max(v["ys"]), "max_y"))))
+
+    # The points are worked out once, and so are their places.
+    return let(pts, lambda ps: let(F.struct(F.transform(ps, fx).alias("xs"), F.transform(ps, fy).alias("ys")), of))
 
 
 def painted_paths(ops: DataFrame, skip_text: bool = True, least: float = 20.0, **view) -> DataFrame:
@@ -66,7 +70,7 @@ def painted_paths(ops: DataFrame, skip_text: bool = True, least: float = 20.0, *
     bounds = F.when(F.col("op") == CONSTRUCT, path_bounds("sub_ops", "coords", **view)).when(F.col("op") == RECTANGLE, raw)
     count = F.when(F.col("op") == CONSTRUCT, F.size("sub_ops")).when(F.col("op") == RECTANGLE, 1)
     paints = F.col("op").isin(*range(STROKE, CLOSE_EO_FILL_STROKE + 1))
-    s = s.where(bounds.isNotNull() | paints).withColumn("paints", paints).withColumn("bounds", bounds).withColumn("n", count)
+    s = s.where(F.col("op").isin(CONSTRUCT, RECTANGLE) | paints).withColumn("paints", paints).withColumn("bounds", bounds).withColumn("n", count)
     before = s.withColumn("b", F.lag("bounds").over(w)).withColumn("path_ops", F.lag("n").over(w)).withColumn("was_paint", F.lag("paints").over(w))
     got = before.where(F.col("paints") & ~F.coalesce("was_paint", F.lit(True)))
     out = got.select("page_id", "seq", "b.*", F.col("op").isin(*STROKES).alias("has_stroke"), F.col("op").isin(*FILLS).alias("has_fill"), "path_ops")

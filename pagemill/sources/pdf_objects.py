@@ -75,10 +75,15 @@ def number_of(value: Column) -> Column:
 
 
 def resolved(df: DataFrame, objs: DataFrame, *columns: str) -> DataFrame:
-    """df (doc_id, ...) whose columns of JSON values have what a reference names in its place."""
+    """df (doc_id, ...) whose columns of JSON values have what a reference names in its place.
+
+    Each join moves all objects, so that columns without a reference are left as they are; df is written to tell.
+    """
+    df = written(df, "values")
+    told = df.agg(*(F.bool_or(number_of(F.col(c)).isNotNull()).alias(f"c{k}") for k, c in enumerate(columns))).first()
     plain = F.when(F.col("value").startswith('"'), F.get_json_object("value", "$")).otherwise(F.col("value"))  # strings stand without quotes, as in field
     held = objs.where("num > 0").select("doc_id", F.col("num").alias("_num"), plain.alias("_held"))
-    for c in columns:
+    for c in (c for c, any_ in zip(columns, told, strict=True) if any_):
         df = df.withColumn("_num", number_of(F.col(c))).join(held, ["doc_id", "_num"], "left")
         df = df.withColumn(c, F.when(F.col("_num").isNull(), F.col(c)).otherwise(F.col("_held"))).drop("_num", "_held")
     return df
@@ -106,9 +111,10 @@ def descended(objs: DataFrame, roots: DataFrame, handed: tuple[str, ...] = ()) -
         leaves = ends if leaves is None else leaves.unionByName(ends)
         below = at.where("kids IS NOT NULL").select("doc_id", F.col("node").alias("parent"), "path", "above", *(F.col(c).alias(f"_{c}") for c in handed), F.posexplode("kids").alias("k", "kid"))
         below = below.select("doc_id", number_of(F.col("kid")).alias("node"), F.concat("path", F.array("k")).alias("path"), F.concat("above", F.array("parent")).alias("above"), *(f"_{c}" for c in handed))
-        below = below.where(~F.array_contains("above", F.col("node"))).join(held, ["doc_id", "node"])
+        below = below.where(~F.array_contains("above", F.col("node")))
         if below.isEmpty():
             break
+        below = below.join(held, ["doc_id", "node"])
         at = below.select("doc_id", "node", "path", "above", "value", *(F.coalesce(field("value", c), F.col(f"_{c}")).alias(c) for c in handed))
     return leaves
 
