@@ -55,28 +55,42 @@ def blocks(text) -> Column:
     start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("header"), F.lit(False).alias("inside"), F.array().cast("array<struct<rows:int,columns:int>>").alias("tables"), F.array().cast("array<string>").alias("languages")).cast(kind)
 
     def cells(line):
-        t = T.trimmed(line)
-        bars = F.regexp_count(t, F.lit(r"(?<!\\)\|"))
-        return F.when(bars > 0, bars + 1 - t.startswith("|").cast("int") - (t.rlike(r"(?<!\\)\|$") & (F.length(t) > 1)).cast("int")).otherwise(F.when(t != "", 1).otherwise(0)).cast("int")
-
-    def step(acc, line):
+        of = lambda t, bars: F.when(bars > 0, bars + 1 - t.startswith("|").cast("int") - (t.rlike(r"(?<!\\)\|$") & (F.length(t) > 1)).cast("int")).otherwise(F.when(t != "", 1).otherwise(0)).cast("int")
+        return T.let(T.trimmed(line), lambda t: T.let(F.regexp_count(t, F.lit(r"(?<!\\)\|")), lambda bars: of(t, bars)))
+
+    def facts(line):
+        """What the walk asks of a line, each once."""
+
+        def of_mark(mark):
+            info = T.trimmed(F.regexp_replace(line, fence, ""))
+            opens = (mark != "") & ~(mark.startswith("`") & F.contains(info, F.lit("`")))
+            return F.struct(
+                F.when(mark != "", F.when(opens, mark)).alias("mark"),
+                F.when(mark != "", F.regexp_extract(line, shut, 1)).otherwise("").alias("shut"),
+                F.when(mark != "", F.regexp_extract(info, r"^([^ \t]*)", 1)).alias("language"),
+                cells(line).alias("n"),
+                line.rlike(other).alias("other"),
+                (F.contains(line, F.lit("|")) & line.rlike(delimiter)).alias("rule"),
+                line.rlike(r"^(    |\t)").alias("indented"),
+            )
+
+        return T.let(F.regexp_extract(line, fence, 1), of_mark)
+
+    def step(acc, x):
         state = lambda **new: F.struct(*(new.get(k, acc[k]).alias(k) for k in ("fence", "header", "inside", "tables", "languages"))).cast(kind)
         none, off = F.lit(0), F.lit(False)
-        mark = F.regexp_extract(line, fence, 1)
-        info = T.trimmed(F.regexp_replace(line, fence, ""))
-        opens = (mark != "") & ~(mark.startswith("`") & F.contains(info, F.lit("`")))
         last = F.element_at(acc["tables"], -1)
         longer = F.concat(F.slice(acc["tables"], F.lit(1), F.size(acc["tables"]) - 1), F.array(F.struct((last["rows"] + 1).alias("rows"), last["columns"].alias("columns"))))
-        n = cells(line)
+        n = x["n"]
         return (
-            F.when(acc["fence"] != "", F.when(F.regexp_extract(line, shut, 1).startswith(acc["fence"]), state(fence=F.lit(""))).otherwise(acc))
-            .when(opens, state(fence=mark, header=none, inside=off, languages=F.concat(acc["languages"], F.array(F.regexp_extract(info, r"^([^ \t]*)", 1)))))
-            .when(~acc["inside"] & (acc["header"] == n) & (n > 0) & line.rlike(delimiter) & F.contains(line, F.lit("|")), state(inside=F.lit(True), header=none, tables=F.concat(acc["tables"], F.array(F.struct(F.lit(1).alias("rows"), n.alias("columns"))))))
-            .when(acc["inside"] & (n > 0) & ~line.rlike(other), state(tables=longer))
-            .otherwise(state(inside=off, header=F.when(line.rlike(other) | line.rlike(r"^(    |\t)"), none).otherwise(n)))
+            F.when(acc["fence"] != "", F.when(x["shut"].startswith(acc["fence"]), state(fence=F.lit(""))).otherwise(acc))
+            .when(x["mark"].isNotNull(), state(fence=x["mark"], header=none, inside=off, languages=F.concat(acc["languages"], F.array(x["language"]))))
+            .when(~acc["inside"] & (acc["header"] == n) & (n > 0) & x["rule"], state(inside=F.lit(True), header=none, tables=F.concat(acc["tables"], F.array(F.struct(F.lit(1).alias("rows"), n.alias("columns"))))))
+            .when(acc["inside"] & (n > 0) & ~x["other"], state(tables=longer))
+            .otherwise(state(inside=off, header=F.when(x["other"] | x["indented"], none).otherwise(n)))
         )
 
-    walked = F.aggregate(T.lines(text), start, step)
+    walked = T.let(F.aggregate(F.transform(T.lines(text), facts), start, step), lambda w: w)
     return F.struct(walked["tables"].alias("tables"), walked["languages"].alias("languages"))
 
 

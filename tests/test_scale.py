@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import components, geometry, validation
-from pagemill.sources import corpus
+from pagemill.sources import corpus, pdf_objects
 
 PATHS = "page_id long, seq long, min_x double, min_y double, max_x double, max_y double, has_stroke boolean, has_fill boolean, path_ops int"
 
@@ -194,6 +194,21 @@ def test_against_expectation_files(spark, tmp_path):
     assert not got["gone"].content_ok and got["gone"].actual is None and not got["more"].content_ok
 
 
+def test_ends_are_ascii_white_space_only(spark):
+    """A regular expression's end also lies before a last line separator."""
+    got = spark.createDataFrame([(" \t\x0ba \u2028",), ("\r\n\f",), (None,)], "t string").select(T.trimmed("t")).collect()
+    assert [r[0] for r in got] == ["a \u2028", "", None]
+
+
+def test_columns_without_references_are_not_joined(spark):
+    objs = spark.createDataFrame([(1, 0, "{}"), (1, 2, '"(x"')], "doc_id long, num long, value string")
+    df = spark.createDataFrame([(1, "(plain", "2 0 R"), (1, None, "3 0 R")], "doc_id long, a string, b string")
+    assert "Join" not in pdf_objects.resolved(df, objs, "a")._jdf.queryExecution().toString()
+    got = pdf_objects.resolved(df, objs, "a", "b")
+    assert {tuple(r) for r in got.collect()} == {(1, "(plain", "(x"), (1, None, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_long_markdown(spark):
     text = "\n".join(f"| a{k} | b |\n|---|---|\n| 1 | 2 |\n" for k in range(2000))
     got = spark.createDataFrame([(text,)], "t string").select(validation.blocks("t").alias("b")).select(F.size("b.tables").alias("n")).first()
