@@ -17,7 +17,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITE = r"^[\s]+|[\s]+$"
+WHITE = " \t\n\x0b\f\r"
 
 
 def col(x) -> Column:
@@ -46,7 +46,7 @@ def let(value, f) -> Column:
 
 def trimmed(x) -> Column:
     """Without white space of any ASCII kind at either end."""
-    return F.regexp_replace(col(x), WHITE, "")
+    return F.btrim(col(x), F.lit(WHITE))
 
 
 def lines(x) -> Column:

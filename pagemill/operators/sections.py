@@ -217,18 +217,28 @@ def merged_windows(windows, header=None, footer=None) -> Column:
 
 def line_matches(line, patterns) -> Column:
     """Whether a line equals a pattern (array) apart from case and ends, or both are longer than five and alike by over 0.8."""
-    a = F.lower(T.trimmed(line))
-    return F.exists(patterns, lambda p: (a == F.lower(T.trimmed(p))) | ((F.length(a) > 5) & (F.length(T.trimmed(p)) > 5) & (T.similarity_ratio(a, F.lower(T.trimmed(p))) > F.lit(0.8).cast("double"))))
+    return _matches(line, F.transform(patterns, _plain_line))
+
+
+def _plain_line(x) -> Column:
+    return F.lower(T.trimmed(x))
+
+
+def _matches(line, plain) -> Column:
+    """line_matches of patterns that are plain lines already; the line is made plain once."""
+    alike = lambda a, p: (a == p) | ((F.length(a) > 5) & (F.length(p) > 5) & (T.similarity_ratio(a, p) > F.lit(0.8).cast("double")))
+    return T.let(_plain_line(line), lambda a: F.exists(plain, lambda p: alike(a, p)))
 
 
 def without_lines(text, patterns, number_pattern=None) -> Column:
     """A text without lines that match a pattern or, in any case, the page number's pattern (a string or a column); blank lines stay."""
 
-    def drop(x):
-        hit = line_matches(x, patterns)
+    def drop(x, plain):
+        hit = _matches(x, plain)
         return hit if number_pattern is None else hit | F.rlike(T.trimmed(x), F.concat(F.lit("(?i)"), number_pattern if isinstance(number_pattern, Column) else F.lit(number_pattern)))
 
-    return T.trimmed(F.array_join(F.filter(T.lines(text), lambda x: (T.trimmed(x) == "") | ~drop(x)), "\n"))
+    kept = T.let(F.transform(patterns, _plain_line), lambda plain: F.filter(T.lines(text), lambda x: (T.trimmed(x) == "") | ~drop(x, plain)))
+    return T.trimmed(F.array_join(kept, "\n"))
 
 
 def outline_depths(levels) -> Column:
