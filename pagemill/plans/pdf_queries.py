@@ -82,9 +82,7 @@ def pdf_metadata(spark, d):
 
 @query("pdf_page_texts", f"WITH {FILES_SQL} SELECT doc_id, page, array_to_string(ls, ' ') AS text FROM files")
 def pdf_page_texts(spark, d):
-    objs, pages = read_back(spark, d)
-    shown = pdf_content.with_state(pdf_content.operators(objs, pages))
-    return pdf.page_texts(pdf_content.text_items(shown, pdf_content.fonts(objs, pages)))
+    return pdf_content.page_texts(*read_back(spark, d))
 
 
 @query("pdf_outline", f"WITH {FILES_SQL} SELECT doc_id, page - 1 AS ordinal, (page - 1) % 2 AS depth, ls[1] AS title, page FROM files")

@@ -1,10 +1,12 @@
 """What PDF pages show, from object rows: text items, pictures and drawn paths.
 
-Content streams become rows of operators; forms are spliced in by joins, a level at a
-time; the graphics state (matrix and font, saved and restored) is carried along each
-page's rows in order, and the characters of strings are looked up in their font's
-intervals of codes.  Both of these walks go over sorted partitions as streams, so that
-neither a page nor a font is held in memory.
+The graphics state (matrix and font, saved and restored) is carried along a page's
+operators, and the characters of strings are looked up in their font's intervals of
+codes.  A page without forms is read in one walk from its streams, which stand behind
+the fonts of their block of pages in sorted partitions (``shown``, ``page_texts``); a
+page's streams and a block's fonts are held in memory.  Of pages with forms, content
+streams become rows of operators, forms are spliced in by joins, a level at a time, and
+both walks go over sorted rows, so that no page is held in memory.
 
 Defined cases: pages without contents have no rows; names without a resource paint
 nothing; a string in an unknown font is read as Latin-1; what cannot be parsed ends its
@@ -13,13 +15,15 @@ stream; restores without a save are ignored; a form within itself is left out.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill.operators import geometry
 from pagemill.sources import pdf, pdf_syntax
@@ -34,6 +38,7 @@ KEPT = {"q", "Q", "cm", "BT", "ET", "Tf", "Tj", "TJ", "'", '"', "Do"}
 GAP = -200  #: thousandths by which a string goes on further to the right than this is a space
 LEVELS = 16  #: of forms within forms
 SALTS = 16  #: tasks that a font's strings are dealt to
+BLOCK = 64  #: pages that stay together behind their fonts
 ROW = "seq int, op string, nums array<double>, texts array<binary>, name string, subs array<int>"
 
 
@@ -116,44 +121,53 @@ def parsed(streams: DataFrame, *keys: str) -> DataFrame:
     return streams.select(*keys, "data").mapInArrow(run, f"{types}, {ROW}")
 
 
+def forms_of(objs: DataFrame) -> DataFrame:
+    return objs.where(F.col("value").contains('"/Form"') & (field("value", "Subtype") == "/Form"))
+
+
 def named_resources(objs: DataFrame, pages: DataFrame, kind: str) -> DataFrame:
     """(doc_id, scope, name, num, value): the entries of one kind in the resources of pages (scope "p" and the page) and forms ("f" and the object)."""
-    forms = objs.where(field("value", "Subtype") == "/Form").select("doc_id", F.concat(F.lit("f"), F.col("num")).alias("scope"), field("value", "Resources").alias("of"))
+    forms = forms_of(objs).select("doc_id", F.concat(F.lit("f"), F.col("num")).alias("scope"), field("value", "Resources").alias("of"))
     own = pages.select("doc_id", F.concat(F.lit("p"), F.col("page")).alias("scope"), F.col("resources").alias("of")).unionByName(resolved(forms, objs, "of"))
     own = resolved(own.select("doc_id", "scope", field("of", kind).alias("of")), objs, "of")
     each = own.select("doc_id", "scope", F.explode(F.from_json("of", "map<string,string>")).alias("name", "value"))
     return resolved(each.withColumn("num", number_of(F.col("value"))), objs, "value")
 
 
-def operators(objs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page, scope, at, op, nums, texts, name, subs): pages' operators, forms spliced in; at puts them in order."""
+def page_parts(objs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, k, data): the streams that pages consist of, in the order of k."""
     data = objs.where("data IS NOT NULL").select("doc_id", "num", "data")
     parts = F.when(F.col("contents").startswith("["), F.from_json("contents", "array<string>")).otherwise(F.array("contents"))
     # A reference may also lead to an array of streams.
     listed = resolved(pages.withColumn("inner", F.col("contents")), objs, "inner")
     parts = F.when(F.col("inner").startswith("["), F.from_json("inner", "array<string>")).otherwise(parts)
     streams = listed.where("contents IS NOT NULL").select("doc_id", "page", F.posexplode(parts).alias("k", "part")).withColumn("num", number_of(F.col("part")))
-    whole = streams.join(data, ["doc_id", "num"]).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("s"))
+    return streams.join(data.hint("merge"), ["doc_id", "num"]).select("doc_id", "page", "k", "data")
+
+
+def operators(objs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, scope, at, op, nums, texts, name, subs): pages' operators, forms spliced in; at puts them in order."""
+    whole = page_parts(objs, pages).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("s"))
     # A page's parts make one stream, with white space between.
     joined = F.aggregate("s", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"], F.lit(b"\n")))
     rows = parsed(whole.select("doc_id", "page", joined.alias("data")), "doc_id", "page")
     rows = rows.withColumn("scope", F.concat(F.lit("p"), F.col("page"))).withColumn("at", F.array("seq")).withColumn("above", F.array().cast("array<long>"))
     columns = ["doc_id", "page", "scope", "at", "op", "nums", "texts", "name", "subs"]
-    form = objs.where((field("value", "Subtype") == "/Form") & F.col("data").isNotNull()).select("doc_id", F.col("num").alias("form"), "data", F.from_json(field("value", "Matrix"), "array<double>").alias("matrix"), field("value", "Resources").isNotNull().alias("own"))
+    form = forms_of(objs).where("data IS NOT NULL").select("doc_id", F.col("num").alias("form"), "data", F.from_json(field("value", "Matrix"), "array<double>").alias("matrix"), field("value", "Resources").isNotNull().alias("own"))
     inside = parsed(form, "doc_id", "form").unionByName(form.select("doc_id", "form", F.lit(-1).alias("seq"), F.lit("cm").alias("op"), "matrix").where("matrix IS NOT NULL").select("doc_id", "form", "seq", "op", F.col("matrix").alias("nums")), allowMissingColumns=True)
     for op, seq in (("q", -2), ("Q", 2**31 - 1)):
         inside = inside.unionByName(form.select("doc_id", "form", F.lit(seq).alias("seq"), F.lit(op).alias("op")), allowMissingColumns=True)
     known = named_resources(objs, pages, "XObject").where(field("value", "Subtype") == "/Form").select("doc_id", "scope", "name", F.col("num").alias("form"))
-    known = known.join(form.select("doc_id", "form", "own"), ["doc_id", "form"])
+    known = known.join(form.select("doc_id", "form", "own").hint("merge"), ["doc_id", "form"])
     rows = written(rows.select(*columns, "above"), "operators")
     out = rows.select(*columns)
     if known.isEmpty():
         return out
     inside = written(inside, "forms")
     for _ in range(LEVELS):
-        calls = rows.where("op = 'Do'").select("doc_id", "page", "scope", "name", "at", "above").join(known, ["doc_id", "scope", "name"]).where(~F.array_contains("above", F.col("form")))
+        calls = rows.where("op = 'Do'").select("doc_id", "page", "scope", "name", "at", "above").join(known.hint("merge"), ["doc_id", "scope", "name"]).where(~F.array_contains("above", F.col("form")))
         calls = calls.select("doc_id", "page", "form", F.col("at").alias("from"), F.when(F.col("own"), F.concat(F.lit("f"), F.col("form"))).otherwise(F.col("scope")).alias("scope"), F.concat("above", F.array("form")).alias("above"))
-        rows = written(calls.join(inside, ["doc_id", "form"]).withColumn("at", F.concat("from", F.array("seq"))).select(*columns, "above"), "operators")
+        rows = written(calls.join(inside.hint("merge"), ["doc_id", "form"]).withColumn("at", F.concat("from", F.array("seq"))).select(*columns, "above"), "operators")
         if rows.isEmpty():
             break
         out = out.unionByName(rows.select(*columns))
@@ -183,6 +197,43 @@ def on_page(m: tuple, subs: list[int], coords: list[float]) -> dict:
     return {"subs": parts, "coords": points}
 
 
+UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+NUMBERS = {"BT": geometry.BEGIN_TEXT, "ET": geometry.END_TEXT, "path": geometry.CONSTRUCT, "Do": PICTURE, "BI": INLINE, "Tj": SHOW, "TJ": SHOW, "'": SHOW, '"': SHOW} | PAINTS
+SHOWN = "page long, seq long, op int, matrix array<double>, font array<string>, scope string, name string, texts array<binary>, subs array<int>, coords array<double>, on_page struct<subs:array<int>,coords:array<double>>"
+FIELDS = [("page", pa.int64()), ("seq", pa.int64()), ("op", pa.int32()), ("matrix", pa.list_(pa.float64())), ("font", pa.list_(pa.string())), ("scope", pa.string()), ("name", pa.string()), ("texts", pa.list_(pa.binary())), ("subs", pa.list_(pa.int32())), ("coords", pa.list_(pa.float64())), ("on_page", pa.struct([("subs", pa.list_(pa.int32())), ("coords", pa.list_(pa.float64()))]))]
+
+
+class Walk:
+    """The graphics state along a page's operators."""
+
+    def __init__(self):
+        self.matrix, self.font, self.saved, self.seq = UNIT, None, [], 0
+
+    def step(self, op: str, nums: list, name: str | None, scope: str) -> bool:
+        """Whether the operator shows something, which is number seq then."""
+        if op == "q":
+            self.saved.append((self.matrix, self.font))
+        elif op == "Q":
+            self.matrix, self.font = self.saved.pop() if self.saved else (self.matrix, self.font)
+        elif op == "cm":
+            self.matrix = product(tuple(nums[:6]), self.matrix) if len(nums) >= 6 else self.matrix
+        elif op == "Tf":
+            self.font = [scope, name]
+        else:
+            self.seq += 1
+            return True
+        return False
+
+    def row(self, op: str, nums: list, texts: list, name: str | None, subs: list, scope: str) -> tuple:
+        return self.seq - 1, NUMBERS[op], list(self.matrix), self.font, scope, name, texts, subs, nums, on_page(self.matrix, subs, nums) if op == "path" else None
+
+
+def shown_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * (len(FIELDS) + 1)
+    types = [kind, *(t for _, t in FIELDS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", *(n for n, _ in FIELDS)])
+
+
 def with_state(ops: DataFrame) -> DataFrame:
     """(doc_id, page, seq, op, matrix, font, scope, name, texts, subs, coords, on_page): what pages show, in order.
 
@@ -190,35 +241,79 @@ def with_state(ops: DataFrame) -> DataFrame:
     coordinates by the matrix; op is a number: SHOW, PICTURE, INLINE, or of geometry.
     """
     kind = ops.schema["doc_id"].dataType.simpleString()
-    unit = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-    numbers = {"BT": geometry.BEGIN_TEXT, "ET": geometry.END_TEXT, "path": geometry.CONSTRUCT, "Do": PICTURE, "BI": INLINE, "Tj": SHOW, "TJ": SHOW, "'": SHOW, '"': SHOW} | PAINTS
-    fields = [("seq", pa.int64()), ("op", pa.int32()), ("matrix", pa.list_(pa.float64())), ("font", pa.list_(pa.string())), ("scope", pa.string()), ("name", pa.string()), ("texts", pa.list_(pa.binary())), ("subs", pa.list_(pa.int32())), ("coords", pa.list_(pa.float64())), ("on_page", pa.struct([("subs", pa.list_(pa.int32())), ("coords", pa.list_(pa.float64()))]))]
 
     def run(batches):
-        page, matrix, font, saved, seq = None, unit, None, [], 0
+        page, walk = None, Walk()
         for b in batches:
             out = []
             where = list(zip(b.column("doc_id").to_pylist(), b.column("page").to_pylist(), strict=True))
             for own, op, nums, texts, name, subs, scope in zip(where, *(b.column(c).to_pylist() for c in ("op", "nums", "texts", "name", "subs", "scope")), strict=True):
                 if own != page:
-                    page, matrix, font, saved, seq = own, unit, None, [], 0
-                if op == "q":
-                    saved.append((matrix, font))
-                elif op == "Q":
-                    matrix, font = saved.pop() if saved else (matrix, font)
-                elif op == "cm":
-                    matrix = product(tuple(nums[:6]), matrix) if len(nums) >= 6 else matrix
-                elif op == "Tf":
-                    font = [scope, name]
-                else:
-                    out.append((*own, seq, numbers[op], list(matrix), font, scope, name, texts, subs, nums, on_page(matrix, subs, nums) if op == "path" else None))
-                    seq += 1
-            cols = list(zip(*out, strict=True)) if out else [()] * 12
-            types = [b.schema.field("doc_id").type, pa.int64(), *(t for _, t in fields)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "page", *(n for n, _ in fields)])
+                    page, walk = own, Walk()
+                if walk.step(op, nums, name, scope):
+                    out.append((*own, *walk.row(op, nums, texts, name, subs, scope)))
+            yield shown_batch(out, b.schema.field("doc_id").type)
 
     dealt = ops.withColumn("page", F.col("page").cast("long")).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "at")
-    return dealt.mapInArrow(run, f"doc_id {kind}, page long, seq long, op int, matrix array<double>, font array<string>, scope string, name string, texts array<binary>, subs array<int>, coords array<double>, on_page struct<subs:array<int>,coords:array<double>>")
+    return dealt.mapInArrow(run, f"doc_id {kind}, {SHOWN}")
+
+
+def parted(objs: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """pages without forms among their resources, and the others; None if no file has forms."""
+    if forms_of(objs).isEmpty():
+        return pages, None
+    calls = named_resources(objs, pages, "XObject").where((field("value", "Subtype") == "/Form") & F.col("scope").startswith("p"))
+    calls = written(calls.select("doc_id", F.substring("scope", 2, 20).cast("long").alias("page")).distinct(), "calls")
+    return tuple(pages.join(calls.hint("merge"), ["doc_id", "page"], how) for how in ("left_anti", "left_semi"))
+
+
+def block_of(page: str) -> Column:
+    return F.floor((F.col(page) - 1) / BLOCK).cast("long")
+
+
+def whole_pages(batches, font=None):
+    """(doc_id, page, data) of sorted parts; font is called with the rows before a block's pages."""
+    own, held = None, []
+    for b in batches:
+        where = list(zip(b.column("doc_id").to_pylist(), b.column("page").to_pylist(), strict=True))
+        kinds = b.column("kind").to_pylist() if font else None
+        for k, place in enumerate(where):
+            if place != own:
+                if held:
+                    yield *own, b"\n".join(held)
+                own, held = place, []
+            if kinds and not kinds[k]:
+                font(b, k)
+            else:
+                held.append(b.column("data")[k].as_py() or b"")
+    if held:
+        yield *own, b"\n".join(held)
+
+
+def shown(objs: DataFrame, pages: DataFrame, wanted: tuple[int, ...] | None = None) -> DataFrame:
+    """As with_state over operators; wanted: the numbers of operators that have rows, all if not given."""
+    plain, formed = parted(objs, pages)
+    parts = page_parts(objs, plain)
+    kind, own = (f(parts.schema["doc_id"].dataType) for f in (lambda t: t.simpleString(), to_arrow_type))
+
+    def run(batches):
+        out = []
+        for doc_id, page, data in whole_pages(batches):
+            walk, scope = Walk(), f"p{page}"
+            for op, nums, texts, name, subs in instructions(data):
+                if walk.step(op, nums, name, scope) and (wanted is None or NUMBERS[op] in wanted):
+                    out.append((doc_id, page, *walk.row(op, nums, texts, name, subs, scope)))
+                    if len(out) == 4096:
+                        yield shown_batch(out, own)
+                        out = []
+        yield shown_batch(out, own)
+
+    found = parts.withColumn("block", block_of("page")).repartition("doc_id", "block").sortWithinPartitions("doc_id", "page", "k")
+    found = found.select("doc_id", "page", "data").mapInArrow(run, f"doc_id {kind}, {SHOWN}")
+    if formed is None:
+        return found
+    rest = with_state(operators(objs, formed))
+    return found.unionByName(rest if wanted is None else rest.where(F.col("op").isin(*wanted)))
 
 
 # ---------------------------------------------------------------- fonts
@@ -324,36 +419,62 @@ def shifted(text: str, by: int) -> str:
     return text[:-1] + (chr(last) if last < 0x110000 and not 0xD800 <= last < 0xE000 else "�")
 
 
-def read_codes(raw: bytes, width: int, lo: np.ndarray, hi: np.ndarray, texts: list[str], composite: bool) -> str:
-    """A string's text: each code by bisection of the intervals; one that is in none is read as itself if codes are composite."""
-    n = len(raw) // width
-    codes = np.frombuffer(raw[: n * width], np.uint8).reshape(n, width).astype(np.int64) @ (256 ** np.arange(width - 1, -1, -1)).astype(np.int64)
-    at = np.searchsorted(lo, codes, "right") - 1
-    out = []
-    for c, k in zip(codes.tolist(), at.tolist(), strict=True):
-        if k >= 0 and c <= hi[k]:
-            out.append(shifted(texts[k], c - int(lo[k])))
-        elif composite and c < 0x110000 and not 0xD800 <= c < 0xE000:
-            out.append(chr(c))
-    return "".join(out)
+def reader(width: int, lo: list[int], hi: list[int], texts: list[str], composite: bool):
+    """What reads a string's codes by bisection of the intervals; one that is in none is read as itself if codes are composite."""
+    lo, hi = np.array([*lo, 1 << 62], np.int64), np.array([*hi, 0], np.int64)
+    # Intervals of single characters are read by adding; others one by one.
+    single = np.array([ord(t) if len(t) == 1 else -1 for t in [*texts, ""]], np.int64)
+    weights = (256 ** np.arange(width - 1, -1, -1)).astype(np.int64)
+
+    def read(raw: bytes) -> str:
+        n = len(raw) // width
+        codes = np.frombuffer(raw[: n * width], np.uint8).reshape(n, width).astype(np.int64) @ weights
+        at = np.searchsorted(lo, codes, "right") - 1
+        inside = (at >= 0) & (codes <= hi[at])
+        points = single[at] + codes - lo[at]
+        if (inside & (single[at] >= 0) & (points < 0x110000) & ((points < 0xD800) | (points >= 0xE000))).all():
+            return points.astype("<u4").tobytes().decode("utf-32-le")
+        out = []
+        for c, k, known in zip(codes.tolist(), at.tolist(), inside.tolist(), strict=True):
+            if known:
+                out.append(shifted(texts[k], c - int(lo[k])))
+            elif composite and c < 0x110000 and not 0xD800 <= c < 0xE000:
+                out.append(chr(c))
+        return "".join(out)
+
+    return read
+
+
+def string_text(texts: list[bytes | None], read) -> str:
+    """The parts of a shown string, with a space for each gap."""
+    return "".join(" " if x is None else read(x) for x in texts)
+
+
+def latin(raw: bytes) -> str:
+    return raw.decode("latin-1")
+
+
+def font_of(value: str | None, encoding: str | None, to_unicode: bytes | None) -> tuple:
+    """(width, lo, hi, texts, composite) of a font's dictionary and what it refers to."""
+    font = json.loads(value or "{}")
+    font = font if isinstance(font, dict) else {}
+    encoding = json.loads(encoding) if encoding and encoding[:1] == "{" else encoding
+    return *intervals(font, encoding, to_unicode), font.get("Subtype") == "/Type0"
+
+
+def font_rows(objs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, scope, name, value, encoding, num): the fonts of each scope; num: of the stream that says which characters codes are."""
+    found = named_resources(objs, pages, "Font").select("doc_id", "scope", "name", "value", field("value", "Encoding").alias("encoding"), number_of(field("value", "ToUnicode")).alias("num"))
+    return resolved(found, objs, "encoding")
 
 
 def fonts(objs: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, scope, name, width, lo, hi, texts, composite): how each font of each scope reads codes."""
-    found = named_resources(objs, pages, "Font").select("doc_id", "scope", "name", "value", field("value", "Encoding").alias("encoding"), number_of(field("value", "ToUnicode")).alias("num"))
-    found = resolved(found, objs, "encoding").join(objs.select("doc_id", "num", "data"), ["doc_id", "num"], "left")
+    found = font_rows(objs, pages).join(objs.select("doc_id", "num", "data").hint("merge"), ["doc_id", "num"], "left")
 
     def run(batches):
-        import json
-
         for b in batches:
-            rows = []
-            for k in range(b.num_rows):
-                value, encoding, data = (b.column(c)[k].as_py() for c in ("value", "encoding", "data"))
-                font = json.loads(value or "{}")
-                font = font if isinstance(font, dict) else {}
-                encoding = json.loads(encoding) if encoding and encoding[:1] == "{" else encoding
-                rows.append((*intervals(font, encoding, data), font.get("Subtype") == "/Type0"))
+            rows = [font_of(*(b.column(c)[k].as_py() for c in ("value", "encoding", "data"))) for k in range(b.num_rows)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "scope", "name")), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "scope", "name", "width", "lo", "hi", "texts", "composite"])
@@ -375,7 +496,7 @@ def text_items(shown: DataFrame, tables: DataFrame) -> DataFrame:
     kind = shown.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        own, table = None, None
+        own, table = None, latin
         for b in batches:
             keys = list(zip(*(b.column(c).to_pylist() for c in cell), strict=True))
             kinds = b.column("kind").to_pylist()
@@ -383,13 +504,12 @@ def text_items(shown: DataFrame, tables: DataFrame) -> DataFrame:
             for k, (key, is_string) in enumerate(zip(keys, kinds, strict=True)):
                 if not is_string:
                     t = b.column("table")[k].as_py()
-                    own, table = key, (t["width"], np.array(t["lo"], np.int64), np.array(t["hi"], np.int64), t["texts"], t["composite"])
+                    own, table = key, reader(*(t[c] for c in ("width", "lo", "hi", "texts", "composite")))
                     continue
                 parts = b.column("texts")[k].as_py() or []
-                read = (lambda x: read_codes(x, *table)) if own == key else (lambda x: x.decode("latin-1"))
                 out[0].append(b.column("page")[k].as_py())
                 out[1].append(b.column("seq")[k].as_py())
-                out[2].append("".join(" " if x is None else read(x) for x in parts))
+                out[2].append(string_text(parts, table if own == key else latin))
             strings = [k for k, s in enumerate(kinds) if s]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(strings, pa.int64())), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "page", "seq", "text"])
 
@@ -397,6 +517,52 @@ def text_items(shown: DataFrame, tables: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"doc_id {kind}, page long, seq long, text string")
 
 
+def page_texts(objs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text): the strings that each page shows, joined by single spaces; pages that show none have no rows."""
+    plain, formed = parted(objs, pages)
+    parts = page_parts(objs, plain).select("doc_id", block_of("page").alias("block"), F.lit(1).alias("kind"), "page", "k", "data")
+    of = font_rows(objs, plain).where(F.col("scope").startswith("p")).withColumn("page", F.substring("scope", 2, 20).cast("long"))
+    # A font that several pages of a block name is there once.
+    of = of.groupBy("doc_id", block_of("page").alias("block"), "value", "encoding", "num").agg(F.collect_list(F.struct("page", "name")).alias("uses"))
+    of = of.join(objs.select("doc_id", "num", "data").hint("merge"), ["doc_id", "num"], "left").select("doc_id", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("page"), F.lit(0).alias("k"), "data", "value", "encoding", "uses")
+    kind, own = (f(parts.schema["doc_id"].dataType) for f in (lambda t: t.simpleString(), to_arrow_type))
+
+    def run(batches):
+        block, known = None, {}
+
+        def font(b, k):
+            nonlocal block, known
+            place = b.column("doc_id")[k].as_py(), b.column("block")[k].as_py()
+            if place != block:
+                block, known = place, {}
+            read = reader(*font_of(*(b.column(c)[k].as_py() for c in ("value", "encoding", "data"))))
+            known |= {(place[0], u["page"], u["name"]): read for u in b.column("uses")[k].as_py()}
+
+        out, size = [], 0
+        for doc_id, page, data in whole_pages(batches, font):
+            walk, strings = Walk(), []
+            for op, nums, texts, name, _ in instructions(data):
+                if walk.step(op, nums, name, "") and NUMBERS[op] == SHOW:
+                    strings.append(string_text(texts, known.get((doc_id, page, walk.font[1]), latin) if walk.font else latin))
+            if strings:
+                out.append((doc_id, page, " ".join(strings)))
+                size += len(out[-1][2])
+            if size > 4 << 20 or len(out) == 4096:
+                yield batch(out)
+                out, size = [], 0
+        yield batch(out)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((own, pa.int64(), pa.string()))], ["doc_id", "page", "text"])
+
+    both = parts.unionByName(of, allowMissingColumns=True).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", "kind", "page", "k")
+    found = both.mapInArrow(run, f"doc_id {kind}, page long, text string")
+    if formed is None:
+        return found
+    items = text_items(with_state(operators(objs, formed)), fonts(objs, formed))
+    return found.unionByName(pdf.page_texts(items))
+
+
 # ---------------------------------------------------------------- pictures and paths
 
 

@@ -314,3 +314,22 @@ def test_states_by_a_plain_loop(spark):
 def test_many_pages_keep_their_order(spark):
     pages = [[f"page {k}"] for k in range(150)]
     assert texts(spark, f=pdf_writer.text_file(pages)) == {("f", k + 1): f"page {k}" for k in range(150)}
+
+
+def test_pages_are_read_in_one_walk(spark):
+    """Pages with and without forms, in more than one block, by shared and own fonts: as by rows of operators."""
+    many = pdf_writer.text_file([[f"page {k} é", "", "𝄞ß"] for k in range(150)], marks=["q 2 0 0 2 10 20 cm 0 0 30 10 re S Q 0 0 m 5 40 l B"] * 150, picture=b"abc")
+    formed = one_page(b"BT /F 1 Tf (plain) Tj ET /X Do", b"/XObject << /X 5 0 R >> /Font << /F << /Subtype /Type1 >> >>", pdf_writer.stream(b"BT /F 1 Tf (in form) Tj ET 0 0 10 10 re S", b"/Subtype /Form"))
+    other = one_page(b"BT (no font) Tj /G 1 Tf [(A) -300 (B)] TJ ET", b"/Font << /G << /Subtype /Type1 /Encoding << /Differences [65 /fi] >> >> >>")
+    empty = one_page(b"0 0 m", b"")
+    objs, pages = read(spark, many=many, formed=formed, other=other, empty=empty)
+    by_rows = shared.written(pdf_content.with_state(pdf_content.operators(objs, pages)), "shown")
+    key = lambda rows: sorted(map(str, rows))
+    assert key(pdf_content.shown(objs, pages).collect()) == key(by_rows.collect())
+    assert key(pdf_content.shown(objs, pages, (pdf_content.PICTURE,)).collect()) == key(by_rows.where(F.col("op") == pdf_content.PICTURE).collect())
+    got = {(r.doc_id, r.page): r.text for r in pdf_content.page_texts(objs, pages).collect()}
+    assert got == {(r.doc_id, r.page): r.text for r in pdf.page_texts(pdf_content.text_items(by_rows, pdf_content.fonts(objs, pages))).collect()}
+    assert len(got) == 152 and got["formed", 1] == "plain in form" and got["other", 1] == "no font ﬁ B" and got["many", 130] == "page 129 é  𝄞ß"
+    alone, pages = read(spark, many=many)
+    assert pdf_content.page_texts(alone, pages).count() == 150
+    assert key(pdf_content.shown(alone, pages).collect()) == key(by_rows.where("doc_id = 'many'").collect())
