@@ -23,14 +23,14 @@ def ranked(nodes: DataFrame, key: str = "doc_id", weight: str | None = None) ->
     w = F.coalesce(F.col("r.w"), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
     one = one.select(key, "node", F.col("r.to").alias("to"), w.alias("rank"))
     known = one.select(key, F.col("node").alias("to"), F.lit(True).alias("there"))
-    at = one.join(known, [key, "to"], "left").select(key, "node", F.when(F.col("there"), F.col("to")).alias("to"), "rank")
+    at = one.join(known.hint("merge"), [key, "to"], "left").select(key, "node", F.when(F.col("there"), F.col("to")).alias("to"), "rank")
     at = written(at.withColumn("tail", F.when(F.col("to").isNull(), F.col("node"))), "chains")
     most = at.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(most.bit_length()):
         if at.where("to IS NOT NULL").isEmpty():
             break
         ahead = at.select(key, F.col("node").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"), F.col("tail").alias("tail2"))
-        step = at.join(ahead, [key, "to"], "left")
+        step = at.join(ahead.hint("merge"), [key, "to"], "left")
         at = written(step.select(key, "node", F.col("to2").alias("to"), (F.col("rank") + F.coalesce("rank2", F.lit(0))).alias("rank"), F.coalesce("tail", "tail2").alias("tail")), "chains")
     whole = F.col("to").isNull()
     return at.select(key, "node", F.when(whole, F.col("tail")).alias("tail"), F.when(whole, F.col("rank")).alias("rank"))
@@ -45,9 +45,9 @@ def preorder(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     # Up from a node without a next one, to the nearest that has one.
     up = ranked(nodes.select(key, "node", F.when(F.col("next").isNull(), F.col("parent")).alias("to")), key)
     after = nodes.select(key, F.col("node").alias("tail"), F.col("next").alias("after"))
-    follows = up.join(after, [key, "tail"], "left").select(key, "node", "tail", "after")
-    chain = nodes.join(follows, [key, "node"]).select(key, "node", F.when(F.col("tail").isNotNull(), F.coalesce("first", "after")).alias("to"))
+    follows = up.join(after.hint("merge"), [key, "tail"], "left").select(key, "node", "tail", "after")
+    chain = nodes.join(follows.hint("merge"), [key, "node"]).select(key, "node", F.when(F.col("tail").isNotNull(), F.coalesce("first", "after")).alias("to"))
     places = ranked(chain, key).withColumnRenamed("rank", "left")
     depths = ranked(nodes.select(key, "node", F.col("parent").alias("to")), key).select(key, "node", (F.col("rank") - 1).alias("depth"))
     all_ = places.groupBy(key, "tail").agg(F.max("left").alias("all"))
-    return places.join(all_, [key, "tail"], "left").join(depths, [key, "node"]).select(key, "node", (F.col("all") - F.col("left")).alias("ordinal"), "depth")
+    return places.join(all_.hint("merge"), [key, "tail"], "left").join(depths.hint("merge"), [key, "node"]).select(key, "node", (F.col("all") - F.col("left")).alias("ordinal"), "depth")

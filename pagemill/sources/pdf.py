@@ -46,17 +46,17 @@ def page_texts(items: DataFrame) -> DataFrame:
 def outline_pages(nodes: DataFrame, destinations: DataFrame) -> DataFrame:
     """Nodes with the page (from 1) that they lead to; null for a destination that does not resolve."""
     at = destinations.groupBy("doc_id", "dest").agg((F.min("page_index") + 1).alias("page"))
-    return nodes.join(at, ["doc_id", "dest"], "left").select("doc_id", "node", "parent", "title", "page")
+    return nodes.join(at.hint("merge"), ["doc_id", "dest"], "left").select("doc_id", "node", "parent", "title", "page")
 
 
 def embedded_images(operators: DataFrame, objects: DataFrame) -> DataFrame:
     """(doc_id, page, seq, width, height, data): painted images whose object has data and a size; others are left out."""
     painted = operators.where(F.col("op").isin(*geometry.IMAGES)).select("doc_id", "page", "seq", "name")
     whole = objects.where("data IS NOT NULL AND width > 0 AND height > 0")
-    return painted.join(whole, ["doc_id", "page", "name"]).select("doc_id", "page", "seq", "width", "height", "data")
+    return painted.join(whole.hint("merge"), ["doc_id", "page", "name"]).select("doc_id", "page", "seq", "width", "height", "data")
 
 
 def image_counts(pages: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, page, images) for all pages: none where a page has none or could not be scanned."""
     n = images.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("images"))
-    return pages.select("doc_id", "page").join(n, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("images", F.lit(0)).cast("long").alias("images"))
+    return pages.select("doc_id", "page").join(n.hint("merge"), ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("images", F.lit(0)).cast("long").alias("images"))

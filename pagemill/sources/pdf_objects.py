@@ -4,7 +4,9 @@ Files come as rows (an id and the bytes, as Spark's binaryFile reader gives them
 any store and as a stream, too); each is split into its objects by a small parser, and
 no more is done file by file.  The page tree is walked down a level at a time, outlines
 are put in order by list ranking, destinations, resources, fonts and contents are
-joined.  Object rows are read many times: write them first (``shared.written``).
+joined.  Object rows are read many times: write them first (``shared.written``).  Written
+tables are far smaller as files than in memory (1.4 bytes a row), so that their size says
+nothing about a broadcast: joins are by sort and merge.
 
 Defined cases: a file that is no PDF, or is encrypted, is one row with an error and
 nothing else; a damaged one has the objects that can be found, and error "rebuilt" in
@@ -84,7 +86,7 @@ def resolved(df: DataFrame, objs: DataFrame, *columns: str) -> DataFrame:
     plain = F.when(F.col("value").startswith('"'), F.get_json_object("value", "$")).otherwise(F.col("value"))  # strings stand without quotes, as in field
     held = objs.where("num > 0").select("doc_id", F.col("num").alias("_num"), plain.alias("_held"))
     for c in (c for c, any_ in zip(columns, told, strict=True) if any_):
-        df = df.withColumn("_num", number_of(F.col(c))).join(held, ["doc_id", "_num"], "left")
+        df = df.withColumn("_num", number_of(F.col(c))).join(held.hint("merge"), ["doc_id", "_num"], "left")
         df = df.withColumn(c, F.when(F.col("_num").isNull(), F.col(c)).otherwise(F.col("_held"))).drop("_num", "_held")
     return df
 
@@ -103,7 +105,7 @@ def descended(objs: DataFrame, roots: DataFrame, handed: tuple[str, ...] = ()) -
     held = objs.where("num > 0").select("doc_id", F.col("num").alias("node"), "value")
     own = [field("value", c).alias(c) for c in handed]
     at = roots.select("doc_id", "node", F.array().cast("array<int>").alias("path"), F.array().cast("array<long>").alias("above"))
-    at = at.join(held, ["doc_id", "node"]).select("*", *own)
+    at = at.join(held.hint("merge"), ["doc_id", "node"]).select("*", *own)
     leaves = None
     for _ in range(LEVELS):
         at = written(at.withColumn("kids", F.from_json(field("value", "Kids"), "array<string>")), "nodes")
@@ -114,7 +116,7 @@ def descended(objs: DataFrame, roots: DataFrame, handed: tuple[str, ...] = ()) -
         below = below.where(~F.array_contains("above", F.col("node")))
         if below.isEmpty():
             break
-        below = below.join(held, ["doc_id", "node"])
+        below = below.join(held.hint("merge"), ["doc_id", "node"])
         at = below.select("doc_id", "node", "path", "above", "value", *(F.coalesce(field("value", c), F.col(f"_{c}")).alias(c) for c in handed))
     return leaves
 
@@ -142,7 +144,7 @@ def metadata(objs: DataFrame, pages: DataFrame) -> DataFrame:
     names = {"title": "Title", "author": "Author", "subject": "Subject", "creator": "Creator", "producer": "Producer", "created": "CreationDate", "modified": "ModDate"}
     info = resolved(info.select("doc_id", "error", *(field("info", v).alias(k) for k, v in names.items())), objs, *names)
     n = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"))
-    return info.join(n, "doc_id", "left").select("doc_id", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), *(_text(F.col(k)).alias(k) for k in names), "error")
+    return info.join(n.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"), *(_text(F.col(k)).alias(k) for k in names), "error")
 
 
 def destinations(objs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def led(df: DataFrame, pages: DataFrame, to: str = "to") -> DataFrame:
     """df with page_index: of the page that an explicit destination (an array, or a dictionary with one as D) begins with; rows that lead nowhere go."""
     first = F.coalesce(F.get_json_object(to, "$[0]"), F.get_json_object(to, "$.D[0]"))
     at = pages.select("doc_id", F.col("node").alias("_node"), (F.col("page") - 1).alias("page_index"))
-    return df.withColumn("_node", number_of(first)).join(at, ["doc_id", "_node"]).drop("_node")
+    return df.withColumn("_node", number_of(first)).join(at.hint("merge"), ["doc_id", "_node"]).drop("_node")
 
 
 def outline(objs: DataFrame, pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -179,13 +181,13 @@ def outline(objs: DataFrame, pages: DataFrame, names: DataFrame) -> DataFrame:
     link = lambda c: number_of(field("value", c))
     items = objs.where(F.col("num") > 0).where(field("value", "Title").isNotNull())
     items = items.select("doc_id", F.col("num").alias("node"), link("Parent").alias("parent"), link("First").alias("first"), link("Next").alias("next"), "value")
-    items = items.join(top.select("doc_id", "top"), "doc_id")
+    items = items.join(top.select("doc_id", "top").hint("merge"), "doc_id")
     # The top itself is a node as well, so that each document's outline is one tree.
     nodes = items.select("doc_id", "node", "parent", "first", "next").unionByName(top.select("doc_id", F.col("top").alias("node"), F.lit(None).cast("long").alias("parent"), F.col("begin").alias("first"), F.lit(None).cast("long").alias("next")))
     nodes = written(nodes, "outline")
     places = preorder(nodes).where("ordinal IS NOT NULL AND depth IS NOT NULL")
     # An item's own tree begins at the top only if the chain of parents ends there.
-    found = items.join(places.where("depth > 0"), ["doc_id", "node"])
+    found = items.join(places.where("depth > 0").hint("merge"), ["doc_id", "node"])
     to = F.coalesce(field("value", "Dest"), F.get_json_object("value", "$.A.D"))
     found = found.withColumn("to", to).withColumn("action", field("value", "A"))
     found = resolved(found, objs, "action").withColumn("to", F.coalesce("to", F.when(field("action", "S") == "/GoTo", field("action", "D")))).drop("action")
@@ -193,5 +195,5 @@ def outline(objs: DataFrame, pages: DataFrame, names: DataFrame) -> DataFrame:
     title = resolved(found.select("doc_id", "node", field("value", "Title").alias("title")), objs, "title").select("doc_id", "node", _text(F.col("title")).alias("title"))
     direct = led(found.select("doc_id", "node", "to"), pages).select("doc_id", "node", (F.col("page_index") + 1).alias("direct"))
     named = pdf.outline_pages(found.select("doc_id", "node", "parent", F.lit(None).cast("string").alias("title"), F.col("to").alias("dest")), names).select("doc_id", "node", F.col("page").alias("named"))
-    out = found.join(title, ["doc_id", "node"]).join(direct, ["doc_id", "node"], "left").join(named, ["doc_id", "node"], "left")
+    out = found.join(title.hint("merge"), ["doc_id", "node"]).join(direct.hint("merge"), ["doc_id", "node"], "left").join(named.hint("merge"), ["doc_id", "node"], "left")
     return out.select("doc_id", (F.col("ordinal") - 1).cast("long").alias("ordinal"), (F.col("depth") - 1).cast("long").alias("depth"), "node", F.when(F.col("parent") != F.col("top"), F.col("parent")).alias("parent"), "title", F.coalesce("direct", "named").cast("long").alias("page"))
