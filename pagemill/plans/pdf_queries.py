@@ -107,6 +107,6 @@ UNION ALL SELECT doc_id, page, 1, 10, 792 - 100, 10 + 2 * c, 792 - 20, true FROM
 @query("pdf_painted_paths", f"WITH {PATHS_SQL} SELECT doc_id, page, CAST(min_x AS DOUBLE) AS min_x, CAST(min_y AS DOUBLE) AS min_y, CAST(max_x AS DOUBLE) AS max_x, CAST(max_y AS DOUBLE) AS max_y, has_fill FROM drawn WHERE max_x - min_x >= 20 OR max_y - min_y >= 20")
 def pdf_painted_paths(spark, d):
     objs, pages = read_back(spark, d)
-    drawn = pdf_content.drawn(pdf_content.with_state(pdf_content.operators(objs, pages)), pages, placed=True)
+    drawn = pdf_content.drawn(pdf_content.shown(objs, pages, pdf_content.DRAWING), pages, placed=True)
     paths = geometry.painted_paths(drawn, height=F.col("height"))
     return paths.select("page_id.doc_id", "page_id.page", "min_x", "min_y", "max_x", "max_y", "has_fill")

@@ -199,6 +199,7 @@ def on_page(m: tuple, subs: list[int], coords: list[float]) -> dict:
 
 UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 NUMBERS = {"BT": geometry.BEGIN_TEXT, "ET": geometry.END_TEXT, "path": geometry.CONSTRUCT, "Do": PICTURE, "BI": INLINE, "Tj": SHOW, "TJ": SHOW, "'": SHOW, '"': SHOW} | PAINTS
+DRAWING = tuple({*NUMBERS.values()} - {SHOW, PICTURE, INLINE})
 SHOWN = "page long, seq long, op int, matrix array<double>, font array<string>, scope string, name string, texts array<binary>, subs array<int>, coords array<double>, on_page struct<subs:array<int>,coords:array<double>>"
 FIELDS = [("page", pa.int64()), ("seq", pa.int64()), ("op", pa.int32()), ("matrix", pa.list_(pa.float64())), ("font", pa.list_(pa.string())), ("scope", pa.string()), ("name", pa.string()), ("texts", pa.list_(pa.binary())), ("subs", pa.list_(pa.int32())), ("coords", pa.list_(pa.float64())), ("on_page", pa.struct([("subs", pa.list_(pa.int32())), ("coords", pa.list_(pa.float64()))]))]
 
@@ -589,5 +590,5 @@ def drawn(shown: DataFrame, pages: DataFrame, placed: bool = False) -> DataFrame
     if placed:
         drawing = drawing.withColumn("subs", F.col("on_page.subs")).withColumn("coords", F.col("on_page.coords"))
     box = pages.select("doc_id", "page", (F.get("box", F.lit(3)) - F.get("box", F.lit(1))).alias("height"))
-    out = drawing.join(box, ["doc_id", "page"], "left").withColumn("height", F.coalesce("height", F.lit(792.0)))
+    out = drawing.join(box.hint("merge"), ["doc_id", "page"], "left").withColumn("height", F.coalesce("height", F.lit(792.0)))
     return out.select(F.struct("doc_id", "page").alias("page_id"), "seq", "op", F.col("subs").alias("sub_ops"), "coords", "height")
