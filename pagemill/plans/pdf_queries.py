@@ -94,7 +94,7 @@ def pdf_outline(spark, d):
 @query("pdf_images", f"WITH {FILES_SQL} SELECT doc_id, page, CAST(strlen(t) AS BIGINT) AS width, CAST(1 AS BIGINT) AS height, sha256(t) AS samples FROM files JOIN (SELECT doc_id, 'p' || substring(ls[1], 1, 49) AS t FROM files WHERE page = 1) USING (doc_id)")
 def pdf_images(spark, d):
     objs, pages = read_back(spark, d)
-    found = pdf_content.images(objs, pages, pdf_content.with_state(pdf_content.operators(objs, pages)))
+    found = pdf_content.images(objs, pages, pdf_content.shown(objs, pages, (pdf_content.PICTURE, pdf_content.INLINE)))
     return found.select("doc_id", "page", "width", "height", F.sha2("data", 256).alias("samples"))
 
 

@@ -570,12 +570,13 @@ def page_texts(objs: DataFrame, pages: DataFrame) -> DataFrame:
 def images(objs: DataFrame, pages: DataFrame, shown: DataFrame) -> DataFrame:
     """(doc_id, page, seq, width, height, data): the pictures that pages paint; data is as far decoded as general filters go."""
     name = F.concat_ws("/", "scope", "name")
+    shown = written(shown.where(F.col("op").isin(PICTURE, INLINE)).select("doc_id", "page", "seq", "op", "scope", "name", "texts", "coords"), "pictures")
     ops = shown.where(F.col("op").isin(PICTURE, INLINE)).select("doc_id", "page", "seq", "op", F.when(F.col("op") == PICTURE, name).otherwise(F.concat(F.lit("inline/"), F.col("seq"))).alias("name"))
     known = named_resources(objs, pages, "XObject").where(field("value", "Subtype") == "/Image")
     size = lambda c: field("value", c).try_cast("long").alias(c.lower())
-    known = known.select("doc_id", "num", name.alias("name"), size("Width"), size("Height")).join(objs.select("doc_id", "num", "data"), ["doc_id", "num"]).drop("num")
+    known = known.select("doc_id", "num", name.alias("name"), size("Width"), size("Height")).join(objs.select("doc_id", "num", "data").hint("merge"), ["doc_id", "num"]).drop("num")
     # One row for each page that paints the picture.
-    used = ops.where(F.col("op") == PICTURE).select("doc_id", "page", "name").distinct().join(known, ["doc_id", "name"])
+    used = ops.where(F.col("op") == PICTURE).select("doc_id", "page", "name").distinct().join(known.hint("merge"), ["doc_id", "name"])
     own = shown.where(F.col("op") == INLINE).select("doc_id", "page", F.concat(F.lit("inline/"), F.col("seq")).alias("name"), F.get("texts", F.lit(0)).alias("data"), F.get("coords", F.lit(0)).cast("long").alias("width"), F.get("coords", F.lit(1)).cast("long").alias("height"))
     return pdf.embedded_images(ops, used.unionByName(own))
 

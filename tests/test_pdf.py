@@ -333,3 +333,25 @@ def test_pages_are_read_in_one_walk(spark):
     alone, pages = read(spark, many=many)
     assert pdf_content.page_texts(alone, pages).count() == 150
     assert key(pdf_content.shown(alone, pages).collect()) == key(by_rows.where("doc_id = 'many'").collect())
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Written tables are small as files; their rows would not fit the driver of a large run."""
+    plans, seen = [], lambda df: plans.append(df._jdf.queryExecution().toString())
+    raw = pdf_writer.text_file([["one", "two"], ["three"], ["four"]], "Title", ["a", "b", "c"], ["0 0 30 10 re S"] * 3, b"abc")
+    objs, pages = read(spark, f=raw)
+
+    def told(df, name):
+        seen(df)
+        return shared.written(df, name)
+
+    for module in (pdf_objects, pdf_content, ranking):
+        monkeypatch.setattr(module, "written", told)
+    seen(pdf_objects.page_nodes(objs))
+    seen(pdf_objects.metadata(objs, pages))
+    seen(pdf_objects.outline(objs, pages, pdf_objects.destinations(objs, pages)))
+    seen(pdf_content.page_texts(objs, pages))
+    shown = pdf_content.shown(objs, pages)
+    seen(pdf_content.images(objs, pages, shown))
+    seen(geometry.painted_paths(pdf_content.drawn(shown, pages, placed=True), height=F.col("height")))
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
